@@ -1,0 +1 @@
+"""Intentionally empty: the feature set is batch only (no streams, watermarks or state)."""
