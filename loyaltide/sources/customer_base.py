@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loyaltide.functions.expressions import seeded_hash
-from loyaltide.operators.ranking import row_numbers
+from loyaltide.operators.splits import make_folds, split_train_test
 from loyaltide.staging import stage
 
 CUTOFF, LABEL_END = "2001-01-01", "2001-08-01"
@@ -170,21 +170,13 @@ def customer_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(digest % 3 > 0, (digest % 16).cast("int")).alias("lor"))
 
 
-def with_folds(df: DataFrame, k: int = N_FOLDS, seed: int = 0, target: str = "churn",
-               id_col: str = "customer_id") -> DataFrame:
-    """Stratified frozen folds: position in the seeded hash order of the class, modulo ``k``."""
-    keyed = df.withColumn("_hash", seeded_hash(id_col, seed))
-    ranked = row_numbers(keyed, ["_hash", id_col], by=[target])
-    return (ranked.withColumn("fold", F.pmod(F.col("rn"), F.lit(k)).cast("int"))
-            .drop("rn", "rn_n", "_hash"))
-
-
 _bases: dict[tuple[str, str], DataFrame] = {}
 
 
 def load_customer_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The customer table with folds, written once per session and source folder."""
+    """The customer table with folds and train/test parts, written once per session and source folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _bases:
-        _bases[key] = stage(with_folds(customer_base(spark, sf_dir)), "customer_base")
+        _bases[key] = stage(split_train_test(
+            make_folds(customer_base(spark, sf_dir), N_FOLDS)), "customer_base")
     return _bases[key]
