@@ -93,3 +93,23 @@ def active_customer(df: DataFrame) -> Column:
     if marker in df.columns:
         missing = missing & (F.col(marker) == 0)
     return ~missing & F.col("change_mou").isNotNull()
+
+
+def indicator_profile(df: DataFrame, indicators: Sequence[str], target: str = "churn"
+                      ) -> DataFrame:
+    """Per 0/1 feature: target rate when 1 and when 0, share of 1, in percent."""
+    long = df.unpivot([target], list(indicators), "variable", "x")
+    rate = 100 * F.col(target)
+    return long.groupBy("variable").agg(
+        F.avg(F.when(F.col("x") == 1, rate)).alias("taux_si_1"),
+        F.avg(F.when(F.col("x") == 0, rate)).alias("taux_si_0"),
+        (100 * F.avg("x")).alias("part_de_1"))
+
+
+def feature_profile(df: DataFrame, columns: Sequence[str], target: str = "churn",
+                    min_n: int = 200) -> DataFrame:
+    """Per numeric feature: class spread, shape and information about the target."""
+    from loyaltide.operators.describe import binned_rates
+    from loyaltide.operators.hypothesis_tests import class_profile, numeric_information
+    profile = class_profile(binned_rates(df, columns, 10, target), True, min_n)
+    return numeric_information(df, columns, target).join(profile, "variable", "left")
