@@ -138,7 +138,7 @@ def f22(spark, sf):
     df = base(spark, sf).select("customer_id", "churn", "fold").join(extra, "customer_id")
     rates = df.groupBy("segment_regles").agg(F.avg("churn").alias("_s"))
     leaky = metrics.roc_auc(df.join(F.broadcast(rates), "segment_regles"), "_s", by=["fold"])
-    clean = f10(spark, sf)
+    clean = ablation_table(spark, sf).filter(F.col("configuration") == "regles")
     out = leaky.select("fold", F.col("roc_auc").alias("auc_fuite")).join(
         clean.select("fold", F.col("auc").alias("auc_hors_fold")), "fold")
     return rounded(out.withColumn("ecart", F.col("auc_fuite") - F.col("auc_hors_fold")))

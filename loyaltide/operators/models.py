@@ -18,14 +18,15 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loyaltide import fixed_values as fv
 from loyaltide.functions.expressions import adjust_prior, hash_uniform, seeded_hash
 from loyaltide.operators import metrics, preprocessing as pp
 from loyaltide.operators.features import build_features
-from loyaltide.operators.ranking import row_numbers
+from loyaltide.operators.ranking import exact_quantiles, row_numbers
+from loyaltide.staging import stage
 
 ID, TARGET, FOLD = "customer_id", "churn", "fold"
 
@@ -39,10 +40,9 @@ DEFAULTS: dict[str, dict] = {
 }
 
 
-def freeze(row: DataFrame) -> DataFrame:
-    """One-row parameter table as a local table (its width is the number of columns)."""
-    first = row.first()
-    return row.sparkSession.createDataFrame([tuple(first)], row.schema)
+def freeze(row: DataFrame) -> dict:
+    """One-row parameter table as a mapping (its width is the number of columns)."""
+    return row.first().asDict()
 
 
 @dataclass(frozen=True)
@@ -80,23 +80,40 @@ class FittedModel:
         out = df
         for step in self.steps:
             out = step(out)
-        keep = [c for c in (ID, TARGET, FOLD, "partition", "rev_Mean_keep") if c in out.columns]
+        keep = [c for c in (*_BOOKKEEPING, _VARIANT) if c in out.columns]
         return VectorAssembler(inputCols=self.inputs, outputCol="features").transform(out).select(
             *keep, "features")
 
     def score(self, df: DataFrame, name: str = "proba_brute") -> DataFrame:
-        """``id, target, fold, <name>``: probability of leaving."""
+        """Bookkeeping columns and ``<name>``: probability of leaving."""
         scored = self.model.transform(self.vectors(df))
-        keep = [c for c in (ID, TARGET, FOLD, "partition") if c in scored.columns]
+        keep = [c for c in (*_BOOKKEEPING, _VARIANT) if c in scored.columns]
         return scored.select(*keep, vector_to_array("probability")[1].alias(name))
 
 
 _BOOKKEEPING = (ID, TARGET, FOLD, "partition")
+_VARIANT = "variante"
+_KNOTS = (0.0, 0.25, 0.5, 0.75, 1.0)
+_CLIP = (0.01, 0.99)
+
+
+def _column_facts(df: DataFrame, numeric: Sequence[str]) -> dict:
+    """Per numeric column, in one pass: has nulls, only 0/1, most frequent of 0/1."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for c in numeric:
+        aggs += [F.count(c).alias(f"{c}_n"), F.sum(F.col(c).cast("double")).alias(f"{c}_sum"),
+                 F.coalesce(F.bool_and(F.col(c).isin(0, 1)), F.lit(True)).alias(f"{c}_01")]
+    return df.agg(*aggs).first().asDict()
 
 
 def _prepare(train: DataFrame, spec: ModelSpec
-             ) -> tuple[list[Callable[[DataFrame], DataFrame]], list[str], DataFrame]:
-    """Learn the preparation of ``spec`` on ``train``: steps, input columns, prepared rows."""
+             ) -> tuple[list[Callable[[DataFrame], DataFrame]], list[str], DataFrame, DataFrame]:
+    """Learn the preparation of ``spec`` on ``train``: steps, input columns, the persisted feature
+    rows (to release after the fit) and the prepared rows.
+
+    Three passes over the (persisted) feature rows: column facts, all quantiles at once, means and
+    deviations of the clipped columns; plus one over the categories.
+    """
     steps: list[Callable[[DataFrame], DataFrame]] = []
     inputs: list[str] = []
     state = {"df": train.select(*[c for c in dict.fromkeys(
@@ -106,66 +123,76 @@ def _prepare(train: DataFrame, spec: ModelSpec
         steps.append(step)
         state["df"] = step(state["df"])
 
-    if spec.neutralize:
-        leaks = pp.subset(state["df"], fv.LEAK_COLUMNS)
-        med = freeze(pp.fit_medians(state["df"], leaks))
-        learn(lambda d: pp.neutralize_leaks(d, med, leaks))
-    groups = spec.groups
-    learn(lambda d: build_features(d, groups, contract_months=spec.contract_months))
-    if spec.drop:
-        learn(lambda d: pp.drop_columns(d, spec.drop))
-
-    df = state["df"]
-    categories = [c for c in pp.category_columns(df) if c not in _BOOKKEEPING]
     improved = spec.kind == "logreg"
     trees = spec.kind in ("decision_tree", "random_forest", "boosting")
-    binary = pp.binary_columns(df, _BOOKKEEPING) if improved else []
-    numeric = [c for c in pp.numeric_columns(df) if c not in _BOOKKEEPING and c not in binary]
-    splines = pp.subset(df, fv.SPLINE_COLUMNS) if improved else []
-    plain = [c for c in numeric if c not in splines]
-
+    if spec.neutralize:
+        leaks = pp.subset(state["df"], fv.LEAK_COLUMNS)
+        leak_medians = freeze(pp.fit_medians(state["df"], leaks))
+        learn(lambda d: pp.neutralize_leaks(d, leak_medians, leaks))
+    learn(lambda d: pp.drop_columns(build_features(
+        d, spec.groups, contract_months=spec.contract_months), spec.drop))
     if improved:
         learn(pp.log_columns)
-        bounds = freeze(pp.fit_winsorizer(state["df"], plain))
+    rows = state["df"] = state["df"].persist()
+
+    categories = [c for c in pp.category_columns(rows) if c not in _BOOKKEEPING]
+    numeric = [c for c in pp.numeric_columns(rows) if c not in _BOOKKEEPING]
+    facts = _column_facts(rows, numeric)
+    binary = [c for c in numeric if improved and facts[f"{c}_01"]]
+    splines = [c for c in pp.subset(rows, fv.SPLINE_COLUMNS) if improved and c not in binary]
+    plain = [c for c in numeric if c not in binary and c not in splines]
+    measured = [*plain, *splines]
+    quantiles = {r["variable"]: r for r in exact_quantiles(
+        rows, measured, [*_KNOTS, *_CLIP]).collect()}       # one line per column
+    gaps = {f"{c}_gap": facts[f"{c}_n"] < facts["n"] for c in measured}
+
+    def median(c: str) -> float:
+        return quantiles[c]["q2"] if c in quantiles else 0.0
+
+    if improved:
+        bounds = {f"{c}_{side}": quantiles[c][q] if c in quantiles else None
+                  for c in plain for side, q in (("low", "q5"), ("high", "q6"))}
         learn(lambda d: pp.winsorize(d, bounds, plain))
-    if plain:
-        if not trees and improved:
-            scale = freeze(pp.fit_scaler(state["df"], plain))
-            learn(lambda d: pp.standardize(d, scale, plain))
-        medians = freeze(pp.fit_medians(state["df"], plain))
-        indicator = improved or trees
-        learn(lambda d: pp.impute_median(d, medians, plain, indicator))
-        inputs += plain
-        if indicator:
-            gaps = medians.first()
-            inputs += [f"{c}_manquant" for c in plain if gaps[f"{c}_gap"]]
-        if spec.kind == "logreg_simple":
-            scale = freeze(pp.fit_scaler(state["df"], plain))
+    medians = {f"{c}_med": median(c) for c in measured} | gaps
+    if not trees:
+        scaled_rows = state["df"] if improved else pp.impute_median(state["df"], medians, plain)
+        scale = freeze(pp.fit_scaler(scaled_rows, plain))
+        if improved:        # scale first, so that the indicators stay 0/1
             learn(lambda d: pp.standardize(d, scale, plain))
+            for c in plain:
+                sd = scale[f"{c}_sd"]
+                medians[f"{c}_med"] = ((median(c) - (scale[f"{c}_mean"] or 0.0))
+                                       / (sd if sd and sd > 0 else 1.0))
+    indicator = improved or trees
+    learn(lambda d: pp.impute_median(d, medians, plain, indicator))
+    inputs += plain
+    if indicator:
+        inputs += [f"{c}_manquant" for c in plain if gaps[f"{c}_gap"]]
+    if spec.kind == "logreg_simple":
+        learn(lambda d: pp.standardize(d, scale, plain))
     if binary:
-        modes = freeze(pp.fit_modes(state["df"], binary))
+        modes = {f"{c}_mode": int(2 * (facts[f"{c}_sum"] or 0) > facts[f"{c}_n"]) for c in binary}
         learn(lambda d: pp.impute_mode(d, modes, binary))
         inputs += binary
-    for c in splines:
-        med = freeze(pp.fit_medians(state["df"], [c]))
-        learn(lambda d, c=c, med=med: pp.impute_median(d, med, [c]))
-        knots = freeze(pp.fit_knots(state["df"], [c]))
-        learn(lambda d, c=c, knots=knots: pp.spline_basis(d, knots, c))
-        inputs += [f"{c}_sp{i}" for i in range(7)]
-    if categories and trees:
-        levels = pp.fit_levels(state["df"], categories, None).cache()
-        learn(lambda d: pp.ordinal_codes(d, levels, categories).withColumns(
-            {c: F.coalesce(F.col(c), F.lit(-2)) for c in categories}))
-        inputs += categories
-    elif categories:
-        share, count = (0.01, None) if improved else (None, 30)
-        levels = pp.fit_levels(state["df"], categories, share, count)
-        rows = levels.orderBy("variable", "niveau").collect()   # levels of a few categories
-        local = df.sparkSession.createDataFrame(rows, levels.schema)
-        before = set(state["df"].columns)
-        learn(lambda d: pp.one_hot(d, local, categories, infrequent=not improved))
-        inputs += [c for c in state["df"].columns if c not in before]
-    return steps, inputs, state["df"]
+    if splines:
+        knots = {f"{c}_k{i}": quantiles[c][f"q{i}"] for c in splines for i in range(len(_KNOTS))}
+        learn(lambda d: pp.impute_median(d, medians, splines))
+        for c in splines:
+            learn(lambda d, c=c: pp.spline_basis(d, knots, c))
+            inputs += [f"{c}_sp{i}" for i in range(len(_KNOTS) + 2)]
+    if categories:
+        share, count = (None, None) if trees else (0.01, None) if improved else (None, 30)
+        table = pp.fit_levels(rows, categories, share, count)
+        local = rows.sparkSession.createDataFrame(table.collect(), table.schema)  # a few levels
+        if trees:
+            learn(lambda d: pp.ordinal_codes(d, local, categories).withColumns(
+                {c: F.coalesce(F.col(c), F.lit(-2)) for c in categories}))
+            inputs += categories
+        else:
+            before = set(state["df"].columns)
+            learn(lambda d: pp.one_hot(d, local, categories, infrequent=not improved))
+            inputs += [c for c in state["df"].columns if c not in before]
+    return steps, inputs, rows, state["df"]
 
 
 def _estimator(spec: ModelSpec, n_rows: int):
@@ -187,7 +214,7 @@ def _estimator(spec: ModelSpec, n_rows: int):
 
 def fit_model(train: DataFrame, spec: ModelSpec) -> FittedModel:
     """Learn preparation and model on ``train``; the prepared rows are kept only for the fit."""
-    steps, inputs, prepared = _prepare(train, spec)
+    steps, inputs, base, prepared = _prepare(train, spec)
     rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(prepared).select(
         "features", F.col(TARGET).cast("double").alias(TARGET)).persist()
     try:
@@ -195,6 +222,7 @@ def fit_model(train: DataFrame, spec: ModelSpec) -> FittedModel:
         model = _estimator(spec, n_rows).fit(rows)
     finally:
         rows.unpersist()
+        base.unpersist()
     return FittedModel(spec, steps, inputs, model)
 
 
@@ -202,7 +230,6 @@ def dummy_scores(df: DataFrame, seed: int = 42, target: str = TARGET, fold: str
                  id_col: str = ID) -> DataFrame:
     """Random class drawn with the prior of the other folds: the floor of every comparison."""
     totals = df.groupBy(fold).agg(F.sum(target).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
     whole = Window.partitionBy()                       # one row per fold
     prior = totals.select(F.col(fold).alias("_f"), (
         (F.sum("_p").over(whole) - F.col("_p")) / (F.sum("_n").over(whole) - F.col("_n")))
@@ -225,19 +252,20 @@ class CVResult:
 def cross_validate(df: DataFrame, spec: ModelSpec, folds: Sequence[int] = range(5),
                    train_auc: bool = True) -> CVResult:
     """Fit on the other folds, score the fold, for each fold of a frozen fold column."""
-    parts, train_rows = None, None
+    parts, seen = None, None
     for k in folds:
         fitted = fit_model(df.filter(F.col(FOLD) != k), spec)
         part = fitted.score(df.filter(F.col(FOLD) == k), "score")
         parts = part if parts is None else parts.unionByName(part)
         if train_auc:
-            seen = metrics.roc_auc(fitted.score(df.filter(F.col(FOLD) != k), "score"), "score") \
-                .select(F.lit(k).alias(FOLD), F.col("roc_auc").alias("auc_train"))
-            train_rows = seen if train_rows is None else train_rows.unionByName(seen)
-    per_fold = metrics.compute_metrics(parts, "score", by=[FOLD])
+            again = fitted.score(df.filter(F.col(FOLD) != k), "score").withColumn(FOLD, F.lit(k))
+            seen = again if seen is None else seen.unionByName(again)
+    scores = stage(parts, "fold_scores")               # read by every metric below and after
+    per_fold = metrics.compute_metrics(scores, "score", by=[FOLD])
     if train_auc:
-        per_fold = per_fold.join(train_rows, FOLD)
-    return CVResult(parts, per_fold)
+        per_fold = per_fold.join(metrics.roc_auc(seen, "score", by=[FOLD]).withColumnRenamed(
+            "roc_auc", "auc_train"), FOLD)
+    return CVResult(scores, per_fold)
 
 
 def ablation(df: DataFrame, configs: Mapping[str, ModelSpec], folds: Sequence[int] = range(5)
@@ -274,7 +302,6 @@ def summarize_folds(per_fold: DataFrame, fold: str = FOLD) -> DataFrame:
 def one_sd_rule(trials: DataFrame, auc: str = "auc_moyenne", sd: str = "auc_ecart_type",
                 tie: str = "ecart_train") -> DataFrame:
     """Among trials within one deviation of the best AUC, the one with the smallest train gap."""
-    from pyspark.sql import Window
     best = F.max_by(F.struct(F.col(auc).alias("a"), F.col(sd).alias("s")), F.col(auc)).over(
         Window.partitionBy())                          # one row per trial
     rows = trials.withColumn("_best", best).filter(
@@ -441,20 +468,19 @@ def permutation_importance(df: DataFrame, score: Callable[[DataFrame], DataFrame
     A shuffle joins each row, by position in the id order, to the value at the same position of a
     seeded hash order; both orders are distributed row numbers.
     """
-    base = metrics.roc_auc(score(df), score_column).withColumnRenamed("roc_auc", "_base")
     ids = row_numbers(df.select(ID), [ID], name="_pos").drop("_pos_n")
     anchored = df.join(ids, ID)
-    out = None
+    variants = df.withColumn(_VARIANT, F.lit("base"))
     for r in range(repeats):
         keyed = df.select(ID, *columns).withColumn("_h", seeded_hash(ID, seed + 7919 * (r + 1)))
         donors = row_numbers(keyed, ["_h", ID], name="_pos").drop("_pos_n", "_h", ID)
         for c in columns:
             values = donors.select("_pos", F.col(c).alias("_new"))
             shuffled = anchored.join(values, "_pos").withColumn(c, F.col("_new")).drop("_new", "_pos")
-            row = metrics.roc_auc(score(shuffled), score_column).select(
-                F.lit(c).alias("variable"), F.col("roc_auc"))
-            out = row if out is None else out.unionByName(row)
-    drops = out.crossJoin(F.broadcast(base))           # one row
-    return drops.groupBy("variable").agg(
+            variants = variants.unionByName(shuffled.withColumn(_VARIANT, F.lit(f"{r}:{c}")))
+    aucs = metrics.roc_auc(score(variants), score_column, by=[_VARIANT])   # one job for all
+    base = aucs.filter(F.col(_VARIANT) == "base").select(F.col("roc_auc").alias("_base"))
+    drops = aucs.filter(F.col(_VARIANT) != "base").crossJoin(F.broadcast(base))   # one row
+    return drops.groupBy(F.substring_index(_VARIANT, ":", -1).alias("variable")).agg(
         F.avg(F.col("_base") - F.col("roc_auc")).alias("baisse_auc"),
         F.stddev_samp(F.col("_base") - F.col("roc_auc")).alias("ecart_type"))

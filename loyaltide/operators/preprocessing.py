@@ -1,12 +1,12 @@
 """Learned column transforms: fit = one-row or few-row table, apply = column expressions.
 
-Fitted tables stay DataFrames (medians, clipping bounds, level shares), so fitting and applying can
-use different rows and nothing passes through the driver.
+Fitted parameters are one-row DataFrames (medians, clipping bounds) or the same numbers as a mapping;
+applied as a mapping they become literals, so the transform stays inside one generated stage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,9 +18,15 @@ from loyaltide.operators.describe import unpivot_levels
 from loyaltide.operators.ranking import quantile_row, unpivot_values
 
 
-def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row table to every row."""
-    return df.crossJoin(F.broadcast(row))
+Learned = DataFrame | Mapping[str, object]
+
+
+def attach(df: DataFrame, learned: Learned) -> tuple[DataFrame, Callable[[str], Column]]:
+    """Make learned parameters available by name: literals for a mapping, a broadcast join of the
+    single row for a one-row table."""
+    if isinstance(learned, DataFrame):
+        return df.crossJoin(F.broadcast(learned)), F.col
+    return df, lambda name: F.lit(learned[name])
 
 
 # --- Column roles --------------------------------------------------------------------------
@@ -70,13 +76,13 @@ def fit_winsorizer(df: DataFrame, columns: Sequence[str], lower: float = 0.01,
     return quantile_row(df, columns, [lower, upper], ["low", "high"])
 
 
-def winsorize(df: DataFrame, bounds: DataFrame, columns: Sequence[str],
+def winsorize(df: DataFrame, bounds: Learned, columns: Sequence[str],
               keep_degenerate: bool = True) -> DataFrame:
     """Clip to the learned bounds; equal bounds mean no clipping, null stays null."""
-    out = attach_row(df, bounds)
+    out, learned = attach(df, bounds)
     clipped = {}
     for c in columns:
-        low, high, x = F.col(f"{c}_low"), F.col(f"{c}_high"), F.col(c).cast("double")
+        low, high, x = learned(f"{c}_low"), learned(f"{c}_high"), F.col(c).cast("double")
         inside = F.when(x < low, low).when(x > high, high).otherwise(x)
         clipped[c] = F.when(high <= low, x).otherwise(inside) if keep_degenerate else inside
     return out.withColumns(clipped).drop(*[f"{c}_{s}" for c in columns for s in ("low", "high")])
@@ -88,19 +94,19 @@ def fit_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return quantile_row(df, columns, [0.5], ["med"]).crossJoin(gaps)   # one row each
 
 
-def impute_median(df: DataFrame, medians: DataFrame, columns: Sequence[str],
+def impute_median(df: DataFrame, medians: Learned, columns: Sequence[str],
                   indicator: bool = False) -> DataFrame:
     """Fill nulls by the learned median; optionally a 0/1 indicator per column whose fit rows had
     nulls (0 everywhere for the others)."""
-    out = attach_row(df, medians)
-    new = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}_med")) for c in columns}
+    out, learned = attach(df, medians)
+    new = {c: F.coalesce(F.col(c).cast("double"), learned(f"{c}_med")) for c in columns}
     if indicator:
-        new |= {f"{c}_manquant": (F.col(c).isNull() & F.col(f"{c}_gap")).cast("int")
+        new |= {f"{c}_manquant": (F.col(c).isNull() & learned(f"{c}_gap")).cast("int")
                 for c in columns}
     return out.withColumns(new).drop(*[f"{c}_{s}" for c in columns for s in ("med", "gap")])
 
 
-def neutralize_leaks(df: DataFrame, medians: DataFrame,
+def neutralize_leaks(df: DataFrame, medians: Learned,
                      columns: Sequence[str] = fv.LEAK_COLUMNS) -> DataFrame:
     """Remove every trace of absence in the columns that reveal an already gone customer."""
     return impute_median(df, medians, subset(df, columns))
@@ -111,9 +117,9 @@ def fit_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*[F.mode(c, deterministic=True).alias(f"{c}_mode") for c in columns])
 
 
-def impute_mode(df: DataFrame, modes: DataFrame, columns: Sequence[str]) -> DataFrame:
-    out = attach_row(df, modes)
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_mode")) for c in columns}).drop(
+def impute_mode(df: DataFrame, modes: Learned, columns: Sequence[str]) -> DataFrame:
+    out, learned = attach(df, modes)
+    return out.withColumns({c: F.coalesce(F.col(c), learned(f"{c}_mode")) for c in columns}).drop(
         *[f"{c}_mode" for c in columns])
 
 
@@ -123,11 +129,11 @@ def fit_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_sd"))])
 
 
-def standardize(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> DataFrame:
+def standardize(df: DataFrame, stats: Learned, columns: Sequence[str]) -> DataFrame:
     """z-scores; a constant column is only centred."""
-    out = attach_row(df, stats)
+    out, learned = attach(df, stats)
     return out.withColumns({
-        c: (F.col(c) - F.col(f"{c}_mean")) / F.when(F.col(f"{c}_sd") > 0, F.col(f"{c}_sd"))
+        c: (F.col(c) - learned(f"{c}_mean")) / F.when(learned(f"{c}_sd") > 0, learned(f"{c}_sd"))
         .otherwise(1.0) for c in columns}).drop(
             *[f"{c}_{s}" for c in columns for s in ("mean", "sd")])
 
@@ -204,21 +210,18 @@ def fit_knots(df: DataFrame, columns: Sequence[str], n_knots: int = 5) -> DataFr
     return quantile_row(df, columns, probs, [f"k{i}" for i in range(n_knots)])
 
 
-def spline_basis(df: DataFrame, knots: DataFrame, column: str, n_knots: int = 5,
+def spline_basis(df: DataFrame, knots: Learned, column: str, n_knots: int = 5,
                  degree: int = 3) -> DataFrame:
     """B-spline basis of one column by the de Boor recursion, constant outside the knots.
 
     The knot vector is extended on both sides by the first and last gap, as in the usual
     construction with ``n_knots + degree - 1`` functions summing to one.
     """
-    out = attach_row(df, knots)
-    base = [F.col(f"{column}_k{i}") for i in range(n_knots)]
+    out, learned = attach(df, knots)
+    base = [learned(f"{column}_k{i}").cast("double") for i in range(n_knots)]
     first, last = base[1] - base[0], base[-1] - base[-2]
     t = ([base[0] - first * (degree - i) for i in range(degree)] + base
          + [base[-1] + last * (i + 1) for i in range(degree)])
-    names = [f"_t{i}" for i in range(len(t))]
-    out = out.withColumns(dict(zip(names, t, strict=True)))
-    t = [F.col(n) for n in names]
     x = F.least(F.greatest(F.col(column).cast("double"), base[0]), base[-1])
     out = out.withColumn("_x", F.when(F.col(column).isNotNull(), x))
     x = F.col("_x")
