@@ -7,6 +7,7 @@ import math
 import os
 import sys
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 from pyspark.sql import SparkSession
@@ -46,7 +47,15 @@ def frame(columns: list[str], rows: list[tuple]) -> tuple[list[str], list[tuple]
             sorted(tuple(_cell(r[i]) for i in order) for r in rows))
 
 
-def compare(spark: SparkSession, con, fn, sql: str, sf_dir: str) -> str:
+def _close(x: str, y: str) -> bool:
+    try:
+        return x == y or math.isclose(float(x), float(y), rel_tol=1e-6, abs_tol=2e-6)
+    except ValueError:
+        return False
+
+
+def compare(spark: SparkSession, con, fn, sql: str, sf_dir: str, tolerant: bool = False) -> str:
+    """``ok ...`` or the first difference; ``tolerant`` accepts a last rounded digit off by one."""
     df = fn(spark, sf_dir)
     got = frame(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
@@ -55,13 +64,31 @@ def compare(spark: SparkSession, con, fn, sql: str, sf_dir: str) -> str:
         return f"COLUMNS {sorted(set(got[0]) ^ set(want[0]))}"
     if len(got[1]) != len(want[1]):
         return f"ROWS {len(got[1])} vs {len(want[1])}: {got[1][:2]} / {want[1][:2]}"
-    bad = [(a, b) for a, b in zip(got[1], want[1], strict=True) if a != b]
+    bad = [(a, b) for a, b in zip(got[1], want[1], strict=True)
+           if a != b and not (tolerant and all(map(_close, a, b)))]
     if bad:
         diff = [(c, x, y) for c, x, y in zip(got[0], *bad[0], strict=True) if x != y]
         return f"VALUES {len(bad)}/{len(got[1])} e.g. {diff}"
     return f"ok {len(got[1])} rows"
 
 
+def compare_all(spark: SparkSession, con, sf_dir: str, names: list[str], workers: int = 6,
+                tolerant: bool = False) -> dict[str, str]:
+    """Outcome of each named query, several at a time (each with its own DuckDB cursor)."""
+    from catalog.registry import ORACLES, QUERIES
+    from loyaltide.plans.score_table import load_store
+    load_store(spark, sf_dir)                          # shared by most queries, built once
+
+    def run(name: str) -> str:
+        try:
+            return compare(spark, con.cursor(), QUERIES[name], ORACLES[name], sf_dir, tolerant)
+        except Exception as exc:  # noqa: BLE001 - report every query
+            return f"ERROR {type(exc).__name__}: {str(exc)[:600]}"
+
+    with ThreadPoolExecutor(workers) as pool:
+        return dict(zip(names, pool.map(run, names), strict=True))
+
+
 def main(argv: list[str]) -> int:
     from catalog import load_all
     from catalog.registry import ORACLES, QUERIES

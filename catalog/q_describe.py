@@ -104,10 +104,10 @@ def edges_sql(columns: list[str], q: int = 10, source: str = "l") -> str:
 
 
 @query("c08_decile_bins", sql(BASE + f", l AS ({long_sql(NUM)})" + edges_sql(NUM),
-    "SELECT variable, CAST(classe AS INTEGER) AS classe, e[classe] AS gauche, e[least(classe + 1, len(e))] AS droite, count(*) AS n FROM bins GROUP BY ALL", "gauche:4 droite:4"))
+    "SELECT variable, CAST(classe AS INTEGER) AS classe, e[classe] AS gauche, e[least(classe + 1, len(e))] AS droite, count(*) AS n FROM bins GROUP BY ALL", "gauche droite"))
 def c08(spark, sf):
     return rounded(describe.quantile_bins(base(spark, sf), NUM).groupBy(
-        "variable", "classe", "gauche", "droite").agg(F.count(F.lit(1)).alias("n")), 4)
+        "variable", "classe", "gauche", "droite").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query("c09_fixed_bins", BASE + """ SELECT CASE WHEN eqpdays < 100 THEN '[0;100[' WHEN eqpdays < 300 THEN '[100;300[' WHEN eqpdays < 900 THEN '[300;900[' END AS classe, count(*) AS n FROM cust GROUP BY 1""")
@@ -218,9 +218,9 @@ def c18(spark, sf):
 
 
 @query("c19_medians_by_target", sql(BASE + f", l AS ({long_sql(NUM)})", """SELECT variable, median(value) FILTER (WHERE churn = 0) AS mediane_0, median(value) FILTER (WHERE churn = 1) AS mediane_1,
-  100 * (median(value) FILTER (WHERE churn = 1) - median(value) FILTER (WHERE churn = 0)) / nullif(abs(median(value) FILTER (WHERE churn = 0)), 0) AS ecart_pct FROM l GROUP BY 1""", "mediane_0:4 mediane_1:4 ecart_pct"))
+  100 * (median(value) FILTER (WHERE churn = 1) - median(value) FILTER (WHERE churn = 0)) / nullif(abs(median(value) FILTER (WHERE churn = 0)), 0) AS ecart_pct FROM l GROUP BY 1""", "mediane_0 mediane_1 ecart_pct"))
 def c19(spark, sf):
-    return rounded(describe.medians_by_target(base(spark, sf), NUM), mediane_0=4, mediane_1=4)
+    return rounded(describe.medians_by_target(base(spark, sf), NUM))
 
 
 @query("c20_cross_tab", sql(BASE, """SELECT coalesce(hnd_webcap, 'All') AS hnd_webcap, count(*) AS n, 100 * avg((churn = 0)::INT) AS pct_0, 100 * avg(churn) AS pct_1
@@ -239,16 +239,16 @@ _HIST = ["eqpdays", "months", "rev_Mean", "ovrrev_Mean"]
 ), rows_ AS (SELECT l.variable, lg, pct_zero, lo, (hi - lo) / 40 AS step, CASE WHEN lg THEN log10(value) ELSE value END AS x FROM l JOIN sc USING (variable) WHERE NOT lg OR value > 0
 ), bn AS (SELECT *, CAST(least(floor((x - lo) / step), 39) AS INTEGER) AS classe FROM rows_)""",
     """SELECT variable, CASE WHEN lg THEN 'log10' ELSE 'lineaire' END AS echelle, pct_zero, classe, lo + classe * step AS debut, lo + (classe + 1) * step AS fin, count(*) AS n FROM bn GROUP BY ALL""",
-    "pct_zero debut:4 fin:4"))
+    "pct_zero debut fin"))
 def c21(spark, sf):
-    return rounded(describe.histograms(base(spark, sf), _HIST, skew_log=1.5), debut=4, fin=4)
+    return rounded(describe.histograms(base(spark, sf), _HIST, skew_log=1.5))
 
 
 @query("c22_box_statistics", sql(BASE + f", l AS ({long_sql(_HIST)})" + """, q AS (SELECT churn, variable, quantile_cont(value, 0.25) AS q1, median(value) AS mediane, quantile_cont(value, 0.75) AS q3 FROM l WHERE value IS NOT NULL GROUP BY 1, 2)""",
     """SELECT churn, variable, q1, mediane, q3, min(value) FILTER (WHERE value >= q1 - 1.5 * (q3 - q1)) AS moustache_bas, max(value) FILTER (WHERE value <= q3 + 1.5 * (q3 - q1)) AS moustache_haut
-  FROM l JOIN q USING (churn, variable) GROUP BY ALL""", "q1:4 mediane:4 q3:4 moustache_bas:4 moustache_haut:4"))
+  FROM l JOIN q USING (churn, variable) GROUP BY ALL""", "q1 mediane q3 moustache_bas moustache_haut"))
 def c22(spark, sf):
-    return rounded(describe.box_statistics(base(spark, sf), _HIST, ["churn"]), 4)
+    return rounded(describe.box_statistics(base(spark, sf), _HIST, ["churn"]))
 
 
 @query("c23_zoom_bins", sql(BASE + ", z AS (SELECT churn, CASE WHEN eqpdays BETWEEN 100 AND 200 THEN CAST(floor(eqpdays / 5) * 5 AS BIGINT) END AS b FROM cust)"
@@ -286,8 +286,15 @@ def d01(spark, sf):
     return rounded(ht.mann_whitney(base(spark, sf), NUM), statistique=3)
 
 
-@query("d02_chi2_cramers_v", sql(CHI, "SELECT variable, 'χ²' AS test, chi2 AS statistique, sqrt(chi2 / n) AS effet, CAST(n AS BIGINT) AS n, ddl, "
-    "CAST(0 AS DOUBLE) AS pct_cellules_attendu_lt5 FROM chi", "statistique effet pct_cellules_attendu_lt5"))
+MERGED = CHI + """, rm AS (SELECT variable, CASE WHEN n < 30 AND count(*) OVER (PARTITION BY variable) > 2 THEN 'Rare' ELSE niveau END AS niveau, n, pos FROM lc
+), rs AS (SELECT variable, niveau, sum(n) AS n, sum(pos) AS pos FROM rm GROUP BY 1, 2 HAVING NOT (niveau = 'Rare' AND sum(n) < 30)
+), rt_ AS (SELECT *, sum(n) OVER (PARTITION BY variable) AS t, sum(pos) OVER (PARTITION BY variable) AS tp FROM rs
+), rchi AS (SELECT variable, max(t) AS n, sum((pos - n * tp / t) ** 2 / (n * tp / t) + (n - pos - n * (t - tp) / t) ** 2 / (n * (t - tp) / t)) AS chi2, count(*) - 1 AS ddl,
+    100 * CAST(count(*) FILTER (WHERE n * tp / t < 5) + count(*) FILTER (WHERE n * (t - tp) / t < 5) AS DOUBLE) / (2 * count(*)) AS pct FROM rt_ GROUP BY 1)"""
+
+
+@query("d02_chi2_cramers_v", sql(MERGED, "SELECT variable, 'χ²' AS test, chi2 AS statistique, CASE WHEN ddl > 0 THEN sqrt(chi2 / n) END AS effet, CAST(n AS BIGINT) AS n, ddl, "
+    "pct AS pct_cellules_attendu_lt5 FROM rchi", "statistique effet pct_cellules_attendu_lt5"))
 def d02(spark, sf):
     return rounded(ht.chi2_test(base(spark, sf), CAT).drop("p_value"))
 
@@ -331,11 +338,11 @@ def d05(spark, sf):
     return rounded(ht.numeric_information(base(spark, sf), _NUMD), 9)
 
 
-UNI = (CHI + f", l AS ({long_sql(NUM)})" + edges_sql(NUM) + BIN_RATES + RHO_Y + MW + PROFILE + NUM_MI.replace(", mt AS (SELECT *, sum", ", nmt AS (SELECT *, sum").replace("FROM mt GROUP", "FROM nmt GROUP") + f"""
+UNI = (MERGED + f", l AS ({long_sql(NUM)})" + edges_sql(NUM) + BIN_RATES + RHO_Y + MW + PROFILE + NUM_MI.replace(", mt AS (SELECT *, sum", ", nmt AS (SELECT *, sum").replace("FROM mt GROUP", "FROM nmt GROUP") + f"""
 , cmi AS (SELECT variable, {MI} AS info_mutuelle FROM lt GROUP BY 1
 ), cbig AS (SELECT variable, CASE WHEN count(*) < 2 THEN 0 ELSE max(taux) - min(taux) END AS e FROM (SELECT variable, round_even(100 * pos / n, 2) AS taux FROM lc WHERE n >= 50) GROUP BY 1
-), uni AS (SELECT variable, 'numérique' AS type, statistique, effet, n, ecart_classes_pts, forme_courbe, info_mutuelle FROM mwt JOIN prof USING (variable) JOIN nmi USING (variable)
-  UNION ALL SELECT variable, 'catégorielle', chi2, sqrt(chi2 / n), CAST(n AS BIGINT), e, 'sans objet', info_mutuelle FROM chi JOIN cbig USING (variable) JOIN cmi USING (variable))""")
+), uni AS (SELECT variable, 'numérique' AS type, statistique, effet, n, coalesce(ecart_classes_pts, 0) AS ecart_classes_pts, coalesce(forme_courbe, 'sans objet') AS forme_courbe, info_mutuelle FROM mwt LEFT JOIN prof USING (variable) JOIN nmi USING (variable)
+  UNION ALL SELECT variable, 'catégorielle', chi2, CASE WHEN ddl > 0 THEN sqrt(chi2 / n) END, CAST(n AS BIGINT), coalesce(e, 0), 'sans objet', info_mutuelle FROM rchi LEFT JOIN cbig USING (variable) JOIN cmi USING (variable))""")
 
 
 @query("d08_univariate_table", sql(UNI, """SELECT *, abs(effet) AS effet_abs, CASE WHEN abs(effet) < 0.1 THEN 'négligeable' WHEN abs(effet) < 0.3 THEN 'faible' WHEN abs(effet) < 0.5 THEN 'moyen' ELSE 'fort' END AS interpretation,

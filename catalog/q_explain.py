@@ -114,10 +114,10 @@ def h10(spark, sf):
         .select("customer_id", "variable", "phrase")
 
 
-@query("h11_outlier_thresholds", sql(STORE + OUTLIERS, "SELECT * FROM ot", "high:4 low:4"))
+@query("h11_outlier_thresholds", sql(STORE + OUTLIERS, "SELECT * FROM ot", "high low"))
 def h11(spark, sf):
     rows = feature_rows(spark, sf).filter(F.col("partition") == "train_oof")
-    return rounded(explain.outlier_thresholds(rows, score_table.EXPLAINED), 4)
+    return rounded(explain.outlier_thresholds(rows, score_table.EXPLAINED))
 
 
 @query("h12_is_atypical", STORE + OUTLIERS + """ SELECT customer_id, c.variable, coalesce(value > high OR coalesce(value < low, false), false) AS atypique FROM contrib c

@@ -64,7 +64,7 @@ def curve_sql(caps: list[float], source: str = "scores", extra: str = "") -> str
     sum({W} * proba_reelle) / nullif(sum({W} * 0.02::DOUBLE), 0) AS facteur_vs_hasard,
     sum({W} * proba_reelle) / (SELECT e FROM tot) AS part_churners_attendus,
     sum({W} * revenu_en_jeu) / (SELECT r FROM tot) AS part_revenu_en_jeu
-  FROM caps LEFT JOIN act ON before < capacite GROUP BY capacite
+  FROM caps LEFT JOIN act ON before < capacite - 1e-12 GROUP BY capacite
 )"""
 
 
@@ -122,8 +122,8 @@ def j09b(spark, sf):
 
 
 @query("j10_tier_by_partition", sql(STORE, """SELECT niveau,
-  avg(churn) FILTER (WHERE partition = 'train_oof') AS train_oof_taux, count(*) FILTER (WHERE partition = 'train_oof') / (SELECT count(*) FROM scores WHERE partition = 'train_oof') AS train_oof_part,
-  avg(churn) FILTER (WHERE partition = 'test') AS test_taux, count(*) FILTER (WHERE partition = 'test') / (SELECT count(*) FROM scores WHERE partition = 'test') AS test_part
+  avg(churn) FILTER (WHERE partition = 'train_oof') AS train_oof_taux, nullif(count(*) FILTER (WHERE partition = 'train_oof'), 0) / (SELECT count(*) FROM scores WHERE partition = 'train_oof') AS train_oof_part,
+  avg(churn) FILTER (WHERE partition = 'test') AS test_taux, nullif(count(*) FILTER (WHERE partition = 'test'), 0) / (SELECT count(*) FROM scores WHERE partition = 'test') AS test_part
   FROM scores GROUP BY niveau""", "train_oof_taux train_oof_part test_taux test_part"))
 def j10(spark, sf):
     return rounded(portfolio.tier_by_partition(scores(spark, sf)))
@@ -298,10 +298,9 @@ _TRAITS = [c for c, _, _ in fv.PROFILE_TRAITS]
 ), tg AS (SELECT segment, variable, segment_median, overall_median, (segment_median - overall_median) / CASE WHEN iqr <> 0 THEN iqr ELSE sd END AS gap_iqr FROM sm JOIN ov USING (variable)
 ), tr AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY abs(gap_iqr) DESC, variable) AS rang FROM tg)""",
     "SELECT segment, rang, variable, segment_median, overall_median, gap_iqr, CASE WHEN gap_iqr > 0 THEN 'higher' ELSE 'lower' END AS direction FROM tr WHERE rang <= 3",
-    "segment_median:4 overall_median:4 gap_iqr"))
+    "segment_median overall_median gap_iqr"))
 def j24b(spark, sf):
-    return rounded(dashboards.segment_traits(scores(spark, sf)).drop("label", "unit"),
-                   segment_median=4, overall_median=4)
+    return rounded(dashboards.segment_traits(scores(spark, sf)).drop("label", "unit"))
 
 
 SIM = STORE + curve_sql([0.075] + [i / 100 for i in range(1, 51)]) + """, sim AS (
@@ -351,7 +350,7 @@ def j28(spark, sf):
 ), pw AS (SELECT *, p * coalesce(rev_Mean, 0) AS rv, w0 * 100000 / sum(w0) OVER (PARTITION BY taux_reel) AS w FROM pr
 ), po AS (SELECT *, (sum(w) OVER (PARTITION BY taux_reel ORDER BY pc0 DESC, customer_id ROWS UNBOUNDED PRECEDING) - w) / 100000 AS before FROM pw WHERE NOT inactif
 ), tt AS (SELECT taux_reel, sum(w * p) AS e, sum(w * rv) AS r FROM pw GROUP BY 1
-), res AS (SELECT taux_reel, 'Top 10 % (actifs)' AS groupe, count(*) AS n_rows, sum(w) AS n, sum(w * p) AS ca, sum(w * rv) AS rv FROM po WHERE before < 0.1 GROUP BY 1
+), res AS (SELECT taux_reel, 'Top 10 % (actifs)' AS groupe, count(*) AS n_rows, sum(w) AS n, sum(w * p) AS ca, sum(w * rv) AS rv FROM po WHERE before < 0.1 - 1e-12 GROUP BY 1
   UNION ALL SELECT taux_reel, 'Inactifs (vérification / reconquête)', count(*), sum(w), sum(w * p), sum(w * rv) FROM pw WHERE inactif GROUP BY 1
   UNION ALL SELECT taux_reel, 'Portefeuille entier', count(*), sum(w), sum(w * p), sum(w * rv) FROM pw GROUP BY 1)""",
     """SELECT taux_reel, groupe, n_rows, n AS n_portfolio_equiv, ca AS churners_attendus, n * taux_reel AS churners_hasard, ca / (n * taux_reel) AS facteur_vs_hasard,
@@ -409,9 +408,9 @@ _MED = ["months", "eqpdays", "mou_Mean", "change_mou", "totmrc_Mean", "rev_Mean"
 
 @query("j32_tier_medians", sql(STORE, "SELECT niveau, " + ", ".join(f"CAST(median({c}) AS DOUBLE) AS {c}" for c in _MED)
     + ", 100 * avg(CASE WHEN months IN (69, 70) THEN 1.0 ELSE 0 END) AS pct_fenetre FROM scores GROUP BY niveau",
-    " ".join(f"{c}:4" for c in _MED) + " pct_fenetre"))
+    " ".join(f"{c}" for c in _MED) + " pct_fenetre"))
 def j32(spark, sf):
-    return rounded(dashboards.tier_medians(scores(spark, sf), _MED, WINDOW), 4, pct_fenetre=6)
+    return rounded(dashboards.tier_medians(scores(spark, sf), _MED, WINDOW))
 
 
 @query("j33_action_mix", sql(STORE, "SELECT action, niveau, count(*) AS n, 100 * CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY niveau) AS pct_colonne FROM scores GROUP BY 1, 2", "pct_colonne"))

@@ -186,10 +186,9 @@ def long_sql(columns: list[str], keep: str = "churn", source: str = "cust") -> s
     quantile_cont(value, 0.999) AS q999, max(value) AS max, skewness(value) AS asymetrie FROM l WHERE value IS NOT NULL GROUP BY 1)""",
     """SELECT q.*, max / nullif(q999, 0) AS max_sur_q999, (SELECT count(*) FROM l WHERE l.variable = q.variable AND value > q999) AS n_sup_q999,
   (SELECT 100 * avg((value < q25 - 1.5 * (q75 - q25) OR value > q75 + 1.5 * (q75 - q25))::INT) FROM l WHERE l.variable = q.variable AND value IS NOT NULL) AS pct_hors_tukey FROM q""",
-    "min:4 q25:4 mediane:4 q75:4 q999:4 max:4 asymetrie max_sur_q999 pct_hors_tukey"))
+    "min q25 mediane q75 q999 max asymetrie max_sur_q999 pct_hors_tukey"))
 def b13(spark, sf):
-    return rounded(quality.outlier_summary(base(spark, sf), _OUT), min=4, q25=4, mediane=4, q75=4,
-                   q999=4, max=4)
+    return rounded(quality.outlier_summary(base(spark, sf), _OUT))
 
 
 @query("b14_split_train_test", BASE + " SELECT customer_id, partition AS part FROM cust")

@@ -78,9 +78,9 @@ def i05(spark, sf):
 
 
 @query("i06_cluster_profiles", sql(STORE, "SELECT segment_id, count(*) AS n, round_even(100 * CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 1) AS part_pct, "
-    + ", ".join(f"CAST(median({c}) AS DOUBLE) AS {c}" for c in seg.FEATURES) + " FROM scores GROUP BY 1", "part_pct " + " ".join(f"{c}:4" for c in seg.FEATURES)))
+    + ", ".join(f"CAST(median({c}) AS DOUBLE) AS {c}" for c in seg.FEATURES) + " FROM scores GROUP BY 1", "part_pct " + " ".join(f"{c}" for c in seg.FEATURES)))
 def i06(spark, sf):
-    return rounded(seg.cluster_profiles(load_store(spark, sf).scores), 4)
+    return rounded(seg.cluster_profiles(load_store(spark, sf).scores))
 
 
 @query("i07_cluster_zscores", sql(_LAB, "SELECT segment_id, " + ", ".join(f"avg({c}) AS {c}" for c in seg.FEATURES) + " FROM lab GROUP BY 1", _F))

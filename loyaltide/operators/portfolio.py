@@ -171,7 +171,8 @@ def campaign_curve(scores: DataFrame, capacities: Sequence[float], real_rate: fl
     before = (F.col("w_cum") - F.col(w)) / F.col("_w")
     first = F.lit(None).cast("int")
     for i in reversed(range(len(caps))):
-        first = F.when(before < caps[i], F.lit(i)).otherwise(first)
+        # The margin keeps a share equal to the capacity out whatever the order of the sums.
+        first = F.when(before < caps[i] - 1e-12, F.lit(i)).otherwise(first)
     pieces = (ranked.withColumn("_cap", first).filter(F.col("_cap").isNotNull())
               .groupBy(*by, "_cap").agg(*weighted_sums(real_rate)))
     # Skeleton of every capacity, so that a capacity adding no row still gets a line.

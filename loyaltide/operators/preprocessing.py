@@ -227,8 +227,8 @@ def spline_basis(df: DataFrame, knots: Learned, column: str, n_knots: int = 5,
     x = F.col("_x")
     # The right end belongs to the last inner interval, so that the basis is defined on it.
     end = degree + n_knots - 2
-    level = {f"_b0_{i}": (((x >= t[i]) & ((x < t[i + 1]) if i != end else (x <= t[i + 1])))
-                          .cast("double")) for i in range(len(t) - 1)}
+    level = {f"_b0_{i}": ((x >= t[i]) & ((x < t[i + 1]) if i != end else (x <= t[i + 1])))
+             .cast("double") if i <= end else F.lit(0.0) for i in range(len(t) - 1)}
     out = out.withColumns(level)
     for d in range(1, degree + 1):
         step = {}
