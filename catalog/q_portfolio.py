@@ -373,6 +373,12 @@ def j30(spark, sf):
                                             25, "1").drop("top_reason"), **_SUM_DIG)
 
 
+@query("j30_deep_page", sql(STORE, f"SELECT {_SUMMARY} FROM scores ORDER BY eqpdays NULLS LAST, customer_id LIMIT 40 OFFSET 400", _SUM_D))
+def j30d(spark, sf):
+    return rounded(customers.list_customers(scores(spark, sf), None, "handset_age_days", "asc", 11,
+                                            40, top_n=100).drop("top_reason"))
+
+
 @query("j30_list_totals", STORE + f" SELECT count(*) AS total_n_rows, greatest(1, CAST(ceil(count(*) / 25) AS BIGINT)) AS total_pages FROM scores WHERE {WHERE} AND contains(id_text, '1')")
 def j30b(spark, sf):
     return customers.list_totals(scores(spark, sf), FILTERS, 25, "1")
@@ -387,7 +393,7 @@ def j30c(spark, sf):
 @query("j31_get_customer", sql(STORE, """SELECT customer_id, partition, proba_calibree AS p_raw, proba_calibree AS p_calibrated, proba_reelle AS p_real, niveau AS risk_level,
   inactif AS inactive, segment_id, segment, tenure_band, handset_age_band, usage_band, action, famille_dominante AS dominant_family, rev_Mean AS monthly_bill,
   revenu_en_jeu AS revenue_at_risk_monthly, churn AS historical_churn_label FROM scores WHERE customer_id = 7""",
-    "p_raw p_calibrated p_real monthly_bill:3 revenue_at_risk_monthly:3"))
+    "p_raw p_calibrated p_real monthly_bill revenue_at_risk_monthly"))
 def j31(spark, sf):
     return rounded(customers.get_customer(scores(spark, sf), 7), **_SUM_DIG)
 

@@ -50,14 +50,20 @@ def _summary() -> list[Column]:
 
 def list_customers(scores: DataFrame, filters: Filters | None = None, sort: str = "p_real",
                    order: str = "desc", page: int = 1, size: int = 25,
-                   search: str | None = None) -> DataFrame:
+                   search: str | None = None, top_n: int = 20000) -> DataFrame:
     """One page of the list.
 
-    A top-N sort with an offset: each task keeps ``page * size`` rows, nothing is sorted globally.
+    An early page is a top-N sort with an offset: each task keeps ``page * size`` rows.  Past
+    ``top_n`` rows the page is cut from distributed row positions instead.
     """
     if page < 1 or not 1 <= size <= fv.MAX_PAGE_SIZE:
         raise ValueError(f"page >= 1 and 1 <= size <= {fv.MAX_PAGE_SIZE}")
     rows, ordering = select_customers(scores, filters, sort, order, search)
+    if page * size > top_n:
+        place = numbered_selection(scores, filters, sort, order, search).select(
+            "customer_id", "position").filter(
+                F.col("position").between((page - 1) * size + 1, page * size))
+        return rows.join(place, "customer_id").orderBy("position").select(*_summary())
     return rows.orderBy(*ordering).offset((page - 1) * size).limit(size).select(*_summary())
 
 

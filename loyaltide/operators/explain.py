@@ -272,18 +272,16 @@ def high_context(scores: DataFrame, factors: DataFrame, id_col: str = ID) -> Dat
 def quantile_exemplars(scores: DataFrame, probs: Sequence[float] = (0.975, 0.5, 0.025),
                        score: str = "proba_calibree", id_col: str = ID) -> DataFrame:
     """The row closest to each score quantile, with the percent of rows strictly below it."""
-    q = exact_quantiles(scores, [score], probs)
-    targets = q.select(F.posexplode(F.array(*[F.col(f"q{i}") for i in range(len(probs))]))
-                       .alias("i", "cible"))
-    targets = targets.withColumn("q", F.element_at(F.array(*[F.lit(float(p)) for p in probs]),
-                                                   F.col("i") + 1))
-    near = scores.select(id_col, score).crossJoin(F.broadcast(targets))  # a few targets
-    pick = near.groupBy("q", "cible").agg(F.min_by(
-        F.struct(id_col, score), F.struct(F.abs(F.col(score) - F.col("cible")), id_col))
-        .alias("x"))
-    picked = pick.select("q", F.col(f"x.{id_col}").alias(id_col), F.col(f"x.{score}").alias(score))
-    below = (scores.select(F.col(score).alias("_s"))
-             .crossJoin(F.broadcast(picked.select("q", F.col(score).alias("_t"))))
-             .groupBy("q").agg((100 * F.avg((F.col("_s") < F.col("_t")).cast("double")))
-                               .alias("pct_inferieur")))
-    return picked.join(below, "q")
+    marks = exact_quantiles(scores, [score], probs).select(
+        *[f"q{i}" for i in range(len(probs))])
+    near = scores.select(id_col, score).crossJoin(F.broadcast(marks))      # one row
+    picks = near.agg(*[F.min_by(F.struct(id_col, score), F.struct(
+        F.abs(F.col(score) - F.col(f"q{i}")), id_col)).alias(f"x{i}") for i in range(len(probs))])
+    below = scores.select(F.col(score).alias("_s")).crossJoin(F.broadcast(picks)).agg(  # one row
+        *[F.max(f"x{i}").alias(f"x{i}") for i in range(len(probs))],
+        *[(100 * F.avg((F.col("_s") < F.col(f"x{i}.{score}")).cast("double"))).alias(f"b{i}")
+          for i in range(len(probs))])
+    return below.select(F.inline(F.array(*[F.struct(
+        F.lit(float(p)).alias("q"), F.col(f"x{i}.{id_col}").alias(id_col),
+        F.col(f"x{i}.{score}").alias(score), F.col(f"b{i}").alias("pct_inferieur"))
+        for i, p in enumerate(probs)])))
