@@ -8,7 +8,7 @@ from catalog.base_sql import STORE, SCORED, bands_sql, tiers_sql
 from catalog.registry import query, rounded, sql
 from loyaltide import fixed_values as fv
 from loyaltide.functions.expressions import adjust_prior, population_weight
-from loyaltide.operators import features, metrics, portfolio
+from loyaltide.operators import bootstrap, features, metrics, portfolio
 from loyaltide.plans.score_table import load_store
 
 S = 0.4  # sample rate assumed by the weighted metrics below
@@ -115,13 +115,13 @@ def g08(spark, sf):
 
 @query("g09_bootstrap_auc_ci")
 def g09(spark, sf):
-    return metrics.bootstrap_auc_ci(scores(spark, sf), "proba_calibree", n_boot=100)
+    return bootstrap.bootstrap_auc_ci(scores(spark, sf), "proba_calibree")
 
 
 @query("g10_bootstrap_auc_difference")
 def g10(spark, sf):
     df = scores(spark, sf).withColumn("score_b", -F.col("eqpdays").cast("double"))
-    return metrics.bootstrap_auc_difference(df, "proba_calibree", "score_b", n_boot=100)
+    return bootstrap.bootstrap_auc_difference(df, "proba_calibree", "score_b")
 
 
 REL = STORE + """, edges AS (

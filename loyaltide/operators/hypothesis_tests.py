@@ -7,20 +7,21 @@ work on the results, whose size depends on the number of variables only.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loyaltide import fixed_values as fv
-from loyaltide.functions.expressions import (MISSING, effect_label, log1p_nonneg,
+from loyaltide.functions.expressions import (effect_label, log1p_nonneg,
                                              normal_two_sided_p, seeded_hash, signed_log1p)
 from loyaltide.operators.describe import (binned_rates, chi2_from_counts, level_counts,
-                                          quantile_bins, spearman_matrix, top_correlated_pairs,
+                                          spearman_matrix, top_correlated_pairs,
                                           unbiased_skew)
 from loyaltide.operators.quality import chi2_1_p, holm
 from loyaltide.operators.ranking import quantile_row, row_numbers, unpivot_values, value_ranks
+from loyaltide.staging import stage
 
 
 # --- Tests ---------------------------------------------------------------------------------
@@ -172,15 +173,15 @@ def mutual_information(counts: DataFrame) -> DataFrame:
 
 
 def numeric_information(df: DataFrame, columns: Sequence[str], target: str = "churn", q: int = 10,
-                        max_levels: int = 30) -> DataFrame:
+                        max_levels: int = 30, rates: DataFrame | None = None) -> DataFrame:
     """Information of numeric variables: over levels when few, else over quantile classes of the
-    recorded values."""
+    recorded values (``rates`` passes class counts already computed)."""
     levels = unpivot_values(df, columns, [target], drop_nulls=False).groupBy("variable", "value") \
         .agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("pos"))
     per_value = levels.groupBy("variable").agg(F.count("value").alias("_levels"))
     few = per_value.filter(F.col("_levels") <= max_levels).select("variable")
     discrete = mutual_information(levels.join(F.broadcast(few), "variable", "left_semi"))
-    binned = binned_rates(df, columns, q, target)
+    binned = binned_rates(df, columns, q, target) if rates is None else rates
     continuous = mutual_information(binned.select(
         "variable", "classe", "n", F.col("churners").alias("pos")))
     return continuous.join(F.broadcast(few), "variable", "left_anti").unionByName(discrete)
@@ -189,10 +190,11 @@ def numeric_information(df: DataFrame, columns: Sequence[str], target: str = "ch
 def univariate_table(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                      target: str = "churn", alpha: float = 0.05, min_n: int = 200) -> DataFrame:
     """All tests in one table: effect, Holm, spread, shape, information, rank by information."""
-    rates = binned_rates(df, numeric, 10, target)
+    # Variables x classes: a small table read by the shape and by the information.
+    rates = stage(binned_rates(df, numeric, 10, target), "class_rates")
     num = (mann_whitney(df, numeric, target)
            .join(class_profile(rates, True, min_n), "variable", "left")
-           .join(numeric_information(df, numeric, target), "variable")
+           .join(numeric_information(df, numeric, target, rates=rates), "variable")
            .withColumns({"type": F.lit("numérique"), "test": F.lit("Mann-Whitney U"),
                          "mesure_effet": F.lit("rank-biserial")}))
     counts = level_counts(df, categorical, target)

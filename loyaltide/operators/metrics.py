@@ -20,17 +20,15 @@ ID = "customer_id"
 K_VALUES = (0.05, 0.10, 0.20)
 
 
-def _by_score(df: DataFrame, score: str, target: str, by: Sequence[str], extra: Column | None = None
-              ) -> DataFrame:
+def _by_score(df: DataFrame, score: str, target: str, by: Sequence[str]) -> DataFrame:
     """Running positives and negatives over distinct scores, highest first."""
-    weight = F.lit(1) if extra is None else extra
     counts = df.groupBy(*by, score).agg(
-        F.sum(F.col(target) * weight).alias("pos"), F.sum((1 - F.col(target)) * weight).alias("neg"))
+        F.sum(target).alias("pos"), F.sum(1 - F.col(target)).alias("neg"))
     return running_totals(counts, [(score, "desc")],
                           {"pos": F.col("pos"), "neg": F.col("neg")}, by)
 
 
-def _auc(positives="pos") -> Column:
+def _auc() -> Column:
     """Area from rows holding a score's counts and the running counts of higher scores."""
     below = F.col("neg_all") - F.col("neg_cum")
     return F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)),
@@ -132,74 +130,6 @@ def subset_auc_per_fold(df: DataFrame, score: str, mask: Column, target: str = "
     return roc_auc(df.filter(mask), score, target, [fold])
 
 
-# --- Bootstrap -----------------------------------------------------------------------------
-
-def _poisson_one(uniform: Column, up_to: int = 12) -> Column:
-    """Poisson(1) draw from a uniform number by inversion of the distribution function."""
-    cumulative, p, total = [], 2.718281828459045 ** -1, 0.0
-    for k in range(up_to):
-        total += p
-        cumulative.append(total)
-        p /= k + 1
-    out = F.lit(up_to)
-    for k in reversed(range(up_to)):
-        out = F.when(uniform < cumulative[k], F.lit(k)).otherwise(out)
-    return out
-
-
-def bootstrap_auc(df: DataFrame, scores: Sequence[str], n_boot: int = 1000, seed: int = 42,
-                  target: str = "churn", id_col: str = ID) -> DataFrame:
-    """AUC of each score in each replicate: ``replicate, score, roc_auc``.
-
-    Every row draws an independent Poisson(1) weight per replicate from a hash of its id, so the
-    draws are the same for all scores (paired) and for any partitioning.  The exploded rows are
-    combined map-side to one row per (replicate, score, distinct value) before the shuffle.
-    """
-    drawn = (df.select(id_col, target, *scores)
-             .withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-             .withColumn("_u", F.pmod(F.xxhash64(id_col, "replicate", F.lit(seed)),
-                                      F.lit(1 << 30)) / float(1 << 30))
-             .withColumn("_k", _poisson_one(F.col("_u"))).filter(F.col("_k") > 0))
-    long = drawn.unpivot(["replicate", target, "_k"], list(scores), "score", "value")
-    counts = long.groupBy("replicate", "score", "value").agg(
-        F.sum(F.col(target) * F.col("_k")).alias("pos"),
-        F.sum((1 - F.col(target)) * F.col("_k")).alias("neg"))
-    by = ["replicate", "score"]
-    table = running_totals(counts, [("value", "desc")],
-                           {"pos": F.col("pos"), "neg": F.col("neg")}, by)
-    return (table.groupBy(*by).agg(_auc().alias("roc_auc"))
-            .filter(F.col("roc_auc").isNotNull()))          # one-class draws are skipped
-
-
-def bootstrap_auc_ci(df: DataFrame, score: str, n_boot: int = 1000, alpha: float = 0.05,
-                     seed: int = 42, target: str = "churn", id_col: str = ID) -> DataFrame:
-    """AUC with its percentile interval and standard error."""
-    draws = bootstrap_auc(df, [score], n_boot, seed, target, id_col)
-    spread = draws.agg(                                     # at most n_boot rows
-        F.percentile("roc_auc", alpha / 2).alias("ic_bas"),
-        F.percentile("roc_auc", 1 - alpha / 2).alias("ic_haut"),
-        F.stddev_samp("roc_auc").alias("erreur_type"), F.count(F.lit(1)).alias("n_tirages"))
-    return roc_auc(df, score, target).withColumnRenamed("roc_auc", "auc").crossJoin(spread)
-
-
-def bootstrap_auc_difference(df: DataFrame, score_a: str, score_b: str, n_boot: int = 1000,
-                             alpha: float = 0.05, seed: int = 42, target: str = "churn",
-                             id_col: str = ID) -> DataFrame:
-    """Paired AUC difference A - B over the same resamples."""
-    draws = bootstrap_auc(df, [score_a, score_b], n_boot, seed, target, id_col)
-    pairs = draws.groupBy("replicate").agg(
-        (F.max(F.when(F.col("score") == score_a, F.col("roc_auc")))
-         - F.max(F.when(F.col("score") == score_b, F.col("roc_auc")))).alias("d"))
-    spread = pairs.agg(F.percentile("d", alpha / 2).alias("ic_bas"),
-                       F.percentile("d", 1 - alpha / 2).alias("ic_haut"),
-                       F.avg((F.col("d") > 0).cast("double")).alias("part_positive"))
-    a = roc_auc(df, score_a, target).withColumnRenamed("roc_auc", "a")
-    b = roc_auc(df, score_b, target).withColumnRenamed("roc_auc", "b")
-    return (a.crossJoin(b).crossJoin(spread)                # one row each
-            .select((F.col("a") - F.col("b")).alias("difference"), "ic_bas", "ic_haut",
-                    "part_positive"))
-
-
 # --- Calibration and prior -----------------------------------------------------------------
 
 def reliability_table(df: DataFrame, score: str, n_bins: int = 10, target: str = "churn",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loyaltide import fixed_values as fv
 from loyaltide.functions.expressions import adjust_prior, hash_uniform, safe_divide
-from loyaltide.operators import (customers, dashboards, describe, explain, features,
+from loyaltide.operators import (bootstrap, customers, dashboards, describe, explain, features,
                                  hypothesis_tests as ht, metrics, portfolio, preprocessing as pp,
                                  quality, segmentation, splits, text_audit as ta)
 from loyaltide.operators.ranking import exact_quantiles, row_numbers, running_totals
@@ -102,15 +102,36 @@ def test_auc_against_brute_force(skewed):
 
 def test_bootstrap_brackets_the_auc_and_is_reproducible(skewed):
     rows = skewed.limit(800).withColumn("score", F.col("score") + 0.3 * F.col("churn")).cache()
-    a = metrics.bootstrap_auc_ci(rows, "score", n_boot=60).first()
-    b = metrics.bootstrap_auc_ci(rows.repartition(5), "score", n_boot=60).first()
+    a = bootstrap.bootstrap_auc_ci(rows, "score", n_boot=60).first()
+    b = bootstrap.bootstrap_auc_ci(rows.repartition(5), "score", n_boot=60).first()
     assert a["ic_bas"] < a["auc"] < a["ic_haut"] and a["n_tirages"] == 60
     assert a["erreur_type"] == pytest.approx(b["erreur_type"])
-    same = metrics.bootstrap_auc_difference(rows.withColumn("other", F.col("score")), "score",
+    same = bootstrap.bootstrap_auc_difference(rows.withColumn("other", F.col("score")), "score",
                                             "other", n_boot=20).first()
     assert same["difference"] == 0 and same["ic_bas"] == 0 and same["part_positive"] == 0
 
 
+def test_bootstrap_replicates_against_brute_force(skewed):
+    """A third of the rows share one score and spread over several ranges."""
+    rows = skewed.limit(3000).repartition(3).cache()
+    got = {r["replicate"]: r["roc_auc"]
+           for r in bootstrap.bootstrap_auc(rows, ["score"], n_boot=5).collect()}
+    p = rows.select("score", "churn", F.xxhash64("customer_id", F.lit(42)).alias("h")).toPandas()
+    z = p.h.to_numpy().astype(np.uint64)[:, None] + (
+        np.arange(1, 6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    law = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    w = np.searchsorted(law, u, side="right")
+    assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.06
+    s, y = p.score.to_numpy(), p.churn.to_numpy()
+    for b in range(5):
+        a, c, wa, wc = s[y == 1], s[y == 0], w[y == 1, b], w[y == 0, b]
+        wins = ((a[:, None] > c) + 0.5 * (a[:, None] == c)) * wa[:, None] * wc
+        assert got[b + 1] == pytest.approx(wins.sum() / (wa.sum() * wc.sum()))
+
+
 # --- Prior and weights ---------------------------------------------------------------------
 
 def test_prior_fixed_points(spark):
