@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base_sql import EXPLAINED, STORE
 from catalog.q_describe import edges_sql
 from catalog.registry import query, rounded, sql
-from loyaltide.operators import describe, explain, features, hypothesis_tests as ht
+from loyaltide.operators import describe, explain, features
 from loyaltide.plans import score_table
 from loyaltide.plans.score_table import load_store
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base_sql import BASE, SCORED
+from catalog.base_sql import BASE
 from catalog.registry import query, rounded, sql
 from loyaltide.functions.expressions import log1p_nonneg, safe_divide, signed_log1p
 from loyaltide.operators import features, preprocessing as pp, quality

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base_sql import STORE, SCORED, bands_sql, tiers_sql
+from catalog.base_sql import STORE, bands_sql, tiers_sql
 from catalog.registry import query, rounded, sql
-from loyaltide import fixed_values as fv
 from loyaltide.functions.expressions import adjust_prior, population_weight
 from loyaltide.operators import bootstrap, features, metrics, portfolio
 from loyaltide.plans.score_table import load_store

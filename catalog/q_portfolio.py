@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base_sql import STORE
 from catalog.registry import query, rounded, sql
 from loyaltide import fixed_values as fv
-from loyaltide.operators import customers, dashboards, explain, portfolio
+from loyaltide.operators import customers, dashboards, portfolio
 from loyaltide.plans import score_table
 from loyaltide.plans.score_table import load_store
 

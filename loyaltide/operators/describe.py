@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loyaltide import fixed_values as fv
 from loyaltide.functions.expressions import MISSING, all_present, safe_divide, wilson_bound
-from loyaltide.operators.ranking import exact_quantiles, running_totals, unpivot_values, value_ranks
+from loyaltide.operators.ranking import exact_quantiles, unpivot_values, value_ranks
 
 
 def unbiased_skew(skew: Column, n: Column) -> Column:
