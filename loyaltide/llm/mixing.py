@@ -2,13 +2,13 @@
 
 Each source gets a target number of words; ``target / source_size`` copies of each of its documents
 would meet it exactly.  The whole part is given to every document.  The fractional part is rounded
-by duels: two documents trade probability so that the words they stand for together stay the same,
-in a random direction whose odds keep both probabilities unchanged in expectation, until one of the
-two is 0 or 1.  The other one fights on.  Documents duel in blocks of bounded size, the one left
-over of each block enters a block of the next level, and so on: a reduction tree whose levels are
-plain grouped aggregations.  Blocks run from large to small documents, and about ``FAN`` documents
-of at most mean size per source wait for the root: what is left there is a small document, so a
-source misses its target by less than one of its documents, as a rule by a small one.
+by duels: a document and the pool of the documents after it trade probability so that the words
+they stand for together stay the same, in a random direction whose odds keep every probability
+unchanged in expectation, until one side is integral (a pool takes its gain or loss in proportion,
+so it is known by two numbers).  Documents duel in blocks of bounded size, largest first; what is
+left over of a block is one small document, which enters a block of the next level, and so on: a
+reduction tree whose levels are plain grouped aggregations.  A source misses its target by less
+than the one document left at the root.
 """
 
 from __future__ import annotations
@@ -62,22 +62,31 @@ def source_targets(totals: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
 
 
 def _duel(acc: Column, x: Column) -> Column:
-    """One step of the fold: the open document ``acc.cur`` against the next one, ``x``."""
-    i = acc["cur"]
-    mi, mx = i["p"] * i["s"], x["p"] * x["s"]              # words each one stands for
-    up_room, down_room = F.least(i["s"] - mi, mx), F.least(mi, x["s"] - mx)
-    up = x["u"] * (up_room + down_room) < down_room
-    i_done = F.when(up, i["s"] - mi <= mx).otherwise(mi <= x["s"] - mx)
-    moved = F.when(up, up_room).otherwise(-down_room)
-    done = F.when(i_done, i).otherwise(x)
-    rest = F.when(i_done, x).otherwise(i)
-    mass = F.when(i_done, mx - moved).otherwise(mi + moved)
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), mass / rest["s"]))
-    closed = F.struct(done["id"].alias("id"), done["size"].alias("size"), done["m"].alias("m"),
-                      done["whole"].alias("whole"),
-                      F.when(up == i_done, F.lit(1)).otherwise(F.lit(0)).alias("extra"))
-    return F.struct(F.array_append(acc["done"], closed).alias("done"),
-                    rest.withField("p", p).alias("cur"))
+    """One step of the fold: document ``x`` against the pool of all later ones of its block.
+
+    The pool's probabilities are ``a * p + b`` of those it came with; it has ``size`` words in all
+    and stood for ``mass`` of them at first.
+    """
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), acc["a"] * x["p"] + acc["b"]))
+    size = F.greatest(F.lit(0.0), acc["size"] - x["s"])
+    mass0 = F.greatest(F.lit(0.0), acc["mass"] - x["p"] * x["s"])
+    mass = F.least(size, acc["a"] * mass0 + acc["b"] * size)
+    mine, lack, room = p * x["s"], (F.lit(1.0) - p) * x["s"], size - mass
+    gain, loss = F.least(lack, mass), F.least(mine, room)       # most that x can win or lose
+    up = x["u"] * (gain + loss) < loss
+    settled = acc["a"] == 0.0                                   # the pool had been used up before
+    closed = settled | F.when(up, lack <= mass).otherwise(mine <= room)
+    part = F.when(settled, F.lit(0.0)).otherwise(
+        F.when(closed, F.when(up, gain / mass).otherwise(loss / room)).otherwise(F.lit(1.0)))
+    extra = F.when(F.when(settled, acc["b"] > 0.5).otherwise(up), F.lit(1)).otherwise(F.lit(0))
+    done = F.struct(*[x[n].alias(n) for n in ("id", "size", "m", "whole")], extra.alias("extra"))
+    return F.struct(
+        F.when(closed, F.array_append(acc["done"], done)).otherwise(acc["done"]).alias("done"),
+        F.when(closed, acc["cur"]).otherwise(x.withField("p", p + F.when(up, gain).otherwise(-loss)
+                                                         / x["s"])).alias("cur"),
+        (acc["a"] * (F.lit(1.0) - part)).alias("a"),
+        (acc["b"] * (F.lit(1.0) - part) + F.when(up | settled, F.lit(0.0)).otherwise(part)).alias("b"),
+        size.alias("size"), mass0.alias("mass"))
 
 
 def _level(items: DataFrame) -> DataFrame:
@@ -85,15 +94,13 @@ def _level(items: DataFrame) -> DataFrame:
     kind = items.schema["item"].dataType
     closed = (f"array<struct<id:{kind['id'].dataType.simpleString()},size:bigint,m:bigint,"
               f"whole:int,extra:int>>")
-    start = F.struct(F.array().cast(closed).alias("done"),
-                     F.lit(None).cast(kind).alias("cur"))
+    start = F.struct(F.array().cast(closed).alias("done"), F.lit(None).cast(kind).alias("cur"),
+                     F.lit(1.0).alias("a"), F.lit(0.0).alias("b"),
+                     F.col("_size").alias("size"), F.col("_mass").alias("mass"))
     return (items.groupBy("source", "block")
-            .agg(F.sort_array(F.collect_list("item")).alias("_items"))
-            .withColumn("_out", F.aggregate(
-                "_items", start,
-                lambda acc, x: F.when(acc["cur"].isNull(),
-                                      F.struct(acc["done"].alias("done"), x.alias("cur")))
-                .otherwise(_duel(acc, x))))
+            .agg(F.sort_array(F.collect_list("item")).alias("_items"),
+                 F.sum("item.s").alias("_size"), F.sum(F.expr("item.p * item.s")).alias("_mass"))
+            .withColumn("_out", F.aggregate("_items", start, _duel))
             .select("source", "block", "_out.done", "_out.cur"))
 
 
@@ -114,15 +121,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                               words(F.col(text_col)).alias("size"))
                   .groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("m")), f"{name}-sizes")
     totals = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"),
-                                         F.sum("m").alias("docs"))
+                                         F.count(F.lit(1)).alias("units"))
     targets = stage(source_targets(totals, weights, share, cap).coalesce(1), f"{name}-targets")
 
-    units = sizes.count()
-    blocks = max(1, math.ceil(units / FAN))
+    most = targets.agg(F.max("units")).first()[0] or 1
+    blocks = math.ceil(most / FAN)                          # of the largest source
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (sizes.join(targets, sizes["source"].eqNullSafe(targets["source"]))
-            .select("id", sizes["source"].alias("source"), "size", "m", "source_size", "docs",
-                    ratio.alias("_r"))
+            .select("id", sizes["source"].alias("source"), "size", "m", "units", ratio.alias("_r"))
             .withColumn("whole", F.floor(F.col("_r") + F.lit(1e-12)).cast("int"))
             .withColumn("p", F.greatest(F.lit(0.0), F.col("_r") - F.col("whole"))))
     open_rows = (F.col("p") > 1e-12) & (F.col("size") > 0)
@@ -130,32 +136,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                           F.col("whole").alias("copies"))]
     s = (F.col("size") * F.col("m")).cast("double")
     key = [F.col("id"), F.col("size")]
-    wait = ((F.col("size") * F.col("docs") <= F.col("source_size"))
-            & (uniform(*key, F.lit(seed + 5)) * F.col("docs") < F.lit(float(FAN))))
     items = rows.filter(open_rows).select(
-        "source", F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(blocks)).alias("block"),
-        wait.alias("wait"),
+        "source", F.pmod(F.xxhash64(*key, F.lit(seed)),
+                         F.ceil(F.col("units") / FAN)).cast("bigint").alias("block"),
         F.struct((-s).alias("by"), F.xxhash64(*key, F.lit(seed + 1)).alias("tie"), F.col("id"),
                  s.alias("s"), "p", uniform(*key, F.lit(seed + 2)).alias("u"), "size", "m",
                  "whole").alias("item"))
-    current, depth = items.filter(~F.col("wait")).drop("wait"), 0
-    root = items.filter("wait").select("source", F.lit(0).cast("bigint").alias("block"), "item")
+    depth = 0
     while True:
-        at_root = blocks == 1
-        level = stage(_level(current.unionByName(root) if at_root else current),
-                      f"{name}-level{depth}")
+        level = stage(_level(items), f"{name}-level{depth}")
         out.append(level.select("source", F.explode("done").alias("d")).select(
             "d.id", "source", "d.size", "d.m",
             (F.col("d.whole") + F.col("d.extra")).alias("copies")))
-        if at_root:
+        if blocks == 1:
             break
         depth, blocks = depth + 1, math.ceil(blocks / FAN)
         # A fresh number for the next duels of a residual: the old one has been used.
         fresh = uniform(F.col("cur.id"), F.col("cur.size"), F.lit(seed + 2 + 7 * depth))
-        current = level.select("source", F.floor(F.col("block") / FAN).alias("block"),
-                               F.col("cur").withField("u", fresh).alias("item"))
+        items = level.filter(F.col("cur").isNotNull()).select(
+            "source", F.floor(F.col("block") / FAN).alias("block"),
+            F.col("cur").withField("u", fresh).alias("item"))
     last = uniform(F.col("cur.id"), F.col("cur.size"), F.lit(seed + 1_000_003))
-    out.append(level.select(
+    out.append(level.filter(F.col("cur").isNotNull()).select(
         "cur.id", "source", "cur.size", "cur.m",
         (F.col("cur.whole") + F.when(last < F.col("cur.p"), 1).otherwise(0)).alias("copies")))
     decided = out[0]
