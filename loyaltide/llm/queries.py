@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loyaltide.llm import mixing, quality_rules
+from loyaltide.llm import mixing, quality_rules, sharding
 from loyaltide.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +16,17 @@ def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op10_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op4_pivotal_mixing": op4_pivotal_mixing,
+    "op8_kd_sharding": op8_kd_sharding,
     "op10_adaptive_rules": op10_adaptive_rules,
 }
 ORACLES: dict[str, str] = {}
