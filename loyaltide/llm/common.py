@@ -28,3 +28,9 @@ def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(text, upper, upper.lower())
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public vocabulary file; every machine has the package."""
+    import public_tokenizers
+    return public_tokenizers.path(name)

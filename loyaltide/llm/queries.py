@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loyaltide.llm import mixing, quality_rules, sharding
-from loyaltide.llm.common import table
+from loyaltide.llm import bpe, mixing, quality_rules, sharding
+from loyaltide.llm.common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_report(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def op10_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op4_pivotal_mixing": op4_pivotal_mixing,
+    "op6_trie_bpe": op6_trie_bpe,
     "op8_kd_sharding": op8_kd_sharding,
     "op10_adaptive_rules": op10_adaptive_rules,
 }
