@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LATER = re.compile("[\u0500-\U0010ffff]")     # no script below has got new letters since 2014
+LATER = re.compile("[\u0500-\u1fff\u2070-\U0010ffff]")   # where new letters may be
 END = 0x10000                  # added to the last character of a word
 CACHED_WORDS = 1_000_000       # encodings a worker keeps (about 200 MB); it starts anew beyond
 

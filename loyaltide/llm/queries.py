@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loyaltide.llm import bpe, mixing, quality_rules, sharding
+from loyaltide.llm import bpe, mixing, quality_rules, sharding, topk
 from loyaltide.llm.common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -29,9 +34,12 @@ def op10_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_branch_and_bound": op3_branch_and_bound,
     "op4_pivotal_mixing": op4_pivotal_mixing,
     "op6_trie_bpe": op6_trie_bpe,
     "op8_kd_sharding": op8_kd_sharding,
     "op10_adaptive_rules": op10_adaptive_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_branch_and_bound": topk.SQL,
+}
