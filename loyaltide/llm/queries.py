@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loyaltide.llm import bpe, mixing, quality_rules, sharding, topk
+from loyaltide.llm import bpe, jaccard_join, mixing, quality_rules, sharding, topk
 from loyaltide.llm.common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_report(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Query] = {
     "op3_branch_and_bound": op3_branch_and_bound,
     "op4_pivotal_mixing": op4_pivotal_mixing,
     "op6_trie_bpe": op6_trie_bpe,
+    "op7_parity_jaccard": op7_parity_jaccard,
     "op8_kd_sharding": op8_kd_sharding,
     "op10_adaptive_rules": op10_adaptive_rules,
 }
