@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loyaltide.llm import bpe, jaccard_join, mixing, quality_rules, sharding, topk
-from loyaltide.llm.common import table, tokenizer_path
+from loyaltide.llm import bpe, jaccard_join, language_id, mixing, quality_rules, sharding, topk
+from loyaltide.llm.common import remainder, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,14 @@ def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = language_id.train(docs, ~held_out)
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_report(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -40,6 +49,7 @@ def op10_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_branch_and_bound": op3_branch_and_bound,
     "op4_pivotal_mixing": op4_pivotal_mixing,
+    "op5_ftrl_language": op5_ftrl_language,
     "op6_trie_bpe": op6_trie_bpe,
     "op7_parity_jaccard": op7_parity_jaccard,
     "op8_kd_sharding": op8_kd_sharding,
