@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loyaltide.llm import bpe, jaccard_join, language_id, mixing, quality_rules, sharding, topk
+from loyaltide.llm import bpe, jaccard_join, language_id, mixing, quality_mil, quality_rules, sharding, topk
 from loyaltide.llm.common import remainder, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    network = quality_mil.train(docs, labels, ~held_out)
+    found = quality_mil.score(docs, network)
+    return found.select("doc_id", held_out.alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
@@ -47,6 +56,7 @@ def op10_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_attention_mil": op1_attention_mil,
     "op3_branch_and_bound": op3_branch_and_bound,
     "op4_pivotal_mixing": op4_pivotal_mixing,
     "op5_ftrl_language": op5_ftrl_language,
