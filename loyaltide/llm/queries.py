@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loyaltide.llm import bpe, jaccard_join, language_id, mixing, quality_mil, quality_rules, sharding, topk
+from loyaltide.llm import bpe, jaccard_join, language_id, lm_scoring, mixing, quality_mil, quality_rules, sharding, topk
 from loyaltide.llm.common import remainder, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,13 @@ def op1_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    found = lm_scoring.score(docs, lm_scoring.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), *found.columns[1:])
+
+
 def op3_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
@@ -57,6 +64,7 @@ def op10_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_attention_mil": op1_attention_mil,
+    "op2_log_bilinear_lm": op2_log_bilinear_lm,
     "op3_branch_and_bound": op3_branch_and_bound,
     "op4_pivotal_mixing": op4_pivotal_mixing,
     "op5_ftrl_language": op5_ftrl_language,
