@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loyaltide.llm import bpe, jaccard_join, language_id, lm_scoring, mixing, quality_mil, quality_rules, sharding, topk
+from loyaltide.llm import bpe, jaccard_join, language_id, lm_scoring, mixing, quality_mil, quality_rules, sharding, topk, toxicity
 from loyaltide.llm.common import remainder, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,15 @@ def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder(F.col("doc_id"), 5) == 3
+    found = toxicity.score(docs, toxicity.train(docs, labels, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("toxic").alias("score"),
+                        (F.col("toxic") >= 0.5).cast("int").alias("predicted"),
+                        "toxic_junk", "toxic_prose")
+
+
 def op10_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -71,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op6_trie_bpe": op6_trie_bpe,
     "op7_parity_jaccard": op7_parity_jaccard,
     "op8_kd_sharding": op8_kd_sharding,
+    "op9_toxicity_chain": op9_toxicity_chain,
     "op10_adaptive_rules": op10_adaptive_rules,
 }
 ORACLES: dict[str, str] = {
