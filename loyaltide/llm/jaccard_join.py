@@ -22,9 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loyaltide.llm.common import WORD
 from loyaltide.llm.graph import components, keep_marked
 from loyaltide.staging import stage
 
@@ -260,16 +261,25 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
              text_col: str = "text") -> DataFrame:
     """The documents without near duplicates: of every component the row with the smallest id.
 
-    Documents without words are all alike and link with nothing: they stay.  If rows repeat the
-    smallest id, each of its different texts stays once at most.
+    Documents without words link with nothing: they all stay.  Rows that repeat an id stay once per
+    different text.  Rows with a null id stay if their component has no other id, once per text.
     """
     found = jaccard_components(docs, n, percent, id_col, text_col)
     stays = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .select(F.col("doc_id").alias("_keep"), (F.col("n_shingles") > 0).alias("_words"))
+             .select(F.col("doc_id").alias("_keep"), (F.col("n_shingles") > 0).alias("_filled"))
              .distinct())
-    has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = docs.join(stays, docs[id_col].eqNullSafe(F.col("_keep"))
-                     & (has_words == F.col("_words")))
-    once = F.when(F.col("_words"), F.lit(0)).otherwise(F.monotonically_increasing_id())
-    return (kept.withColumn("_once", once).withColumn("_h", F.xxhash64(F.col(text_col)))
-            .dropDuplicates([id_col, "_h", "_once"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    marked = docs.withColumn("_has", F.coalesce(F.col(text_col), F.lit("")).rlike(WORD))
+    named = marked.join(stays, (F.col(id_col) == F.col("_keep"))
+                        & (F.col("_has") == F.col("_filled")))
+    nameless = marked.filter(F.col(id_col).isNull()).join(
+        stays.filter(F.col("_keep").isNull()), F.col("_has") == F.col("_filled"))
+    out = None
+    for part in (named, nameless):
+        # The join has put equal ids together: numbering them moves no row again.
+        same = Window.partitionBy(id_col, "_text").orderBy(F.lit(0))
+        part = (part.withColumn("_text", F.xxhash64(F.col(text_col)))
+                .withColumn("_copy", F.row_number().over(same))
+                .filter((F.col("_copy") == 1) | ~F.col("_has"))
+                .select(*[F.col(f"`{c}`") for c in docs.columns]))
+        out = part if out is None else out.unionByName(part)
+    return out

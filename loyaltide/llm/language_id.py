@@ -197,21 +197,34 @@ def train(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
     return model
 
 
+def predictor(model: Model):
+    """Column function text -> (lang_pred, score)."""
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [model.predict(t) for t in texts]
+        return pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, "lang_pred string, score double")
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
-    """``docs`` columns id and text give ``doc_id, lang_pred, score`` per row, whole texts.
+    """``doc_id, lang_pred, score`` per row, whole texts.
 
     Null texts and texts without a letter, and all texts if nothing was learnt, are ``und`` with
     score 0; repeated rows are scored each; an empty table gives an empty result; other columns are
     not read.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
+    return (docs.select(F.col(id_col).alias("doc_id"),
+                        predictor(model)(F.col(text_col)).alias("_found"))
+            .select("doc_id", "_found.lang_pred", "_found.score"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [model.predict(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [x[0] for x in found],
-                                "score": [x[1] for x in found]})
 
-    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInPandas(run, f"doc_id {id_type}, lang_pred string, score double"))
+def keep_known(docs: DataFrame, model: Model, least: float = 0.5,
+               text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose language is told with ``least`` certainty or more.
+
+    ``und`` never is."""
+    found = docs.withColumn("_lang_found", predictor(model)(F.col(text_col)))
+    return (found.filter((F.col("_lang_found.lang_pred") != UNKNOWN)
+                         & (F.col("_lang_found.score") >= least)).drop("_lang_found"))

@@ -222,6 +222,20 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, label_col: str = "qua
     return network
 
 
+def scorer(network: Network):
+    """Column function text -> score; every task has its own encoder."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder()
+        for batch in batches:
+            texts, out = batch.tolist(), []
+            for at in range(0, len(texts), 256):
+                out += network.scores([encoder.passages(t) for t in texts[at:at + 256]]).tolist()
+            yield pd.Series(out, dtype="float64")
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "double")
+
+
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """``doc_id, score`` (0 to 1, higher: better) for every row, whole texts.
@@ -230,16 +244,11 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id",
     one kind, all rows score the smoothed share of good labels; repeated rows are scored each; an
     empty table gives an empty result; other columns are not read.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"),
+                       scorer(network)(F.col(text_col)).alias("score"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder()
-        for batch in batches:
-            texts = batch["text"].tolist()
-            out: list[float] = []
-            for at in range(0, len(texts), 256):
-                out += network.scores([encoder.passages(t) for t in texts[at:at + 256]]).tolist()
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": out})
 
-    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInPandas(run, f"doc_id {id_type}, score double"))
+def keep_good(docs: DataFrame, network: Network, least: float = 0.5,
+              text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, that score ``least`` or more."""
+    return docs.filter(scorer(network)(F.col(text_col)) >= least)

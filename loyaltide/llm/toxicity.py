@@ -3,7 +3,7 @@
 Categories are predicted one after the other; each model sees the words of the text and the
 probabilities of all earlier categories (Read et al. 2009).  What a model learns from as earlier
 probabilities are out-of-fold predictions: each training document's come from models that have not
-seen it, as will be the case for new documents.  Words to look at are chosen by chi-square from
+seen it, as will be the case for new documents.  Words and word beginnings to look at are chosen by chi-square from
 counts over all sampled labelled documents; models are logistic, fitted by Newton's method.
 """
 
@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_DOCUMENTS = 6000           # labelled documents the chain is fitted on
-WORDS = 200                    # words looked at per category
-LEAST = 3                      # documents a word must occur in
+WORDS = 200                    # words and word beginnings looked at per category
+LEAST = 3                      # documents one must occur in
+CHI_SQUARE = 15.0              # and how far from chance it must be
+BEGINNINGS = (5, 6, 7)         # characters of a word beginning
 FOLDS = 5
-RIDGE = 0.3
+RIDGE = 0.05
 STEPS = 8
 STATS = 3
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -36,8 +38,10 @@ CATEGORIES = {
 
 
 def words_of(text: str | None) -> set[str]:
-    """Distinct lower-case words of letters."""
-    return set(LETTERS.findall((text or "").lower()))
+    """Distinct lower-case words of letters, and how the longer ones begin (``^abcde``)."""
+    words = set(LETTERS.findall((text or "").lower()))
+    starts = {"^" + w[:n] for n in BEGINNINGS for w in words if len(w) > n}
+    return words | starts
 
 
 def features(text: str | None, place: dict[str, int]) -> np.ndarray:
@@ -156,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, categories: dict[str,
         a, have, has = F.col(f"n{i}"), F.col("n0"), float(total[f"n{i}"])
         expected = have * F.lit(has / n)
         chi = (a - expected) * (a - expected) / (expected * (F.lit(1.0) - have / F.lit(n + 1.0)))
-        best = (counts.filter((F.col("word") != "") & (have >= LEAST) & F.lit(0 < has < n))
+        best = (counts.filter((F.col("word") != "") & (have >= LEAST) & F.lit(0 < has < n)
+                               & (chi >= CHI_SQUARE))
                 .orderBy(chi.desc(), "word").limit(WORDS).collect())
         for r in best:
             place.setdefault(r["word"], len(place))
