@@ -220,11 +220,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id",
             .select("doc_id", "_found.lang_pred", "_found.score"))
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.5,
+def keep_known(docs: DataFrame, model: Model, least: float = 0.3,
                text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, whose language is told with ``least`` certainty or more.
 
-    ``und`` never is."""
+    ``und`` never is.  The bound is low: a text of a word or two may be a good one.
+    """
     found = docs.withColumn("_lang_found", predictor(model)(F.col(text_col)))
     return (found.filter((F.col("_lang_found.lang_pred") != UNKNOWN)
                          & (F.col("_lang_found.score") >= least)).drop("_lang_found"))
