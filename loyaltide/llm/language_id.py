@@ -178,8 +178,10 @@ def train(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
             found = [(grams(t), lang, h) for t, lang, h in
                      zip(batch["text"], batch["lang"], batch["h"], strict=True)]
             found = [x for x in found if x[0] is not None]
-            yield pd.DataFrame({"lang": [x[1] for x in found], "h": [x[2] for x in found],
-                                "at": [x[0][0] for x in found], "n": [x[0][1] for x in found]})
+            if found:
+                yield pd.DataFrame({
+                    "lang": [x[1] for x in found], "h": [x[2] for x in found],
+                    "at": [x[0][0] for x in found], "n": [x[0][1] for x in found]})
 
     share = F.lit(0.0)
     for lang, n in counts.items():
