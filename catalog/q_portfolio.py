@@ -375,8 +375,8 @@ def j30(spark, sf):
 
 @query("j30_deep_page", sql(STORE, f"SELECT {_SUMMARY} FROM scores ORDER BY eqpdays NULLS LAST, customer_id LIMIT 40 OFFSET 400", _SUM_D))
 def j30d(spark, sf):
-    return rounded(customers.list_customers(scores(spark, sf), None, "handset_age_days", "asc", 11,
-                                            40, top_n=100).drop("top_reason"))
+    return rounded(customers.page_by_position(scores(spark, sf), None, "handset_age_days", "asc",
+                                              11, 40).drop("top_reason"))
 
 
 @query("j30_list_totals", STORE + f" SELECT count(*) AS total_n_rows, greatest(1, CAST(ceil(count(*) / 25) AS BIGINT)) AS total_pages FROM scores WHERE {WHERE} AND contains(id_text, '1')")

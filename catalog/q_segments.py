@@ -39,7 +39,7 @@ def vectors(spark, sf):
 @query("i02_fit_segmentation")
 def i02(spark, sf):
     rows = vectors(spark, sf).cache()
-    return seg.fit_kmeans(rows, n_init=3).transform(rows).groupBy("segment_id").agg(
+    return seg.fit_kmeans(rows).transform(rows).groupBy("segment_id").agg(
         F.count(F.lit(1)).alias("n"))
 
 

@@ -23,9 +23,11 @@ def k01(spark, sf):
     return ta.extract_numbers(documents(spark, sf), ["doc_id"])
 
 
-@query("k01_digit_free_texts", "SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[0-9]')")
+# A number may not be glued to a letter, digit, underscore, point or comma before it, nor to a letter or
+# underscore after it.
+@query("k01_digit_free_texts", r"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(^|[^\p{L}\p{N}_.,])[0-9]+([.,][0-9]+)?($|[^\p{L}\p{N}_])')")
 def k01b(spark, sf):
-    docs = documents(spark, sf).filter(~F.col("text").rlike("[0-9]"))
+    docs = documents(spark, sf)
     numbers = ta.extract_numbers(docs, ["doc_id"])
     return docs.join(numbers, "doc_id", "left_anti").select("doc_id")
 

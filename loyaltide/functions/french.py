@@ -107,7 +107,7 @@ def _special_sentences(available: set[str]) -> dict[str, Column]:
         out["crclscod"] = F.concat(F.lit("Classe de crédit "), n("crclscod"))
     if "area" in available:
         out["area"] = F.when(n("area").isNull(), "Région inconnue").otherwise(F.concat(
-            F.lit("Région : "), F.replace(F.initcap("area"), F.lit(" Area"), F.lit(""))))
+            F.lit("Région : "), F.replace(title_case(F.col("area")), F.lit(" Area"), F.lit(""))))
     if "lor" in available:
         years = n("lor").cast("int")
         out["lor"] = F.when(years.isNull(), "Durée de résidence inconnue").otherwise(F.concat(
@@ -138,6 +138,14 @@ def _special_sentences(available: set[str]) -> dict[str, Column]:
     return out
 
 
+def title_case(text: Column) -> Column:
+    """Lower case with a capital after every character that is no letter."""
+    characters = F.split(F.lower(text), "")
+    capital = F.transform(characters, lambda c, i: F.when(
+        (i == 0) | ~F.get(characters, i - 1).rlike(r"^\p{L}$"), F.upper(c)).otherwise(c))
+    return F.array_join(capital, "")
+
+
 def label_of(variable: Column) -> Column:
     """Readable label of a variable; its own name when it has none."""
     pairs = [F.lit(x) for item in fv.LABELS.items() for x in item]

@@ -50,23 +50,30 @@ def _summary() -> list[Column]:
 
 def list_customers(scores: DataFrame, filters: Filters | None = None, sort: str = "p_real",
                    order: str = "desc", page: int = 1, size: int = 25,
-                   search: str | None = None, top_n: int = 20000) -> DataFrame:
-    """One page of the list.
+                   search: str | None = None) -> DataFrame:
+    """One page of the list: a top-N sort with an offset, each task keeps ``page * size`` rows.
 
-    An early page is a top-N sort with an offset: each task keeps ``page * size`` rows.  Past
-    ``top_n`` rows the page is cut from distributed row positions instead.
+    For reading far into a long list see :func:`page_by_position`.
     """
     if page < 1 or not 1 <= size <= fv.MAX_PAGE_SIZE:
         raise ValueError(f"page >= 1 and 1 <= size <= {fv.MAX_PAGE_SIZE}")
     rows, ordering = select_customers(scores, filters, sort, order, search)
-    if page * size > top_n:
-        place = numbered_selection(scores, filters, sort, order, search).select(
-            "customer_id", "position").filter(
-                F.col("position").between((page - 1) * size + 1, page * size))
-        return rows.join(place, "customer_id").orderBy("position").select(*_summary())
     return rows.orderBy(*ordering).offset((page - 1) * size).limit(size).select(*_summary())
 
 
+def page_by_position(scores: DataFrame, filters: Filters | None = None, sort: str = "p_real",
+                     order: str = "desc", page: int = 1, size: int = 25,
+                     search: str | None = None) -> DataFrame:
+    """The same page cut from distributed row positions: its cost does not grow with its number."""
+    if page < 1 or not 1 <= size <= fv.MAX_PAGE_SIZE:
+        raise ValueError(f"page >= 1 and 1 <= size <= {fv.MAX_PAGE_SIZE}")
+    rows, _ = select_customers(scores, filters, sort, order, search)
+    place = numbered_selection(scores, filters, sort, order, search).select(
+        "customer_id", "position").filter(
+            F.col("position").between((page - 1) * size + 1, page * size))
+    return rows.join(place, "customer_id").orderBy("position").select(*_summary())
+
+
 def list_totals(scores: DataFrame, filters: Filters | None = None, size: int = 25,
                 search: str | None = None) -> DataFrame:
     rows, _ = select_customers(scores, filters, search=search)
@@ -132,8 +139,12 @@ def customer_profile(scores: DataFrame, customer_id: int, hide_sensitive: bool =
 
 
 def _decimal_comma(c: Column, digits: int) -> Column:
-    """Shortest text of the rounded number with a decimal comma."""
-    return F.translate(F.bround(c, digits).cast("string"), ".", ",")
+    """Shortest plain text (never an exponent) of the rounded number with a decimal comma.
+
+    Whole numbers keep one decimal, as ``12,0``.
+    """
+    plain = F.bround(c, digits).cast(f"decimal(38,{max(digits, 1)})").cast("string")
+    return F.regexp_replace(F.regexp_replace(plain, r"(\.\d+?)0+$", "$1"), r"\.", ",")
 
 
 def export_customers(scores: DataFrame, filters: Filters | None = None, sort: str = "p_real",
@@ -149,7 +160,7 @@ def export_customers(scores: DataFrame, filters: Filters | None = None, sort: st
     shown = {"proba_reelle": _decimal_comma(100 * F.col("proba_reelle"), 2),
              "proba_calibree": _decimal_comma(F.col("proba_calibree"), 4),
              "revenu_en_jeu": _decimal_comma(F.col("revenu_en_jeu"), 2),
-             "rev_Mean": F.translate(F.col("rev_Mean").cast("string"), ".", ",")}
+             "rev_Mean": _decimal_comma(F.col("rev_Mean"), 6)}
     names = [("customer_id" if c == "Customer_ID" else c, label) for c, label in fv.EXPORT_COLUMNS]
     return rows.select(*[shown.get(c, F.col(c)).alias(label) for c, label in names])
 

@@ -50,11 +50,28 @@ def mann_whitney(df: DataFrame, columns: Sequence[str], target: str = "churn",
 
 
 def _chi2_upper(chi2: Column, dof: Column) -> Column:
-    """Upper chi-square tail: exact for one degree of freedom, Wilson-Hilferty beyond."""
-    k = dof.cast("double")
-    z = (F.cbrt(chi2 / k) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))
-    tail = F.when(z >= 0, normal_two_sided_p(z) / 2).otherwise(1 - normal_two_sided_p(z) / 2)
-    return F.when(dof == 1, chi2_1_p(chi2)).otherwise(tail)
+    """Upper chi-square tail by its finite sum, exact for any whole number of degrees of freedom.
+
+    Even: ``exp(-h) * sum(h^j / j!)`` for ``j < dof / 2`` with ``h`` half of chi2; odd: the tail of one
+    degree plus ``exp(-h) * sum(h^(j - 1/2) / gamma(j + 1/2))`` for ``j <= (dof - 1) / 2``.  Terms follow
+    from one another, each taken relative to ``exp(-h)`` so that none overflows.
+    """
+    h = F.greatest(chi2, F.lit(0.0)) / 2
+    odd = F.pmod(dof, F.lit(2)) == 1
+    steps = F.floor(dof / 2).cast("int")
+    # log of the j-th term, j from 0 (even) or 1 (odd): -h + a * log(h) - lgamma(a + 1)
+    first = F.when(odd, F.log(2 * F.sqrt(h / math.pi))).otherwise(F.lit(0.0))
+    start = F.struct((first - h).alias("log"), F.lit(0.0).alias("sum"))
+    shift = F.when(odd, F.lit(0.5)).otherwise(F.lit(0.0))
+
+    def term(acc: Column, j: Column) -> Column:
+        return F.struct((acc["log"] + F.log(h) - F.log(j + shift)).alias("log"),
+                        (acc["sum"] + F.exp(acc["log"])).alias("sum"))
+
+    tail = F.when(steps > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), start,
+                                         term)["sum"]).otherwise(F.lit(0.0))
+    whole = F.when(odd, tail + chi2_1_p(chi2)).otherwise(tail)
+    return F.when(chi2 <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), whole))
 
 
 def merge_rare_levels(counts: DataFrame, min_count: int = 30) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from loyaltide import fixed_values as fv
 from loyaltide.functions.expressions import MISSING, log1p_nonneg, signed_log1p
 from loyaltide.operators.describe import unpivot_levels
-from loyaltide.operators.ranking import quantile_row, unpivot_values
+from loyaltide.operators.ranking import quantile_row, row_numbers, unpivot_values
 
 
 Learned = DataFrame | Mapping[str, object]
@@ -169,16 +169,15 @@ def fit_levels(df: DataFrame, columns: Sequence[str], min_share: float | None =
         "code": F.row_number().over(per_variable.orderBy(F.col("niveau") == MISSING, "niveau")) - 1})
 
 
-def one_hot(df: DataFrame, levels: DataFrame, columns: Sequence[str], infrequent: bool = False,
-            max_levels: int = 1000) -> DataFrame:
+def one_hot(df: DataFrame, levels: DataFrame, columns: Sequence[str], infrequent: bool = False
+            ) -> DataFrame:
     """0/1 column per frequent level; unknown levels are all zero, or go to one ``infrequent`` slot.
 
-    Column names need the level list on the driver, so its size is checked.
+    The names of the result's columns are the frequent levels, so those come to the driver; a
+    column with very many levels is better served by :func:`one_hot_vector`.
     """
-    kept = levels.filter("frequent").select("variable", "niveau").orderBy("variable", "niveau") \
-        .limit(max_levels + 1).collect()
-    if len(kept) > max_levels:
-        raise ValueError(f"more than {max_levels} frequent levels")
+    kept = (levels.filter("frequent").select("variable", "niveau")
+            .orderBy("variable", "niveau").collect())
     by_column = {c: [r["niveau"] for r in kept if r["variable"] == c] for c in columns}
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in columns}
     out: list[Column] = []
@@ -189,14 +188,37 @@ def one_hot(df: DataFrame, levels: DataFrame, columns: Sequence[str], infrequent
     return df.select("*", *out).drop(*columns)
 
 
+def one_hot_vector(df: DataFrame, levels: DataFrame, columns: Sequence[str], id_col: str,
+                   infrequent: bool = False) -> DataFrame:
+    """The same coding as sparse arrays, for any number of levels: ``id, positions, size``.
+
+    Positions (from 0, ascending) of the slots that are 1, and the number of slots.  Levels get
+    their slots by distributed numbering and meet the rows in one join over all columns.
+    """
+    slots = row_numbers(levels.filter("frequent").filter(F.col("variable").isin(*columns))
+                        .select("variable", "niveau"), ["variable", "niveau"], name="slot")
+    total = slots.agg(F.count(F.lit(1)).alias("_n"))
+    text = [F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in columns]
+    long = df.select(id_col, *text).unpivot(id_col, list(columns), "variable", "niveau")
+    rest = {c: i for i, c in enumerate(columns)}
+    other = F.try_element_at(F.create_map(*[F.lit(x) for kv in rest.items() for x in kv]),
+                             F.col("variable"))
+    found = long.join(slots, ["variable", "niveau"], "left").crossJoin(total)     # one row
+    slot = F.when(F.col("slot").isNotNull(), F.col("slot") - 1)
+    if infrequent:
+        slot = F.coalesce(slot, F.col("_n") + other)
+    return found.groupBy(id_col).agg(
+        F.sort_array(F.collect_list(slot)).alias("positions"),
+        (F.max("_n") + (len(columns) if infrequent else 0)).alias("size"))
+
+
 def ordinal_codes(df: DataFrame, levels: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Level position as a number; unknown -1, null stays null.  Level tables are broadcast: their
-    size is the number of distinct levels of a category."""
+    """Level position as a number; unknown -1, null stays null.  Spark picks the join by size."""
     out = df
     for c in columns:
         table = levels.filter((F.col("variable") == c) & (F.col("niveau") != MISSING)).select(
             F.col("niveau").alias("_level"), F.col("code").alias("_code"))
-        out = (out.join(F.broadcast(table), F.col(c) == F.col("_level"), "left")
+        out = (out.join(table, F.col(c) == F.col("_level"), "left")
                .withColumn(c, F.when(F.col(c).isNotNull(), F.coalesce("_code", F.lit(-1))))
                .drop("_level", "_code"))
     return out

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loyaltide import fixed_values as fv
-from loyaltide.functions.expressions import log1p_nonneg, seeded_hash, signed_log1p
+from loyaltide.functions.expressions import log1p_nonneg, signed_log1p
 from loyaltide.operators import metrics
 from loyaltide.operators.describe import chi2_from_counts, level_counts, unbiased_skew
 from loyaltide.operators.preprocessing import (fit_medians, fit_scaler, impute_median,
@@ -214,12 +214,9 @@ def skew_before_after(df: DataFrame, columns: Sequence[str] = tuple(FEATURES)) -
     return skews(df, "avant").join(skews(_logged(df.select(*columns)), "apres"), "variable")
 
 
-def projection(vectors: DataFrame, sample: int = 5000, seed: int = 42,
-               id_col: str = "customer_id") -> tuple[DataFrame, list[float]]:
-    """Two principal components fitted on all rows; a seeded bounded sample of points is returned
-    with the explained variances."""
+def projection(vectors: DataFrame, id_col: str = "customer_id") -> tuple[DataFrame, list[float]]:
+    """Every row on the two principal components of all rows, and the explained variances."""
     model = PCA(k=2, inputCol="vector", outputCol="pc").fit(vectors)
     xy = vector_to_array("pc")
-    points = (model.transform(vectors).orderBy(seeded_hash(id_col, seed), id_col).limit(sample)
-              .select(id_col, xy[0].alias("x"), xy[1].alias("y")))
+    points = model.transform(vectors).select(id_col, xy[0].alias("x"), xy[1].alias("y"))
     return points, [float(v) for v in model.explainedVariance]

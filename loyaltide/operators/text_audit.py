@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,11 +87,19 @@ def unsupported_numbers(numbers: DataFrame, allowed: DataFrame, id_cols: Sequenc
     return (keyed.drop("_key").join(matched, [*id_cols, "pos"], "left_anti"))
 
 
+@lru_cache(1)
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin letters that decompose to a plain letter and marks, and the plain letters."""
+    found = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, [*range(0xE0, 0x250),
+                                                                     *range(0x1E00, 0x1F00)])]
+    found = [(c, d[0]) for c, d in found if c.islower() and len(d) > 1 and d[0].isascii()]
+    return "".join(c for c, _ in found), "".join(d for _, d in found)
+
+
 def normalised(text: Column) -> Column:
-    """Lower case without accents."""
-    accents = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.translate(F.lower(text), accents, plain)
+    """Lower case without accents, composed or as separate combining marks."""
+    accents, plain = _accents()
+    return F.regexp_replace(F.translate(F.lower(text), accents, plain), r"\p{M}", "")
 
 
 def sensitive_hits(df: DataFrame, id_cols: Sequence[str], text: str = "text",

@@ -469,3 +469,54 @@ def test_routing_rules(spark):
                                "appels array<string>, attendus array<string>, fidele boolean, evalue boolean")
     row = ta.evaluation_summary(df).first()
     assert row["n"] == 3 and row["routage"] == pytest.approx(2 / 3)
+
+
+# --- Exact tails, plain numbers, titles, accents, sparse coding ---------------------------------
+
+def test_chi_square_tail_is_exact(spark):
+    from loyaltide.operators.hypothesis_tests import _chi2_upper
+    rows = [(80.0, 4, 1.7418263e-16), (3.841458820694124, 1, 0.05), (5.991464547107979, 2, 0.05),
+            (7.814727903251179, 3, 0.05), (18.307038053275146, 10, 0.05), (0.0, 5, 1.0),
+            (24.99579013972863, 15, 0.05), (900.0, 301, 2.8e-61)]
+    got = spark.createDataFrame(rows, "x double, k bigint, p double").select(
+        "p", _chi2_upper(F.col("x"), F.col("k")).alias("q")).collect()
+    for r in got[:-1]:
+        assert r.q == pytest.approx(r.p, rel=2e-6)
+    assert 0 < got[-1].q < 1e-50
+
+
+def test_export_numbers_are_plain(spark):
+    from loyaltide.operators.customers import _decimal_comma
+    rows = [(0.0004, "0,0004"), (12345678.9, "12345678,9"), (12.0, "12,0"), (0.5, "0,5"), (None, None)]
+    got = spark.createDataFrame(rows, "x double, t string").select(
+        "t", _decimal_comma(F.col("x"), 4).alias("s")).collect()
+    assert all(r.s == r.t for r in got)
+
+
+def test_region_titles(spark):
+    from loyaltide.functions.french import title_case
+    rows = [("DC/MARYLAND/VIRGINIA AREA", "Dc/Maryland/Virginia Area"), ("", ""), (None, None),
+            ("new york-city o'hara", "New York-City O'Hara")]
+    got = spark.createDataFrame(rows, "a string, t string").select(
+        "t", title_case(F.col("a")).alias("s")).collect()
+    assert all(r.s == r.t for r in got)
+
+
+def test_accents_of_all_latin_letters(spark):
+    from loyaltide.operators.text_audit import normalised
+    rows = [("ČESKÝ český", "cesky cesky"), ("e\u0301te\u0301", "ete"), ("Ñandú ß œ", "nandu ß œ")]
+    got = spark.createDataFrame(rows, "a string, t string").select(
+        "t", normalised(F.col("a")).alias("s")).collect()
+    assert all(r.s == r.t for r in got)
+
+
+def test_one_hot_vector_equals_the_columns(spark):
+    df = spark.createDataFrame([(i, "abcd"[i % 4], "xy"[i % 2] if i % 5 else None)
+                                for i in range(60)], "customer_id bigint, c string, d string")
+    levels = pp.fit_levels(df, ["c", "d"])
+    wide = pp.one_hot(df, levels, ["c", "d"]).orderBy("customer_id").toPandas().drop(
+        columns="customer_id").to_numpy()
+    slim = pp.one_hot_vector(df, levels, ["c", "d"], "customer_id").orderBy("customer_id").collect()
+    assert {r["size"] for r in slim} == {wide.shape[1]}
+    assert all(list(r["positions"]) == list(row.nonzero()[0]) for r, row in
+               zip(slim, wide, strict=True))
