@@ -37,7 +37,7 @@ DIM = 32
 NOISE = 32                     # noise symbols of a minibatch
 BATCH = 2048
 RATE = 0.15
-LOOKUP = 200_000               # most frequent words whose counts every task knows
+LOOKUP = 200_000               # at most so many frequent words' counts are known to every task
 COUNTED = 500_000              # distinct words a task counts before it hands them on
 CACHED_WORDS = 500_000
 CONTEXTS = 16_384              # contexts normalised at a time
@@ -163,6 +163,14 @@ def contexts(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return before, before2
 
 
+def _add_rows(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """``out[at] += rows`` with repeated positions added up."""
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    out[ordered[starts]] += np.add.reduceat(rows[order], starts, axis=0)
+
+
 @dataclass
 class LogBilinear:
     """``R``: context vectors, ``Q``: target vectors, ``b``: biases, ``C``: weights of positions."""
@@ -202,17 +210,13 @@ class LogBilinear:
             dh = dg[:, None] * q + db @ qn
             grads = {"Q": np.zeros_like(self.Q), "b": np.zeros_like(self.b),
                      "R": np.zeros_like(self.R), "C": np.zeros_like(self.C)}
-            hot = np.zeros((len(t), len(self.b)), np.float32)              # one-hot targets
-            hot[np.arange(len(t)), t] = 1.0
-            grads["Q"] += hot.T @ (dg[:, None] * h)
-            np.add.at(grads["Q"], drawn, db.T @ h)
-            grads["b"] += hot.T @ dg
-            np.add.at(grads["b"], drawn, db.sum(axis=0))
+            _add_rows(grads["Q"], t, dg[:, None] * h)
+            _add_rows(grads["Q"], drawn, db.T @ h)
+            grads["b"] += np.bincount(t, dg, len(self.b)).astype(np.float32)
+            grads["b"] += np.bincount(drawn, db.sum(axis=0), len(self.b)).astype(np.float32)
             for i, c in enumerate((c1, c2)):
                 grads["C"][i] = (dh * self.R[c]).sum(axis=0)
-                hot[:] = 0.0
-                hot[np.arange(len(c)), c] = 1.0
-                grads["R"] += hot.T @ (dh * self.C[i])
+                _add_rows(grads["R"], c, dh * self.C[i])
             for k, g in grads.items():
                 g *= n
                 history[k] += g * g
@@ -260,7 +264,18 @@ def train(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
     rows = docs.filter(use).select(F.col(text_col).alias("text"))
     counts = stage(count_words(rows), "lm-counts")
     ends = rows.count()
-    top = (counts.orderBy(F.col("n").desc(), "word").limit(max(lookup, WORDS)).toPandas()
+    # The words of the highest count levels that fit the bound together; a level is a twentieth of
+    # a factor of two, so there are some hundred levels however many words there are.
+    level = F.floor(F.log2("n") * 20)
+    sizes = {r["level"]: r["w"] for r in counts.groupBy(level.alias("level"))
+             .agg(F.count(F.lit(1)).alias("w")).collect()}
+    fits, least = 0, max(sizes, default=0) + 1
+    for at in sorted(sizes, reverse=True):
+        fits += sizes[at]
+        if fits > max(lookup, WORDS):
+            break
+        least = at
+    top = (counts.filter(level >= least).toPandas()
            .sort_values(["n", "word"], ascending=[False, True], kind="stable"))
     words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     per_bucket = {r["bucket"]: (r["n"], r["w"]) for r in counts.groupBy("bucket").agg(
@@ -345,7 +360,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id",
                    .mapInPandas(run, f"doc_id {id_type}, n_tokens bigint, n_known bigint, "
                                 "base_score double, score double, rare array<bigint>")
                    .withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    beyond = model.counts.filter(F.col("n") <= float(v.counts.min() if len(v.counts) else 0))
+    most = float(v.counts.min()) if len(v.counts) else float("inf")
+    beyond = model.counts.filter(F.col("n") <= most)
     late = (scored.select("row", F.explode("rare").alias("word")).join(beyond, "word")
             .groupBy("row").agg(F.count(F.lit(1)).alias("_known"),
                                 F.sum(F.log10(F.col("n") + 1.0)).alias("_log")))
