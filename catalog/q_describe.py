@@ -130,14 +130,16 @@ def c10b(spark, sf):
                                           ["UNKW", "WC", "WCMB"]))
 
 
-_SP = ["rev_Mean", "mou_Mean", "months", "eqpdays", "totrev", "totcalls"]
+_SP = ["rev_Mean", "mou_Mean", "months", "eqpdays", "totrev", "totcalls", "lor", "income"]
 
 
 def spearman_sql(columns: list[str]) -> str:
-    ranks = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in columns)
-    where = " AND ".join(f"{c} IS NOT NULL" for c in columns)
-    cells = " UNION ALL ".join(f"SELECT '{a}' AS var_1, '{b}' AS var_2, corr({a}, {b}) AS rho FROM rk" for i, a in enumerate(columns) for b in columns[i + 1:])
-    return f", rk AS (SELECT {ranks} FROM cust WHERE {where}), sm AS ({cells})"
+    """Each pair ranked over its own common rows."""
+    rank = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2"
+    cells = " UNION ALL ".join(
+        f"SELECT '{a}' AS var_1, '{b}' AS var_2, corr(ra, rb) AS rho FROM (SELECT {rank.format(a)} AS ra, {rank.format(b)} AS rb FROM cust WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+        for i, a in enumerate(columns) for b in columns[i + 1:])
+    return f", sm AS ({cells})"
 
 
 @query("c11_spearman_matrix", sql(BASE + spearman_sql(_SP), "SELECT * FROM sm", "rho"))

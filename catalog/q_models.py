@@ -19,7 +19,7 @@ from loyaltide.sources.customer_base import load_customer_base as base
 COLUMNS = ("months", "eqpdays", "rev_Mean", "mou_Mean", "avg3mou", "avg6mou", "avg3rev", "avg6rev",
            "change_mou", "totmrc_Mean", "ovrrev_Mean", "custcare_Mean", "hnd_price", "actvsubs",
            "uniqsubs", "phones", "hnd_webcap", "area")
-FOLDS = (0, 1, 2)
+FOLDS = range(5)              # the frozen folds of the customer table
 
 
 def spec(kind: str, **params) -> models.ModelSpec:
@@ -28,8 +28,7 @@ def spec(kind: str, **params) -> models.ModelSpec:
 
 def rows(spark, sf):
     df = base(spark, sf)
-    return df.select("customer_id", "churn", F.pmod("fold", F.lit(3)).alias("fold"), "partition",
-                     *COLUMNS)
+    return df.select("customer_id", "churn", "fold", "partition", *COLUMNS)
 
 
 @query("f02_segment_rate_scores", sql(SCORED, "SELECT customer_id, proba_calibree, taux_appris FROM scored", "proba_calibree:9 taux_appris:9"))
@@ -161,7 +160,7 @@ def _cv(kind, **params):
 
 query("f04_logreg_simple")(_cv("logreg_simple"))
 query("f05_logreg_improved")(_cv("logreg"))
-query("f06_decision_tree")(_cv("decision_tree", min_leaf=20))
+query("f06_decision_tree")(_cv("decision_tree"))
 query("f07_random_forest")(_cv("random_forest", n_trees=20, min_leaf=10))
 query("f08_boosting")(_cv("boosting", n_trees=10, min_leaf=10))
 
@@ -169,7 +168,7 @@ query("f08_boosting")(_cv("boosting", n_trees=10, min_leaf=10))
 @query("f14_parameter_search")
 def f14(spark, sf):
     return models.parameter_search(rows(spark, sf), spec("decision_tree"),
-                                   {"max_depth": [2, 4], "min_leaf": [20, 50]}, 2, (0, 1, 2))
+                                   {"max_depth": [2, 4], "min_leaf": [20, 50]}, 2, FOLDS)
 
 
 def oof(spark, sf):

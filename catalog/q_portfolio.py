@@ -323,6 +323,13 @@ def j25(spark, sf):
     return rounded(portfolio.simulate_campaign(scores(spark, sf), 7.5, 0.2, 500.0, 6), **_SIM_DIG)
 
 
+@query("j25_inactive_customers", sql(STORE, """SELECT count(*) AS n_rows, coalesce(sum(poids_portefeuille), 0) AS n_portfolio_equiv, coalesce(sum(poids_portefeuille * proba_reelle), 0) AS expected_churners,
+  coalesce(sum(poids_portefeuille * revenu_en_jeu), 0) AS revenue_at_risk_monthly, 'Vérifier la ligne / reconquête' AS action FROM scores WHERE inactif""",
+    "n_portfolio_equiv expected_churners revenue_at_risk_monthly:2"))
+def j25i(spark, sf):
+    return rounded(portfolio.inactive_summary(scores(spark, sf)), revenue_at_risk_monthly=2)
+
+
 @query("j26_best_capacity", sql(SIM, "SELECT arg_max(capacity_pct, net_balance) AS capacity_pct, max(net_balance) AS net_balance FROM sim WHERE kind = 'curve'", "capacity_pct net_balance:1"))
 def j26(spark, sf):
     return rounded(portfolio.best_capacity(portfolio.simulate_campaign(
@@ -430,6 +437,20 @@ def j34(spark, sf):
     return rounded(dashboards.segment_tier_shares(scores(spark, sf)))
 
 
+_PROFILE = [f for f in fv.PROFILE_FIELDS if f[0] not in fv.SENSITIVE_VARIABLES]
+
+
+def _literal(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query("j31_customer_profile", STORE + " " + " UNION ALL ".join(
+    f"SELECT customer_id, '{c}' AS variable, {_literal(label)} AS label, CAST({c} AS VARCHAR) AS value, {_literal(unit)} AS unit FROM scores WHERE customer_id = 7"
+    for c, label, unit in _PROFILE))
+def j31p(spark, sf):
+    return customers.customer_profile(scores(spark, sf), 7)
+
+
 @query("j35_list_at_risk", sql(STORE, f"SELECT {_SUMMARY} FROM scores WHERE niveau <> 'Inactif' ORDER BY proba_reelle DESC, customer_id LIMIT 20", _SUM_D))
 def j35(spark, sf):
     return rounded(customers.list_at_risk(scores(spark, sf), limit=20).drop("top_reason"), **_SUM_DIG)

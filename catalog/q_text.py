@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base_sql import BASE, STORE
+from catalog.base_sql import BASE, SCORED, STORE
 from catalog.q_portfolio import DRIVERS, FILTERS, WINDOW
 from catalog.registry import query, rounded, sql
 from loyaltide import fixed_values as fv
 from loyaltide.operators import dashboards, text_audit as ta
-from loyaltide.plans.score_table import build_store, load_store
+from loyaltide.plans.score_table import build_store, load_store, rate_scorer
 from loyaltide.sources import tables
 from loyaltide.sources.customer_base import load_customer_base as base
 from loyaltide.staging import staging_root
@@ -136,10 +136,32 @@ def j36b(spark, sf):
 
 @query("j38_score_table_build", STORE + " SELECT partition, niveau, action, count(*) AS n FROM scores GROUP BY ALL")
 def j38(spark, sf):
-    store = build_store(base(spark, sf))
+    store = build_store(base(spark, sf), scorer=rate_scorer)
     return store.scores.groupBy("partition", "niveau", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The job with fitted models: SQL knows who must be in it and how much each row counts; what models
+# must satisfy on every row is checked in the query and expected to hold.
+@query("j38_model_score_table", sql(SCORED, f"""SELECT customer_id, scored.partition, fold, inactif,
+  CASE WHEN churn = 1 THEN 0.02::DOUBLE / rate.s ELSE (1 - 0.02::DOUBLE) / (1 - rate.s) END * 100000 / (SELECT sum(churn) * (0.02::DOUBLE / any_value(r.s)) + (count(*) - sum(churn)) * ((1 - 0.02::DOUBLE) / (1 - any_value(r.s))) FROM scored, rate r) AS poids_portefeuille,
+  true AS score_explique, true AS score_borne, true AS niveau_coherent FROM scored, rate""", "poids_portefeuille"))
+def j38m(spark, sf):
+    store = build_store(base(spark, sf))
+    total = store.contributions.groupBy("customer_id").agg(F.sum("contribution").alias("_sum"))
+    high, medium = F.col("high"), F.col("medium")
+    p = F.col("proba_calibree")
+    level = (F.when(F.col("inactif"), "Inactif").when(p >= high, "High").when(p >= medium, "Medium")
+             .otherwise("Low"))
+    df = store.scores.join(total, "customer_id").crossJoin(store.thresholds)      # one row
+    return rounded(df.select(
+        "customer_id", "partition", "fold", "inactif", "poids_portefeuille",
+        (F.abs(F.col("proba_brute") - 1 / (1 + F.exp(-F.col("valeur_base") - F.col("_sum")))) < 1e-6)
+        .alias("score_explique"),
+        (F.col("proba_brute").between(0, 1) & p.between(0, 1) & (F.col("proba_brute") != p)
+         & (F.col("proba_reelle") <= p)).alias("score_borne"),
+        (F.col("niveau") == level).alias("niveau_coherent")))
+
+
 @query("a01_load_raw", BASE + " SELECT customer_id, months, rev_Mean, area FROM cust")
 def a01(spark, sf):
     df = base(spark, sf).select("customer_id", "months", "rev_Mean", "area")
@@ -179,3 +201,23 @@ def a08(spark, sf):
     tables.write_reports({"tier_bands": store.bands}, path)
     return rounded(spark.read.schema(store.bands.schema).option("header", True)
                    .csv(f"{path}/csv/tier_bands").select("bande", "niveau", "lift"))
+
+
+@query("a08_store_sinks", sql(STORE, """SELECT 'contributions' AS source, variable, count(*) AS n, sum(contribution) AS total FROM contrib GROUP BY 2
+  UNION ALL SELECT 'scores', niveau, count(*), sum(proba_reelle) FROM scores GROUP BY 2
+  UNION ALL SELECT 'bands', niveau, count(*), sum(lift) FROM tiers GROUP BY 2""", "total"))
+def a08s(spark, sf):
+    """Every table of the store written and read back."""
+    store = load_store(spark, sf)
+    path = f"{staging_root(spark)}/a08s-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    tables.save_store({n: getattr(store, n) for n in tables.STORE_TABLES}, path)
+    back = tables.read_store(spark, path)
+    parts = [("contributions", "variable", "contribution"), ("scores", "niveau", "proba_reelle"),
+             ("bands", "niveau", "lift")]
+    out = None
+    for name, key, value in parts:
+        rows = back[name].groupBy(F.col(key).alias("variable")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(
+                F.lit(name).alias("source"), "variable", "n", "total")
+        out = rows if out is None else out.unionByName(rows)
+    return rounded(out)

@@ -185,18 +185,59 @@ def _rank_rows(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:
         F.max(F.when(F.col("variable") == c, F.col("avg_rank"))).alias(c) for c in columns])
 
 
+def _pairwise(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rank correlation of each pair over the rows that have both values, all pairs in one job.
+
+    The pair is a group of the distributed ranking, so no task holds a whole variable.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"),
+                               F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)])
+    long = df.select(F.inline(cells)).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    ranks = value_ranks(long, ["x", "y"], ["pair"]).select("pair", "variable", "value", "avg_rank")
+
+    def rank_of(c: str) -> DataFrame:
+        return ranks.filter(F.col("variable") == c).select(
+            "pair", F.col("value").alias(c), F.col("avg_rank").alias(f"r{c}"))
+
+    # Equal (x, y) are counted before the joins: a frequent value is a few rows, not one hot key.
+    weighted = long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    rows = weighted.join(rank_of("x"), ["pair", "x"]).join(rank_of("y"), ["pair", "y"])
+    w, x, y = F.col("w"), F.col("rx"), F.col("ry")
+    sums = rows.groupBy("pair").agg(
+        F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
+        F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"), F.sum(w * x * y).alias("sxy"))
+    n = F.col("n")
+    spread = F.sqrt((n * F.col("sxx") - F.col("sx") * F.col("sx"))
+                    * (n * F.col("syy") - F.col("sy") * F.col("sy")))
+    rho = F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), spread)
+    names = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(a).alias("var_1"),
+                               F.lit(b).alias("var_2")) for i, (a, b) in enumerate(pairs)])
+    known = df.sparkSession.range(1).select(F.inline(names))
+    return known.join(sums.select("pair", rho.alias("rho")), "pair", "left").drop("pair")
+
+
 def spearman_matrix(df: DataFrame, columns: Sequence[str], id_col: str = "customer_id",
                     digits: int | None = 2) -> DataFrame:
-    """Upper triangle of the rank correlations over complete rows: ``var_1, var_2, rho``.
+    """Upper triangle of the pairwise rank correlations: ``var_1, var_2, rho``.
 
-    Ranks are computed once per distinct value; all pairs are correlated in one aggregate.
+    Each pair uses the rows that have both values.  Columns without nulls share one ranking; pairs
+    with another column are ranked over their common rows.
     """
-    ranks = _rank_rows(df, columns, id_col)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    row = ranks.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(a).alias("var_1"), F.lit(b).alias("var_2"),
-                               F.col(f"r{i}").alias("rho")) for i, (a, b) in enumerate(pairs)])
-    out = row.select(F.inline(cells))
+    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()   # one row
+    full = [c for c in columns if not gaps[c]]
+    shared = [(a, b) for a, b in pairs if a in full and b in full]
+    own = [p for p in pairs if p not in shared]
+    out = None
+    if shared:
+        ranks = _rank_rows(df, full, id_col)
+        row = ranks.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(shared)])
+        cells = F.array(*[F.struct(F.lit(a).alias("var_1"), F.lit(b).alias("var_2"),
+                                   F.col(f"r{i}").alias("rho")) for i, (a, b) in enumerate(shared)])
+        out = row.select(F.inline(cells))
+    if own:
+        rest = _pairwise(df, own)
+        out = rest if out is None else out.unionByName(rest)
     return out if digits is None else out.withColumn("rho", F.bround("rho", digits))
 
 

@@ -321,6 +321,18 @@ def simulate_campaign(scores: DataFrame, capacity_pct: float, success_rate: floa
         cost.alias("campaign_cost"), (preserved * horizon_months - cost).alias("net_balance"))
 
 
+def inactive_summary(scores: DataFrame) -> DataFrame:
+    """What the what-if leaves out: one row with the size, the expected churners, the revenue and
+    the action of the inactive customers (zeros if there are none)."""
+    w = F.col("poids_portefeuille")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    return scores.filter("inactif").agg(
+        F.count(F.lit(1)).alias("n_rows"), total(w).alias("n_portfolio_equiv"),
+        total(w * F.col("proba_reelle")).alias("expected_churners"),
+        total(w * F.col("revenu_en_jeu")).alias("revenue_at_risk_monthly"),
+        F.lit(fv.INACTIVE_ACTION).alias("action"))
+
+
 def best_capacity(simulation: DataFrame) -> DataFrame:
     """Capacity of the curve with the highest net balance."""
     return simulation.filter(F.col("kind") == "curve").agg(

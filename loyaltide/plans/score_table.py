@@ -1,9 +1,12 @@
-"""The batch job: customer table -> out-of-fold scores -> tiers -> reasons -> score table."""
+"""The batch job: customer table -> out-of-fold scores -> tiers -> reasons -> score table.
+
+A scorer supplies scores, their contributions and segments; the default one fits models.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,8 +17,11 @@ from loyaltide.functions.expressions import adjust_prior, right_closed_bands
 from loyaltide.operators import explain, portfolio
 from loyaltide.operators.centroids import nearest_centroid, standardised
 from loyaltide.operators.features import build_features
+from loyaltide.operators.models import ModelSpec
+from loyaltide.operators.segmentation import cluster_profiles, name_clusters
 from loyaltide.operators.segments_by_rule import (business_segments, rule_segment,
                                                   segment_rate_scores)
+from loyaltide.plans.model_scores import behaviour_segments, model_scores
 from loyaltide.sources.customer_base import load_customer_base
 from loyaltide.staging import stage
 
@@ -40,6 +46,9 @@ class Tuning:
 EXPLAINED = ("months", "in_contract_end", "eqpdays", "change_mou", "avg3mou", "ratio_mou_3m_6m",
              "totmrc_Mean", "rev_Mean", "ovrrev_Mean", "drop_vce_Mean", "custcare_Mean",
              "has_custcare", "hnd_price", "actvsubs", "uniqsubs", "income", "lor")
+MODEL_COLUMNS = ("months", "eqpdays", "rev_Mean", "mou_Mean", "avg3mou", "avg6mou", "avg3rev", "avg6rev",
+                 "change_mou", "totmrc_Mean", "ovrrev_Mean", "custcare_Mean", "hnd_price",
+                 "actvsubs", "uniqsubs", "phones", "hnd_webcap", "area")
 SEGMENT_AXES = ("months", "eqpdays", "totmrc_Mean")
 
 
@@ -108,9 +117,74 @@ def assign_behaviour_segments(df: DataFrame, axes: Sequence[str] = SEGMENT_AXES)
         "segment", F.concat(F.lit("Segment "), F.col("segment_id").cast("string")))
 
 
-def build_store(base: DataFrame, tuning: Tuning = Tuning()) -> ScoreStore:
-    """Run the whole job; each table is written once and read by the queries."""
+@dataclass(frozen=True)
+class ScoreInput:
+    """What a scorer hands to the job.
+
+    ``customers``: the base columns with ``proba_brute``, ``proba_calibree``, ``proba_reelle``,
+    ``taux_appris``, ``valeur_base``, ``segment_id``, ``segment``; training folds kept, others -1.
+    ``contributions``: ``customer_id, variable, contribution``; ``columns``: variables with values.
+    """
+
+    customers: DataFrame
+    contributions: DataFrame
+    columns: tuple[str, ...]
+
+
+Scorer = Callable[[DataFrame, Tuning], ScoreInput]
+CATEGORIES = ("hnd_webcap", "area")
+
+
+def rate_scorer(base: DataFrame, tuning: Tuning) -> ScoreInput:
+    """Closed-form stand-in that SQL can repeat: segment rates, class-gap contributions, mean
+    profiles of the credit classes.  Its contributions describe the classes, not its score."""
     scored = stage(scored_customers(base, tuning), "scored")
+    features = explained_features(scored, tuning, EXPLAINED)
+    coefficients = explain.class_gap_coefficients(
+        features.filter(F.col("partition") == fv.TRAIN_OOF), EXPLAINED)
+    parts = explain.grouped(explain.linear_contributions(features, coefficients, EXPLAINED))
+    rate = train_rate(scored)
+    customers = assign_behaviour_segments(scored).withColumn(
+        "valeur_base", F.lit(math.log(rate / (1 - rate))))
+    return ScoreInput(customers, parts, EXPLAINED)
+
+
+def model_scorer(base: DataFrame, tuning: Tuning, kind: str = "logreg",
+                 columns: Sequence[str] = MODEL_COLUMNS) -> ScoreInput:
+    """Calibrated logistic models per outer fold, their own contributions, k-means segments.
+
+    Segment names need five clusters that the naming rules tell apart; otherwise they are numbered.
+    """
+    spec = ModelSpec(kind, tuple(c for c in columns if c in base.columns),
+                     contract_months=tuning.contract_months)
+    found = model_scores(base, spec)
+    segments = behaviour_segments(base)
+    profiles = cluster_profiles(base.join(segments, "customer_id"))
+    try:
+        names = name_clusters(profiles)
+    except ValueError:
+        names = profiles.select("segment_id", F.concat(
+            F.lit("Segment "), F.col("segment_id").cast("string")).alias("segment"))
+    scores = found.scores.select("customer_id", "fold", "proba_brute", "proba_calibree",
+                                 "proba_reelle", "taux_appris", "valeur_base")
+    customers = (base.drop("fold").join(scores, "customer_id").join(segments, "customer_id")
+                 .join(names, "segment_id").withColumn("inactif", portfolio.is_inactive()))
+    customers = customers.withColumn("revenu_en_jeu", portfolio.revenue_at_risk())
+    return ScoreInput(customers, found.contributions, spec.columns)
+
+
+def explained_features(scored: DataFrame, tuning: Tuning, columns: Sequence[str]) -> DataFrame:
+    features = build_features(scored, ["cycle_engagement", "tendance_usage", "service_client"],
+                              contract_months=tuning.contract_months)
+    extra = [c for c in ("in_contract_end",) if c not in columns]
+    return stage(features.select("customer_id", "churn", "partition", *columns, *extra), "features")
+
+
+def build_store(base: DataFrame, tuning: Tuning = Tuning(), scorer: Scorer = model_scorer
+                ) -> ScoreStore:
+    """Run the whole job; each table is written once and read by the queries."""
+    given = scorer(base, tuning)
+    scored = stage(given.customers, "customers")
     rate = train_rate(scored)
     train = F.col("partition") == fv.TRAIN_OOF
 
@@ -122,17 +196,14 @@ def build_store(base: DataFrame, tuning: Tuning = Tuning()) -> ScoreStore:
                        "thresholds")
 
     # Explanations: contributions of every row, ranked factors with sentences.
-    features = build_features(scored, ["cycle_engagement", "tendance_usage", "service_client"],
-                              contract_months=tuning.contract_months)
-    features = stage(features.select("customer_id", "churn", "partition", *EXPLAINED), "features")
-    coefficients = explain.class_gap_coefficients(features.filter(train), EXPLAINED)
-    contributions = stage(explain.grouped(explain.linear_contributions(
-        features, coefficients, EXPLAINED)), "contributions")
-    outliers = stage(explain.outlier_thresholds(features.filter(train), EXPLAINED), "outliers")
+    features = explained_features(scored, tuning, given.columns)
+    contributions = stage(given.contributions, "contributions")
+    measured = [c for c in given.columns if c not in CATEGORIES]
+    outliers = stage(explain.outlier_thresholds(features.filter(train), measured), "outliers")
     in_window = features.select("customer_id",
                                 (F.col("in_contract_end") == 1).alias("in_window"))
     factors = explain.factor_table(contributions, in_window)
-    factors = stage(explain.with_sentences(factors, features, list(EXPLAINED), outliers),
+    factors = stage(explain.with_sentences(factors, features, list(given.columns), outliers),
                     "factors")
     reasons = explain.reasons_wide(factors)
 
@@ -141,8 +212,6 @@ def build_store(base: DataFrame, tuning: Tuning = Tuning()) -> ScoreStore:
     df = df.withColumn("action", explain.suggest_action(F.col("niveau"),
                                                         F.col("famille_dominante")))
     df = portfolio.with_portfolio_weights(df, fv.REAL_RATE, rate)
-    df = assign_behaviour_segments(df).withColumn(
-        "valeur_base", F.lit(math.log(rate / (1 - rate))))
     scores = stage(with_display_bands(df, tuning), "scores")
     return ScoreStore(scores, contributions, factors, tiers, thresholds, outliers)
 
@@ -150,9 +219,10 @@ def build_store(base: DataFrame, tuning: Tuning = Tuning()) -> ScoreStore:
 _stores: dict[tuple, ScoreStore] = {}
 
 
-def load_store(spark: SparkSession, sf_dir: str, tuning: Tuning = Tuning()) -> ScoreStore:
-    """The store of one source folder, built once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir, tuning)
+def load_store(spark: SparkSession, sf_dir: str, tuning: Tuning = Tuning(),
+               scorer: Scorer = rate_scorer) -> ScoreStore:
+    """The store of one source folder, built once per session (scores that SQL can repeat)."""
+    key = (spark.sparkContext.applicationId, sf_dir, tuning, scorer)
     if key not in _stores:
-        _stores[key] = build_store(load_customer_base(spark, sf_dir), tuning)
+        _stores[key] = build_store(load_customer_base(spark, sf_dir), tuning, scorer)
     return _stores[key]
