@@ -25,9 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loyaltide.llm.common import text_batches
+
 LATER = re.compile("[\u0500-\u1fff\u2070-\U0010ffff]")   # where new letters may be
 END = 0x10000                  # added to the last character of a word
-CACHED_WORDS = 1_000_000       # encodings a worker keeps (about 200 MB); it starts anew beyond
+CACHED_PAIRS = 200_000
+CACHED_WORDS = 200_000         # encodings a worker keeps (about 50 MB); it starts anew beyond
 
 
 def byte_symbols() -> list[str]:
@@ -166,7 +169,7 @@ class Tokenizer:
         known = self._follows.get(key)
         if known is None:
             known = self.merged(self.written[a] + self.written[b]) == [a, b]
-            if len(self._follows) > 1_000_000:
+            if len(self._follows) > CACHED_PAIRS:
                 self._follows.clear()
             self._follows[key] = known
         return known
@@ -282,7 +285,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     "decoded": [tokenizer.decode(np.frombuffer(x, "<u4")) for x in ids]})
                 at = to
 
-    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return (text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
             .mapInPandas(run, f"doc_id {id_type}, ids binary, decoded string"))
 
 

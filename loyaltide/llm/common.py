@@ -34,3 +34,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public vocabulary file; every machine has the package."""
     import public_tokenizers
     return public_tokenizers.path(name)
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of 1000 rows where the session keeps Spark's default of 10 000.
+
+    Whole texts are large rows; batches of them are what Python workers and the JVM hold at a time.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, "1000")
+    return df

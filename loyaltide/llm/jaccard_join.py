@@ -25,16 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loyaltide.llm.common import WORD
+from loyaltide.llm.common import WORD, text_batches
 from loyaltide.llm.graph import components, keep_marked
 from loyaltide.staging import stage
 
 SLACK = 1.3                    # lanes per element that may differ
 BLOCK_SETS = 1024              # sets verified together
-BLOCK_ELEMENTS = 2_000_000
+BLOCK_ELEMENTS = 1_000_000
 PACK_SETS = 512                # sets of small clusters handed to one call
-COLUMNS = 8192                 # elements counted at a time
-CACHED_WORDS = 500_000
+COLUMNS = 2048                 # elements counted at a time
+CACHED_WORDS = 200_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3],
@@ -131,7 +131,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes,
                                 "node": pd.array(nodes, "Int64"), "keys": keys})
 
-    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return (text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
             .mapInPandas(run, f"doc_id {id_type}, n_shingles bigint, node bigint, "
                               "keys array<bigint>"))
 

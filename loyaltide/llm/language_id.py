@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loyaltide.llm.common import text_batches
+
 BUCKETS = 1 << 14              # hashed n-grams of one to three characters
 NGRAMS = (1, 2, 3)
 PER_LANGUAGE = 500             # sampled training documents of a language
@@ -142,7 +144,7 @@ def train(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
     from about ``per_language`` documents of each language (all, if fewer), drawn by a hash of id
     and text; a fifth of those calibrates.  Without such rows nothing is learnt.
     """
-    rows = docs.filter(use).select(F.col(id_col).cast("string").alias("id"),
+    rows = text_batches(docs).filter(use).select(F.col(id_col).cast("string").alias("id"),
                                    F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -217,7 +219,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id",
     score 0; repeated rows are scored each; an empty table gives an empty result; other columns are
     not read.
     """
-    return (docs.select(F.col(id_col).alias("doc_id"),
+    return (text_batches(docs).select(F.col(id_col).alias("doc_id"),
                         predictor(model)(F.col(text_col)).alias("_found"))
             .select("doc_id", "_found.lang_pred", "_found.score"))
 
@@ -228,6 +230,6 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.3,
 
     ``und`` never is.  The bound is low: a text of a word or two may be a good one.
     """
-    found = docs.withColumn("_lang_found", predictor(model)(F.col(text_col)))
+    found = text_batches(docs).withColumn("_lang_found", predictor(model)(F.col(text_col)))
     return (found.filter((F.col("_lang_found.lang_pred") != UNKNOWN)
                          & (F.col("_lang_found.score") >= least)).drop("_lang_found"))

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loyaltide.llm.common import text_batches
 from loyaltide.staging import stage
 
 WORDS = 448                    # frequent words with a symbol of their own (the end is one more)
@@ -39,7 +40,7 @@ BATCH = 2048
 RATE = 0.15
 LOOKUP = 200_000               # at most so many frequent words' counts are known to every task
 COUNTED = 500_000              # distinct words a task counts before it hands them on
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 CONTEXTS = 16_384              # contexts normalised at a time
 END = 0                        # the end of a text, and what stands before it
 LN10 = float(np.log(10.0))
@@ -261,7 +262,7 @@ class Model:
 def train(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text",
           lookup: int = LOOKUP) -> Model:
     """Count and learn from all rows where ``use`` holds (null texts are empty)."""
-    rows = docs.filter(use).select(F.col(text_col).alias("text"))
+    rows = text_batches(docs).filter(use).select(F.col(text_col).alias("text"))
     counts = stage(count_words(rows), "lm-counts")
     ends = rows.count()
     # The words of the highest count levels that fit the bound together; a level is a twentieth of
@@ -356,7 +357,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id",
                     "rare": [hashes[a:b][rare[a:b]]
                              for a, b in zip(starts, ends, strict=True)]})
 
-    scored = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    scored = stage(text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
                    .mapInPandas(run, f"doc_id {id_type}, n_tokens bigint, n_known bigint, "
                                 "base_score double, score double, rare array<bigint>")
                    .withColumn("row", F.monotonically_increasing_id()), "lm-scores")

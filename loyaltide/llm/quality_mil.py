@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loyaltide.llm.common import text_batches
+
 PASSAGE = 100                  # words of a passage
 SHAPES = 64                    # buckets of word shapes
 REPEAT = 4                     # words of a repeated stretch
@@ -24,7 +26,7 @@ MAX_DOCUMENTS = 5000           # labelled documents the network is fitted on
 MAX_PASSAGES = 48              # passages of each of them, evenly spread
 HIDDEN, ATTENTION = 32, 16
 EPOCHS, RATE, DECAY = 220, 0.01, 1e-4
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 WORD_STATS = 7
 FEATURES = SHAPES + WORD_STATS + 5
 
@@ -244,11 +246,11 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id",
     one kind, all rows score the smoothed share of good labels; repeated rows are scored each; an
     empty table gives an empty result; other columns are not read.
     """
-    return docs.select(F.col(id_col).alias("doc_id"),
-                       scorer(network)(F.col(text_col)).alias("score"))
+    return text_batches(docs).select(F.col(id_col).alias("doc_id"),
+                                     scorer(network)(F.col(text_col)).alias("score"))
 
 
 def keep_good(docs: DataFrame, network: Network, least: float = 0.5,
               text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, that score ``least`` or more."""
-    return docs.filter(scorer(network)(F.col(text_col)) >= least)
+    return text_batches(docs).filter(scorer(network)(F.col(text_col)) >= least)

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loyaltide.llm.common import text_batches
+
 MAX_DOCUMENTS = 6000           # labelled documents the chain is fitted on
 WORDS = 200                    # words and word beginnings looked at per category
 LEAST = 3                      # documents one must occur in
@@ -201,5 +203,5 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id",
             yield out
 
     schema = f"doc_id {id_type}, " + ", ".join(f"{c} double" for c in chain.names)
-    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return (text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
             .mapInPandas(run, schema))
