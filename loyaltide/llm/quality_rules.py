@@ -177,3 +177,57 @@ def apply_rules(docs: DataFrame, least: int = MIN_DOCUMENTS, **columns: str) ->
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                          "n_repeat_words", base_failed().alias("base_failed"),
                          (~base_failed() & ~broken).alias("kept"))
+
+
+def _rules_sql() -> str:
+    """The same counts, sketches and verdicts in DuckDB."""
+    rate = {"symbols": "n_symbols / greatest(word_chars, 1)", "repeats": "n_repeat_words / n_words",
+            "dup_lines": "n_dup_lines / n_words", "stutters": "n_stutters / n_words",
+            "word_length": "word_chars / n_words"}
+    long = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {r} AS v FROM rated WHERE NOT base_failed"
+                              for r in UPPER)
+    reach = "greatest({0}::DOUBLE * (q3 - q1), {1}::DOUBLE)"
+    cuts = [f"max(CASE WHEN rate = '{r}' THEN q3 + {reach.format(*a)} END) AS {r}_high"
+            for r, a in UPPER.items()]
+    cuts += [f"max(CASE WHEN rate = '{r}' THEN q1 - {reach.format(*a)} END) AS {r}_low"
+             for r, a in LOWER.items()]
+    broken = [f"coalesce({r} > {r}_high, false)" for r in UPPER]
+    broken += [f"coalesce({r} < {r}_low, false)" for r in LOWER]
+
+    def quartiles(name: str, by: str) -> str:
+        part = f"PARTITION BY {by}{', ' if by else ''}rate"
+        goal = "min(CASE WHEN upto > {p}::DOUBLE * (n - 1) THEN mid END) AS {q}"
+        return f""", {name} AS (SELECT {by}{', ' if by else ''}rate, max(n) AS n, {goal.format(p=0.25, q='q1')}, {goal.format(p=0.75, q='q3')}
+  FROM (SELECT *, sum(k) OVER ({part} ORDER BY bucket) AS upto, sum(k) OVER ({part}) AS n FROM
+    (SELECT {by}{', ' if by else ''}rate, bucket, mid, count(*) AS k FROM sketch GROUP BY ALL)) GROUP BY ALL)"""
+
+    return rf"""
+WITH w AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+starts AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM starts QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(0, 8) AS t(k) GROUP BY 1),
+counted AS (
+  SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+    len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_stutters
+  FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w) w
+  LEFT JOIN covered USING (doc_id)),
+rated AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  {', '.join(f'CASE WHEN n_words > 0 THEN CAST({e.split(" / ")[0]} AS DOUBLE) / {e.split(" / ")[1]} END AS {r}' for r, e in rate.items())} FROM counted),
+sketch AS (SELECT *, CASE WHEN bucket = {ZERO} THEN 0.0::DOUBLE ELSE {2.0 / (GAMMA + 1)!r}::DOUBLE * pow({GAMMA!r}::DOUBLE, bucket) END AS mid
+  FROM (SELECT lang, source, rate, CASE WHEN v < {LEAST!r}::DOUBLE THEN {ZERO} ELSE CAST(ceil(ln(v) / {math.log(GAMMA)!r}::DOUBLE) AS INTEGER) END AS bucket
+        FROM ({long}) WHERE v IS NOT NULL)){quartiles('fine', 'lang, source')}{quartiles('by_lang', 'lang')}{quartiles('everything', '')},
+cuts AS (SELECT lang, source, {', '.join(cuts)} FROM (
+  SELECT f.lang, f.source, f.rate, CASE WHEN f.n >= {MIN_DOCUMENTS} THEN f.q1 WHEN l.n >= {MIN_DOCUMENTS} THEN l.q1 ELSE e.q1 END AS q1,
+    CASE WHEN f.n >= {MIN_DOCUMENTS} THEN f.q3 WHEN l.n >= {MIN_DOCUMENTS} THEN l.q3 ELSE e.q3 END AS q3
+  FROM fine f JOIN by_lang l ON f.lang IS NOT DISTINCT FROM l.lang AND f.rate = l.rate JOIN everything e ON f.rate = e.rate) GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT ({' OR '.join(broken)}) AS kept
+FROM rated LEFT JOIN cuts ON rated.lang IS NOT DISTINCT FROM cuts.lang AND rated.source IS NOT DISTINCT FROM cuts.source
+"""
+
+
+SQL = _rules_sql()

@@ -85,4 +85,6 @@ QUERIES: dict[str, Query] = {
 }
 ORACLES: dict[str, str] = {
     "op3_branch_and_bound": topk.SQL,
+    "op7_parity_jaccard": jaccard_join.SQL,
+    "op10_adaptive_rules": quality_rules.SQL,
 }
