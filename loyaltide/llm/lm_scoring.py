@@ -11,7 +11,7 @@ words never seen, per bucket) add up to 1.
 Training is one pass over all training tokens: every task starts from the unigram model, follows
 noise-contrastive gradients (Mnih and Teh 2012) over its own rows, and the tasks' weights are
 averaged by their numbers of tokens, in a grouped sum with one row per symbol.  Scoring normalises
-each distinct context of a batch once, by matrix products.
+each distinct context once per task, by matrix products over many of them.
 
 Words are told apart by 64-bit hashes.
 """
@@ -40,7 +40,7 @@ BATCH = 2048
 RATE = 0.15
 LOOKUP = 200_000               # at most so many frequent words' counts are known to every task
 COUNTED = 500_000              # distinct words a task counts before it hands them on
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 CONTEXTS = 16_384              # contexts normalised at a time
 END = 0                        # the end of a text, and what stands before it
 LN10 = float(np.log(10.0))
@@ -237,19 +237,26 @@ class LogBilinear:
         return cls(main[:, :DIM].copy(), main[:, DIM:2 * DIM].copy(), main[:, 2 * DIM].copy(),
                    rows[-2:, :DIM].copy())
 
-    def log10(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of every symbol, each distinct context normalised once."""
+    def log10(self, symbols: np.ndarray, ends: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """Normalised log10 probability of every symbol.
+
+        ``norms`` holds the log normaliser of every context met so far (NaN: not yet), so each
+        distinct context is normalised once.
+        """
         one, two = contexts(symbols, ends)
         k = len(self.b)
-        pairs, which = np.unique(one * k + two, return_inverse=True)
-        h = self.predict(pairs // k, pairs % k)
-        norm = np.empty(len(pairs))
-        for at in range(0, len(pairs), CONTEXTS):
-            s = h[at:at + CONTEXTS] @ self.Q.T + self.b
+        pairs = one * k + two
+        new = np.unique(pairs[np.isnan(norms[pairs])])
+        for at in range(0, len(new), CONTEXTS):
+            part = new[at:at + CONTEXTS]
+            s = self.predict(part // k, part % k) @ self.Q.T + self.b
             top = s.max(axis=1, keepdims=True)
-            norm[at:at + CONTEXTS] = np.log(np.exp(s - top).sum(axis=1)) + top[:, 0]
-        own = np.einsum("ij,ij->i", h[which], self.Q[symbols]) + self.b[symbols]
-        return (own - norm[which]) / LN10
+            norms[part] = np.log(np.exp(s - top).sum(axis=1)) + top[:, 0]
+        own = np.einsum("ij,ij->i", self.predict(one, two), self.Q[symbols]) + self.b[symbols]
+        return (own - norms[pairs]) / LN10
+
+    def no_norms(self) -> np.ndarray:
+        return np.full(len(self.b) ** 2, np.nan)
 
 
 @dataclass
@@ -334,7 +341,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id",
     end_known = v.ends > 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(shared.value)
+        reader, norms = Reader(shared.value), network.no_norms()
         for batch in batches:
             texts = batch["text"].tolist()
             for at in range(0, len(texts), 1000):
@@ -353,7 +360,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id",
                     "n_tokens": ends - starts,
                     "n_known": add((~rare & (~is_end | end_known)).astype(np.int64)),
                     "base_score": add(log_count - base_norm),
-                    "score": add(network.log10(symbols, ends) + inside),
+                    "score": add(network.log10(symbols, ends, norms) + inside),
                     "rare": [hashes[a:b][rare[a:b]]
                              for a, b in zip(starts, ends, strict=True)]})
 

@@ -115,7 +115,7 @@ def test_probabilities_add_up(spark, sf_dir):
     symbols, ends = np.arange(k), np.full(k, 1).cumsum()
     for before in (0, 5, k - 1):
         texts = np.stack([np.full(k, before), symbols], axis=1).ravel()
-        logs = model.network.log10(texts, np.arange(2, 2 * k + 1, 2))[1::2]
+        logs = model.network.log10(texts, np.arange(2, 2 * k + 1, 2), model.network.no_norms())[1::2]
         assert (10 ** logs).sum() == pytest.approx(1.0, rel=1e-4)
     own = set(model.vocabulary.hashes[:lm_scoring.WORDS].tolist())
     tail = [r for r in model.counts.collect() if r.word not in own]
