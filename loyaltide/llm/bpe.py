@@ -30,7 +30,7 @@ from loyaltide.llm.common import text_batches
 LATER = re.compile("[\u0500-\u1fff\u2070-\U0010ffff]")   # where new letters may be
 END = 0x10000                  # added to the last character of a word
 CACHED_PAIRS = 200_000
-CACHED_WORDS = 200_000         # encodings a worker keeps (about 50 MB); it starts anew beyond
+CACHED_WORDS = 300_000         # encodings a worker keeps (about 70 MB); beyond, those of the last batch
 
 
 def byte_symbols() -> list[str]:
@@ -236,8 +236,10 @@ class Tokenizer:
             for words, i in parts:
                 if i is None:
                     seen.update(words)
-        if len(cache) + len(seen) > CACHED_WORDS:
+        if len(cache) + len(seen) > CACHED_WORDS:          # go on with the words of this batch
+            kept = {w: cache[w] for w in seen & cache.keys()}
             cache.clear()
+            cache.update(kept)
         cache.update(self.encode_words(sorted(seen - cache.keys())))
         get = cache.__getitem__
         return [b"".join([b"".join(map(get, words)) if i is None else pack("<I", i)
