@@ -5,7 +5,9 @@ relative width (DDSketch, Masson et al. 2019), so a sketch is a set of (bucket,
 sketches merge by adding counts, and neither order nor partitioning can change a quantile.  A
 language-source pair with few documents takes the sketch of its language, a rare language the
 sketch of all documents: the merged counts of the finer ones.  Cut-offs are quartiles plus a
-multiple of the quartile distance; the filter joins them to the documents.
+multiple of the quartile distance.  Rates that are zero in most documents have no such distance:
+where a rate is usual in a group, its cut-off is a multiple of a high quantile of the documents that
+have it (their rates have a long tail), and only where it is not a fixed floor.  The filter joins the cut-offs to the documents.
 """
 
 from __future__ import annotations
@@ -25,9 +27,15 @@ LEAST = 1e-6                   # rates below are zero
 ZERO = -100_000                # their bucket
 MIN_DOCUMENTS = 100            # of a sketch that is used by itself
 
+TAIL = 10                      # times as many documents for a sketch whose non-zero part is used
+
 #: rate -> (multiple of the quartile distance, least distance from the quartile), upper side.
-UPPER = {"symbols": (6.0, 0.05), "repeats": (6.0, 0.3), "dup_lines": (6.0, 0.05),
+UPPER = {"symbols": (6.0, 0.05), "repeats": (6.0, 0.1), "dup_lines": (6.0, 0.05),
          "stutters": (6.0, 0.1), "word_length": (3.0, 1.5)}
+#: rate -> share of a group's documents that have it, from which on it is usual there.
+USUAL = {"symbols": 0.1, "repeats": 0.02, "dup_lines": 0.1, "stutters": 0.1}
+MIN_USUAL = 3                  # documents that must have it
+HIGH, TIMES = 0.9, 2.0         # its cut-off there: quantile of the documents that have it, multiple
 #: The same for the lower side.
 LOWER = {"word_length": (3.0, 1.5)}
 
@@ -110,44 +118,59 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quantiles(sketches: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
-    """``by..., rate, n`` and one column per quantile (a bucket's middle)."""
+def quantiles(sketches: DataFrame, by: list[str], probs: dict[str, float],
+              tail: dict[str, float] | None = None) -> DataFrame:
+    """``by..., rate, n`` and one column per quantile (a bucket's middle); with ``tail`` also
+    ``n_tail`` and the quantiles by nearest rank, the largest of a few, of the values that are not
+    zero (null if there are none)."""
     group = Window.partitionBy(*by, "rate")
     running = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = F.when(F.col("bucket") == ZERO, F.lit(0.0)).otherwise(
         F.lit(2.0 / (GAMMA + 1)) * F.pow(F.lit(GAMMA), F.col("bucket")))
+    zeros = F.coalesce(F.sum(F.when(F.col("bucket") == ZERO, F.col("n"))).over(group), F.lit(0))
+    aggs = [F.max("_all").alias("n"), *[
+        F.min(F.when(F.col("_to") > F.lit(p) * (F.col("_all") - 1), F.col("_at"))).alias(k)
+        for k, p in probs.items()]]
+    if tail:
+        n_tail, to = F.col("_all") - F.col("_zeros"), F.col("_to") - F.col("_zeros")
+        aggs += [F.max(n_tail).alias("n_tail"), *[
+            F.min(F.when((to > 0) & (to >= F.lit(p) * n_tail), F.col("_at"))).alias(k)
+            for k, p in tail.items()]]
     return (sketches.withColumn("_to", F.sum("n").over(running))
             .withColumn("_all", F.sum("n").over(group)).withColumn("_at", at)
-            .groupBy(*by, "rate").agg(F.max("_all").alias("n"), *[
-                F.min(F.when(F.col("_to") > F.lit(p) * (F.col("_all") - 1), F.col("_at"))).alias(k)
-                for k, p in probs.items()]))
+            .withColumn("_zeros", zeros).groupBy(*by, "rate").agg(*aggs))
 
 
 def thresholds(measured: DataFrame, least: int = MIN_DOCUMENTS) -> DataFrame:
     """Cut-offs per language and source: ``lang, source`` and ``<rate>_high`` / ``<rate>_low``.
 
     Learnt from the documents that pass the base rules; null languages and sources are groups.
+    A sketch of ``least`` documents gives quartiles, one of ``TAIL`` times as many the non-zero part.
     """
     names = list(UPPER)
     good = rates(measured.filter(~base_failed()))
     fine = stage(sketch(good, names, ["lang", "source"]), "rule-sketches")
-    probs = {"q1": 0.25, "q3": 0.75}
-    pair = quantiles(fine, ["lang", "source"], probs)
-    lang = quantiles(merge(fine, ["lang"]), ["lang"], probs)
-    every = quantiles(merge(fine, []), [], probs)
+    probs, tail = {"q1": 0.25, "q3": 0.75}, {"high": HIGH}
+    pair = quantiles(fine, ["lang", "source"], probs, tail)
+    lang = quantiles(merge(fine, ["lang"]), ["lang"], probs, tail)
+    every = quantiles(merge(fine, []), [], probs, tail)
     q = lambda t, d: t.select(*[F.col(c).alias(f"{d}_{c}") for c in t.columns])
     p, g, e = q(pair, "p"), q(lang, "l"), q(every, "e")
     joined = (p.join(g, F.col("p_lang").eqNullSafe(F.col("l_lang"))
                      & (F.col("p_rate") == F.col("l_rate")))
               .join(e, F.col("p_rate") == F.col("e_rate")))
-    pick = lambda k: (F.when(F.col("p_n") >= least, F.col(f"p_{k}"))
-                      .when(F.col("l_n") >= least, F.col(f"l_{k}")).otherwise(F.col(f"e_{k}")))
+    pick = lambda k, few=least: (
+        F.when(F.col("p_n") >= few, F.col(f"p_{k}"))
+        .when(F.col("l_n") >= few, F.col(f"l_{k}")).otherwise(F.col(f"e_{k}")).alias(k))
     quart = joined.select(F.col("p_lang").alias("t_lang"), F.col("p_source").alias("t_source"),
-                          F.col("p_rate").alias("rate"), pick("q1").alias("q1"),
-                          pick("q3").alias("q3"))
+                          F.col("p_rate").alias("rate"), pick("q1"), pick("q3"),
+                          *[pick(k, TAIL * least) for k in ("n", "n_tail", "high")])
     reach = lambda k, least_: F.greatest(F.lit(k) * (F.col("q3") - F.col("q1")), F.lit(least_))
-    cuts = [F.max(F.when(F.col("rate") == r, F.col("q3") + reach(*a))).alias(f"{r}_high")
-            for r, a in UPPER.items()]
+    usual = lambda r: F.when(
+        (F.col("n_tail") >= USUAL.get(r, math.inf) * F.col("n")) & (F.col("n_tail") >= MIN_USUAL),
+        TIMES * F.col("high"))
+    cuts = [F.max(F.when(F.col("rate") == r, F.greatest(F.col("q3") + reach(*a), usual(r))))
+            .alias(f"{r}_high") for r, a in UPPER.items()]
     cuts += [F.max(F.when(F.col("rate") == r, F.col("q1") - reach(*a))).alias(f"{r}_low")
              for r, a in LOWER.items()]
     return quart.groupBy("t_lang", "t_source").agg(*cuts)
@@ -180,7 +203,9 @@ def apply_rules(docs: DataFrame, least: int = MIN_DOCUMENTS, **columns: str) ->
 
 
 def _rules_sql() -> str:
-    """The same counts, sketches and verdicts in DuckDB."""
+    """The same counts and sketches in DuckDB; its verdicts keep the fixed reach above the third
+    quartile and have no non-zero part, so they agree only where repeats are usual."""
+    upper = {**UPPER, "repeats": (6.0, 0.3)}
     rate = {"symbols": "n_symbols / greatest(word_chars, 1)", "repeats": "n_repeat_words / n_words",
             "dup_lines": "n_dup_lines / n_words", "stutters": "n_stutters / n_words",
             "word_length": "word_chars / n_words"}
@@ -188,7 +213,7 @@ def _rules_sql() -> str:
                               for r in UPPER)
     reach = "greatest({0}::DOUBLE * (q3 - q1), {1}::DOUBLE)"
     cuts = [f"max(CASE WHEN rate = '{r}' THEN q3 + {reach.format(*a)} END) AS {r}_high"
-            for r, a in UPPER.items()]
+            for r, a in upper.items()]
     cuts += [f"max(CASE WHEN rate = '{r}' THEN q1 - {reach.format(*a)} END) AS {r}_low"
              for r, a in LOWER.items()]
     broken = [f"coalesce({r} > {r}_high, false)" for r in UPPER]

@@ -372,6 +372,33 @@ def test_sketch_quantiles(spark):
     assert quality_rules.quantiles(merged, ["g"], {"q1": 0.25, "q3": 0.75}).first() == q
 
 
+def test_repeats_are_judged_by_their_group(make):
+    """A fifth of repeated words is odd where nothing repeats, usual where many documents do."""
+    r = np.random.default_rng(3)
+
+    def text(repeated):
+        w = [f"w{x}" for x in r.permutation(100_000)[:200 - repeated]]
+        return " ".join(w + w[:repeated])
+
+    rows = [(i, text(0), "en", "clean") for i in range(1200)]
+    rows += [(i, text(0 if i % 10 else 10 + i % 15), "en", "usual") for i in range(2000, 3200)]
+    rows += [(5000, text(20), "en", "clean"), (5001, text(20), "en", "usual")]
+    got = {x.doc_id: x for x in quality_rules.apply_rules(make(rows)).collect()}
+    for d in (5000, 5001):
+        assert (got[d].n_words, got[d].n_repeat_words, got[d].base_failed) == (200, 40, False)
+    assert not got[5000].kept and got[5001].kept
+    assert all(x.kept for d, x in got.items() if d < 5000)
+
+
+def test_quantiles_of_the_part_that_is_not_zero(spark):
+    df = spark.range(0, 1000).select(F.when(F.col("id") < 100, F.col("id") + 1.0).otherwise(0.0)
+                                     .alias("v"), F.lit("g").alias("g"))
+    s = quality_rules.sketch(df, ["v"], ["g"])
+    q = quality_rules.quantiles(s, ["g"], {"q3": 0.75}, {"t1": 0.25, "t3": 0.75}).first()
+    assert (q.n, q.n_tail, q.q3) == (1000, 100, 0.0)
+    assert q.t1 == pytest.approx(25, rel=0.06) and q.t3 == pytest.approx(75, rel=0.03)
+
+
 def test_repeated_windows(make):
     r = np.random.default_rng(10)
     rows = []
