@@ -22,7 +22,9 @@ from loyaltide.llm.common import text_batches
 BUCKETS = 1 << 14              # hashed n-grams of one to three characters
 NGRAMS = (1, 2, 3)
 PER_LANGUAGE = 500             # sampled training documents of a language
-LANGUAGES = 256                # languages that can be learnt: those with most documents
+SAMPLED = 128_000              # sampled training documents of all languages, shared out evenly
+LEAST_SAMPLED = 20             # of a language, however many there are
+BLOCK = 1024                   # rows of a block in the calibration
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 UNKNOWN = "und"
@@ -109,7 +111,9 @@ def fit_ftrl(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]], epoch
             n[:, at] = ni + g * g
             step = (np.sqrt(nb + error ** 2) - np.sqrt(nb)) / ALPHA
             zb, nb = zb + error - step * b, nb + error ** 2
-    model.weights, model.bias = leader(z, n, L1), leader(zb, nb, 0.0)
+    for row, seen in zip(z, n, strict=True):       # in place: with many languages z is large
+        row[:] = leader(row, seen, L1)
+    model.weights, model.bias = z, leader(zb, nb, 0.0)
 
 
 def calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> float:
@@ -124,10 +128,13 @@ def calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> f
     doubt = 1.0 / (len(rows) + 2)
 
     def loss(log_t: float) -> float:
-        s = logits / np.exp(log_t)
-        s = s - s.max(axis=1, keepdims=True)
-        told = (1.0 - doubt) * s[np.arange(len(y)), y] + doubt * s.mean(axis=1)
-        return float((np.log(np.exp(s).sum(axis=1)) - told).mean())
+        total = 0.0
+        for i in range(0, len(y), BLOCK):
+            s, right = logits[i:i + BLOCK] / np.exp(log_t), y[i:i + BLOCK]
+            s = s - s.max(axis=1, keepdims=True)
+            told = (1.0 - doubt) * s[np.arange(len(right)), right] + doubt * s.mean(axis=1)
+            total += float((np.log(np.exp(s).sum(axis=1)) - told).sum())
+        return total / len(y)
 
     low, high, ratio = np.log(0.02), np.log(20.0), (np.sqrt(5) - 1) / 2
     for _ in range(40):
@@ -138,17 +145,18 @@ def calibrate(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> f
 
 def train(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Learn from the rows where ``use`` holds and the language is known.
+    """Learn every language of the rows where ``use`` holds and the language is known.
 
     Counts over all of them: documents per language, documents per n-gram bucket.  The weights come
-    from about ``per_language`` documents of each language (all, if fewer), drawn by a hash of id
-    and text; a fifth of those calibrates.  Without such rows nothing is learnt.
+    from about ``per_language`` documents of each language (all, if fewer; with many languages an
+    even share of ``SAMPLED``, but ``LEAST_SAMPLED`` or more), drawn by a hash of id and text; a fifth of
+    those calibrates, never the first of a language.  Without such rows nothing is learnt.
     """
     rows = text_batches(docs).filter(use).select(F.col(id_col).cast("string").alias("id"),
                                    F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()}
+              .collect()}                                                    # one row per language
     languages = sorted(counts)
     model = Model(languages, np.ones(BUCKETS), np.zeros((len(languages), BUCKETS)),
                   np.zeros(len(languages)))
@@ -185,17 +193,19 @@ def train(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
                     "lang": [x[1] for x in found], "h": [x[2] for x in found],
                     "at": [x[0][0] for x in found], "n": [x[0][1] for x in found]})
 
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
+    goal = min(per_language, max(LEAST_SAMPLED, SAMPLED // len(languages)))
+    shares = docs.sparkSession.createDataFrame(
+        [(lang, min(1.0, goal / n)) for lang, n in counts.items()], "lang string, share double")
     h = F.xxhash64("id", "text")
-    sampled = (rows.filter(F.pmod(h, F.lit(1_000_000)) < share * 1_000_000).withColumn("h", h)
+    sampled = (rows.join(F.broadcast(shares), "lang")
+               .filter(F.pmod(h, F.lit(1_000_000)) < F.col("share") * 1_000_000)
+               .select("id", "text", "lang", h.alias("h"))
                .mapInPandas(encode, "lang string, h bigint, at array<int>, n array<bigint>")
                .toPandas().sort_values("h", kind="stable"))
     at = {lang: i for i, lang in enumerate(languages)}
     data = [(np.asarray(a), np.asarray(n), at[lang])
             for a, n, lang in zip(sampled["at"], sampled["n"], sampled["lang"], strict=True)]
-    aside = (sampled["h"].to_numpy() // 1_000_000) % 5 == 0
+    aside = ((sampled["h"].to_numpy() // 1_000_000) % 5 == 0) & sampled.duplicated("lang").to_numpy()
     fit_ftrl(model, [r for r, a in zip(data, aside, strict=True) if not a] or data)
     model.temperature = calibrate(model, [r for r, a in zip(data, aside, strict=True) if a])
     return model

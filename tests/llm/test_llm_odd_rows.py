@@ -139,6 +139,21 @@ def test_languages(odd, none):
     assert not {1, 2, 3} & set(ids(language_id.keep_known(odd, model)))
 
 
+def test_every_language_is_learnt(make):
+    """More languages than the limit of 256 there was."""
+    def text(k, i):
+        return " ".join(chr(0x4E00 + 40 * k + (7 * i + j) % 40) * 2 for j in range(30))
+
+    rows = [(1000 * k + i, text(k, i), f"l{k:03d}", "a") for k in range(260)
+            for i in range(3)]
+    docs = make(rows)
+    model = language_id.train(docs, every())
+    assert model.languages == sorted({r[2] for r in rows})
+    assert np.count_nonzero(model.weights, axis=1).min() > 0
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert sum(got[d] == la for d, _, la, _ in rows) >= 0.95 * len(rows)
+
+
 def test_ftrl_is_sparse_and_separates():
     rows = [(np.array([i % 2, 2 + i % 7]), np.array([3, 1]), i % 2) for i in range(200)]
     model = language_id.Model(["x", "y"], np.ones(language_id.BUCKETS),
