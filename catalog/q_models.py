@@ -161,14 +161,15 @@ def _cv(kind, **params):
 query("f04_logreg_simple")(_cv("logreg_simple"))
 query("f05_logreg_improved")(_cv("logreg"))
 query("f06_decision_tree")(_cv("decision_tree"))
-query("f07_random_forest")(_cv("random_forest", n_trees=20, min_leaf=10))
-query("f08_boosting")(_cv("boosting", n_trees=10, min_leaf=10))
+query("f07_random_forest")(_cv("random_forest"))
+query("f08_boosting")(_cv("boosting"))
 
 
 @query("f14_parameter_search")
 def f14(spark, sf):
     return models.parameter_search(rows(spark, sf), spec("decision_tree"),
-                                   {"max_depth": [2, 4], "min_leaf": [20, 50]}, 2, FOLDS)
+                                   {"max_depth": list(range(3, 13)),
+                                    "min_leaf": [20, 50, 100, 200, 500]}, folds=FOLDS)
 
 
 def oof(spark, sf):
@@ -190,15 +191,14 @@ def f17(spark, sf):
 
 @query("f19_out_of_fold_scores")
 def f19(spark, sf):
-    return models.out_of_fold_scores(rows(spark, sf), spec("decision_tree", min_leaf=20),
-                                     folds=FOLDS, k_inner=2)
+    return models.out_of_fold_scores(rows(spark, sf), spec("decision_tree"), folds=FOLDS)
 
 
 @query("f20_final_scores")
 def f20(spark, sf):
     df = rows(spark, sf)
     model = models.fit_calibrated(df.filter(F.col("partition") == "train_oof"),
-                                  spec("logreg_simple"), k=2)
+                                  spec("logreg_simple"))
     return models.final_scores(model, df.filter(F.col("partition") == "test"))
 
 
@@ -212,7 +212,7 @@ def f21(spark, sf):
 @query("h01_tree_contributions")
 def h01(spark, sf):
     df = rows(spark, sf)
-    fitted = models.fit_model(df, spec("boosting", n_trees=10, min_leaf=10))
+    fitted = models.fit_model(df, spec("boosting"))
     paths = ensemble_paths(fitted.model)
     out = tree_contributions(fitted.vectors(df), paths, fitted.inputs)
     return grouped(out).withColumn("valeur_base", F.lit(expected_value(paths)))
@@ -221,6 +221,5 @@ def h01(spark, sf):
 @query("h14_permutation_importance")
 def h14(spark, sf):
     df = rows(spark, sf)
-    fitted = models.fit_model(df, spec("decision_tree", min_leaf=20))
-    return models.permutation_importance(df, lambda d: fitted.score(d, "score"),
-                                         ["eqpdays", "months", "hnd_price"], repeats=2)
+    fitted = models.fit_model(df, spec("decision_tree"))
+    return models.permutation_importance(df, lambda d: fitted.score(d, "score"), COLUMNS)

@@ -46,7 +46,7 @@ def i02(spark, sf):
 @query("i03_evaluate_k")
 def i03(spark, sf):
     rows = vectors(spark, sf).cache()
-    return seg.evaluate_k(rows, seg.FEATURES, (4, 5), (0, 1), 1)
+    return seg.evaluate_k(rows, seg.FEATURES, range(3, 9))
 
 
 ARI = STORE + """, ct AS (SELECT segment_id AS a, crclscod AS b, CAST(count(*) AS DOUBLE) AS n FROM scores GROUP BY 1, 2

@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from catalog.q_models import FOLDS, rows, spec
+from catalog import q_models, q_segments
+from catalog.q_models import COLUMNS, FOLDS, rows, spec
+from catalog.registry import QUERIES
 from loyaltide.operators import metrics, models
 from loyaltide.operators.tree_contributions import (ensemble_paths, expected_value,
                                                     tree_contributions)
@@ -60,3 +62,39 @@ def test_final_scores_carry_fold_minus_one(data):
     out = models.final_scores(model, data.filter("partition = 'test'"))
     assert out.filter("fold <> -1").count() == 0
     assert out.filter(F.col("proba_reelle") > F.col("proba_calibree") + 1e-12).count() == 0
+
+
+def test_queries_ask_for_the_whole_job(spark, monkeypatch):
+    """Calls of the registered queries, without running them: nothing below the defaults."""
+    calls = {}
+
+    def note(module, name):
+        monkeypatch.setattr(module, name, lambda *a, **b: calls.setdefault(name, []).append((a, b)))
+
+    class Rows:
+        def filter(self, *_):
+            return self
+
+        cache = filter
+
+    monkeypatch.setattr(q_models, "rows", lambda *_: Rows())
+    monkeypatch.setattr(q_segments, "vectors", lambda *_: Rows())
+    for name in ("out_of_fold_scores", "fit_calibrated", "final_scores", "fit_model",
+                 "permutation_importance", "parameter_search", "cross_validate"):
+        note(models, name)
+    note(q_segments.seg, "evaluate_k")
+    for run in (q_models.f14, q_models.f19, q_models.f20, q_models.h14, q_segments.i03):
+        run(None, None)
+    for run in (QUERIES["f07_random_forest"], QUERIES["f08_boosting"], q_models.h01):
+        with pytest.raises(AttributeError):        # they read the result, which is None here
+            run(None, None)
+    specs = [x for c in calls.values() for a, _ in c for x in a if isinstance(x, models.ModelSpec)]
+    assert len(specs) == 7 and not any(x.params for x in specs)
+    assert tuple(calls["permutation_importance"][0][0][2]) == COLUMNS
+    assert list(calls["evaluate_k"][0][0][2]) == [3, 4, 5, 6, 7, 8]
+    assert len(calls["evaluate_k"][0][0]) == 3 and len(calls["parameter_search"][0][0]) == 3
+    for name in ("permutation_importance", "out_of_fold_scores", "fit_calibrated", "evaluate_k",
+                 "parameter_search"):
+        assert not {"k", "k_inner", "repeats", "n_trials", "seeds", "n_init"} & set(
+            calls[name][0][1])
+    assert len(calls["fit_calibrated"][0][0]) == 2 and len(calls["out_of_fold_scores"][0][0]) == 2
