@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loyaltide.llm import bpe, jaccard_join, language_id, lm_scoring, mixing, quality_mil, quality_rules, sharding, topk, toxicity
+from loyaltide.llm import (
+    bpe,
+    jaccard_join,
+    language_id,
+    lm_scoring,
+    mixing,
+    periodic_runs,
+    quality_mil,
+    quality_rules,
+    sharding,
+    topk,
+    toxicity,
+)
 from loyaltide.llm.common import remainder, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +83,10 @@ def op10_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_attention_mil": op1_attention_mil,
     "op2_log_bilinear_lm": op2_log_bilinear_lm,
@@ -82,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op8_kd_sharding": op8_kd_sharding,
     "op9_toxicity_chain": op9_toxicity_chain,
     "op10_adaptive_rules": op10_adaptive_rules,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op3_branch_and_bound": topk.SQL,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -99,3 +100,40 @@ def unigram(rows, held_out):
         out.append((len(w) + 1, sum(counts[x] > 0 for x in w) + (ends > 0), n,
                     base + math.log10((ends + 1) / (n + v + 1))))
     return out
+
+
+def planted(text, key):
+    """The words of a text; every tenth document ends in a period that follows from its id."""
+    w, h = words(text), crc(key)
+    if h % 10 or not w:
+        return w
+    g = h // 10
+    a = g % len(w)
+    p = 1 + (len(w) - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(len(w))]
+
+
+def runs(w, least=12):
+    """(start, length, period) of every run, each lag walked from end to end."""
+    found = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            s = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            if i - s + q >= max(least, 2 * q):
+                found.setdefault((s, i - s + q), q)
+            i += 1
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def run_row(text, key):
+    w = planted(text, key)
+    found = runs(w)
+    drop = {i for s, n, q in found for i in range(s + q, s + n)}
+    best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=None)
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in found)
+    kept = b" ".join(x for i, x in enumerate(w) if i not in drop)
+    return (len(found), *(best or (None, None, None)), best and 1000 * best[1] // best[2],
+            hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept).hexdigest())
