@@ -12,6 +12,7 @@ from loyaltide.llm import (
     jaccard_join,
     language_id,
     lm_scoring,
+    minhash_join,
     mixing,
     periodic_runs,
     quality_mil,
@@ -87,6 +88,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_report(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_attention_mil": op1_attention_mil,
     "op2_log_bilinear_lm": op2_log_bilinear_lm,
@@ -99,9 +104,11 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity_chain": op9_toxicity_chain,
     "op10_adaptive_rules": op10_adaptive_rules,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_minhash_join": op13_minhash_join,
 }
 ORACLES: dict[str, str] = {
     "op3_branch_and_bound": topk.SQL,
     "op7_parity_jaccard": jaccard_join.SQL,
     "op10_adaptive_rules": quality_rules.SQL,
+    "op13_minhash_join": minhash_join.SQL,
 }
