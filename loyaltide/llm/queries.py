@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loyaltide.llm import (
     bpe,
+    collocations,
     jaccard_join,
     language_id,
     lm_scoring,
@@ -84,6 +85,10 @@ def op10_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_collocation_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_report(table(spark, sf_dir, "documents"))
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op8_kd_sharding": op8_kd_sharding,
     "op9_toxicity_chain": op9_toxicity_chain,
     "op10_adaptive_rules": op10_adaptive_rules,
+    "op11_collocation_automata": op11_collocation_automata,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_minhash_join": op13_minhash_join,
 }
@@ -110,5 +116,6 @@ ORACLES: dict[str, str] = {
     "op3_branch_and_bound": topk.SQL,
     "op7_parity_jaccard": jaccard_join.SQL,
     "op10_adaptive_rules": quality_rules.SQL,
+    "op11_collocation_automata": collocations.SQL,
     "op13_minhash_join": minhash_join.SQL,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -137,3 +138,29 @@ def run_row(text, key):
     kept = b" ".join(x for i, x in enumerate(w) if i not in drop)
     return (len(found), *(best or (None, None, None)), best and 1000 * best[1] // best[2],
             hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept).hexdigest())
+
+
+def collocations(rows, least, top=2000, inside=80):
+    """rows: (lang, text) -> the report of phrases, every phrase counted as a tuple of words."""
+    counts = defaultdict(Counter)
+    for lang, text in rows:
+        for piece in re.split(rb"[.,;:!?\x0a-\x0d]", (text or "").encode().lower()):
+            w = [x for x in re.split(rb"[ \t]+", piece) if x]
+            for k in range(1, 5):
+                counts["und" if lang is None else lang].update(
+                    tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        n = sum(c for p, c in f.items() if len(p) == 1)
+        often = {p: c for p, c in f.items() if len(p) > 1 and c >= least}
+        drop = {p[i:i + k] for p, c in often.items() for k in range(2, len(p))
+                for i in range(len(p) - k + 1) if 100 * c >= inside * f[p[i:i + k]]}
+        found = []
+        for p, a in often.items():
+            if p not in drop:
+                score, cut = min((2000000 * a // (f[p[:k]] + f[p[k:]]), k)
+                                 for k in range(1, len(p)))
+                found.append((-score, -a, b" ".join(p), f[p[:cut]], f[p[cut:]]))
+        out += [(lang, i + 1, phrase.decode(), -a, left, right, n, -s)
+                for i, (s, a, phrase, left, right) in enumerate(sorted(found)[:top])]
+    return out

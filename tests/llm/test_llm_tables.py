@@ -37,7 +37,7 @@ def test_same_rows_as_sql(spark, sf_dir, name):
 
 
 def test_registered():
-    assert [n for n in range(1, 11) if sum(q.startswith(f"op{n}_") for q in QUERIES) != 1] == []
+    assert [n for n in range(1, 14) if sum(q.startswith(f"op{n}_") for q in QUERIES) != 1] == []
 
 
 def test_op1_held_out_accuracy(spark, sf_dir, rows, docs):
