@@ -38,15 +38,14 @@ def vectors(spark, sf):
 
 @query("i02_fit_segmentation")
 def i02(spark, sf):
-    rows = vectors(spark, sf).cache()
+    rows = vectors(spark, sf)
     return seg.fit_kmeans(rows).transform(rows).groupBy("segment_id").agg(
         F.count(F.lit(1)).alias("n"))
 
 
 @query("i03_evaluate_k")
 def i03(spark, sf):
-    rows = vectors(spark, sf).cache()
-    return seg.evaluate_k(rows, seg.FEATURES, range(3, 9))
+    return seg.evaluate_k(vectors(spark, sf), range(3, 9))
 
 
 ARI = STORE + """, ct AS (SELECT segment_id AS a, crclscod AS b, CAST(count(*) AS DOUBLE) AS n FROM scores GROUP BY 1, 2

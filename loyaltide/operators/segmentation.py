@@ -6,8 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loyaltide import fixed_values as fv
 from loyaltide.functions.expressions import log1p_nonneg, signed_log1p
-from loyaltide.operators import metrics
+from loyaltide.operators import batched_kmeans, metrics
 from loyaltide.operators.describe import chi2_from_counts, level_counts, unbiased_skew
 from loyaltide.operators.preprocessing import (fit_medians, fit_scaler, impute_median,
                                                standardize)
@@ -59,11 +57,11 @@ def with_vector(df: DataFrame, columns: Sequence[str] = tuple(FEATURES)) -> Data
 
 
 def fit_kmeans(vectors: DataFrame, k: int = fv.N_CLUSTERS, n_init: int = 10, seed: int = 42,
-               max_iter: int = 50) -> KMeansModel:
-    """Best of ``n_init`` seeded starts (lowest within-cluster cost)."""
-    models = [KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="vector",
-                     predictionCol="segment_id").fit(vectors) for i in range(n_init)]
-    return min(models, key=lambda m: m.summary.trainingCost)
+               max_iter: int = 50, id_col: str = "customer_id") -> batched_kmeans.Clustering:
+    """Best of ``n_init`` seeded starts (lowest within-cluster cost), all in the same passes."""
+    rows = stage(batched_kmeans.as_rows(vectors, id_col), "kmeans-rows")
+    starts = batched_kmeans.draw_starts(rows, [seed + i for i in range(n_init)], k)
+    return min(batched_kmeans.fit_runs(rows, list(starts), max_iter), key=lambda r: r.cost)
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -103,31 +101,36 @@ def davies_bouldin(df: DataFrame, columns: Sequence[str], label: str = "segment_
             .agg(F.avg("r").alias("davies_bouldin")))
 
 
-def evaluate_k(vectors: DataFrame, columns: Sequence[str], ks: Sequence[int],
-               seeds: Sequence[int] = (0, 1, 2, 3, 4), n_init: int = 10) -> DataFrame:
+def evaluate_k(vectors: DataFrame, ks: Sequence[int], seeds: Sequence[int] = (0, 1, 2, 3, 4),
+               n_init: int = 10, max_iter: int = 50, id_col: str = "customer_id") -> DataFrame:
     """One row per k: cost, silhouette (all rows), Davies-Bouldin, stability over seeds, smallest
-    cluster.  The loop runs over the few candidate k; each measure is a distributed aggregate."""
-    spark = vectors.sparkSession
+    cluster.
+
+    Every k has one fit and one per seed, each the best of ``n_init`` starts.  All of these runs
+    share their passes: ``max(ks)`` to draw the starts, at most ``max_iter`` to move the centres,
+    and a few to measure what came out.
+    """
+    rows = stage(batched_kmeans.as_rows(vectors, id_col), "kmeans-rows")
+    drawn = [s + i for s in (42, *[1000 * (s + 1) for s in seeds]) for i in range(n_init)]
+    starts = batched_kmeans.draw_starts(rows, drawn, max(ks))
+    runs = batched_kmeans.fit_runs(rows, [c[:k] for k in ks for c in starts], max_iter)
+    fits = [min(runs[i:i + n_init], key=lambda r: r.cost) for i in range(0, len(runs), n_init)]
+    labelled = stage(batched_kmeans.label_rows(rows, fits), "kmeans-labels")
+    per_k = 1 + len(seeds)
+    mains = list(range(0, len(fits), per_k))
+    spread = batched_kmeans.spread_of(labelled, mains, [fits[i].sizes for i in mains])
+    pairs = [(i + a, i + b) for i in mains for a, b in combinations(range(1, per_k), 2)]
+    aris = batched_kmeans.agreement(labelled, pairs) if pairs else {}
     out = []
-    silhouette = ClusteringEvaluator(featuresCol="vector", predictionCol="segment_id")
-    for k in ks:
-        model = fit_kmeans(vectors, k, n_init)
-        labelled = model.transform(vectors)
-        runs = vectors
-        for s in seeds:
-            runs = fit_kmeans(vectors, k, n_init, 1000 * (s + 1)).setPredictionCol(
-                f"run_{s}").transform(runs)
-        runs = runs.select(*[f"run_{s}" for s in seeds])
-        aris = [adjusted_rand(runs, f"run_{a}", f"run_{b}").first()[0]
-                for a, b in combinations(seeds, 2)]
-        sizes = model.summary.clusterSizes
-        out.append((k, float(model.summary.trainingCost), float(silhouette.evaluate(labelled)),
-                    float(davies_bouldin(labelled, columns).first()[0]),
-                    float(sum(aris) / len(aris)), float(min(aris)),
-                    round(100 * min(sizes) / sum(sizes), 1)))
-    return spark.createDataFrame(out, "k int, inertie double, silhouette double, "
-                                 "davies_bouldin double, ari_moyen double, ari_min double, "
-                                 "plus_petit_cluster_pct double")
+    for k, i, measures in zip(ks, mains, spread, strict=True):
+        of_k = [aris[i + a, i + b] for a, b in combinations(range(1, per_k), 2)]
+        sizes = fits[i].sizes
+        out.append((k, fits[i].cost, measures["silhouette"], measures["davies_bouldin"],
+                    sum(of_k) / len(of_k) if of_k else None, min(of_k, default=None),
+                    round(100 * float(sizes.min() / sizes.sum()), 1)))
+    return vectors.sparkSession.createDataFrame(
+        out, "k int, inertie double, silhouette double, davies_bouldin double, "
+             "ari_moyen double, ari_min double, plus_petit_cluster_pct double")
 
 
 def cluster_profiles(df: DataFrame, label: str = "segment_id",
@@ -174,10 +177,10 @@ def name_clusters(profiles: DataFrame, label: str = "segment_id", strict: bool =
     return out.select(label, "segment")
 
 
-def assign_segments(vectors: DataFrame, model: KMeansModel, names: DataFrame) -> DataFrame:
+def assign_segments(vectors: DataFrame, model: batched_kmeans.Clustering, names: DataFrame
+                    ) -> DataFrame:
     """Cluster id and name per row; names are one row per cluster."""
-    return model.setPredictionCol("segment_id").transform(vectors).join(
-        F.broadcast(names), "segment_id")
+    return model.transform(vectors).join(F.broadcast(names), "segment_id")
 
 
 def segment_auc_cv(df: DataFrame, segment: str, target: str = "churn", fold: str = "fold"

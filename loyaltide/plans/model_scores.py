@@ -105,8 +105,7 @@ def behaviour_segments(base: DataFrame, k: int = fv.N_CLUSTERS, n_init: int = 10
     prepared = segmentation.fit_preparation(train)
     vectors = stage(segmentation.prepare(base, prepared, ("customer_id", "partition")), "segments")
     rows = segmentation.with_vector(vectors)
-    model = segmentation.fit_kmeans(
-        rows.filter(F.col("partition") == fv.TRAIN_OOF).persist(), k, n_init)
+    model = segmentation.fit_kmeans(rows.filter(F.col("partition") == fv.TRAIN_OOF), k, n_init)
     return model.transform(rows).select("customer_id", "segment_id")
 
 

@@ -91,8 +91,8 @@ def test_queries_ask_for_the_whole_job(spark, monkeypatch):
     specs = [x for c in calls.values() for a, _ in c for x in a if isinstance(x, models.ModelSpec)]
     assert len(specs) == 7 and not any(x.params for x in specs)
     assert tuple(calls["permutation_importance"][0][0][2]) == COLUMNS
-    assert list(calls["evaluate_k"][0][0][2]) == [3, 4, 5, 6, 7, 8]
-    assert len(calls["evaluate_k"][0][0]) == 3 and len(calls["parameter_search"][0][0]) == 3
+    assert list(calls["evaluate_k"][0][0][1]) == [3, 4, 5, 6, 7, 8]
+    assert len(calls["evaluate_k"][0][0]) == 2 and len(calls["parameter_search"][0][0]) == 3
     for name in ("permutation_importance", "out_of_fold_scores", "fit_calibrated", "evaluate_k",
                  "parameter_search"):
         assert not {"k", "k_inner", "repeats", "n_trials", "seeds", "n_init"} & set(
