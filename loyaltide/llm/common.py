@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,12 @@ def text_batches(df: DataFrame) -> DataFrame:
     if conf.get(name) == "10000":
         conf.set(name, "1000")
     return df
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers live on and serve
+    other operators next to the JVM's heap."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

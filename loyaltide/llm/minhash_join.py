@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loyaltide.llm.common import text_batches
+from loyaltide.llm.common import give_back, text_batches
 from loyaltide.llm.graph import components, keep_marked
 from loyaltide.llm.jaccard_join import Shingler, node_of
 from loyaltide.staging import stage
@@ -37,8 +37,9 @@ COORDINATES = 64
 MATCHES = 38
 ROWS = 2048                    # elements hashed at a time
 BLOCK_SETS = 1024              # sets brought together
-BLOCK_ELEMENTS = 1_000_000
+BLOCK_ELEMENTS = 500_000
 PACK_SETS = 512                # sets of small clusters handed to one call
+CACHED_SETS = 100_000          # sets a task remembers to have signed, about 10 MB
 
 
 class Signer:
@@ -60,17 +61,26 @@ class Signer:
 
 
 def signatures(docs: DataFrame, n: int, coordinates: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n_shingles, node, signature`` per row; without words the last two are null."""
+    """``doc_id, n_shingles, node, signature`` per row; without words the last two are null, and a
+    task gives the signature of a set it met before to none but the first."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, signer = Shingler(n), Signer(coordinates)
+        shingler, signer, told = Shingler(n), Signer(coordinates), set()
         for batch in batches:
-            sets = (shingler.set_of(text) for text in batch["text"])
-            rows = [(len(s), node_of(s), signer.sign(s) if len(s) else None) for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [r[0] for r in rows],
-                                "node": pd.array([r[1] for r in rows], "Int64"),
-                                "signature": [r[2] for r in rows]})
+            sizes, nodes, signed = [], [], []
+            for text in batch["text"]:
+                s = shingler.set_of(text)
+                node = node_of(s)
+                sizes.append(len(s))
+                nodes.append(node)
+                signed.append(None if node is None or node in told else signer.sign(s))
+                if len(told) > CACHED_SETS:                # told again, which does no harm
+                    told.clear()
+                told.add(node)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes,
+                                "node": pd.array(nodes, "Int64"), "signature": signed})
+        give_back()
 
     return (text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
             .mapInPandas(run, f"doc_id {id_type}, n_shingles bigint, node bigint, "
@@ -86,19 +96,25 @@ def full_sets(texts: DataFrame, n: int) -> DataFrame:
                     if len(s)}
             yield pd.DataFrame({"node": pd.array(list(sets), "Int64"),
                                 "elements": list(sets.values())})
+        give_back()
 
     return texts.mapInPandas(run, "node bigint, elements array<bigint>")
 
 
-def prefixes(nodes: DataFrame, matches: int) -> DataFrame:
-    """``node, token``: the postings of which two nodes with ``matches`` collisions share one."""
-    tokens = nodes.select("node", F.explode("signature").alias("token"))
-    lists = stage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"))
-                  .filter("nodes > 1"), "minhash-lists")
+def prefixes(signed: DataFrame, matches: int) -> DataFrame:
+    """``node, token``: the postings of which two nodes with ``matches`` collisions share one.
+
+    Several tasks may have signed a node: its postings are ranked without repeats, and repeats in
+    the length of a list only move it in the order that all nodes share.
+    """
+    tokens = signed.select("node", F.explode("signature").alias("token"))
+    lists = stage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"),
+                                              F.min("node").alias("one"), F.max("node").alias("two"))
+                  .filter("one <> two").select("token", "nodes"), "minhash-lists")
     shared = keep_marked(tokens, "token", lists, "token", 24).join(lists, "token")
     own = Window.partitionBy("node")
-    return (shared.withColumn("rank", F.row_number().over(own.orderBy("nodes", "token")))
-            .withColumn("left", F.count(F.lit(1)).over(own))
+    return (shared.withColumn("rank", F.dense_rank().over(own.orderBy("nodes", "token")))
+            .withColumn("left", F.max("rank").over(own))
             .filter(F.col("rank") <= F.col("left") - matches + 1).select("node", "token"))
 
 
@@ -109,7 +125,8 @@ def confirmed(pairs: DataFrame, profiles: DataFrame, matches: int, percent: int)
                                F.col("signature").alias(f"signature_{name}"),
                                F.col("elements").alias(f"elements_{name}"))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    met = pairs.select("b").distinct()
+    both = pairs.join(side("a"), "a").join(side("b").join(met, "b", "left_semi"), "b")
     return (both.filter(F.size(F.array_intersect("signature_a", "signature_b")) >= matches)
             .withColumn("common", F.size(F.array_intersect("elements_a", "elements_b")))
             .filter(F.expr(f"100 * common >= {percent} * (size_a + size_b - common)"))
@@ -195,23 +212,26 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85, coordinates:
     """
     base = stage(signatures(docs, n, coordinates, id_col, text_col), "minhash-base")
     nodes = stage(base.filter(F.col("node").isNotNull()).groupBy("node")
-                  .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"),
-                       F.first("signature").alias("signature")), "minhash-nodes")
-    prefix = stage(prefixes(nodes, matches), "minhash-prefix")
+                  .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size")),
+                  "minhash-nodes")
+    signed = base.filter(F.col("signature").isNotNull()).select("node", "signature")
+    prefix = stage(prefixes(signed, matches), "minhash-prefix")
 
     least = (prefix.groupBy("token").agg(F.min("node").alias("b"), F.max("node").alias("last"))
              .filter("b <> last").select("token", "b"))
     pairs = stage(prefix.join(least, "token").filter("node <> b")
                   .select(F.col("node").alias("a"), "b").distinct(), "minhash-pairs")
-    met = (pairs.select(F.col("a").alias("node"))
-           .unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    met = stage(pairs.select(F.col("a").alias("node"))
+                .unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "minhash-met")
     members = met.join(nodes, "node")
-    wanted = members.select(F.col("doc_id").alias("_id")).distinct()
+    wanted = stage(members.select(F.col("doc_id").alias("_id")).distinct(), "minhash-wanted")
+    signed = (keep_marked(signed, "node", met, "node", 22).join(met, "node", "left_semi")
+              .dropDuplicates(["node"]))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     texts = (keep_marked(texts, "doc_id", wanted, "_id", 22)
              .join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text"))
-    profiles = stage(members.join(full_sets(texts, n).dropDuplicates(["node"]), "node"),
-                     "minhash-profiles")
+    profiles = stage(members.join(signed, "node").join(
+        full_sets(texts, n).dropDuplicates(["node"]), "node"), "minhash-profiles")
 
     links = stage(confirmed(pairs, profiles, matches, percent), "minhash-star")
     label = components(links, "minhash-label").select("node", F.col("root").alias("label"))
