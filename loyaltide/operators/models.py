@@ -1,16 +1,16 @@
 """Churn models as Spark ML jobs: leak-free preparation, fold loops, calibration, scores.
 
-Preparation is learned on the fit rows only.  Its parameters (a few numbers per column) are frozen to
-a one-row local table; rows never leave the cluster.  Loops run over folds and candidates, each step
-being one distributed fit.
+Preparation is learned on the fit rows only, for all folds together (``shared_preparation``); a few
+numbers per column and fold are held by the driver, level tables and rows never leave the cluster.
+Loops run over folds and candidates, each step being one distributed fit.
 """
 
 from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Collection, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Model
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
@@ -18,14 +18,14 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loyaltide import fixed_values as fv
 from loyaltide.functions.expressions import adjust_prior, hash_uniform, seeded_hash
-from loyaltide.operators import metrics, preprocessing as pp
+from loyaltide.operators import metrics, preprocessing as pp, shared_preparation
 from loyaltide.operators.features import build_features
-from loyaltide.operators.ranking import exact_quantiles, row_numbers
+from loyaltide.operators.ranking import row_numbers
 from loyaltide.staging import stage
 
 ID, TARGET, FOLD = "customer_id", "churn", "fold"
@@ -40,11 +40,6 @@ DEFAULTS: dict[str, dict] = {
 }
 
 
-def freeze(row: DataFrame) -> dict:
-    """One-row parameter table as a mapping (its width is the number of columns)."""
-    return row.first().asDict()
-
-
 @dataclass(frozen=True)
 class ModelSpec:
     """What to fit: a model kind, its parameters, the features and how leaks are treated."""
@@ -68,131 +63,204 @@ class ModelSpec:
 
 @dataclass
 class FittedModel:
-    """Preparation steps and a fitted Spark ML model."""
+    """Preparation steps and a fitted Spark ML model.
+
+    ``inputs`` names each position of the model's input vector; ``blocks`` are the runs of positions
+    ``(first, size)`` that code one category column.
+    """
 
     spec: ModelSpec
-    steps: list[Callable[[DataFrame], DataFrame]]
-    inputs: list[str]
+    prepare: Prepare
     model: Model
 
-    def vectors(self, df: DataFrame) -> DataFrame:
-        """Rows with the model's input vector; id, target and fold are kept when present."""
-        out = df
-        for step in self.steps:
-            out = step(out)
-        keep = [c for c in (*_BOOKKEEPING, _VARIANT) if c in out.columns]
-        return VectorAssembler(inputCols=self.inputs, outputCol="features").transform(out).select(
-            *keep, "features")
+    @property
+    def inputs(self) -> list[str]:
+        return self.prepare.names
+
+    @property
+    def blocks(self) -> list[tuple[int, int]]:
+        return self.prepare.blocks
 
-    def score(self, df: DataFrame, name: str = "proba_brute") -> DataFrame:
+    def vectors(self, df: DataFrame, ready: bool = False) -> DataFrame:
+        """Rows with the model's input vector; id, target and fold are kept when present.
+        ``ready``: the rows hold the built features already."""
+        return self.prepare.vectors(df if ready else self.prepare.features(df))
+
+    def score(self, df: DataFrame, name: str = "proba_brute", ready: bool = False) -> DataFrame:
         """Bookkeeping columns and ``<name>``: probability of leaving."""
-        scored = self.model.transform(self.vectors(df))
-        keep = [c for c in (*_BOOKKEEPING, _VARIANT) if c in scored.columns]
+        scored = self.model.transform(self.vectors(df, ready))
+        keep = [c for c in (*_BOOKKEEPING, _VARIANT, _CELL) if c in scored.columns]
         return scored.select(*keep, vector_to_array("probability")[1].alias(name))
 
 
 _BOOKKEEPING = (ID, TARGET, FOLD, "partition")
 _VARIANT = "variante"
+_CELL = "_cell"
 _KNOTS = (0.0, 0.25, 0.5, 0.75, 1.0)
 _CLIP = (0.01, 0.99)
+_MEDIAN = _KNOTS.index(0.5)
+
 
+@dataclass
+class Prepare:
+    """A learned preparation: feature rows to input vectors, without looking at data again."""
 
-def _column_facts(df: DataFrame, numeric: Sequence[str]) -> dict:
-    """Per numeric column, in one pass: has nulls, only 0/1, most frequent of 0/1."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for c in numeric:
-        aggs += [F.count(c).alias(f"{c}_n"), F.sum(F.col(c).cast("double")).alias(f"{c}_sum"),
-                 F.coalesce(F.bool_and(F.col(c).isin(0, 1)), F.lit(True)).alias(f"{c}_01")]
-    return df.agg(*aggs).first().asDict()
+    features: Callable[[DataFrame], DataFrame]
+    steps: list[Callable[[DataFrame], DataFrame]]
+    assembled: list[str]
+    names: list[str]
+    blocks: list[tuple[int, int]]
 
+    def vectors(self, rows: DataFrame) -> DataFrame:
+        out = rows
+        for step in self.steps:
+            out = step(out)
+        keep = [c for c in (*_BOOKKEEPING, _VARIANT, _CELL) if c in out.columns]
+        return VectorAssembler(inputCols=self.assembled, outputCol="features").transform(out).select(
+            *keep, "features")
 
-def _prepare(train: DataFrame, spec: ModelSpec
-             ) -> tuple[list[Callable[[DataFrame], DataFrame]], list[str], DataFrame, DataFrame]:
-    """Learn the preparation of ``spec`` on ``train``: steps, input columns, the persisted feature
-    rows (to release after the fit) and the prepared rows.
 
-    Three passes over the (persisted) feature rows: column facts, all quantiles at once, means and
-    deviations of the clipped columns; plus one over the categories.
-    """
-    steps: list[Callable[[DataFrame], DataFrame]] = []
-    inputs: list[str] = []
-    state = {"df": train.select(*[c for c in dict.fromkeys(
-        (*_BOOKKEEPING, *spec.columns)) if c in train.columns])}
+def _features(spec: ModelSpec, leak_medians: Mapping[str, object] | None = None
+              ) -> Callable[[DataFrame], DataFrame]:
+    """From the columns of a customer table to feature columns, row by row."""
+    def build(df: DataFrame) -> DataFrame:
+        keep = dict.fromkeys((*_BOOKKEEPING, _VARIANT, _CELL, *spec.columns))
+        out = df.select(*[c for c in keep if c in df.columns])
+        if leak_medians is not None:
+            out = pp.neutralize_leaks(out, leak_medians, pp.subset(out, fv.LEAK_COLUMNS))
+        out = pp.drop_columns(build_features(out, spec.groups, contract_months=spec.contract_months),
+                              spec.drop)
+        return pp.log_columns(out) if spec.kind == "logreg" else out
+    return build
+
 
-    def learn(step: Callable[[DataFrame], DataFrame]) -> None:
-        steps.append(step)
-        state["df"] = step(state["df"])
+def _wanted(spec: ModelSpec, numeric: Sequence[str], categories: Sequence[str]
+            ) -> shared_preparation.Wanted:
+    improved = spec.kind == "logreg"
+    return shared_preparation.Wanted(
+        numeric, categories, (*_KNOTS, *_CLIP), _MEDIAN,
+        clip=(len(_KNOTS), len(_KNOTS) + 1) if improved else None,
+        fill=spec.kind == "logreg_simple", share=0.01 if improved else None,
+        count=30 if spec.kind == "logreg_simple" else None)
 
+
+def _prepare(spec: ModelSpec, numeric: Sequence[str], categories: Sequence[str],
+             learned: shared_preparation.Learned, features: Callable[[DataFrame], DataFrame]
+             ) -> Prepare:
+    """The preparation of ``spec`` with what one training set taught."""
+    steps: list[Callable[[DataFrame], DataFrame]] = []
     improved = spec.kind == "logreg"
     trees = spec.kind in ("decision_tree", "random_forest", "boosting")
-    if spec.neutralize:
-        leaks = pp.subset(state["df"], fv.LEAK_COLUMNS)
-        leak_medians = freeze(pp.fit_medians(state["df"], leaks))
-        learn(lambda d: pp.neutralize_leaks(d, leak_medians, leaks))
-    learn(lambda d: pp.drop_columns(build_features(
-        d, spec.groups, contract_months=spec.contract_months), spec.drop))
-    if improved:
-        learn(pp.log_columns)
-    rows = state["df"] = state["df"].persist()
-
-    categories = [c for c in pp.category_columns(rows) if c not in _BOOKKEEPING]
-    numeric = [c for c in pp.numeric_columns(rows) if c not in _BOOKKEEPING]
-    facts = _column_facts(rows, numeric)
-    binary = [c for c in numeric if improved and facts[f"{c}_01"]]
-    splines = [c for c in pp.subset(rows, fv.SPLINE_COLUMNS) if improved and c not in binary]
+    binary = [c for c in numeric if improved and learned.only_01[c]]
+    splines = [c for c in fv.SPLINE_COLUMNS if improved and c in numeric and c not in binary]
     plain = [c for c in numeric if c not in binary and c not in splines]
-    measured = [*plain, *splines]
-    quantiles = {r["variable"]: r for r in exact_quantiles(
-        rows, measured, [*_KNOTS, *_CLIP]).collect()}       # one line per column
-    gaps = {f"{c}_gap": facts[f"{c}_n"] < facts["n"] for c in measured}
-
-    def median(c: str) -> float:
-        return quantiles[c]["q2"] if c in quantiles else 0.0
+    gaps = {f"{c}_gap": learned.recorded[c] < learned.n for c in numeric}
+    medians = {f"{c}_med": learned.quantiles[c][_MEDIAN] if c in learned.quantiles else 0.0
+               for c in numeric}
 
     if improved:
-        bounds = {f"{c}_{side}": quantiles[c][q] if c in quantiles else None
-                  for c in plain for side, q in (("low", "q5"), ("high", "q6"))}
-        learn(lambda d: pp.winsorize(d, bounds, plain))
-    medians = {f"{c}_med": median(c) for c in measured} | gaps
+        bounds = {f"{c}_{side}": learned.quantiles[c][len(_KNOTS) + i]
+                  if c in learned.quantiles else None
+                  for c in plain for i, side in enumerate(("low", "high"))}
+        steps.append(lambda d: pp.winsorize(d, bounds, plain))
     if not trees:
-        scaled_rows = state["df"] if improved else pp.impute_median(state["df"], medians, plain)
-        scale = freeze(pp.fit_scaler(scaled_rows, plain))
-        if improved:        # scale first, so that the indicators stay 0/1
-            learn(lambda d: pp.standardize(d, scale, plain))
-            for c in plain:
-                sd = scale[f"{c}_sd"]
-                medians[f"{c}_med"] = ((median(c) - (scale[f"{c}_mean"] or 0.0))
-                                       / (sd if sd and sd > 0 else 1.0))
+        scale = {f"{c}_{part}": learned.scale[c][i] if c in learned.scale else None
+                 for c in plain for i, part in enumerate(("mean", "sd"))}
+    if improved:            # scale first, so that the indicators stay 0/1
+        steps.append(lambda d: pp.standardize(d, scale, plain))
+        for c in plain:
+            mean, sd = learned.scale.get(c, (0.0, 1.0))
+            medians[f"{c}_med"] = (medians[f"{c}_med"] - mean) / (sd if sd > 0 else 1.0)
     indicator = improved or trees
-    learn(lambda d: pp.impute_median(d, medians, plain, indicator))
-    inputs += plain
+    steps.append(lambda d: pp.impute_median(d, medians | gaps, plain, indicator))
+    inputs = list(plain)
     if indicator:
         inputs += [f"{c}_manquant" for c in plain if gaps[f"{c}_gap"]]
     if spec.kind == "logreg_simple":
-        learn(lambda d: pp.standardize(d, scale, plain))
+        steps.append(lambda d: pp.standardize(d, scale, plain))
     if binary:
-        modes = {f"{c}_mode": int(2 * (facts[f"{c}_sum"] or 0) > facts[f"{c}_n"]) for c in binary}
-        learn(lambda d: pp.impute_mode(d, modes, binary))
+        modes = {f"{c}_mode": int(2 * learned.total[c] > learned.recorded[c]) for c in binary}
+        steps.append(lambda d: pp.impute_mode(d, modes, binary))
         inputs += binary
     if splines:
-        knots = {f"{c}_k{i}": quantiles[c][f"q{i}"] for c in splines for i in range(len(_KNOTS))}
-        learn(lambda d: pp.impute_median(d, medians, splines))
+        knots = {f"{c}_k{i}": learned.quantiles[c][i] for c in splines for i in range(len(_KNOTS))}
+        steps.append(lambda d: pp.impute_median(d, medians | gaps, splines))
         for c in splines:
-            learn(lambda d, c=c: pp.spline_basis(d, knots, c))
+            steps.append(lambda d, c=c: pp.spline_basis(d, knots, c))
             inputs += [f"{c}_sp{i}" for i in range(len(_KNOTS) + 2)]
-    if categories:
-        share, count = (None, None) if trees else (0.01, None) if improved else (None, 30)
-        table = pp.fit_levels(rows, categories, share, count)
-        local = rows.sparkSession.createDataFrame(table.collect(), table.schema)  # a few levels
-        if trees:
-            learn(lambda d: pp.ordinal_codes(d, local, categories).withColumns(
+    if trees:
+        if categories:
+            steps.append(lambda d: pp.ordinal_codes(d, learned.levels, categories).withColumns(
                 {c: F.coalesce(F.col(c), F.lit(-2)) for c in categories}))
-            inputs += categories
-        else:
-            before = set(state["df"].columns)
-            learn(lambda d: pp.one_hot(d, local, categories, infrequent=not improved))
-            inputs += [c for c in state["df"].columns if c not in before]
-    return steps, inputs, rows, state["df"]
+        inputs += categories
+        return Prepare(features, steps, inputs, list(inputs), [])
+    names, blocks, assembled = list(inputs), [], list(inputs)
+    for c in categories:
+        size = learned.slots[c] + (not improved)            # a slot for all other levels
+        if size:
+            steps.append(lambda d, c=c, size=size: pp.one_hot_sparse(
+                d, learned.levels, c, size, not improved))
+            blocks.append((len(names), size))
+            names += [f"{c}_{i}" for i in range(size)]
+            assembled.append(f"{c}_vecteur")
+    return Prepare(features, steps, assembled, names, blocks)
+
+
+class Prepared:
+    """Feature rows of a customer table, written once, and the preparation of each of its training
+    sets; fits and scores of any number of models read those rows."""
+
+    def __init__(self, df: DataFrame, spec: ModelSpec, cell: Column,
+                 left_out: Mapping[int, Collection[int]], leak_medians: Mapping | None = None):
+        self.spec, self.left_out = spec, dict(left_out)
+        features = _features(spec, leak_medians)
+        self.rows = stage(features(df.withColumn(_CELL, cell.cast("int"))), "feature-rows")
+        skip = (*_BOOKKEEPING, _CELL, _VARIANT)
+        numeric = [c for c in pp.numeric_columns(self.rows) if c not in skip]
+        categories = [c for c in pp.category_columns(self.rows) if c not in skip]
+        self.learned = shared_preparation.learn(self.rows, _CELL, self.left_out,
+                                                _wanted(spec, numeric, categories))
+        self.prepare = {p: _prepare(spec, numeric, categories, taught, features)
+                        for p, taught in self.learned.items()}
+
+    def train_rows(self, plan: int) -> DataFrame:
+        out = list(self.left_out[plan])
+        return self.rows.filter(~F.col(_CELL).isin(out)) if out else self.rows
+
+    def fit(self, plan: int, specs: Sequence[ModelSpec]) -> list[FittedModel]:
+        """Models of one training set: its vectors are made once and kept for all fits.  The specs
+        may differ from the prepared one in the parameters of the model only."""
+        prepare, n = self.prepare[plan], self.learned[plan].n
+        rows = prepare.vectors(self.train_rows(plan)).select(
+            "features", F.col(TARGET).cast("double").alias(TARGET)).persist()
+        try:
+            return [FittedModel(s, prepare, _estimator(s, n).fit(rows)) for s in specs]
+        finally:
+            rows.unpersist()
+
+
+def _cells(df: DataFrame) -> Column:
+    """The frozen folds as cells; rows without a fold are a cell that is never left out."""
+    return F.coalesce(F.col(FOLD), F.lit(-1)) if FOLD in df.columns else F.lit(0)
+
+
+def _leak_medians(df: DataFrame, spec: ModelSpec) -> dict[str, object]:
+    """Medians of the columns that reveal a departure, and whether they have nulls."""
+    leaks = [c for c in pp.subset(df, fv.LEAK_COLUMNS) if c in spec.columns]
+    return pp.fit_medians(df, leaks).first().asDict()       # one row
+
+
+def _prepared_folds(df: DataFrame, spec: ModelSpec, cell: Column,
+                    left_out: Mapping[int, Collection[int]]) -> dict[int, Prepared]:
+    """The preparation that serves each training set.  One for all of them, unless the features
+    themselves are learned from the training rows."""
+    if not spec.neutralize:
+        return dict.fromkeys(left_out, Prepared(df, spec, cell, left_out))
+    out = {}
+    for p, cells in left_out.items():
+        seen = df.filter(~cell.isin(list(cells))) if cells else df
+        out[p] = Prepared(df, spec, cell, {p: cells}, _leak_medians(seen, spec))
+    return out
 
 
 def _estimator(spec: ModelSpec, n_rows: int):
@@ -213,17 +281,8 @@ def _estimator(spec: ModelSpec, n_rows: int):
 
 
 def fit_model(train: DataFrame, spec: ModelSpec) -> FittedModel:
-    """Learn preparation and model on ``train``; the prepared rows are kept only for the fit."""
-    steps, inputs, base, prepared = _prepare(train, spec)
-    rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(prepared).select(
-        "features", F.col(TARGET).cast("double").alias(TARGET)).persist()
-    try:
-        n_rows = rows.count()
-        model = _estimator(spec, n_rows).fit(rows)
-    finally:
-        rows.unpersist()
-        base.unpersist()
-    return FittedModel(spec, steps, inputs, model)
+    """Learn preparation and model on ``train``."""
+    return _prepared_folds(train, spec, F.lit(0), {0: ()})[0].fit(0, [spec])[0]
 
 
 def dummy_scores(df: DataFrame, seed: int = 42, target: str = TARGET, fold: str = FOLD,
@@ -249,20 +308,37 @@ class CVResult:
     per_fold: DataFrame
 
 
+def _fold_scores(df: DataFrame, specs: Sequence[ModelSpec], folds: Sequence[int],
+                 train_too: bool) -> DataFrame:
+    """Scores of every model left without a fold, for the rows of the fold (and all others):
+    bookkeeping, ``_model`` (the fold) and one column ``s<i>`` per spec.
+
+    The preparations of all folds are learned together; per fold one pass scores all its models.
+    """
+    out = None
+    prepared = _prepared_folds(df, specs[0], _cells(df), {k: (k,) for k in folds})
+    for k in folds:
+        rows = prepared[k].rows if train_too else prepared[k].rows.filter(F.col(_CELL) == k)
+        scored = prepared[k].prepare[k].vectors(rows)
+        for i, fitted in enumerate(prepared[k].fit(k, specs)):
+            fitted.model.setProbabilityCol(f"_p{i}").setPredictionCol(f"_c{i}")
+            fitted.model.setRawPredictionCol(f"_r{i}")
+            scored = fitted.model.transform(scored).withColumn(
+                f"s{i}", vector_to_array(f"_p{i}")[1]).drop(f"_p{i}", f"_c{i}", f"_r{i}")
+        part = scored.drop("features", _CELL).withColumn("_model", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return stage(out, "fold-scores")                   # read by every metric
+
+
 def cross_validate(df: DataFrame, spec: ModelSpec, folds: Sequence[int] = range(5),
                    train_auc: bool = True) -> CVResult:
     """Fit on the other folds, score the fold, for each fold of a frozen fold column."""
-    parts, seen = None, None
-    for k in folds:
-        fitted = fit_model(df.filter(F.col(FOLD) != k), spec)
-        part = fitted.score(df.filter(F.col(FOLD) == k), "score")
-        parts = part if parts is None else parts.unionByName(part)
-        if train_auc:
-            again = fitted.score(df.filter(F.col(FOLD) != k), "score").withColumn(FOLD, F.lit(k))
-            seen = again if seen is None else seen.unionByName(again)
-    scores = stage(parts, "fold_scores")               # read by every metric below and after
+    rows = _fold_scores(df, [spec], folds, train_auc).withColumnRenamed("s0", "score")
+    scores = rows.filter(F.col(FOLD) == F.col("_model")).drop("_model")
     per_fold = metrics.compute_metrics(scores, "score", by=[FOLD])
     if train_auc:
+        seen = rows.filter(~F.col(FOLD).eqNullSafe(F.col("_model"))).drop(FOLD) \
+            .withColumnRenamed("_model", FOLD)
         per_fold = per_fold.join(metrics.roc_auc(seen, "score", by=[FOLD]).withColumnRenamed(
             "roc_auc", "auc_train"), FOLD)
     return CVResult(scores, per_fold)
@@ -332,20 +408,31 @@ def calibration_choice(table: DataFrame, preferred: str = "sigmoid") -> DataFram
 def parameter_search(df: DataFrame, spec: ModelSpec, space: Mapping[str, Sequence],
                      n_trials: int = 10, folds: Sequence[int] = range(5), seed: int = 42
                      ) -> DataFrame:
-    """Seeded random draws from a grid, each evaluated on the frozen folds: one line per trial."""
+    """Seeded random draws from a grid, each evaluated on the frozen folds: one line per trial.
+
+    Trials share the preparation and the vectors of each fold, one scoring pass per fold and one
+    ranking for the AUC of all trials, folds and sides.
+    """
     grid = [dict(zip(space, values, strict=True)) for values in itertools.product(*space.values())]
     random.Random(seed).shuffle(grid)
-    out = None
-    for i, params in enumerate(grid[:n_trials]):
-        trial = ModelSpec(**{**spec.__dict__, "params": {**spec.params, **params}})
-        per_fold = cross_validate(df, trial, folds).per_fold
-        row = per_fold.agg(
-            F.avg("roc_auc").alias("auc_moyenne"), F.stddev_samp("roc_auc").alias("auc_ecart_type"),
-            F.avg(F.col("auc_train") - F.col("roc_auc")).alias("ecart_train"))
-        row = row.select(F.lit(i).alias("essai"), F.lit(str(sorted(params.items()))).alias(
-            "parametres"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    trials = grid[:n_trials]
+    rows = _fold_scores(df, [replace(spec, params={**spec.params, **t}) for t in trials], folds, True)
+    long = rows.select(TARGET, F.col("_model").alias(FOLD),
+                       F.col(FOLD).eqNullSafe(F.col("_model")).alias("_test"),
+                       F.inline(F.array(*[F.struct(F.lit(i).alias("essai"),
+                                                   F.col(f"s{i}").alias("score"))
+                                          for i in range(len(trials))])))
+    aucs = metrics.roc_auc(long, "score", by=["essai", FOLD, "_test"])
+    sides = aucs.groupBy("essai", FOLD).agg(
+        F.max(F.when(F.col("_test"), F.col("roc_auc"))).alias("_auc"),
+        F.max(F.when(~F.col("_test"), F.col("roc_auc"))).alias("_train"))
+    named = F.create_map(*[x for i, t in enumerate(trials)
+                           for x in (F.lit(i), F.lit(str(sorted(t.items()))))])
+    return sides.groupBy("essai").agg(
+        F.avg("_auc").alias("auc_moyenne"), F.stddev_samp("_auc").alias("auc_ecart_type"),
+        F.avg(F.col("_train") - F.col("_auc")).alias("ecart_train")).select(
+            "essai", named[F.col("essai")].alias("parametres"), "auc_moyenne", "auc_ecart_type",
+            "ecart_train")
 
 
 # --- Calibration and final scores ----------------------------------------------------------
@@ -401,9 +488,9 @@ class CalibratedModel:
     sample_rate: float
     real_rate: float = fv.REAL_RATE
 
-    def score(self, df: DataFrame, partition: str) -> DataFrame:
+    def score(self, df: DataFrame, partition: str, ready: bool = False) -> DataFrame:
         """Raw, calibrated and corrected probability of each row."""
-        raw = self.fitted.score(df, "proba_brute").drop("partition")
+        raw = self.fitted.score(df, "proba_brute", ready).drop("partition", _CELL)
         scored = self.calibrator.apply(raw)
         return scored.withColumns({
             "partition": F.lit(partition),
@@ -417,24 +504,68 @@ def inner_folds(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return ranked.withColumn(FOLD, F.pmod("rn", F.lit(k)).cast("int")).drop("rn", "rn_n", "_h")
 
 
+def _calibrated(prepared: Mapping[int, Prepared], whole: int, inner: Mapping[int, int],
+                spec: ModelSpec, inner_cells: Callable[[int], Collection[int]], method: str,
+                rate: float, real_rate: float) -> CalibratedModel:
+    """The model of training set ``whole``; its calibrator learns on the scores of the models
+    without an inner fold (``inner``: inner fold to training set) for the rows of that fold."""
+    oof = None
+    for j, plan in inner.items():
+        of = prepared[plan]
+        fitted, = of.fit(plan, [spec])
+        part = fitted.score(of.rows.filter(F.col(_CELL).isin(list(inner_cells(j)))), "score", True)
+        oof = part if oof is None else oof.unionByName(part)
+    calibrator = fit_calibrator(stage(oof, "inner-scores"), method)
+    fitted, = prepared[whole].fit(whole, [spec])
+    return CalibratedModel(fitted, calibrator, rate, real_rate)
+
+
 def fit_calibrated(train: DataFrame, spec: ModelSpec, method: str = "sigmoid", k: int = 5,
                    real_rate: float = fv.REAL_RATE) -> CalibratedModel:
-    inner = inner_folds(train, k)
-    oof = cross_validate(inner, spec, range(k), train_auc=False).scores
-    calibrator = fit_calibrator(oof, method)
+    """Model of all rows, calibrated on scores out of ``k`` inner folds; all share a preparation."""
+    rows = inner_folds(train, k)
+    left_out = {j: (j,) for j in range(k)} | {k: ()}
+    prepared = _prepared_folds(rows, spec, F.col(FOLD), left_out)
     rate = float(train.agg(F.avg(TARGET)).first()[0])
-    return CalibratedModel(fit_model(train, spec), calibrator, rate, real_rate)
+    return _calibrated(prepared, k, {j: j for j in range(k)}, spec, lambda j: (j,), method, rate,
+                       real_rate)
 
 
 def out_of_fold_scores(df: DataFrame, spec: ModelSpec, method: str = "sigmoid",
                        folds: Sequence[int] = range(5), k_inner: int = 5,
                        real_rate: float = fv.REAL_RATE) -> DataFrame:
     """Every row scored by a calibrated model that never saw it; the prior correction uses the
-    rate of the rows each model learned from."""
+    rate of the rows each model learned from.
+
+    Inner folds are drawn once for all rows, so a row's cell is its pair of folds, and the
+    ``folds x (k_inner + 1)`` training sets share one preparation.
+    """
+    inner = inner_folds(df, k_inner).select(ID, F.col(FOLD).alias("_inner"))
+    rows = df.join(inner, ID)
+    cell = _cells(df) * k_inner + F.col("_inner")
+    values = [r[0] for r in df.select(_cells(df)).distinct().collect()]      # one line per fold
+
+    def outer(k: int) -> list[int]:
+        return [k * k_inner + j for j in range(k_inner)]
+
+    left_out, numbers = {}, {}
+    for k in folds:
+        for j in (*range(k_inner), None):
+            numbers[k, j] = len(left_out)
+            left_out[len(left_out)] = (*outer(k), *([f * k_inner + j for f in values]
+                                                    if j is not None else ()))
+    prepared = _prepared_folds(rows, spec, cell, left_out)
+    counts = {r["c"]: r for r in df.groupBy(_cells(df).alias("c")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(TARGET).alias("pos")).collect()}
     out = None
     for k in folds:
-        model = fit_calibrated(df.filter(F.col(FOLD) != k), spec, method, k_inner, real_rate)
-        part = model.score(df.filter(F.col(FOLD) == k), fv.TRAIN_OOF)
+        seen = [r for c, r in counts.items() if c != k]
+        rate = sum(r["pos"] for r in seen) / sum(r["n"] for r in seen)
+        model = _calibrated(
+            prepared, numbers[k, None], {j: numbers[k, j] for j in range(k_inner)}, spec,
+            lambda j, k=k: [f * k_inner + j for f in values if f != k], method, rate, real_rate)
+        of = prepared[numbers[k, None]]
+        part = model.score(of.rows.filter(F.col(_CELL).isin(outer(k))), fv.TRAIN_OOF, True)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -450,7 +581,7 @@ def leak_test(df: DataFrame, spec: ModelSpec, active: str, folds: Sequence[int]
     out = None
     flags = df.select(ID, F.col(active).alias("_active"))
     for name, neutralize in (("complet", False), ("neutralise", True)):
-        variant = ModelSpec(**{**spec.__dict__, "neutralize": neutralize})
+        variant = replace(spec, neutralize=neutralize)
         scores = cross_validate(df, variant, folds, train_auc=False).scores.join(flags, ID)
         everyone = metrics.roc_auc(scores, "score", by=[FOLD]).withColumnRenamed("roc_auc", "auc")
         active_rows = metrics.roc_auc(scores.filter("_active"), "score", by=[FOLD]) \

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -212,6 +213,26 @@ def one_hot_vector(df: DataFrame, levels: DataFrame, columns: Sequence[str], id_
         (F.max("_n") + (len(columns) if infrequent else 0)).alias("size"))
 
 
+def one_hot_sparse(df: DataFrame, levels: DataFrame, column: str, size: int,
+                   infrequent: bool = False) -> DataFrame:
+    """Replace ``column`` by ``<column>_vecteur``, sparse vectors with one slot per frequent level.
+
+    ``levels`` is ``variable, niveau, slot`` and meets the rows in a join; other levels are all
+    zeros, or share the last of the ``size`` slots if there is one for them (``infrequent``).
+    """
+    slots = levels.filter((F.col("variable") == column) & F.col("slot").isNotNull()).select(
+        F.col("niveau").alias("_level"), F.col("slot").alias("_slot"))
+    text = F.coalesce(F.col(column).cast("string"), F.lit(MISSING))
+    other = size - 1 if infrequent else size
+    nominal = {"ml_attr": {"type": "nominal", "num_vals": size}}
+    rows = (df.withColumn("_text", text).join(slots, F.col("_text") == F.col("_level"), "left")
+            .withColumn("_place", F.coalesce("_slot", F.lit(other)).cast("double"))
+            .withMetadata("_place", nominal))
+    coder = OneHotEncoder(inputCol="_place", outputCol=f"{column}_vecteur", dropLast=not infrequent,
+                          handleInvalid="error" if infrequent else "keep")
+    return coder.fit(rows).transform(rows).drop(column, "_text", "_level", "_slot", "_place")
+
+
 def ordinal_codes(df: DataFrame, levels: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Level position as a number; unknown -1, null stays null.  Spark picks the join by size."""
     out = df

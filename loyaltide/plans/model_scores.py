@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loyaltide import fixed_values as fv
@@ -52,12 +52,20 @@ def linear_explanation(fitted: models.FittedModel, learned_from: DataFrame, rows
         Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
     weights = fitted.model.coefficients.toArray()
     base = float(fitted.model.intercept + weights @ mean)
-    by_source: dict[str, list[int]] = {}
+    by_source: dict[str, list[Column]] = {}
+    coded = {i for first, size in fitted.blocks for i in range(first, first + size)}
     for i, name in enumerate(fitted.inputs):
-        by_source.setdefault(source_of_input(name, fitted.spec.columns), []).append(i)
-    lines = [F.struct(F.lit(v).alias("variable"), sum(
-        ((F.col("_x")[i] - float(mean[i])) * float(weights[i]) for i in places),
-        F.lit(0.0)).alias("contribution")) for v, places in sorted(by_source.items())]
+        if i not in coded:
+            by_source.setdefault(source_of_input(name, fitted.spec.columns), []).append(
+                (F.col("_x")[i] - float(mean[i])) * float(weights[i]))
+    for first, size in fitted.blocks:                      # one slot of many is 1
+        own = weights[first:first + size]
+        dot = F.aggregate(F.zip_with(F.slice("_x", first + 1, size), F.lit(own.tolist()),
+                                     lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+        by_source.setdefault(source_of_input(fitted.inputs[first], fitted.spec.columns), []).append(
+            dot - float(own @ mean[first:first + size]))
+    lines = [F.struct(F.lit(v).alias("variable"), sum(parts, F.lit(0.0)).alias("contribution"))
+             for v, parts in sorted(by_source.items())]
     out = fitted.vectors(rows).select(ID, vector_to_array("features").alias("_x"))
     return out.select(ID, F.inline(F.array(*lines))), base
 
