@@ -1,16 +1,15 @@
 """Phrase collocations by weighted acyclic automata.
 
-A window is a word and up to three words after it in its piece.  Each task turns the windows of a
-shard (some million words) into automata: sorted windows become a tree whose arcs carry the number
-of windows through them, and states with the same continuations are merged, last ones first.  Every
-range of prefixes has an automaton of its own, so the automata of all shards for one range meet in
-one group: they are united, weights summed, and every arc of weight 30 or more is a phrase with its
-count.
-
-A range is a slice of the hash of language and first two words.  Where both words are so frequent
-that their pair alone could fill a range, the third word decides too, and the pair's count is summed
-over ranges.  Words with fewer than ``least`` occurrences end windows (no candidate holds one); what
-tasks know of that is a bitmap of fixed size, which may only let more words pass.
+Each task turns the n-grams of a shard (some million words) into automata: sorted n-grams become a
+tree whose arcs carry the number of n-grams through them, and states with the same continuations are
+merged, last ones first.  Every range of prefixes has an automaton of its own, so the automata of all
+shards for one range meet in one group: they are united, weights summed, and every arc of weight 30
+or more is a phrase with its count.  A range is a slice of the hash of language and first words: two
+words for the pairs, three for the longer phrases, so a frequent word or pair is spread over ranges.
+
+A phrase is no more frequent than its parts.  So words are counted first, pairs only of words that
+occur often enough, longer n-grams only along such pairs.  What tasks know of that are bitmaps of
+fixed size, which may let more pass and never less.
 
 Counts of parts: phrases with the same first two words meet in a range again, as an automaton whose
 arcs carry counts; composed with the phrases it yields the counts of all their beginnings.  The same
@@ -29,15 +28,17 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loyaltide.llm.common import text_batches
+from loyaltide.llm.common import give_back, text_batches
 from loyaltide.staging import stage
 
 LONGEST = 4
-SHARD_WORDS = 1_000_000        # words of a shard
-RANGE_WORDS = 1_500_000        # words whose windows one range holds on average
+SHARD_WORDS = 800_000          # words of a shard
+UNION_ARCS = 400_000           # arcs united at a time
+RANGE_WORDS = 6_000_000        # words whose n-grams one range holds on average
 RANGE_PHRASES = 100_000        # phrases composed together on average
-DISTINCT = 400_000             # different words counted at a time
-BITS = 24                      # the bitmap of frequent words has 2 ** BITS places
+DISTINCT = 250_000             # different words counted at a time
+BITS = 24                      # a bitmap has 2 ** BITS places
+BUCKETS = 64                   # parts of a language in which the foremost phrases are found first
 UNKNOWN = "und"
 
 _PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
@@ -107,6 +108,10 @@ class Automaton:
             arcs.append((keys // width, keys % width, weight))
         return cls(np.arange(width), _merged(arcs))
 
+    @property
+    def arcs(self) -> int:
+        return sum(len(symbol) for _, symbol, _, _ in self.levels)
+
     def with_symbols(self, symbols: np.ndarray) -> Automaton:
         """The same automaton with labels for its positions; labels without an arc are dropped."""
         used = np.zeros(len(symbols), bool)
@@ -213,9 +218,24 @@ def unite(automata: list[Automaton]) -> Automaton:
     parts = [a.sequences() for a in automata]
     paths = [np.concatenate([p[i] for p, _ in parts]) for i in range(len(parts[0][0]))]
     weights = np.concatenate([w for _, w in parts])
+    del parts
     symbols = np.unique(np.concatenate(paths))
-    places = [np.where(p == 0, _NONE, np.searchsorted(symbols, p)) for p in paths]
-    return Automaton.of(places, weights).with_symbols(symbols)
+    for i, path in enumerate(paths):
+        paths[i] = np.where(path == 0, _NONE, np.searchsorted(symbols, path))
+    return Automaton.of(paths, weights).with_symbols(symbols)
+
+
+def unite_packed(packed: list[bytes]) -> Automaton:
+    """The union of packed automata, some at a time: what is in hand besides the union so far stays
+    below it in size, or below ``UNION_ARCS``."""
+    whole, waiting, arcs = None, [], 0
+    for data in packed:
+        waiting.append(Automaton.unpack(data))
+        arcs += waiting[-1].arcs
+        if arcs > max(UNION_ARCS, whole.arcs // 2 if whole else 0):
+            whole = unite([whole, *waiting] if whole else waiting)
+            waiting, arcs = [], 0
+    return unite([whole, *waiting] if whole else waiting) if waiting else whole
 
 
 # -- words -------------------------------------------------------------------------------------------
@@ -244,30 +264,45 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if sum(map(len, counts.values())) > DISTINCT:
                     yield from rows()
         yield from rows()
+        give_back()
 
     partial = docs.mapInPandas(
         run, "lang string, lang_key bigint, word string, label bigint, f bigint")
     return partial.groupBy("lang", "lang_key", "word", "label").agg(F.sum("f").alias("f"))
 
 
-def _bitmap(words: DataFrame) -> np.ndarray:
-    """Places of the words' labels as bits: at most ``2 ** (BITS - 6)`` rows come to the driver."""
-    rows = (words.select(F.expr(f"label & {2 ** BITS - 1}L").alias("p"))
+def _bitmap(marks: DataFrame) -> np.ndarray:
+    """The places ``mark`` as bits: at most ``2 ** (BITS - 6)`` rows come to the driver."""
+    rows = (marks.select(F.expr(f"mark & {2 ** BITS - 1}L").alias("p"))
             .groupBy(F.shiftright("p", 6).alias("at"))
             .agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("bits")).toPandas())
     out = np.zeros(2 ** (BITS - 6), np.uint64)
     out[rows["at"].to_numpy().astype(np.int64)] = (
         rows["bits"].to_numpy().astype(np.int64).view(np.uint64))
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
+
 
+def _marked(bitmap: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    at = marks.astype(np.uint64) & np.uint64(2 ** BITS - 1)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-# -- windows -----------------------------------------------------------------------------------------
+
+def _key(*labels: np.ndarray) -> np.ndarray:
+    """Hash of languages and first words."""
+    key = np.zeros(len(labels[0]), np.uint64)
+    for label in labels:
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + label.view(np.uint64))
+    return key
+
+
+# -- n-grams -----------------------------------------------------------------------------------------
 
 class Shard:
-    """Words of some documents, and their windows as one automaton per range."""
+    """Words of some documents, and their n-grams as one automaton per range: pairs of frequent
+    words, or with a bitmap of frequent pairs the longer n-grams made of those."""
 
-    def __init__(self, frequent: np.ndarray, hot: np.ndarray, ranges: int):
-        self.frequent, self.hot, self.ranges = frequent, hot, ranges
+    def __init__(self, words: np.ndarray, pairs: np.ndarray | None, ranges: int):
+        self.words, self.pairs, self.ranges = words, pairs, ranges
         self.clear()
 
     def clear(self) -> None:
@@ -278,15 +313,16 @@ class Shard:
 
     def _new(self, word: bytes) -> int:
         label = _label(word)
+        at = label & (2 ** BITS - 1)
         code = _NONE
-        if self.frequent[label & (2 ** BITS - 1)]:
+        if self.words[at >> 3] >> (at & 7) & 1:
             code = len(self.labels)
             self.labels.append(label)
         self.number[word] = code
         return code
 
     def add(self, lang: int, text: str | None) -> None:
-        """Append a document: each piece starts with its language and ends with a gap."""
+        """Append a document: each piece starts with its language, which is a gap between words."""
         get, codes = self.number.get, self.codes
         for words in _pieces(text):
             codes.append(-2 - lang)
@@ -296,26 +332,28 @@ class Shard:
             self.size += len(words)
 
     def automata(self, langs: list[int]) -> Iterator[tuple[int, bytes]]:
-        code = np.array(self.codes + [_NONE] * LONGEST, np.int64)
+        """``(range, packed automaton)``; ``langs`` are the labels of the languages."""
+        self.codes += [_NONE] * LONGEST
+        code = np.array(self.codes, np.int32)
+        self.codes = []
         start = np.flatnonzero(code < _NONE)
         if not len(start):
             return
-        lang = np.repeat(-2 - code[start], np.diff(np.r_[start, len(code)]))
-        code = np.where(code < _NONE, _NONE, code)
-        at = np.flatnonzero(code[:len(code) - LONGEST] != _NONE)
-        at = at[code[at + 1] != _NONE]
-        place = [code[at], code[at + 1]]
-        for i in range(2, LONGEST):
-            place.append(np.where(place[-1] == _NONE, _NONE, code[at + i]))
         label = np.array([*self.labels, *langs], np.int64)
-        words = len(self.labels)
-        place.insert(0, lang[at] + words)
-        hot = np.isin(label[:words], self.hot)
-        key = _mixed(label[place[0]].view(np.uint64) ^ _mixed(label[place[1]].view(np.uint64)))
-        key = _mixed(key ^ (label[place[2]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        third = np.where(place[3] == _NONE, 0, label[place[3]]).view(np.uint64)
-        split = _mixed(key ^ (third * np.uint64(0xC2B2AE3D27D4EB4F)))
-        key = np.where(hot[place[1]] & hot[place[2]], split, key)
+        lang = np.repeat(np.int32(len(self.labels) - 2) - code[start],
+                         np.diff(np.r_[start, len(code)]))
+        code[start] = _NONE
+        at = np.flatnonzero((code[:-1] != _NONE) & (code[1:] != _NONE))
+        key = _key(label[lang[at]], label[code[at]], label[code[at + 1]])
+        if self.pairs is None:
+            place = [lang[at], code[at], code[at + 1]]
+        else:
+            ok = np.zeros(len(code), bool)
+            ok[at] = _marked(self.pairs, key)
+            at = np.flatnonzero(ok[:-1] & ok[1:])
+            place = [lang[at], code[at], code[at + 1], code[at + 2],
+                     np.where(ok[at + 2], code[np.minimum(at + 3, len(code) - 1)], _NONE)]
+            key = _key(*[label[p] for p in place[:4]])
         range_ = ((key >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(range_, kind="stable")
         bounds = np.searchsorted(range_[order], np.arange(self.ranges + 1))
@@ -323,17 +361,17 @@ class Shard:
             rows = order[bounds[r]:bounds[r + 1]]
             symbols, local = np.unique(np.concatenate([p[rows] for p in place]),
                                        return_inverse=True)
-            local = local.reshape(len(place), -1)
             gap = 1 if symbols[0] == _NONE else 0
-            yield int(r), (Automaton.of([*(local - gap)], np.ones(len(rows), np.int64))
+            yield int(r), (Automaton.of([*(local.reshape(len(place), -1) - gap)],
+                                        np.ones(len(rows), np.int64))
                            .with_symbols(label[symbols[gap:]]).pack())
 
 
-def shard_automata(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray,
+def shard_automata(docs: DataFrame, words: np.ndarray, pairs: np.ndarray | None,
                    ranges: int) -> DataFrame:
-    """``range, automaton`` of the windows of ``lang, text``, one per shard and range."""
+    """``range, automaton`` of the n-grams of ``lang, text``, one per shard and range."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, langs = Shard(frequent, hot, ranges), {}
+        shard, langs = Shard(words, pairs, ranges), {}
 
         def rows():
             found = list(shard.automata([_label(x.encode()) for x in langs]))
@@ -347,36 +385,36 @@ def shard_automata(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray,
                 if shard.size > SHARD_WORDS:
                     yield rows()
         yield rows()
+        give_back()
 
     return docs.mapInPandas(run, "range int, automaton binary")
 
 
-def phrase_counts(automata: DataFrame, least: int, hot: np.ndarray) -> DataFrame:
-    """``lang_key, words, f``: phrases of 2 to 4 words with at least ``least`` occurrences."""
+def phrase_counts(automata: DataFrame, least: int, shortest: int) -> DataFrame:
+    """``lang_key, words, f, mark``: phrases of ``shortest`` words or more with at least ``least``
+    occurrences; ``mark`` is the place of a phrase's first two words in a bitmap."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = unite([Automaton.unpack(x) for x in pdf["automaton"]])
-        rows, state, path = [], np.zeros(1, np.int64), []
+        whole = unite_packed(pdf["automaton"].tolist())
+        parts, state, path = [], np.zeros(1, np.int64), []
         for depth, (degree, symbol, weight, target) in enumerate(whole.levels):
             first = np.cumsum(degree) - degree
             many = degree[state]
             arc = _spread(first[state], many)
             path = [np.repeat(p, many) for p in path] + [whole.symbols[symbol[arc]]]
             state = target[arc]
-            if depth < 2:
+            if depth < shortest:
                 continue
             keep = weight[arc] >= least                     # longer ones are no more frequent
-            if depth == 2:                                  # these pairs are in several ranges
-                keep |= np.isin(path[1], hot) & np.isin(path[2], hot)
             path, state = [p[keep] for p in path], state[keep]
-            rows += [(lang, words, f) for lang, *words, f in
-                     zip(*[p.tolist() for p in path], weight[arc][keep].tolist(), strict=True)]
-        return pd.DataFrame(rows, columns=["lang_key", "words", "f"]).astype(
-            {"lang_key": "int64", "f": "int64"})
+            mark = (_key(*path[:3]) & np.uint64(2 ** BITS - 1)).astype(np.int64)
+            parts.append(pd.DataFrame({"lang_key": path[0], "words": list(np.stack(path[1:], 1)),
+                                       "f": weight[arc][keep], "mark": mark}))
+        del whole
+        give_back()
+        return pd.concat(parts)
 
-    found = automata.groupBy("range").applyInPandas(
-        run, "lang_key bigint, words array<bigint>, f bigint")
-    return (found.groupBy("lang_key", "words").agg(F.sum("f").alias("f"))
-            .filter(F.col("f") >= least))
+    return automata.groupBy("range").applyInPandas(
+        run, "lang_key bigint, words array<bigint>, f bigint, mark bigint")
 
 
 # -- parts -------------------------------------------------------------------------------------------
@@ -430,21 +468,20 @@ def mine(docs: DataFrame, least: int = 30, top: int = 2000, inside: int = 80,
                   "collocation-words")
     totals = words.filter(F.col("word").isNull()).select("lang", "lang_key", F.col("f").alias("n"))
     words = words.filter(F.col("word").isNotNull())
-    whole = totals.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, -(-whole // RANGE_WORDS))
-    # Words that could fill a quarter of a range: at most four of them for each range.
-    hot = (words.groupBy("label").agg(F.sum("f").alias("f")).filter(F.col("f") >= RANGE_WORDS // 4)
-           .select("label").toPandas()["label"].to_numpy().astype(np.int64))
-    automata = shard_automata(rows, _bitmap(words), hot, ranges)
-    phrases = stage(phrase_counts(automata, least, hot), "collocation-phrases")
-
-    longer = (phrases.filter(F.size("words") > 2).select("lang_key", F.col("f").alias("longest"),
+    ranges = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS))
+    often = _bitmap(words.select(F.col("label").alias("mark")))
+    pairs = stage(phrase_counts(shard_automata(rows, often, None, ranges), least, 2),
+                  "collocation-pairs")
+    longer = phrase_counts(shard_automata(rows, often, _bitmap(pairs), ranges), least, 3)
+    phrases = stage(pairs.unionByName(longer).drop("mark"), "collocation-phrases")
+
+    around = (phrases.filter(F.size("words") > 2).select("lang_key", F.col("f").alias("longest"),
               F.explode(F.expr("flatten(transform(sequence(2, size(words) - 1), k -> transform("
                                "sequence(1, size(words) - k + 1), i -> slice(words, i, k))))"))
               .alias("words"))
               .groupBy("lang_key", "words").agg(F.max("longest").alias("longest")))
     begun = part_counts(phrases, "begins")
-    parts = part_counts(begun, "ends", backwards=True).join(longer, ["lang_key", "words"], "left")
+    parts = part_counts(begun, "ends", backwards=True).join(around, ["lang_key", "words"], "left")
     alone = parts.filter(F.expr("longest IS NULL OR CAST(longest AS DECIMAL(20, 0)) * 100 < "
                                 f"CAST(f AS DECIMAL(20, 0)) * {inside}"))
     single = words.select("lang_key", "label", "f")
@@ -462,9 +499,10 @@ def mine(docs: DataFrame, least: int = 30, top: int = 2000, inside: int = 80,
     scored = counted.withColumn("best", best).select(
         "lang_key", "words", F.col("f").alias("a"), "best.l", "best.r", "best.score")
     order = [F.desc("score"), F.desc("a")]
-    foremost = (scored.withColumn("place", F.rank().over(Window.partitionBy("lang_key")
-                                                         .orderBy(*order)))
-                .filter(F.col("place") <= top))
+    foremost = scored.withColumn("bucket", F.pmod(F.xxhash64("words"), F.lit(BUCKETS)))
+    for group in (["lang_key", "bucket"], ["lang_key"]):    # with ties, which the words decide
+        place = F.rank().over(Window.partitionBy(*group).orderBy(*order))
+        foremost = foremost.withColumn("place", place).filter(F.col("place") <= top)
     spelt = (foremost.select("*", F.posexplode("words").alias("at", "label"))
              .join(words.select("lang_key", "label", "word"), ["lang_key", "label"])
              .groupBy("lang_key", "words", "a", "l", "r", "score")

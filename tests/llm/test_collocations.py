@@ -41,7 +41,7 @@ def test_equals_counts_of_every_phrase(make, rows, least):
     assert report(make(rows), least=least) == want and len(want) > 5
 
 
-def test_hot_pairs_over_many_ranges(make, rows, monkeypatch):
+def test_many_ranges(make, rows, monkeypatch):
     monkeypatch.setattr(collocations, "RANGE_WORDS", 400)
     monkeypatch.setattr(collocations, "RANGE_PHRASES", 20)
     want = sorted(brute.collocations([(lang, t) for _, t, lang, _ in rows], 3))
@@ -83,6 +83,15 @@ def test_union_sums_weights():
     assert sequences(collocations.unite(shards)) == sum(parts, Counter())
 
 
+@pytest.mark.parametrize("arcs", [1, 50, 10 ** 6])
+def test_union_some_at_a_time(monkeypatch, arcs):
+    monkeypatch.setattr(collocations, "UNION_ARCS", arcs)
+    r = random.Random(2)
+    parts = [made_up(r, 60) for _ in range(9)]
+    whole = collocations.unite_packed([automaton(p).pack() for p in parts])
+    assert sequences(whole) == sum(parts, Counter())
+
+
 def test_equal_states_are_merged():
     """Every first symbol goes on alike: one state holds what follows, whatever its number."""
     grams = {(i, 7, 8 + j): 1 for i in range(100, 200) for j in range(5)}
