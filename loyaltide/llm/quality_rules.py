@@ -2,12 +2,15 @@
 
 Every document gets a few counts.  Their rates enter quantile sketches: logarithmic buckets of a
 relative width (DDSketch, Masson et al. 2019), so a sketch is a set of (bucket, count) rows, two
-sketches merge by adding counts, and neither order nor partitioning can change a quantile.  A
-language-source pair with few documents takes the sketch of its language, a rare language the
-sketch of all documents: the merged counts of the finer ones.  Cut-offs are quartiles plus a
-multiple of the quartile distance.  Rates that are zero in most documents have no such distance:
-where a rate is usual in a group, its cut-off is a multiple of a high quantile of the documents that
-have it (their rates have a long tail), and only where it is not a fixed floor.  The filter joins the cut-offs to the documents.
+sketches merge by adding counts, and neither order nor partitioning can change a quantile.  Sketches
+of a language, and of all documents, are the merged counts of the finer ones.
+
+A group's own cut-off of a rate is the largest of: its third quartile plus a multiple of the quartile
+distance; a few occurrences in a document of the group's shorter kind (by the quartile of lengths),
+which chance alone may bring; and, as far as the rate is usual in the group, a multiple of a high
+quantile of the documents that have it (their rates have a long tail).  A group with ``n`` documents
+weighs its own cut-off ``n / (n + k)`` against that of its language, and a language against all
+documents, so nothing jumps with the size of a group.  The filter joins the cut-offs to the documents.
 """
 
 from __future__ import annotations
@@ -25,19 +28,22 @@ ALPHA = 0.01                   # relative error of a quantile
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
 LEAST = 1e-6                   # rates below are zero
 ZERO = -100_000                # their bucket
-MIN_DOCUMENTS = 100            # of a sketch that is used by itself
-
-TAIL = 10                      # times as many documents for a sketch whose non-zero part is used
-
-#: rate -> (multiple of the quartile distance, least distance from the quartile), upper side.
-UPPER = {"symbols": (6.0, 0.05), "repeats": (6.0, 0.1), "dup_lines": (6.0, 0.05),
-         "stutters": (6.0, 0.1), "word_length": (3.0, 1.5)}
-#: rate -> share of a group's documents that have it, from which on it is usual there.
-USUAL = {"symbols": 0.1, "repeats": 0.02, "dup_lines": 0.1, "stutters": 0.1}
-MIN_USUAL = 3                  # documents that must have it
-HIGH, TIMES = 0.9, 2.0         # its cut-off there: quantile of the documents that have it, multiple
-#: The same for the lower side.
-LOWER = {"word_length": (3.0, 1.5)}
+PRIOR = 100                    # documents that weigh as much as the coarser group
+REACH = 6.0                    # quartile distances beyond the quartile
+
+#: rate -> occurrences (in words or characters) that chance may bring to a short document, and what
+#: its length is counted in.
+BY_CHANCE = {"symbols": (16.0, "word_chars"), "repeats": (16.0, "n_words"),
+             "dup_lines": (16.0, "n_words"), "stutters": (16.0, "n_words")}
+#: rate -> share of a group's documents that have it, up to which its tail counts for nothing; from
+#: twice that share on it counts in full.
+USUAL = {"symbols": 0.1, "repeats": 0.01, "dup_lines": 0.1, "stutters": 0.1}
+HIGH, TIMES = 0.9, 2.0         # the tail: quantile of the documents that have the rate, multiple
+#: Mean word lengths differ by chance with the square root of the number of words.
+LENGTH, LENGTH_BY_CHANCE = "word_length", 24.0
+RATES = [*BY_CHANCE, LENGTH]
+SIZES = ["n_words", "word_chars"]
+CUTS = [f"{r}_high" for r in RATES] + [f"{LENGTH}_low"]
 
 
 def _repeat_words(hashes: Column) -> Column:
@@ -141,46 +147,58 @@ def quantiles(sketches: DataFrame, by: list[str], probs: dict[str, float],
             .withColumn("_zeros", zeros).groupBy(*by, "rate").agg(*aggs))
 
 
-def thresholds(measured: DataFrame, least: int = MIN_DOCUMENTS) -> DataFrame:
-    """Cut-offs per language and source: ``lang, source`` and ``<rate>_high`` / ``<rate>_low``.
+def own_cuts(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Cut-offs of each group by its own documents: ``by..., n`` and one column per cut-off."""
+    table = quantiles(sketches, by, {"q1": 0.25, "q3": 0.75}, {"high": HIGH})
+    wide = table.groupBy(*by).agg(F.max("n").alias("n"), *[
+        F.max(F.when(F.col("rate") == r, F.col(q))).alias(f"{r}_{q}")
+        for r in RATES + SIZES for q in ("q1", "q3", "n_tail", "high")])
+    cuts = []
+    for r, (few, length) in BY_CHANCE.items():
+        usual = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"{r}_n_tail") / F.col("n")
+                                               / USUAL[r] - 1.0))
+        cuts.append(F.greatest(
+            F.col(f"{r}_q3") + REACH * (F.col(f"{r}_q3") - F.col(f"{r}_q1")),
+            F.lit(few) / F.col(f"{length}_q1"),
+            F.coalesce(TIMES * usual * F.col(f"{r}_high"), F.lit(0.0))).alias(f"{r}_high"))
+    reach = F.greatest(REACH * (F.col(f"{LENGTH}_q3") - F.col(f"{LENGTH}_q1")),
+                       F.lit(LENGTH_BY_CHANCE) / F.sqrt(F.col("n_words_q1")))
+    cuts += [(F.col(f"{LENGTH}_q3") + reach).alias(f"{LENGTH}_high"),
+             (F.col(f"{LENGTH}_q1") - reach).alias(f"{LENGTH}_low")]
+    return wide.select(*by, "n", *cuts)
+
+
+def thresholds(measured: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """Cut-offs per language and source: ``t_lang, t_source`` and ``<rate>_high`` / ``<rate>_low``.
 
     Learnt from the documents that pass the base rules; null languages and sources are groups.
-    A sketch of ``least`` documents gives quartiles, one of ``TAIL`` times as many the non-zero part.
     """
-    names = list(UPPER)
-    good = rates(measured.filter(~base_failed()))
-    fine = stage(sketch(good, names, ["lang", "source"]), "rule-sketches")
-    probs, tail = {"q1": 0.25, "q3": 0.75}, {"high": HIGH}
-    pair = quantiles(fine, ["lang", "source"], probs, tail)
-    lang = quantiles(merge(fine, ["lang"]), ["lang"], probs, tail)
-    every = quantiles(merge(fine, []), [], probs, tail)
-    q = lambda t, d: t.select(*[F.col(c).alias(f"{d}_{c}") for c in t.columns])
-    p, g, e = q(pair, "p"), q(lang, "l"), q(every, "e")
-    joined = (p.join(g, F.col("p_lang").eqNullSafe(F.col("l_lang"))
-                     & (F.col("p_rate") == F.col("l_rate")))
-              .join(e, F.col("p_rate") == F.col("e_rate")))
-    pick = lambda k, few=least: (
-        F.when(F.col("p_n") >= few, F.col(f"p_{k}"))
-        .when(F.col("l_n") >= few, F.col(f"l_{k}")).otherwise(F.col(f"e_{k}")).alias(k))
-    quart = joined.select(F.col("p_lang").alias("t_lang"), F.col("p_source").alias("t_source"),
-                          F.col("p_rate").alias("rate"), pick("q1"), pick("q3"),
-                          *[pick(k, TAIL * least) for k in ("n", "n_tail", "high")])
-    reach = lambda k, least_: F.greatest(F.lit(k) * (F.col("q3") - F.col("q1")), F.lit(least_))
-    usual = lambda r: F.when(
-        (F.col("n_tail") >= USUAL.get(r, math.inf) * F.col("n")) & (F.col("n_tail") >= MIN_USUAL),
-        TIMES * F.col("high"))
-    cuts = [F.max(F.when(F.col("rate") == r, F.greatest(F.col("q3") + reach(*a), usual(r))))
-            .alias(f"{r}_high") for r, a in UPPER.items()]
-    cuts += [F.max(F.when(F.col("rate") == r, F.col("q1") - reach(*a))).alias(f"{r}_low")
-             for r, a in LOWER.items()]
-    return quart.groupBy("t_lang", "t_source").agg(*cuts)
+    good = rates(measured.filter(~base_failed())).withColumns(
+        {c: F.col(c).cast("double") for c in SIZES})
+    fine = stage(sketch(good, RATES + SIZES, ["lang", "source"]), "rule-sketches")
+    levels = []
+    for prefix, table in (("p", own_cuts(fine, ["lang", "source"])),
+                          ("l", own_cuts(merge(fine, ["lang"]), ["lang"])),
+                          ("e", own_cuts(merge(fine, []), []))):
+        levels.append(table.select(*[F.col(c).alias(f"{prefix}_{c}") for c in table.columns]))
+    pair, lang, every = levels
+    joined = (pair.join(lang, F.col("p_lang").eqNullSafe(F.col("l_lang")))
+              .crossJoin(F.broadcast(every)))              # one row
+    weight = {d: F.col(f"{d}_n") / (F.col(f"{d}_n") + prior) for d in "pl"}
+
+    def shrunk(cut: str) -> Column:
+        of_lang = weight["l"] * F.col(f"l_{cut}") + (1 - weight["l"]) * F.col(f"e_{cut}")
+        return (weight["p"] * F.col(f"p_{cut}") + (1 - weight["p"]) * of_lang).alias(cut)
+
+    return joined.select(F.col("p_lang").alias("t_lang"), F.col("p_source").alias("t_source"),
+                         *[shrunk(c) for c in CUTS])
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
 
 
-def apply_rules(docs: DataFrame, least: int = MIN_DOCUMENTS, **columns: str) -> DataFrame:
+def apply_rules(docs: DataFrame, prior: float = PRIOR, **columns: str) -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` per document.
 
     Null and empty texts have no words and fail the base rule; null languages and sources form
@@ -188,43 +206,49 @@ def apply_rules(docs: DataFrame, least: int = MIN_DOCUMENTS, **columns: str) ->
     result; other columns are not looked at.
     """
     measured = stage(measure(docs, **columns), "rule-counts")
-    cuts = thresholds(measured, least)
+    cuts = thresholds(measured, prior)
     rated = rates(measured)
     joined = rated.join(cuts, rated["lang"].eqNullSafe(cuts["t_lang"])
                         & rated["source"].eqNullSafe(cuts["t_source"]), "left")
     broken = F.lit(False)
-    for r in UPPER:
+    for r in RATES:
         broken = broken | F.coalesce(F.col(r) > F.col(f"{r}_high"), F.lit(False))
-    for r in LOWER:
-        broken = broken | F.coalesce(F.col(r) < F.col(f"{r}_low"), F.lit(False))
+    broken = broken | F.coalesce(F.col(LENGTH) < F.col(f"{LENGTH}_low"), F.lit(False))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                          "n_repeat_words", base_failed().alias("base_failed"),
                          (~base_failed() & ~broken).alias("kept"))
 
 
 def _rules_sql() -> str:
-    """The same counts and sketches in DuckDB; its verdicts keep the fixed reach above the third
-    quartile and have no non-zero part, so they agree only where repeats are usual."""
-    upper = {**UPPER, "repeats": (6.0, 0.3)}
+    """The same counts, sketches, cut-offs and verdicts in DuckDB."""
     rate = {"symbols": "n_symbols / greatest(word_chars, 1)", "repeats": "n_repeat_words / n_words",
             "dup_lines": "n_dup_lines / n_words", "stutters": "n_stutters / n_words",
             "word_length": "word_chars / n_words"}
-    long = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {r} AS v FROM rated WHERE NOT base_failed"
-                              for r in UPPER)
-    reach = "greatest({0}::DOUBLE * (q3 - q1), {1}::DOUBLE)"
-    cuts = [f"max(CASE WHEN rate = '{r}' THEN q3 + {reach.format(*a)} END) AS {r}_high"
-            for r, a in upper.items()]
-    cuts += [f"max(CASE WHEN rate = '{r}' THEN q1 - {reach.format(*a)} END) AS {r}_low"
-             for r, a in LOWER.items()]
-    broken = [f"coalesce({r} > {r}_high, false)" for r in UPPER]
-    broken += [f"coalesce({r} < {r}_low, false)" for r in LOWER]
-
-    def quartiles(name: str, by: str) -> str:
+    long = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, CAST({r} AS DOUBLE) AS v FROM rated WHERE NOT base_failed"
+                              for r in RATES + SIZES)
+    broken = [f"coalesce({r} > {r}_high, false)" for r in RATES]
+    broken.append(f"coalesce({LENGTH} < {LENGTH}_low, false)")
+    cuts = []
+    for r, (few, length) in BY_CHANCE.items():
+        usual = f"greatest(0, least(1, {r}_n_tail / n / {USUAL[r]!r}::DOUBLE - 1))"
+        cuts.append(f"greatest({r}_q3 + {REACH!r}::DOUBLE * ({r}_q3 - {r}_q1), {few!r}::DOUBLE / {length}_q1, "
+                    f"coalesce({TIMES!r}::DOUBLE * {usual} * {r}_high, 0)) AS {r}_high")
+    reach = (f"greatest({REACH!r}::DOUBLE * ({LENGTH}_q3 - {LENGTH}_q1), "
+             f"{LENGTH_BY_CHANCE!r}::DOUBLE / sqrt(n_words_q1))")
+    cuts += [f"{LENGTH}_q3 + {reach} AS {LENGTH}_high", f"{LENGTH}_q1 - {reach} AS {LENGTH}_low"]
+
+    def level(name: str, by: str) -> str:
         part = f"PARTITION BY {by}{', ' if by else ''}rate"
+        of = f"{by}, " if by else ""
         goal = "min(CASE WHEN upto > {p}::DOUBLE * (n - 1) THEN mid END) AS {q}"
-        return f""", {name} AS (SELECT {by}{', ' if by else ''}rate, max(n) AS n, {goal.format(p=0.25, q='q1')}, {goal.format(p=0.75, q='q3')}
-  FROM (SELECT *, sum(k) OVER ({part} ORDER BY bucket) AS upto, sum(k) OVER ({part}) AS n FROM
-    (SELECT {by}{', ' if by else ''}rate, bucket, mid, count(*) AS k FROM sketch GROUP BY ALL)) GROUP BY ALL)"""
+        wide = ", ".join(f"max({q}) FILTER (WHERE rate = '{r}') AS {r}_{q}"
+                         for r in RATES + SIZES for q in ("q1", "q3", "n_tail", "high"))
+        return f""", {name} AS (SELECT {of}n, {', '.join(cuts)} FROM (SELECT {of}CAST(max(n) AS DOUBLE) AS n, {wide} FROM (
+  SELECT {of}rate, max(n) AS n, {goal.format(p=0.25, q='q1')}, {goal.format(p=0.75, q='q3')}, CAST(max(n - zeros) AS DOUBLE) AS n_tail,
+    min(CASE WHEN upto > zeros AND upto - zeros >= {HIGH!r}::DOUBLE * (n - zeros) THEN mid END) AS high
+  FROM (SELECT *, sum(k) OVER ({part} ORDER BY bucket) AS upto, sum(k) OVER ({part}) AS n,
+      coalesce(sum(CASE WHEN bucket = {ZERO} THEN k END) OVER ({part}), 0) AS zeros FROM
+    (SELECT {of}rate, bucket, mid, count(*) AS k FROM sketch GROUP BY ALL)) GROUP BY ALL) GROUP BY ALL))"""
 
     return rf"""
 WITH w AS (
@@ -244,11 +268,9 @@ rated AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_
   {', '.join(f'CASE WHEN n_words > 0 THEN CAST({e.split(" / ")[0]} AS DOUBLE) / {e.split(" / ")[1]} END AS {r}' for r, e in rate.items())} FROM counted),
 sketch AS (SELECT *, CASE WHEN bucket = {ZERO} THEN 0.0::DOUBLE ELSE {2.0 / (GAMMA + 1)!r}::DOUBLE * pow({GAMMA!r}::DOUBLE, bucket) END AS mid
   FROM (SELECT lang, source, rate, CASE WHEN v < {LEAST!r}::DOUBLE THEN {ZERO} ELSE CAST(ceil(ln(v) / {math.log(GAMMA)!r}::DOUBLE) AS INTEGER) END AS bucket
-        FROM ({long}) WHERE v IS NOT NULL)){quartiles('fine', 'lang, source')}{quartiles('by_lang', 'lang')}{quartiles('everything', '')},
-cuts AS (SELECT lang, source, {', '.join(cuts)} FROM (
-  SELECT f.lang, f.source, f.rate, CASE WHEN f.n >= {MIN_DOCUMENTS} THEN f.q1 WHEN l.n >= {MIN_DOCUMENTS} THEN l.q1 ELSE e.q1 END AS q1,
-    CASE WHEN f.n >= {MIN_DOCUMENTS} THEN f.q3 WHEN l.n >= {MIN_DOCUMENTS} THEN l.q3 ELSE e.q3 END AS q3
-  FROM fine f JOIN by_lang l ON f.lang IS NOT DISTINCT FROM l.lang AND f.rate = l.rate JOIN everything e ON f.rate = e.rate) GROUP BY ALL)
+        FROM ({long}) WHERE v IS NOT NULL)){level('fine', 'lang, source')}{level('by_lang', 'lang')}{level('everything', '')},
+cuts AS (SELECT p.lang, p.source, {', '.join(f"p.n / (p.n + {float(PRIOR)!r}::DOUBLE) * p.{c} + (1 - p.n / (p.n + {float(PRIOR)!r}::DOUBLE)) * (l.n / (l.n + {float(PRIOR)!r}::DOUBLE) * l.{c} + (1 - l.n / (l.n + {float(PRIOR)!r}::DOUBLE)) * e.{c}) AS {c}" for c in CUTS)}
+  FROM fine p JOIN by_lang l ON p.lang IS NOT DISTINCT FROM l.lang, everything e)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT ({' OR '.join(broken)}) AS kept
 FROM rated LEFT JOIN cuts ON rated.lang IS NOT DISTINCT FROM cuts.lang AND rated.source IS NOT DISTINCT FROM cuts.source

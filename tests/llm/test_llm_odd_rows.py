@@ -341,10 +341,37 @@ def test_mix_meets_targets_through_the_tree(make, monkeypatch):
 def test_apply_mix(odd):
     decisions = mixing.mix(odd)
     got = mixing.apply_mix(odd, decisions)
-    want = decisions.select(F.sum(F.col("m") * F.col("copies"))).first()[0]
+    want = decisions.select(F.sum(F.col("m") * F.col("copies") + F.col("more"))).first()[0]
     assert got.count() == want and got.columns == odd.columns
 
 
+@pytest.mark.parametrize("seed", [11, 12, 13, 14])
+def test_mix_divides_equal_rows(make, seed):
+    """Half of a source's rows are one row: its words come as near the target as any other's."""
+    rows = [(i, "w " * (5 + i % 7), "en", "a") for i in range(600)]
+    rows += [(9, "w " * 7, "en", "a")] * 600
+    rows += [(2000 + i, "w " * (3 + i % 5), "en", "bc"[i % 2]) for i in range(300)]
+    docs = make(rows)
+    got = mixing.mix_report(docs, seed=seed).toPandas()
+    assert len(got) == len(rows)
+    for _, part in got.groupby("source"):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 11
+    repeated = got[got.doc_id == 9]["copies"]
+    assert repeated.max() - repeated.min() <= 1
+    mixed = mixing.apply_mix(docs, mixing.mix(docs, seed=seed)).groupBy("doc_id").count()
+    want = got.groupby("doc_id")["copies"].sum()
+    assert {r.doc_id: r["count"] for r in mixed.collect()} == want[want > 0].to_dict()
+
+
+def test_mix_with_clashing_names(make):
+    rows = [(i // 4, "w " * 5, None, "a") for i in range(40)] + [(99, "x y", None, "b")]
+    docs = make(rows).withColumnsRenamed({"size": "_size", "score": "_copies", "n_chars": "_key0"})
+    got = mixing.apply_mix(docs, mixing.mix(docs))
+    assert got.columns == docs.columns
+    report = mixing.mix_report(docs).agg(F.sum("copies")).first()[0]
+    assert got.count() == report and got.filter("_size <> 7 OR _copies <> 'x'").isEmpty()
+
+
 def test_shards(odd, none):
     got = sharding.shard(odd, 5).collect()
     assert Counter(r.doc_id for r in got) == IDS
@@ -405,6 +432,30 @@ def test_repeats_are_judged_by_their_group(make):
     assert all(x.kept for d, x in got.items() if d < 5000)
 
 
+def test_two_groups_give_one_document_different_verdicts(spark, make, tmp_path):
+    """The same document in a clean group and in one where such rates are usual, and SQL agrees."""
+    from catalog.compare import compare, connect
+    r = np.random.default_rng(6)
+
+    def text(repeated, symbols=0):
+        w = [f"w{x}" for x in r.permutation(100_000)[:200 - repeated]] + ["###"] * symbols
+        return " ".join(w + w[:repeated])
+
+    rows = [(i, text(0), "en", "clean") for i in range(300)]
+    rows += [(i, text(0 if i % 4 else 25, i % 3), "en", "usual") for i in range(1000, 1300)]
+    rows += [(i, text(0), lang, source) for i, (lang, source) in enumerate(
+        [("de", None), (None, "clean"), (None, None)] * 5, 2000)]
+    odd_one = text(23)
+    rows += [(5000, odd_one, "en", "clean"), (5001, odd_one, "en", "usual")]
+    docs = make(rows)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/part")
+    spark.read.parquet(f"{tmp_path}/part").toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.kept for x in quality_rules.apply_rules(docs).collect()}
+    assert not got[5000] and got[5001]
+    assert compare(spark, connect(str(tmp_path)), lambda s, d: quality_rules.apply_rules(
+        s.read.parquet(f"{d}/documents.parquet")), quality_rules.SQL, str(tmp_path)).startswith("ok")
+
+
 def test_quantiles_of_the_part_that_is_not_zero(spark):
     df = spark.range(0, 1000).select(F.when(F.col("id") < 100, F.col("id") + 1.0).otherwise(0.0)
                                      .alias("v"), F.lit("g").alias("g"))
