@@ -19,7 +19,8 @@ backwards yields the counts of their ends.  Words and languages are told apart b
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,10 +50,14 @@ def _label(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - 2 ** 63
 
 
+def _lower(text: str | None) -> bytes:
+    """The text with A-Z lower-cased and each end of a piece a line end."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().translate(_PIECES)
+
+
 def _pieces(text: str | None) -> list[list[bytes]]:
-    """Words of each piece of a text, A-Z lower-cased."""
-    whole = (text or "").encode("utf-8", "surrogatepass").lower().translate(_PIECES)
-    return [words for words in map(bytes.split, whole.split(b"\n")) if words]
+    """Words of each piece of a text."""
+    return [words for words in map(bytes.split, _lower(text).split(b"\n")) if words]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -66,6 +71,19 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts, counts) + np.arange(len(offset)) - offset
 
 
+def _sorted_rows(paths: list[np.ndarray], width: int) -> np.ndarray:
+    """The order of rows of numbers from -1 to ``width - 2``; several places are sorted as one."""
+    keys, room = [], 0
+    for place in paths:
+        if room < width:
+            keys.append(place + 1)
+            room = 2 ** 62 // width
+        else:
+            keys[-1] = keys[-1] * width + (place + 1)
+            room //= width
+    return np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+
+
 def _smallest(a: np.ndarray) -> np.ndarray:
     """The same numbers, none negative, in the smallest type."""
     top = int(a.max()) if len(a) else 0
@@ -92,20 +110,28 @@ class Automaton:
         that ends with it weighs (0 if there is none).
         """
         width = max((int(p.max()) + 1 for p in paths if len(p)), default=1)
-        arcs, row = [], np.arange(len(weights))
-        state = np.zeros(len(weights), np.int64)
+        order = _sorted_rows(paths, width + 1)
+        weights = weights[order]
+        upto = np.r_[0, np.cumsum(weights)]
+        new = np.arange(len(order)) == 0
+        state = np.zeros(len(order), np.int64)
+        arcs = []
         for depth, place in enumerate(paths):
-            alive = place[row] != _NONE
-            row = row[alive]
-            keys, state = np.unique(state[alive] * width + place[row], return_inverse=True)
+            place = place[order]
+            new[1:] |= place[1:] != place[:-1]              # another sequence up to here
+            begins = np.flatnonzero(new)
+            held = place[begins] != _NONE
+            first = begins[held]
             if summed:
-                weight = np.bincount(state, weights[row], len(keys)).astype(np.int64)
-            else:
-                weight = np.zeros(len(keys), np.int64)
-                last = (paths[depth + 1][row] == _NONE) if depth + 1 < len(paths) else np.full(
-                    len(row), True)
-                weight[state[last]] = weights[row[last]]
-            arcs.append((keys // width, keys % width, weight))
+                weight = upto[np.r_[begins[1:], len(order)][held]] - upto[first]
+            else:                                           # sequences that end come first
+                ends = (paths[depth + 1][order[first]] == _NONE if depth + 1 < len(paths)
+                        else np.full(len(first), True))
+                weight = np.where(ends, weights[first], 0)
+            arcs.append((state[first], place[first], weight))
+            mark = np.zeros(len(order), np.int64)
+            mark[first] = 1
+            state = np.cumsum(mark) - 1
         return cls(np.arange(width), _merged(arcs))
 
     @property
@@ -243,7 +269,7 @@ def unite_packed(packed: list[bytes]) -> Automaton:
 def word_counts(docs: DataFrame) -> DataFrame:
     """``lang, lang_key, word, label, f`` of ``lang, text``; the row without a word has the total."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, dict[bytes, int]] = {}
+        counts: dict[str, Counter] = {}
 
         def rows():
             for lang, of in counts.items():
@@ -256,11 +282,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                of = counts.setdefault(lang, {})
-                get = of.get
-                for words in _pieces(text):
-                    for w in words:
-                        of[w] = get(w, 0) + 1
+                counts.setdefault(lang, Counter()).update(_lower(text).split())
                 if sum(map(len, counts.values())) > DISTINCT:
                     yield from rows()
         yield from rows()
@@ -297,6 +319,18 @@ def _key(*labels: np.ndarray) -> np.ndarray:
 
 # -- n-grams -----------------------------------------------------------------------------------------
 
+class Codes(dict):
+    """Numbers of words, given when a word is first met."""
+
+    def __init__(self, new: Callable[[bytes], int]):
+        super().__init__()
+        self.new = new
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = self.new(word)
+        return code
+
+
 class Shard:
     """Words of some documents, and their n-grams as one automaton per range: pairs of frequent
     words, or with a bitmap of frequent pairs the longer n-grams made of those."""
@@ -306,7 +340,7 @@ class Shard:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.code_of = Codes(self._new)
         self.labels: list[int] = []
         self.codes: list[int] = []
         self.size = 0
@@ -314,21 +348,16 @@ class Shard:
     def _new(self, word: bytes) -> int:
         label = _label(word)
         at = label & (2 ** BITS - 1)
-        code = _NONE
-        if self.words[at >> 3] >> (at & 7) & 1:
-            code = len(self.labels)
-            self.labels.append(label)
-        self.number[word] = code
-        return code
+        if not self.words[at >> 3] >> (at & 7) & 1:
+            return _NONE
+        self.labels.append(label)
+        return len(self.labels) - 1
 
     def add(self, lang: int, text: str | None) -> None:
         """Append a document: each piece starts with its language, which is a gap between words."""
-        get, codes = self.number.get, self.codes
         for words in _pieces(text):
-            codes.append(-2 - lang)
-            for w in words:
-                code = get(w)
-                codes.append(self._new(w) if code is None else code)
+            self.codes.append(-2 - lang)
+            self.codes.extend(map(self.code_of.__getitem__, words))
             self.size += len(words)
 
     def automata(self, langs: list[int]) -> Iterator[tuple[int, bytes]]:
@@ -359,12 +388,15 @@ class Shard:
         bounds = np.searchsorted(range_[order], np.arange(self.ranges + 1))
         for r in np.flatnonzero(np.diff(bounds)):
             rows = order[bounds[r]:bounds[r + 1]]
-            symbols, local = np.unique(np.concatenate([p[rows] for p in place]),
-                                       return_inverse=True)
-            gap = 1 if symbols[0] == _NONE else 0
-            yield int(r), (Automaton.of([*(local.reshape(len(place), -1) - gap)],
+            used = np.zeros(len(label) + 1, bool)           # the last one stands for no word
+            for p in place:
+                used[p[rows]] = True
+            used[_NONE] = False
+            local = np.cumsum(used) - 1
+            local[_NONE] = _NONE
+            yield int(r), (Automaton.of([local[p[rows]] for p in place],
                                         np.ones(len(rows), np.int64))
-                           .with_symbols(label[symbols[gap:]]).pack())
+                           .with_symbols(label[used[:-1]]).pack())
 
 
 def shard_automata(docs: DataFrame, words: np.ndarray, pairs: np.ndarray | None,
