@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII blanks (the same set as ``bytes.split``).
@@ -39,6 +40,33 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, lengthened until none of them is among the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def draw(labelled: DataFrame, key: str, marks: list[str], most: int, rare: float = 0.1) -> DataFrame:
+    """A sample of distinct ``key`` with its ``marks``, by hash of the key, of bounded size.
+
+    About ``most`` rows in the proportions of the mark values; a value that would have fewer than
+    ``rare`` of ``most`` gets that many (all it has, if fewer), so the sample has at most
+    ``most * (1 + rare * values)`` rows.
+    """
+    order = Window.partitionBy(*marks).orderBy(F.xxhash64(key), key)
+    sizes = labelled.groupBy(*marks).agg(F.count(F.lit(1)).alias("_of"))
+    sizes = sizes.withColumn("_all", F.sum("_of").over(Window.partitionBy()))   # a row per value
+    ranked = (labelled.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most)
+              .join(F.broadcast(sizes), marks))
+    share = F.floor(F.lit(float(most)) * F.col("_of") / F.greatest(F.col("_all"), F.lit(most)))
+    quota = F.greatest(share, F.lit(int(rare * most)))
+    return ranked.filter(F.col("_rank") <= quota).drop("_rank", "_of", "_all")
+
+
 def text_batches(df: DataFrame) -> DataFrame:
     """``df``, with Arrow batches of 1000 rows where the session keeps Spark's default of 10 000.
 

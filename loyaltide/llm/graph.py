@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loyaltide.llm.common import unused
 from loyaltide.staging import stage
 
 
@@ -50,13 +51,15 @@ def keep_marked(df: DataFrame, column: str, wanted: DataFrame, wanted_column: st
     ``2 ** (bits - 6)`` rows of 16 bytes whatever the data, so it may be broadcast.  With more keys
     than it can tell apart it merely filters less.
     """
+    at, word, bit, mask = unused([*df.columns, wanted_column], "_p", "_word", "_bit", "_mask")
+
     def place(c):
         return F.pmod(F.xxhash64(F.col(c)), F.lit(2 ** bits))
 
-    words = (wanted.select(place(wanted_column).alias("_p"))
-             .select(F.shiftright("_p", 6).alias("_word"), (F.col("_p") % 64).cast("int").alias("_bit"))
-             .groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_mask")))
-    placed = df.withColumn("_p", place(column)).withColumn("_word", F.shiftright("_p", 6))
-    return (placed.join(F.broadcast(words), "_word")
-            .filter(F.expr("(shiftright(_mask, CAST(_p % 64 AS INT)) & 1L) = 1L"))
-            .select(*df.columns))
+    words = (wanted.select(place(wanted_column).alias(at))
+             .select(F.shiftright(at, 6).alias(word), (F.col(at) % 64).cast("int").alias(bit))
+             .groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias(mask)))
+    placed = df.withColumn(at, place(column)).withColumn(word, F.shiftright(at, 6))
+    return (placed.join(F.broadcast(words), word)
+            .filter(F.expr(f"(shiftright({mask}, CAST({at} % 64 AS INT)) & 1L) = 1L"))
+            .select(*[F.col(f"`{c}`") for c in df.columns]))

@@ -14,10 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loyaltide.llm.common import text_batches
+from loyaltide.llm.common import text_batches, unused
 
 BUCKETS = 1 << 14              # hashed n-grams of one to three characters
 NGRAMS = (1, 2, 3)
@@ -199,7 +199,9 @@ def train(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
     h = F.xxhash64("id", "text")
     sampled = (rows.join(F.broadcast(shares), "lang")
                .filter(F.pmod(h, F.lit(1_000_000)) < F.col("share") * 1_000_000)
-               .select("id", "text", "lang", h.alias("h"))
+               .groupBy("lang", h.alias("h")).agg(F.first("text").alias("text"))   # repeats are one
+               .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+               .filter(F.col("place") <= 2 * goal).drop("place")
                .mapInPandas(encode, "lang string, h bigint, at array<int>, n array<bigint>")
                .toPandas().sort_values("h", kind="stable"))
     at = {lang: i for i, lang in enumerate(languages)}
@@ -234,12 +236,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id",
             .select("doc_id", "_found.lang_pred", "_found.score"))
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.3,
+def keep_known(docs: DataFrame, model: Model, least: float = 0.05,
                text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, whose language is told with ``least`` certainty or more.
+    """The rows of ``docs``, unchanged, whose language is told; ``und`` never is.
 
-    ``und`` never is.  The bound is low: a text of a word or two may be a good one.
+    With k languages the certainty must exceed an even share 1 / k by ``least`` of what is missing
+    to 1, whatever their number.  The bound is low: a text of a word or two may be a good one.  Null
+    and empty texts go; repeated rows are judged alike; an empty table gives an empty one; columns
+    may have any names.
     """
-    found = text_batches(docs).withColumn("_lang_found", predictor(model)(F.col(text_col)))
-    return (found.filter((F.col("_lang_found.lang_pred") != UNKNOWN)
-                         & (F.col("_lang_found.score") >= least)).drop("_lang_found"))
+    found, = unused(docs.columns, "_lang_found")
+    even = 1.0 / max(len(model.languages), 1)
+    out = text_batches(docs).withColumn(found, predictor(model)(F.col(f"`{text_col}`")))
+    return (out.filter((F.col(f"{found}.lang_pred") != UNKNOWN)
+                       & (F.col(f"{found}.score") >= even + least * (1.0 - even)))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

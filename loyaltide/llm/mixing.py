@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loyaltide.llm.common import WORD, uniform
+from loyaltide.llm.common import WORD, uniform, unused
 from loyaltide.staging import stage
 
 FAN = 64                       # documents (or residuals) of a block
@@ -176,23 +176,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     F.col("copies").cast("int").alias("copies"), "more"))
 
 
-def _unused(columns: Sequence[str], *names: str) -> list[str]:
-    """The names, lengthened until none of them is among the columns."""
-    taken, out = {c.lower() for c in columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        out.append(name)
-    return out
-
-
 def _numbered(rows: DataFrame, key: Sequence[str], number: str) -> DataFrame:
     """Rows with their place among the rows of the same key, from 1.
 
     Counted by key and written partition, so rows of one key are numbered in many tasks; what meets
     in one task per key is a count for each partition.
     """
-    part, before, at, *names = _unused([*rows.columns, number], "_part", "_before", "_at",
+    part, before, at, *names = unused([*rows.columns, number], "_part", "_before", "_at",
                                        *[f"_key{i}" for i in range(len(key))])
     written = stage(rows.withColumn(part, F.spark_partition_id()), "mix-repeats")
     counts = written.groupBy(*key, part).agg(F.count(F.lit(1)).alias(before))
@@ -216,7 +206,7 @@ def apply_mix(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id",
     (which of them is open: they are equal but for other columns).  Rows of sources with target 0 go.
     An empty table gives an empty result; ``docs`` may have any columns, under any names.
     """
-    size, key, source, n, m, copies, more, number, copy = _unused(
+    size, key, source, n, m, copies, more, number, copy = unused(
         docs.columns, "_size", "_id", "_source", "_n", "_m", "_copies", "_more", "_number", "_copy")
     sized = docs.withColumn(size, words(F.col(f"`{text_col}`")))
     d = decisions.select(F.col("id").alias(key), F.col("source").alias(source),

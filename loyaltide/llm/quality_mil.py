@@ -17,13 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loyaltide.llm.common import text_batches
+from loyaltide.llm.common import draw, text_batches
 
 PASSAGE = 100                  # words of a passage
 SHAPES = 64                    # buckets of word shapes
 REPEAT = 4                     # words of a repeated stretch
 MAX_DOCUMENTS = 5000           # labelled documents the network is fitted on
-MAX_PASSAGES = 48              # passages of each of them, evenly spread
 HIDDEN, ATTENTION = 32, 16
 EPOCHS, RATE, DECAY = 220, 0.01, 1e-4
 CACHED_WORDS = 100_000
@@ -193,31 +192,28 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, label_col: str = "qua
           max_documents: int = MAX_DOCUMENTS) -> Network:
     """Fit on labelled documents whose label row satisfies ``use`` (on ``labels``' columns).
 
-    At most ``max_documents``, drawn by a hash of the id: a bounded sample.  Null ids and null
-    labels take no part, nor do ids with contradicting labels; repeated documents count once.
+    About ``max_documents`` (20 % more at most), drawn by a hash of the id within each label: a
+    bounded sample, taken to whole texts.  Null ids and null labels take no part, nor do ids with
+    contradicting labels; of rows that repeat an id one text counts.
     """
     chosen = (labels.filter(use & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
               .groupBy(F.col(id_col).alias("_id"))
               .agg(F.min(label_col).alias("y"), F.max(label_col).alias("_y"))
-              .filter("y = _y").orderBy(F.xxhash64("_id"), "_id").limit(max_documents))
-    # ``chosen`` has at most max_documents rows of two numbers.
+              .filter("y = _y").drop("_y"))
+    chosen = draw(chosen, "_id", ["y"], max_documents)     # two numbers a row
     rows = (docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
             .join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-            .select(F.col("_id").cast("string").alias("id"), "text", F.col("y").cast("int")))
+            .groupBy(F.col("_id").cast("string").alias("id"), F.col("y").cast("int").alias("y"))
+            .agg(F.min_by("text", F.xxhash64("text")).alias("text")))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder()
         for batch in batches:
-            bags = []
-            for text in batch["text"]:
-                bag = encoder.passages(text)
-                if len(bag) > MAX_PASSAGES:
-                    bag = bag[np.linspace(0, len(bag) - 1, MAX_PASSAGES).astype(int)]
-                bags.append(bag.astype("<f4").tobytes())
+            bags = [encoder.passages(text).astype("<f4").tobytes() for text in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "bag": bags})
 
     sample = (rows.mapInPandas(encode, "id string, y int, bag binary").toPandas()
-              .sort_values(["id", "bag"], kind="stable").drop_duplicates("id"))
+              .sort_values("id", kind="stable"))
     network = Network()
     bags = [np.frombuffer(b, "<f4").reshape(-1, FEATURES) for b in sample["bag"]]
     network.fit(bags, sample["y"].to_numpy(np.float32))
@@ -252,5 +248,9 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id",
 
 def keep_good(docs: DataFrame, network: Network, least: float = 0.5,
               text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, that score ``least`` or more."""
+    """The rows of ``docs``, unchanged, that score ``least`` or more.
+
+    Null and empty texts are judged as one passage without words; repeated rows are judged alike; an
+    empty table gives an empty one; columns may have any names.
+    """
     return text_batches(docs).filter(scorer(network)(F.col(text_col)) >= least)

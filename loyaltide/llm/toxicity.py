@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loyaltide.llm.common import text_batches
+from loyaltide.llm.common import draw, text_batches
+from loyaltide.staging import stage
 
 MAX_DOCUMENTS = 6000           # labelled documents the chain is fitted on
 WORDS = 200                    # words and word beginnings looked at per category
@@ -131,11 +132,14 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, categories: dict[str,
             enumerate(categories.values())]
     known = " AND ".join(f"_m{i} IS NOT NULL" for i in range(len(names)))
     chosen = (labels.filter(use & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
-              .agg(*mark).filter(known).orderBy(F.xxhash64("_id"), "_id").limit(max_documents))
+              .agg(*mark).filter(known))
+    marked = [f"_m{i}" for i in range(len(names))]
+    chosen = draw(chosen, "_id", marked, max_documents)    # a few numbers a row
     rows = (docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
-            .join(F.broadcast(chosen), F.col("_doc") == F.col("_id")))      # bounded by the sample
-    rows = rows.select(F.col("_id").cast("string").alias("id"), "text",
-                       F.array(*[F.col(f"_m{i}") for i in range(len(names))]).alias("marks"))
+            .join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+            .groupBy("_id", *marked).agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    rows = stage(rows.select(F.col("_id").cast("string").alias("id"), "text",
+                             F.array(*[F.col(m) for m in marked]).alias("marks")), "toxicity-sample")
     k = len(names)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, categories: dict[str,
                 features(t, place).tobytes() for t in batch["text"]]})
 
     sample = (rows.mapInPandas(encode, "id string, marks array<int>, x binary").toPandas()
-              .sort_values(["id", "x"], kind="stable").drop_duplicates("id"))
+              .sort_values("id", kind="stable"))
     x = np.stack([np.frombuffer(b, np.float32) for b in sample["x"]])
     fold = np.arange(len(x)) % FOLDS
     chain.fit(x, np.stack(sample["marks"].tolist()), fold)

@@ -22,7 +22,7 @@ from loyaltide.llm import (
     topk,
     toxicity,
 )
-from loyaltide.llm.common import tokenizer_path
+from loyaltide.llm.common import draw, tokenizer_path
 from tests.llm import brute
 from tests.llm.conftest import ODD
 
@@ -540,3 +540,58 @@ def test_pipeline_equals_stages(spark, sf_dir):
     assert sum(taken.values()) == pytest.approx(1.5 * sum(sizes.values()), rel=0.05)
     final = corpus_pipeline.run(spark, sf_dir)
     assert ids(final) == ids(mixed)
+
+
+def test_sample_by_label_is_bounded(spark):
+    """Proportional, rare labels in full, never more than the bound; a hash decides."""
+    df = spark.range(20_000).select(F.col("id"), (F.col("id") % 400 == 0).cast("int").alias("y"))
+    got = {r.y: r["count"] for r in draw(df, "id", ["y"], 1000).groupBy("y").count().collect()}
+    assert got[1] == 50 and 990 <= got[0] <= 1000
+    few = draw(df.filter("id < 300"), "id", ["y"], 1000)
+    assert few.count() == 300
+    assert draw(df.filter("false"), "id", ["y"], 10).count() == 0
+
+
+def test_a_repeated_row_is_one_sample_row(make, spark, monkeypatch):
+    """A third of the rows are one document: the driver gets it once."""
+    rows = [(i, f"word{i % 7} of some text number {i} and more", "en" if i % 2 else "de", "a")
+            for i in range(300)]
+    docs = make(rows + [(7, "the very same text again and again", "en", "a")] * 400)
+    marks = spark.createDataFrame([(i, i % 2, int(i % 10 == 0)) for i in range(300)],
+                                  "doc_id bigint, quality int, toxic int")
+    seen = []
+    for module, name in ((quality_mil.Network, "fit"), (toxicity.Chain, "fit")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda self, x, *a, real=real: (
+            seen.append(len(x)), real(self, x, *a))[1])
+    quality_mil.train(docs, marks, every())
+    toxicity.train(docs, marks, every())
+    assert seen == [300, 300]
+    real = language_id.fit_ftrl
+    monkeypatch.setattr(language_id, "fit_ftrl", lambda m, rows: (seen.append(len(rows)), real(m, rows))[1])
+    language_id.train(docs, every())
+    assert seen[2] <= 301
+
+
+@pytest.mark.parametrize("languages", [2, 4, 30])
+def test_doubt_is_relative_to_the_number_of_languages(make, languages):
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèñçøåłşğıőűčřžšđþæœ"
+    rows = [(100 * k + i, " ".join(letters[(k + j) % 50] * (2 + j % 3) for j in range(i % 5 + 6)),
+             f"l{k:02}", "a") for k in range(languages) for i in range(30)]
+    docs = make(rows)
+    model = language_id.train(docs, every())
+    got = language_id.keep_known(docs, model)
+    assert got.count() >= 0.9 * len(rows) and got.columns == docs.columns
+    doubtful = make([(1, "12345 67890", None, None), (2, None, None, None), (3, "漢字漢字", None, None)])
+    assert language_id.keep_known(doubtful, model).count() <= 1
+
+
+def test_filters_leave_any_columns_alone(make, labels):
+    docs = make(ODD).withColumnsRenamed({"size": "_text", "score": "_has", "n_chars": "_p"}) \
+        .withColumn("_lang_found", F.lit(5)).withColumn("_word", F.lit("w"))
+    network = quality_mil.train(docs, labels, every())
+    model = language_id.train(docs, every())
+    for got in (jaccard_join.keep_one(docs), quality_mil.keep_good(docs, network, 0.0),
+                language_id.keep_known(docs, model)):
+        assert got.columns == docs.columns and got.count() > 0
+        assert got.filter("_text <> 7 OR _has <> 'x' OR _lang_found <> 5 OR _word <> 'w'").isEmpty()

@@ -144,6 +144,17 @@ def test_op9_toxic_documents(spark, sf_dir, rows, docs):
     assert sum(got[d].predicted for d in clean) <= 0.05 * len(clean)
 
 
+def test_op9_recall_on_documents_held_out(spark):
+    """The larger table has enough toxic documents to count on."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op9_toxicity_chain"](spark, sf).collect()}
+    toxic = [got[d].predicted for d, t in labels.items() if t and got[d].held_out]
+    clean = [got[d].predicted for d, t in labels.items() if t == 0 and got[d].held_out]
+    assert len(toxic) >= 50 and sum(toxic) >= 0.9 * len(toxic)
+    assert sum(clean) <= 0.02 * len(clean)
+
+
 def test_op10_counts_and_verdict(spark, sf_dir, rows, docs):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     got = {r.doc_id: r for r in rows("op10_adaptive_rules")}
