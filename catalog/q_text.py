@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from catalog.base_sql import BASE, SCORED, STORE
@@ -9,7 +11,7 @@ from catalog.q_portfolio import DRIVERS, FILTERS, WINDOW
 from catalog.registry import query, rounded, sql
 from loyaltide import fixed_values as fv
 from loyaltide.operators import dashboards, text_audit as ta
-from loyaltide.plans.score_table import build_store, load_store, rate_scorer
+from loyaltide.plans.score_table import build_store, load_store, model_scorer, rate_scorer
 from loyaltide.sources import tables
 from loyaltide.sources.customer_base import load_customer_base as base
 from loyaltide.staging import staging_root
@@ -142,11 +144,13 @@ def j38(spark, sf):
 
 # The job with fitted models: SQL knows who must be in it and how much each row counts; what models
 # must satisfy on every row is checked in the query and expected to hold.
-@query("j38_model_score_table", sql(SCORED, f"""SELECT customer_id, scored.partition, fold, inactif,
+_J38 = sql(SCORED, f"""SELECT customer_id, scored.partition, fold, inactif,
   CASE WHEN churn = 1 THEN 0.02::DOUBLE / rate.s ELSE (1 - 0.02::DOUBLE) / (1 - rate.s) END * 100000 / (SELECT sum(churn) * (0.02::DOUBLE / any_value(r.s)) + (count(*) - sum(churn)) * ((1 - 0.02::DOUBLE) / (1 - any_value(r.s))) FROM scored, rate r) AS poids_portefeuille,
-  true AS score_explique, true AS score_borne, true AS niveau_coherent FROM scored, rate""", "poids_portefeuille"))
-def j38m(spark, sf):
-    store = build_store(base(spark, sf))
+  true AS score_explique, true AS score_borne, true AS niveau_coherent FROM scored, rate""", "poids_portefeuille")
+
+
+def _model_table(spark, sf, scorer):
+    store = build_store(base(spark, sf), scorer=scorer)
     total = store.contributions.groupBy("customer_id").agg(F.sum("contribution").alias("_sum"))
     high, medium = F.col("high"), F.col("medium")
     p = F.col("proba_calibree")
@@ -162,6 +166,16 @@ def j38m(spark, sf):
         (F.col("niveau") == level).alias("niveau_coherent")))
 
 
+@query("j38_model_score_table", _J38)
+def j38m(spark, sf):
+    return _model_table(spark, sf, model_scorer)
+
+
+@query("j38_boosted_score_table", _J38)
+def j38b(spark, sf):
+    return _model_table(spark, sf, partial(model_scorer, kind="boosting"))
+
+
 @query("a01_load_raw", BASE + " SELECT customer_id, months, rev_Mean, area FROM cust")
 def a01(spark, sf):
     df = base(spark, sf).select("customer_id", "months", "rev_Mean", "area")

@@ -250,7 +250,7 @@ def _leak_medians(df: DataFrame, spec: ModelSpec) -> dict[str, object]:
     return pp.fit_medians(df, leaks).first().asDict()       # one row
 
 
-def _prepared_folds(df: DataFrame, spec: ModelSpec, cell: Column,
+def prepared_folds(df: DataFrame, spec: ModelSpec, cell: Column,
                     left_out: Mapping[int, Collection[int]]) -> dict[int, Prepared]:
     """The preparation that serves each training set.  One for all of them, unless the features
     themselves are learned from the training rows."""
@@ -282,7 +282,7 @@ def _estimator(spec: ModelSpec, n_rows: int):
 
 def fit_model(train: DataFrame, spec: ModelSpec) -> FittedModel:
     """Learn preparation and model on ``train``."""
-    return _prepared_folds(train, spec, F.lit(0), {0: ()})[0].fit(0, [spec])[0]
+    return prepared_folds(train, spec, F.lit(0), {0: ()})[0].fit(0, [spec])[0]
 
 
 def dummy_scores(df: DataFrame, seed: int = 42, target: str = TARGET, fold: str = FOLD,
@@ -316,7 +316,7 @@ def _fold_scores(df: DataFrame, specs: Sequence[ModelSpec], folds: Sequence[int]
     The preparations of all folds are learned together; per fold one pass scores all its models.
     """
     out = None
-    prepared = _prepared_folds(df, specs[0], _cells(df), {k: (k,) for k in folds})
+    prepared = prepared_folds(df, specs[0], _cells(df), {k: (k,) for k in folds})
     for k in folds:
         rows = prepared[k].rows if train_too else prepared[k].rows.filter(F.col(_CELL) == k)
         scored = prepared[k].prepare[k].vectors(rows)
@@ -525,7 +525,7 @@ def fit_calibrated(train: DataFrame, spec: ModelSpec, method: str = "sigmoid", k
     """Model of all rows, calibrated on scores out of ``k`` inner folds; all share a preparation."""
     rows = inner_folds(train, k)
     left_out = {j: (j,) for j in range(k)} | {k: ()}
-    prepared = _prepared_folds(rows, spec, F.col(FOLD), left_out)
+    prepared = prepared_folds(rows, spec, F.col(FOLD), left_out)
     rate = float(train.agg(F.avg(TARGET)).first()[0])
     return _calibrated(prepared, k, {j: j for j in range(k)}, spec, lambda j: (j,), method, rate,
                        real_rate)
@@ -554,7 +554,7 @@ def out_of_fold_scores(df: DataFrame, spec: ModelSpec, method: str = "sigmoid",
             numbers[k, j] = len(left_out)
             left_out[len(left_out)] = (*outer(k), *([f * k_inner + j for f in values]
                                                     if j is not None else ()))
-    prepared = _prepared_folds(rows, spec, cell, left_out)
+    prepared = prepared_folds(rows, spec, cell, left_out)
     counts = {r["c"]: r for r in df.groupBy(_cells(df).alias("c")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(TARGET).alias("pos")).collect()}
     out = None

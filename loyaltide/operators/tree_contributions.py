@@ -3,94 +3,137 @@
 For one leaf with value v, the game over the features of its path is a product: a feature inside the
 coalition contributes 1 or 0 (does the row follow the path?), a feature outside contributes the share
 of training rows that follow it.  The Shapley value of a product game only needs the elementary
-coefficients of a small polynomial, so rows are processed as whole columns.
+coefficients of a small polynomial.  Leaves whose paths hold equally many features are one array, so
+a batch of rows meets all of them in a few array operations.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from uuid import uuid4
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loyaltide.staging import staging_root
 
-def ensemble_paths(model) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
-    """Every leaf of a fitted tree model as ``(value, [(feature, low, high, share)])``.
+CELLS = 2_000_000              # rows x leaves x features looked at together
 
-    Value is in log-odds (boosting margin times two).  A path keeps, per feature, the interval
-    ``low < x <= high`` and the product of the training shares of its splits.
+Path = tuple[float, list[tuple[int, float, float, float]]]
+
+
+def node_table(model) -> pd.DataFrame:
+    """The nodes of a fitted boosted model, written by Spark and read as one table: ``tree, id,
+    value`` (log-odds, the margin times two), ``n`` (training rows), ``left, right`` (-1 at a leaf),
+    ``feature, cut``.  It has the size of the model."""
+    if not hasattr(model, "treeWeights"):
+        raise ValueError("only boosted trees add up to log-odds")
+    spark = SparkSession.active()
+    path = f"{staging_root(spark)}/{spark.sparkContext.applicationId}/trees-{uuid4().hex}"
+    model.write().save(path)
+    node = F.col("nodeData")
+    table = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), node["id"].alias("id"), node["prediction"].alias("value"),
+        node["impurityStats"][0].alias("n"), node["leftChild"].alias("left"),
+        node["rightChild"].alias("right"), node["split"]["featureIndex"].alias("feature"),
+        F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("cut")).toPandas()
+    table["value"] *= 2.0 * np.asarray(model.treeWeights)[table["tree"]]
+    return table
+
+
+def ensemble_paths(model) -> list[Path]:
+    """Every leaf of a fitted boosted model as ``(value, [(feature, low, high, share)])``.
+
+    A path keeps, per feature, the interval ``low < x <= high`` and the product of the training
+    shares of its splits.
     """
-    paths: list[tuple[float, list[tuple[int, float, float, float]]]] = []
-    inf = float("inf")
-
-    def walk(node, weight: float, held: dict[int, tuple[float, float, float]]) -> None:
-        if node.numDescendants() == 0:
-            paths.append((weight * node.prediction(),
-                          [(f, *interval) for f, interval in held.items()]))
-            return
-        split = node.split()
-        f, cut = split.featureIndex(), split.threshold()
-        left, right = node.leftChild(), node.rightChild()
-        total = node.impurityStats().count()
-        low, high, share = held.get(f, (-inf, inf, 1.0))
-        walk(left, weight, {**held, f: (low, min(high, cut),
-                                        share * left.impurityStats().count() / total)})
-        walk(right, weight, {**held, f: (max(low, cut), high,
-                                         share * right.impurityStats().count() / total)})
-
-    for tree, weight in zip(model.trees, model.treeWeights, strict=True):
-        walk(tree._java_obj.rootNode(), 2.0 * weight, {})
+    paths: list[Path] = []
+    for _, tree in node_table(model).groupby("tree"):
+        nodes = {r.id: r for r in tree.itertuples()}
+        todo: list[tuple[int, dict[int, tuple[float, float, float]]]] = [(0, {})]
+        while todo:
+            at, held = todo.pop()
+            node = nodes[at]
+            if node.left < 0:
+                paths.append((node.value, [(f, *interval) for f, interval in held.items()]))
+                continue
+            low, high, share = held.get(node.feature, (-math.inf, math.inf, 1.0))
+            for child, bounds in ((node.left, (low, min(high, node.cut))),
+                                  (node.right, (max(low, node.cut), high))):
+                part = share * nodes[child].n / node.n
+                todo.append((child, {**held, node.feature: (*bounds, part)}))
     return paths
 
 
-def expected_value(paths) -> float:
+def expected_value(paths: Sequence[Path]) -> float:
     """Mean log-odds of the model under its training shares: the base of every explanation."""
-    total = 0.0
-    for value, held in paths:
-        for _, _, _, share in held:
-            value *= share
-        total += value
-    return total
-
-
-def tree_contributions(vectors: DataFrame, paths, names: Sequence[str],
-                       id_col: str = "customer_id") -> DataFrame:
+    return float(sum(value * math.prod(share for *_, share in held) for value, held in paths))
+
+
+def leaf_arrays(paths: Sequence[Path]) -> list[tuple[np.ndarray, ...]]:
+    """``value, feature, low, high, share`` of the leaves, one set of arrays per path length."""
+    by_size: dict[int, list[Path]] = {}
+    for path in paths:
+        by_size.setdefault(len(path[1]), []).append(path)
+    return [(np.array([v for v, _ in of]), *(
+        np.array([[step[i] for step in held] for _, held in of], np.int64 if i == 0 else np.float64)
+        for i in range(4))) for m, of in sorted(by_size.items()) if m]
+
+
+def contributions(x: np.ndarray, leaves: Sequence[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """Contribution of each feature (columns of ``x``) to the log-odds of each row."""
+    phi = np.zeros(x.shape)
+    for value, feature, low, high, share in leaves:
+        m = feature.shape[1]
+        weights = np.array([math.factorial(k) * math.factorial(m - 1 - k) for k in range(m)]
+                           ) / math.factorial(m)
+        step = max(1, CELLS // (len(value) * m * m))
+        for at in range(0, len(x), step):
+            rows = x[at:at + step]
+            inside = rows[:, feature]
+            follows = ((inside > low) & (inside <= high)).astype(np.float64)
+            for i in range(m):
+                poly = np.zeros((len(rows), len(value), m))
+                poly[:, :, 0] = 1.0
+                for j in range(m):
+                    if j != i:
+                        shifted = poly[:, :, :-1] * follows[:, :, j, None]
+                        poly *= share[:, j, None]
+                        poly[:, :, 1:] += shifted
+                gain = value * (follows[:, :, i] - share[:, i]) * (poly @ weights)
+                to = np.zeros((len(value), x.shape[1]))
+                to[np.arange(len(value)), feature[:, i]] = 1.0
+                phi[at:at + step] += gain @ to
+    return phi
+
+
+def tree_contributions(vectors: DataFrame, paths: Sequence[Path], names: Sequence[str],
+                       id_col: str = "customer_id", by: Sequence[int] | None = None,
+                       group_names: Sequence[str] = ()) -> DataFrame:
     """Long contributions ``id, feature, contribution``; base + sum = log-odds of the row.
 
-    The leaf list has the size of the model and is broadcast once; batches of rows are independent.
+    ``by`` gives each feature the position of its group in ``group_names``: then a line is a group.
+    The leaves have the size of the model and go to every task; batches of rows are independent.
     """
-    spark = vectors.sparkSession
-    leaves = spark.sparkContext.broadcast(paths)
-    n_features = len(names)
-
-    def explain(batches: Iterator) -> Iterator:
-        import math
+    leaves = leaf_arrays(paths)
+    if by is not None:
+        names = group_names
+        group = np.zeros((len(by), len(names)))
+        group[np.arange(len(by)), by] = 1.0
 
-        import numpy as np
-        import pandas as pd
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = np.stack(batch["x"].to_numpy())
-            phi = np.zeros((len(x), n_features))
-            for value, held in leaves.value:
-                m = len(held)
-                follows = [((x[:, f] > low) & (x[:, f] <= high)).astype(float)
-                           for f, low, high, _ in held]
-                weights = [math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m)
-                           for k in range(m)]
-                for i, (f, _, _, share) in enumerate(held):
-                    poly = np.zeros((len(x), m))
-                    poly[:, 0] = 1.0
-                    for j in range(m):
-                        if j != i:
-                            shifted = np.zeros_like(poly)
-                            shifted[:, 1:] = poly[:, :-1] * follows[j][:, None]
-                            poly = poly * held[j][3] + shifted
-                    phi[:, f] += value * (follows[i] - share) * (poly @ weights)
+            phi = contributions(np.stack(batch["x"].to_numpy()), leaves)
+            phi = phi if by is None else phi @ group
             yield pd.DataFrame({id_col: batch[id_col], "contributions": list(phi)})
 
     rows = vectors.select(id_col, vector_to_array("features").alias("x"))
-    wide = rows.mapInPandas(explain, f"{id_col} bigint, contributions array<double>")
+    id_type = rows.schema[id_col].dataType.simpleString()
+    wide = rows.mapInPandas(explain, f"{id_col} {id_type}, contributions array<double>")
     named = F.transform(F.arrays_zip(F.array(*[F.lit(n) for n in names]), F.col("contributions")),
                         lambda p: F.struct(p["0"].alias("feature"),
                                            p["contributions"].alias("contribution")))

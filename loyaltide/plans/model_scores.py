@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from loyaltide import fixed_values as fv
 from loyaltide.operators import models, segmentation
 from loyaltide.operators.models import FOLD, ID, TARGET
+from loyaltide.operators.tree_contributions import (ensemble_paths, expected_value,
+                                                    tree_contributions)
 from loyaltide.staging import stage
 
 
@@ -44,11 +46,9 @@ def linear_explanation(fitted: models.FittedModel, learned_from: DataFrame, rows
     """Contributions of a fitted logistic model: coefficient times distance from the training mean,
     summed over the inputs of each original column; and the log-odds at the mean.
 
-    No shuffle: each row is turned into its few lines in place.
+    Both inputs are feature rows.  No shuffle: each row is turned into its few lines in place.
     """
-    if not fitted.spec.kind.startswith("logreg"):
-        raise ValueError("only logistic models are linear in their inputs")
-    mean = fitted.vectors(learned_from).select(
+    mean = fitted.vectors(learned_from, True).select(
         Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()
     weights = fitted.model.coefficients.toArray()
     base = float(fitted.model.intercept + weights @ mean)
@@ -66,32 +66,59 @@ def linear_explanation(fitted: models.FittedModel, learned_from: DataFrame, rows
             dot - float(own @ mean[first:first + size]))
     lines = [F.struct(F.lit(v).alias("variable"), sum(parts, F.lit(0.0)).alias("contribution"))
              for v, parts in sorted(by_source.items())]
-    out = fitted.vectors(rows).select(ID, vector_to_array("features").alias("_x"))
+    out = fitted.vectors(rows, True).select(ID, vector_to_array("features").alias("_x"))
     return out.select(ID, F.inline(F.array(*lines))), base
 
 
+def tree_explanation(fitted: models.FittedModel, rows: DataFrame) -> tuple[DataFrame, float]:
+    """Path-dependent contributions of a boosted model, summed over the inputs of each original
+    column; and its mean log-odds under the training shares."""
+    paths = ensemble_paths(fitted.model)
+    sources = [source_of_input(name, fitted.spec.columns) for name in fitted.inputs]
+    # Summed by column inside each row: no shuffle.
+    columns = sorted(set(sources))
+    lines = tree_contributions(fitted.vectors(rows, True), paths, fitted.inputs, by=[
+        columns.index(v) for v in sources], group_names=columns)
+    return lines.withColumnRenamed("feature", "variable"), expected_value(paths)
+
+
+def explanation(fitted: models.FittedModel, learned_from: DataFrame, rows: DataFrame
+                ) -> tuple[DataFrame, float]:
+    """``customer_id, variable, contribution`` and the base, by the kind of the model."""
+    if fitted.spec.kind.startswith("logreg"):
+        return linear_explanation(fitted, learned_from, rows)
+    if fitted.spec.kind == "boosting":
+        return tree_explanation(fitted, rows)
+    raise ValueError(f"{fitted.spec.kind} has no additive explanation of its log-odds")
+
+
 def model_scores(base: DataFrame, spec: models.ModelSpec, method: str = "sigmoid",
                  real_rate: float = fv.REAL_RATE) -> Scored:
     """Out-of-fold scores of the training rows, scores of the full-train model for the others.
 
-    One fit per frozen fold and one on all training rows.  The calibrator of a fold is learned on
-    the out-of-fold scores of the other folds, that of the other rows on all of them.
+    One fit per frozen fold and one on all training rows, prepared together.  The calibrator of a
+    fold is learned on the out-of-fold scores of the other folds, that of the other rows on all of
+    them.
     """
-    train = base.filter(F.col("partition") == fv.TRAIN_OOF).persist()
+    train = base.filter(F.col("partition") == fv.TRAIN_OOF)
     rest = base.filter(F.col("partition") != fv.TRAIN_OOF)
     totals = {r[FOLD]: (r["n"], r["pos"]) for r in train.groupBy(FOLD).agg(
         F.count(F.lit(1)).alias("n"), F.sum(TARGET).alias("pos")).collect()}       # five rows
+    whole = max(totals) + 1
+    left_out = {k: (k,) for k in sorted(totals)} | {whole: ()}
+    prepared = models.prepared_folds(train, spec, F.col(FOLD), left_out)
     raw, parts = {}, None
-    for k in (*sorted(totals), None):
-        seen = train if k is None else train.filter(F.col(FOLD) != k)
-        asked = rest if k is None else train.filter(F.col(FOLD) == k)
-        fitted = models.fit_model(seen, spec)
-        lines, at_mean = linear_explanation(fitted, seen, asked)
-        raw[k] = stage(fitted.score(asked, "proba_brute").withColumns({
-            FOLD: F.lit(-1 if k is None else k), "valeur_base": F.lit(at_mean)}), "model-raw")
+    for k, cells in left_out.items():
+        of = prepared[k]
+        fitted, = of.fit(k, [spec])
+        asked = (of.rows.filter(F.col(FOLD) == k) if cells
+                 else stage(of.prepare[k].features(rest), "model-rest"))
+        lines, at_mean = explanation(fitted, of.train_rows(k), asked)
+        raw[k if cells else None] = stage(fitted.score(asked, "proba_brute", True).withColumns({
+            FOLD: F.lit(k if cells else -1), "valeur_base": F.lit(at_mean)}).drop("_cell"),
+            "model-raw")
         lines = stage(lines, "model-contributions")
         parts = lines if parts is None else parts.unionByName(lines)
-    train.unpersist()
     scores = None
     for k, rows in raw.items():
         others = [x for j, x in raw.items() if j is not None and j != k]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,8 +13,9 @@ from catalog import q_models, q_segments
 from catalog.q_models import COLUMNS, FOLDS, rows, spec
 from catalog.registry import QUERIES
 from loyaltide.operators import metrics, models
-from loyaltide.operators.tree_contributions import (ensemble_paths, expected_value,
-                                                    tree_contributions)
+from loyaltide.operators.tree_contributions import (contributions, ensemble_paths, expected_value,
+                                                    leaf_arrays, tree_contributions)
+from loyaltide.plans import model_scores
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +61,47 @@ def test_tree_contributions_add_up_to_the_log_odds(data):
     assert gap.agg(F.max("g")).first()[0] < 1e-6
 
 
+def test_contributions_are_shapley_values():
+    """Against the definition: every coalition of features, absent ones by their training shares."""
+    r = np.random.default_rng(2)
+    paths = []
+    for _ in range(6):
+        held = [(int(f), *sorted(r.normal(size=2)), float(r.uniform(0.1, 0.9)))
+                for f in r.permutation(4)[:r.integers(1, 5)]]
+        paths.append((float(r.normal()), held))
+    x = r.normal(size=(7, 4))
+
+    def game(row, known):
+        total = 0.0
+        for value, held in paths:
+            for f, low, high, share in held:
+                value *= float(low < row[f] <= high) if f in known else share
+            total += value
+        return total
+
+    want = np.zeros_like(x)
+    for i, row in enumerate(x):
+        for f in range(4):
+            others = [g for g in range(4) if g != f]
+            for size in range(4):
+                for known in itertools.combinations(others, size):
+                    weight = 1 / (4 * math.comb(3, size))
+                    want[i, f] += weight * (game(row, {*known, f}) - game(row, set(known)))
+    assert np.allclose(contributions(x, leaf_arrays(paths)), want)
+
+
+@pytest.mark.parametrize("kind", ["logreg", "boosting"])
+def test_scores_of_the_job_are_explained_by_their_own_model(data, kind):
+    params = {"n_trees": 4, "min_leaf": 5, "max_depth": 3} if kind == "boosting" else {}
+    found = model_scores.model_scores(data, spec(kind, **params))
+    assert model_scores.additivity_gap(found).agg(F.max("ecart")).first()[0] < 1e-6
+    assert found.scores.count() == data.count()
+    named = {r.variable for r in found.contributions.select("variable").distinct().collect()}
+    assert named <= set(COLUMNS)
+    with pytest.raises(ValueError):
+        model_scores.explanation(models.fit_model(data, spec("decision_tree", min_leaf=5)), data, data)
+
+
 def test_final_scores_carry_fold_minus_one(data):
     model = models.fit_calibrated(data.filter("partition = 'train_oof'"),
                                   spec("decision_tree", min_leaf=5), k=2)

@@ -71,7 +71,7 @@ def test_many_levels_reach_no_driver(spark):
 
 @pytest.mark.parametrize("kind", ["logreg_simple", "logreg", "decision_tree"])
 def test_folds_prepared_together_give_the_vectors_of_each(data, kind):
-    together = models._prepared_folds(data, spec(kind), models._cells(data), {0: (0,), 1: (1,)})
+    together = models.prepared_folds(data, spec(kind), models._cells(data), {0: (0,), 1: (1,)})
     for k in (0, 1):
         alone = models.fit_model(data.filter(F.col("fold") != k), spec(kind, **(
             {"min_leaf": 5} if kind == "decision_tree" else {})))
