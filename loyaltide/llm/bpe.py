@@ -8,7 +8,7 @@ each node the last token of its prefix, found among the tokens that end there (l
 the pair rule against the last token of the prefix before it.  Words with common beginnings share
 nodes, so a shared prefix is encoded once.
 
-Documents are cut into words inside each task; a word is encoded the first time a worker meets it.
+Documents are cut into words inside each task; a word is encoded the first time a task meets it.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loyaltide.llm.common import text_batches
+from loyaltide.llm.common import give_back, text_batches
 
 LATER = re.compile("[\u0500-\u1fff\u2070-\U0010ffff]")   # where new letters may be
 END = 0x10000                  # added to the last character of a word
-CACHED_PAIRS = 200_000
-CACHED_WORDS = 300_000         # encodings a worker keeps (about 70 MB); beyond, those of the last batch
+CACHED_PAIRS = 100_000
+CACHED_WORDS = 100_000         # encodings a task keeps (about 25 MB); beyond, those of the last batch
 
 
 def byte_symbols() -> list[str]:
@@ -251,28 +251,18 @@ class Tokenizer:
         return " ".join(map(get, ids.tolist()))
 
 
-_loaded: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
-
-
-def load(path: str) -> tuple[Tokenizer, dict[str, bytes]]:
-    """The vocabulary and the words encoded so far, once per Python worker."""
-    if path not in _loaded:
-        _loaded[path] = (Tokenizer(path), {})
-    return _loaded[path]
-
-
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
            batch_bytes: int = 4 << 20) -> DataFrame:
     """``doc_id, ids (binary: little-endian unsigned 32-bit), decoded`` for every row.
 
     Null texts count as empty and have no ids; repeated rows are encoded each; texts may be of any
     length; an empty table gives an empty result; other columns are not read.  ``path`` is the
-    vocabulary's file, present on every machine.
+    vocabulary's file, present on every machine; a task loads it and lets go of it at its end.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, cache = load(path)
+        tokenizer, cache = Tokenizer(path), {}
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             at = 0
@@ -286,6 +276,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     "doc_id": batch["doc_id"].iloc[at:to].array, "ids": ids,
                     "decoded": [tokenizer.decode(np.frombuffer(x, "<u4")) for x in ids]})
                 at = to
+        del tokenizer, cache
+        give_back()
 
     return (text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
             .mapInPandas(run, f"doc_id {id_type}, ids binary, decoded string"))

@@ -25,16 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loyaltide.llm.common import WORD, text_batches
+from loyaltide.llm.common import WORD, give_back, text_batches, unused
 from loyaltide.llm.graph import components, keep_marked
 from loyaltide.staging import stage
 
 SLACK = 1.3                    # lanes per element that may differ
 BLOCK_SETS = 1024              # sets verified together
-BLOCK_ELEMENTS = 1_000_000
+BLOCK_ELEMENTS = 500_000
 PACK_SETS = 512                # sets of small clusters handed to one call
 COLUMNS = 2048                 # elements counted at a time
-CACHED_WORDS = 200_000
+CACHED_WORDS = 50_000          # about 6 MB
+CACHED_SETS = 100_000          # sets a task remembers to have told, about 10 MB
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3],
@@ -124,12 +125,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
                 if node is None or node in told:
                     keys.append(np.empty(0, np.int64))
                 else:
-                    if len(told) > 1_000_000:
+                    if len(told) > CACHED_SETS:
                         told.clear()
                     told.add(node)
                     keys.append(lanes(s, percent))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes,
                                 "node": pd.array(nodes, "Int64"), "keys": keys})
+        del shingler, told
+        give_back()
 
     return (text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
             .mapInPandas(run, f"doc_id {id_type}, n_shingles bigint, node bigint, "
@@ -261,25 +264,28 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
              text_col: str = "text") -> DataFrame:
     """The documents without near duplicates: of every component the row with the smallest id.
 
-    Documents without words link with nothing: they all stay.  Rows that repeat an id stay once per
-    different text.  Rows with a null id stay if their component has no other id, once per text.
+    Documents without words (null, empty, blank) link with nothing: they all stay.  Rows that repeat
+    an id stay once per different text.  Rows with a null id stay if their component has no other
+    id, once per text.  An empty table gives an empty one; other columns, under any names, come along.
     """
+    keep, filled, has, content, copy = unused(docs.columns, "_keep", "_filled", "_has", "_text",
+                                              "_copy")
     found = jaccard_components(docs, n, percent, id_col, text_col)
     stays = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .select(F.col("doc_id").alias("_keep"), (F.col("n_shingles") > 0).alias("_filled"))
+             .select(F.col("doc_id").alias(keep), (F.col("n_shingles") > 0).alias(filled))
              .distinct())
-    marked = docs.withColumn("_has", F.coalesce(F.col(text_col), F.lit("")).rlike(WORD))
-    named = marked.join(stays, (F.col(id_col) == F.col("_keep"))
-                        & (F.col("_has") == F.col("_filled")))
-    nameless = marked.filter(F.col(id_col).isNull()).join(
-        stays.filter(F.col("_keep").isNull()), F.col("_has") == F.col("_filled"))
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    marked = docs.withColumn(has, F.coalesce(text, F.lit("")).rlike(WORD))
+    named = marked.join(stays, (key == F.col(keep)) & (F.col(has) == F.col(filled)))
+    nameless = marked.filter(key.isNull()).join(
+        stays.filter(F.col(keep).isNull()), F.col(has) == F.col(filled))
     out = None
     for part in (named, nameless):
         # The join has put equal ids together: numbering them moves no row again.
-        same = Window.partitionBy(id_col, "_text").orderBy(F.lit(0))
-        part = (part.withColumn("_text", F.xxhash64(F.col(text_col)))
-                .withColumn("_copy", F.row_number().over(same))
-                .filter((F.col("_copy") == 1) | ~F.col("_has"))
+        same = Window.partitionBy(key, F.col(content)).orderBy(F.lit(0))
+        part = (part.withColumn(content, F.xxhash64(text))
+                .withColumn(copy, F.row_number().over(same))
+                .filter((F.col(copy) == 1) | ~F.col(has))
                 .select(*[F.col(f"`{c}`") for c in docs.columns]))
         out = part if out is None else out.unionByName(part)
     return out
