@@ -4,6 +4,19 @@ Written for DuckDB over the registered tables.  ``BASE`` is an open WITH list:
 append ``, more AS (...) SELECT ...``.
 """
 
+def _stir_sql(x: str) -> str:
+    for _ in range(2):
+        x = f"list_transform([{x}], lambda v: (xor(v, v >> 16) * 73244475) % 4294967296)[1]"
+    return f"list_transform([{x}], lambda v: xor(v, v >> 16))[1]"
+
+
+def mixed_hash_sql(column: str, seed: int = 0) -> str:
+    """The hash with unrelated seeds, of a key that is not negative."""
+    key = f"CAST({column} AS BIGINT)"
+    high = _stir_sql(f"xor(({key} >> 32) % 4294967296, CAST({seed} AS BIGINT))")
+    return _stir_sql(f"xor({key} % 4294967296, {high})")
+
+
 def hash_sql(column: str, seed: int = 0) -> str:
     """Arithmetic hash shared with the Spark side (same values in both engines)."""
     return f"(((({column} + {seed}) % 2147483648) * 2654435761) % 4294967296)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base_sql import BASE, SCORED, hash_sql
+from catalog.base_sql import BASE, SCORED, mixed_hash_sql
 from catalog.q_quality import erfc_sql, long_sql
 from catalog.registry import query, rounded, sql
 from loyaltide.functions.expressions import left_closed_bins
@@ -368,7 +368,7 @@ def d07(spark, sf):
                                                         .alias("taille"))
 
 
-@query("d09_p_value_vs_sample_size", sql(BASE + f""", h AS (SELECT churn, eqpdays, row_number() OVER (ORDER BY {hash_sql('customer_id', 42)}, customer_id) AS rn FROM cust
+@query("d09_p_value_vs_sample_size", sql(BASE + f""", h AS (SELECT churn, eqpdays, row_number() OVER (ORDER BY {mixed_hash_sql('customer_id', 42)}, customer_id) AS rn FROM cust
 ), s AS (SELECT unnest([200, 500, 1000]) AS taille), x AS (SELECT taille, churn, eqpdays AS value FROM h, s WHERE rn <= taille
 ), r AS (SELECT *, rank() OVER (PARTITION BY taille ORDER BY value) + (count(*) OVER (PARTITION BY taille, value) - 1) / 2 AS r FROM x
 ), g AS (SELECT taille, CAST(count(*) AS DOUBLE) AS n, CAST(sum(churn) AS DOUBLE) AS n1, sum(r) FILTER (WHERE churn = 1) AS r1 FROM r GROUP BY 1)""",

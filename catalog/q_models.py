@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base_sql import SCORED, STORE, hash_sql
+from catalog.base_sql import BASE, SCORED, STORE, mixed_hash_sql
 from catalog.q_metrics import auc_sql
 from catalog.q_segments import seg_auc_sql
 from catalog.registry import query, rounded, sql
+from loyaltide.functions.expressions import SHUFFLE_ROUNDS, shuffle_rounds, shuffled_position
 from loyaltide.operators import features, metrics, models
 from loyaltide.operators.explain import grouped
+from loyaltide.operators.ranking import row_numbers
 from loyaltide.operators.segments_by_rule import segment_rate_scores
 from loyaltide.operators.tree_contributions import (ensemble_paths, expected_value,
                                                     tree_contributions)
@@ -40,7 +42,7 @@ def f02(spark, sf):
 
 @query("f03_dummy_scores", SCORED + f""", t AS (SELECT fold, sum(churn) AS p, count(*) AS n FROM cust GROUP BY 1
 ), pr AS (SELECT fold, CAST(sum(p) OVER () - p AS DOUBLE) / (sum(n) OVER () - n) AS prior FROM t)
-  SELECT customer_id, churn, cust.fold, CASE WHEN {hash_sql('customer_id', 42)} / 4294967296.0::DOUBLE < prior THEN 1.0::DOUBLE ELSE 0 END AS score FROM cust JOIN pr USING (fold)""")
+  SELECT customer_id, churn, cust.fold, CASE WHEN {mixed_hash_sql('customer_id', 42)} / 4294967296.0::DOUBLE < prior THEN 1.0::DOUBLE ELSE 0 END AS score FROM cust JOIN pr USING (fold)""")
 def f03(spark, sf):
     return models.dummy_scores(base(spark, sf))
 
@@ -206,7 +208,7 @@ def f20(spark, sf):
 def f21(spark, sf):
     df = rows(spark, sf)
     return models.leak_test(df.withColumn("actif", features.active_customer(df)),
-                            spec("decision_tree", min_leaf=20), "actif", FOLDS)
+                            spec("decision_tree"), "actif", FOLDS)
 
 
 @query("h01_tree_contributions")
@@ -218,6 +220,22 @@ def h01(spark, sf):
     return grouped(out).withColumn("valeur_base", F.lit(expected_value(paths)))
 
 
+def _shuffle_sql(seed: int) -> str:
+    text = ", r0 AS (SELECT customer_id, row_number() OVER (ORDER BY customer_id) - 1 AS p, count(*) OVER () AS n FROM cust)"
+    text += ", s0 AS (SELECT customer_id, p, n, p AS x FROM r0)"
+    for i, (u, key) in enumerate(shuffle_rounds(seed)):
+        text += (f", t{i} AS (SELECT *, ((CAST(floor({u!r}::DOUBLE * n) AS BIGINT) - x) % n + n) % n AS y FROM s{i})"
+                 f", s{i + 1} AS (SELECT customer_id, p, n, CASE WHEN {mixed_hash_sql('greatest(x, y)', key)} % 2 = 1 THEN y ELSE x END AS x FROM t{i})")
+    return text
+
+
+@query("h14_shuffled_positions", BASE + _shuffle_sql(42) + f" SELECT customer_id, p + 1 AS position, x + 1 AS donneur FROM s{SHUFFLE_ROUNDS}")
+def h14_positions(spark, sf):
+    placed = row_numbers(base(spark, sf).select("customer_id"), ["customer_id"], name="position")
+    at = shuffled_position(F.col("position") - 1, F.col("position_n"), 42) + 1
+    return placed.select("customer_id", "position", at.alias("donneur"))
+
+
 @query("h14_permutation_importance")
 def h14(spark, sf):
     df = rows(spark, sf)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 from functools import reduce
 
@@ -18,14 +19,63 @@ def col(c: Column | str) -> Column:
 
 
 def seeded_hash(column: Column | str, seed: int = 0) -> Column:
-    """Arithmetic hash of an integer key in [0, 2^32): reproducible in any SQL engine."""
+    """Arithmetic hash of an integer key in [0, 2^32): reproducible in any SQL engine.
+
+    It fixes the frozen folds and parts.  Its seeds rotate one order; :func:`mixed_hash` is for draws
+    that must not depend on one another.
+    """
     key = F.pmod(col(column).cast("bigint") + F.lit(seed), F.lit(2147483648))
     return F.pmod(key * F.lit(2654435761), F.lit(4294967296))
 
 
+def _stir(x: Column, times: int = 2) -> Column:
+    """Multiply-and-fold rounds on numbers in [0, 2^32); any SQL engine can repeat them."""
+    one = F.array(x)
+    for _ in range(times):
+        one = F.transform(one, lambda v: F.pmod(
+            v.bitwiseXOR(F.shiftright(v, 16)) * F.lit(73244475), F.lit(4294967296)))
+    return F.transform(one, lambda v: v.bitwiseXOR(F.shiftright(v, 16)))[0]
+
+
+def mixed_hash(column: Column | str, seed: Column | int = 0) -> Column:
+    """Hash of an integer key in [0, 2^32) whose seeds give unrelated orders."""
+    key = col(column).cast("bigint")
+    seed = seed if isinstance(seed, Column) else F.lit(seed).cast("bigint")
+    whole = F.lit(4294967296)
+    high = _stir(F.pmod(F.shiftright(key, 32), whole).bitwiseXOR(F.pmod(seed, whole)))
+    return _stir(F.pmod(key, whole).bitwiseXOR(high))
+
+
 def hash_uniform(column: Column | str, seed: int = 0) -> Column:
     """The same hash as a number in [0, 1)."""
-    return seeded_hash(column, seed) / F.lit(4294967296.0)
+    return mixed_hash(column, seed) / F.lit(4294967296.0)
+
+
+#: Swap-or-not rounds of a shuffle.
+SHUFFLE_ROUNDS = 24
+
+
+def shuffle_rounds(seed: int) -> list[tuple[float, int]]:
+    """Per round the share of the size that pairs up positions, and the seed of the swaps."""
+    r = random.Random(seed)
+    return [(r.random(), r.randrange(2 ** 31)) for _ in range(SHUFFLE_ROUNDS)]
+
+
+def shuffled_position(position: Column, n: Column, seed: int) -> Column:
+    """A keyed one-to-one map of the positions 0 .. n - 1 (swap-or-not rounds).
+
+    Each round pairs every position with another one and a hash of the pair says whether the two
+    change places: no table, no sort, and no relation between seeds.
+    """
+    rounds = F.array(*[F.struct(F.lit(u).alias("u"), F.lit(s).cast("bigint").alias("s"))
+                       for u, s in shuffle_rounds(seed)])
+
+    def swap(x: Column, r: Column) -> Column:
+        other = F.pmod(F.floor(r["u"] * n) - x, n)
+        bit = mixed_hash(F.greatest(x, other), r["s"]).bitwiseAND(F.lit(1))
+        return F.when(bit == 1, other).otherwise(x)
+
+    return F.aggregate(rounds, position.cast("bigint"), swap)
 
 
 def safe_divide(num: Column | str, den: Column | str) -> Column:

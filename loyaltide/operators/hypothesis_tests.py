@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loyaltide import fixed_values as fv
 from loyaltide.functions.expressions import (effect_label, log1p_nonneg,
-                                             normal_two_sided_p, seeded_hash, signed_log1p)
+                                             mixed_hash, normal_two_sided_p, signed_log1p)
 from loyaltide.operators.describe import (binned_rates, chi2_from_counts, level_counts,
                                           spearman_matrix, top_correlated_pairs,
                                           unbiased_skew)
@@ -244,7 +244,7 @@ def p_value_vs_sample_size(df: DataFrame, column: str, sizes: Sequence[int],
 
     A row belongs to every sample at least as large as its position in the seeded order.
     """
-    keyed = df.select(id_col, target, column).withColumn("_h", seeded_hash(id_col, seed))
+    keyed = df.select(id_col, target, column).withColumn("_h", mixed_hash(id_col, seed))
     ranked = row_numbers(keyed, ["_h", id_col])
     member = ranked.withColumn("taille", F.explode(F.array(*[F.lit(int(s)) for s in sizes]))) \
         .filter(F.col("rn") <= F.col("taille"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loyaltide import fixed_values as fv
-from loyaltide.functions.expressions import adjust_prior, hash_uniform, seeded_hash
+from loyaltide.functions.expressions import adjust_prior, hash_uniform, mixed_hash, shuffled_position
 from loyaltide.operators import metrics, preprocessing as pp, shared_preparation
 from loyaltide.operators.features import build_features
 from loyaltide.operators.ranking import row_numbers
@@ -499,7 +499,7 @@ class CalibratedModel:
 
 def inner_folds(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """Replace the fold column by a fresh stratified one for the inner loop."""
-    keyed = df.drop(FOLD).withColumn("_h", seeded_hash(ID, seed))
+    keyed = df.drop(FOLD).withColumn("_h", mixed_hash(ID, seed))
     ranked = row_numbers(keyed, ["_h", ID], by=[TARGET])
     return ranked.withColumn(FOLD, F.pmod("rn", F.lit(k)).cast("int")).drop("rn", "rn_n", "_h")
 
@@ -596,19 +596,23 @@ def permutation_importance(df: DataFrame, score: Callable[[DataFrame], DataFrame
                            score_column: str = "score") -> DataFrame:
     """Drop of the AUC when one column is shuffled: ``variable, baisse_auc, ecart_type``.
 
-    A shuffle joins each row, by position in the id order, to the value at the same position of a
-    seeded hash order; both orders are distributed row numbers.
+    Rows are numbered once.  A repeat is a keyed shuffle of the numbers and one join: each row meets
+    the row whose values it borrows, and is written once per column with that column borrowed.
     """
-    ids = row_numbers(df.select(ID), [ID], name="_pos").drop("_pos_n")
-    anchored = df.join(ids, ID)
-    variants = df.withColumn(_VARIANT, F.lit("base"))
+    placed = stage(row_numbers(df, [ID], name="_pos"), "positions")
+    donors = placed.select(F.col("_pos").alias("_from"), *[F.col(c).alias(f"_d_{c}") for c in columns])
+    variants = None
     for r in range(repeats):
-        keyed = df.select(ID, *columns).withColumn("_h", seeded_hash(ID, seed + 7919 * (r + 1)))
-        donors = row_numbers(keyed, ["_h", ID], name="_pos").drop("_pos_n", "_h", ID)
-        for c in columns:
-            values = donors.select("_pos", F.col(c).alias("_new"))
-            shuffled = anchored.join(values, "_pos").withColumn(c, F.col("_new")).drop("_new", "_pos")
-            variants = variants.unionByName(shuffled.withColumn(_VARIANT, F.lit(f"{r}:{c}")))
+        at = shuffled_position(F.col("_pos") - 1, F.col("_pos_n"), seed + r) + 1
+        both = placed.withColumn("_from", at).join(donors, "_from")
+
+        def line(name: str, borrowed: str | None = None) -> Column:
+            return F.struct(F.lit(name).alias(_VARIANT), *[
+                F.col(f"_d_{c}" if c == borrowed else c).alias(c) for c in df.columns])
+
+        lines = [line(f"{r}:{c}", c) for c in columns] + ([line("base")] if r == 0 else [])
+        part = both.select(F.inline(F.array(*lines)))
+        variants = part if variants is None else variants.unionByName(part)
     aucs = metrics.roc_auc(score(variants), score_column, by=[_VARIANT])   # one job for all
     base = aucs.filter(F.col(_VARIANT) == "base").select(F.col("roc_auc").alias("_base"))
     drops = aucs.filter(F.col(_VARIANT) != "base").crossJoin(F.broadcast(base))   # one row
