@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from loyaltide import fixed_values as fv
 from loyaltide.functions.expressions import MISSING, all_present, safe_divide, wilson_bound
-from loyaltide.operators.ranking import exact_quantiles, unpivot_values, value_ranks
+from loyaltide.operators.ranking import (exact_quantiles, running_totals, unpivot_values,
+                                          value_ranks)
 
 
 def unbiased_skew(skew: Column, n: Column) -> Column:
@@ -176,15 +177,6 @@ def two_way_pivot(df: DataFrame, row: str, col: str, levels: Sequence[str], targ
         F.col(f"`{v}_taux`"), F.coalesce(F.col(f"`{v}_n`"), F.lit(0)).alias(f"{v}_n"))])
 
 
-def _rank_rows(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:
-    """Wide average ranks of the complete rows: one column per variable."""
-    rows = df.filter(all_present(columns)).select(id_col, *columns)
-    ranks = value_ranks(rows, columns).select("variable", "value", "avg_rank")
-    long = unpivot_values(rows, columns, [id_col]).join(ranks, ["variable", "value"])
-    return long.groupBy(id_col).agg(*[
-        F.max(F.when(F.col("variable") == c, F.col("avg_rank"))).alias(c) for c in columns])
-
-
 def _pairwise(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Rank correlation of each pair over the rows that have both values, all pairs in one job.
 
@@ -216,31 +208,70 @@ def _pairwise(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return known.join(sums.select("pair", rho.alias("rho")), "pair", "left").drop("pair")
 
 
+def null_masks(df: DataFrame, columns: Sequence[str], id_col: str) -> dict[str, tuple]:
+    """Per column a fingerprint of the rows without a value: equal ones have the same null rows.
+
+    One pass: how many, and two order-free combinations of the hashes of their ids.
+    """
+    aggs = []
+    for c in columns:
+        gap = F.col(c).isNull()
+        aggs += [F.count_if(gap).alias(f"{c}_n"),
+                 F.bit_xor(F.when(gap, F.xxhash64(id_col))).alias(f"{c}_a"),
+                 F.sum(F.when(gap, F.xxhash64(id_col, F.lit(1)).cast("decimal(38,0)"))).alias(f"{c}_b")]
+    row = df.agg(*aggs).first()                            # one row
+    return {c: (row[f"{c}_n"], row[f"{c}_a"], row[f"{c}_b"]) for c in columns}
+
+
 def spearman_matrix(df: DataFrame, columns: Sequence[str], id_col: str = "customer_id",
                     digits: int | None = 2) -> DataFrame:
     """Upper triangle of the pairwise rank correlations: ``var_1, var_2, rho``.
 
-    Each pair uses the rows that have both values.  Columns without nulls share one ranking; pairs
-    with another column are ranked over their common rows.
+    Each pair uses the rows that have both values.  Those rows follow from the null masks of the two
+    columns, so pairs over the same rows share one ranking of each column, and their correlations
+    are one aggregate over the rows' ranks.  What is left alone on its rows is ranked pair by pair.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()   # one row
-    full = [c for c in columns if not gaps[c]]
-    shared = [(a, b) for a, b in pairs if a in full and b in full]
-    own = [p for p in pairs if p not in shared]
-    out = None
-    if shared:
-        ranks = _rank_rows(df, full, id_col)
-        row = ranks.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(shared)])
-        cells = F.array(*[F.struct(F.lit(a).alias("var_1"), F.lit(b).alias("var_2"),
-                                   F.col(f"r{i}").alias("rho")) for i, (a, b) in enumerate(shared)])
-        out = row.select(F.inline(cells))
-    if own:
-        rest = _pairwise(df, own)
-        out = rest if out is None else out.unionByName(rest)
+    masks = null_masks(df, columns, id_col)
+    scopes: dict[frozenset, list[tuple[str, str]]] = {}
+    for i, a in enumerate(columns):
+        for b in columns[i + 1:]:
+            scopes.setdefault(frozenset(masks[c] for c in (a, b) if masks[c][0]), []).append((a, b))
+    shared = {i: (scope, pairs) for i, (scope, pairs) in enumerate(scopes.items()) if len(pairs) > 1}
+    out = _by_scope(df, columns, masks, shared, id_col) if shared else None
+    alone = [pairs[0] for pairs in scopes.values() if len(pairs) == 1]
+    if alone:
+        part = _pairwise(df, alone)
+        out = part if out is None else out.unionByName(part)
     return out if digits is None else out.withColumn("rho", F.bround("rho", digits))
 
 
+def _by_scope(df: DataFrame, columns: Sequence[str], masks: dict[str, tuple],
+              scopes: dict[int, tuple[frozenset, list[tuple[str, str]]]], id_col: str) -> DataFrame:
+    """Correlations of the pairs of each scope (a set of null masks), all scopes in one job: a
+    ranking by scope and column, the ranks of a row side by side, one aggregate per scope."""
+    cells = []
+    for i, (scope, pairs) in scopes.items():
+        holders = [next(c for c in columns if masks[c] == mask) for mask in scope]
+        there = all_present(holders) if holders else F.lit(True)
+        cells += [F.when(there, F.struct(F.lit(i).alias("scope"), F.lit(c).alias("variable"),
+                                         F.col(c).cast("double").alias("value")))
+                  for c in sorted({c for pair in pairs for c in pair}, key=columns.index)]
+    long = df.select(id_col, F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull())))
+    counts = long.groupBy("scope", "variable", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = running_totals(counts, ["value"], {"n": F.col("n")}, ["scope", "variable"]).select(
+        "scope", "variable", "value", (F.col("n_cum") + (1 - F.col("n")) / F.lit(2.0)).alias("rank"))
+    side = long.join(ranks, ["scope", "variable", "value"]).groupBy("scope", id_col).agg(*[
+        F.max(F.when(F.col("variable") == c, F.col("rank"))).alias(c) for c in columns])
+    pairs = [(i, a, b) for i, (_, of) in scopes.items() for a, b in of]
+    table = side.groupBy("scope").agg(*[F.corr(a, b).alias(f"r{k}")
+                                        for k, (_, a, b) in enumerate(pairs)])
+    lines = F.array(*[F.struct(F.lit(i).alias("_scope"), F.lit(a).alias("var_1"),
+                               F.lit(b).alias("var_2"), F.col(f"r{k}").alias("rho"))
+                      for k, (i, a, b) in enumerate(pairs)])
+    return (table.select("scope", F.inline(lines)).filter("scope = _scope")
+            .select("var_1", "var_2", "rho"))
+
+
 def top_correlated_pairs(matrix: DataFrame, threshold: float = 0.8, strict: bool = False
                          ) -> DataFrame:
     strength = F.abs("rho")
