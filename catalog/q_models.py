@@ -9,7 +9,7 @@ from catalog.q_metrics import auc_sql
 from catalog.q_segments import seg_auc_sql
 from catalog.registry import query, rounded, sql
 from loyaltide.functions.expressions import SHUFFLE_ROUNDS, shuffle_rounds, shuffled_position
-from loyaltide.operators import features, metrics, models
+from loyaltide.operators import features, isotonic, metrics, models
 from loyaltide.operators.explain import grouped
 from loyaltide.operators.ranking import row_numbers
 from loyaltide.operators.segments_by_rule import segment_rate_scores
@@ -191,6 +191,18 @@ def f17(spark, sf):
     return models.fit_calibrator(scores, "isotonic").apply(scores, "score")
 
 
+# The largest, over all starts up to a score, of the smallest mean from there to any end beyond it.
+@query("f17_isotonic_fit", sql(BASE + """, d AS (SELECT CAST(months AS DOUBLE) * 1000 + eqpdays // 30 AS x, count(*) AS w, CAST(sum(churn) AS DOUBLE) AS s FROM cust WHERE months IS NOT NULL AND eqpdays IS NOT NULL GROUP BY 1
+), e AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs FROM d
+), m AS (SELECT a.i AS a, b.i, min((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS low FROM e a JOIN e b ON b.i >= a.i
+), g AS (SELECT i, max(low) AS v FROM m GROUP BY 1)""", "SELECT customer_id, v AS valeur FROM cust JOIN e ON x = CAST(months AS DOUBLE) * 1000 + eqpdays // 30 JOIN g USING (i)", "valeur:9"))
+def f17_fit(spark, sf):
+    x = F.col("months").cast("double") * 1000 + F.floor(F.col("eqpdays") / 30)
+    df = base(spark, sf).select("customer_id", "churn", x.alias("x")).filter("x IS NOT NULL")
+    fitted = isotonic.IsotonicMap(isotonic.isotonic_blocks(df, "x", "churn"))
+    return rounded(fitted.apply(df, "x", "valeur").select("customer_id", "valeur"), 9)
+
+
 @query("f19_out_of_fold_scores")
 def f19(spark, sf):
     return models.out_of_fold_scores(rows(spark, sf), spec("decision_tree"), folds=FOLDS)

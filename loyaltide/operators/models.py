@@ -17,7 +17,6 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +24,7 @@ from loyaltide import fixed_values as fv
 from loyaltide.functions.expressions import adjust_prior, hash_uniform, mixed_hash, shuffled_position
 from loyaltide.operators import metrics, preprocessing as pp, shared_preparation
 from loyaltide.operators.features import build_features
+from loyaltide.operators.isotonic import IsotonicMap, isotonic_blocks
 from loyaltide.operators.ranking import row_numbers
 from loyaltide.staging import stage
 
@@ -442,20 +442,15 @@ class Calibrator:
     """Monotone map from a raw score to a calibrated probability."""
 
     method: str
-    model: Model
+    model: Model | IsotonicMap
 
     def apply(self, df: DataFrame, score: str = "proba_brute", name: str = "proba_calibree"
               ) -> DataFrame:
-        rows = VectorAssembler(inputCols=[_logit_column(self.method, score)], outputCol="_v") \
-            .transform(_with_logit(df, score))
+        if self.method == "isotonic":
+            return self.model.apply(df, score, name)
+        rows = VectorAssembler(inputCols=["_logit"], outputCol="_v").transform(_with_logit(df, score))
         out = self.model.transform(rows)
-        value = (vector_to_array("_p")[1] if self.method == "sigmoid"
-                 else F.least(F.greatest(F.col("_p"), F.lit(0.0)), F.lit(1.0)))
-        return out.select(*df.columns, value.alias(name))
-
-
-def _logit_column(method: str, score: str) -> str:
-    return "_logit" if method == "sigmoid" else score
+        return out.select(*df.columns, vector_to_array("_p")[1].alias(name))
 
 
 def _with_logit(df: DataFrame, score: str) -> DataFrame:
@@ -468,14 +463,12 @@ def fit_calibrator(oof: DataFrame, method: str = "sigmoid", score: str = "score"
     """Learn the map on out-of-fold scores: logistic on the log-odds, or isotonic regression."""
     if method not in ("sigmoid", "isotonic"):
         raise ValueError("method must be sigmoid or isotonic")
-    rows = VectorAssembler(inputCols=[_logit_column(method, score)], outputCol="_v").transform(
+    if method == "isotonic":
+        return Calibrator(method, IsotonicMap(isotonic_blocks(oof, score, target)))
+    rows = VectorAssembler(inputCols=["_logit"], outputCol="_v").transform(
         _with_logit(oof, score).withColumn("_y", F.col(target).cast("double")))
-    if method == "sigmoid":
-        model = LogisticRegression(regParam=0.0, featuresCol="_v", labelCol="_y",
-                                   probabilityCol="_p", rawPredictionCol="_raw",
-                                   predictionCol="_class").fit(rows)
-    else:
-        model = IsotonicRegression(featuresCol="_v", labelCol="_y", predictionCol="_p").fit(rows)
+    model = LogisticRegression(regParam=0.0, featuresCol="_v", labelCol="_y", probabilityCol="_p",
+                               rawPredictionCol="_raw", predictionCol="_class").fit(rows)
     return Calibrator(method, model)
 
 
