@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base_sql import BASE
+from catalog.q_describe import BIN_RATES, NUM, NUM_MI, PROFILE, edges_sql
+from catalog.q_quality import long_sql
 from catalog.registry import query, rounded, sql
 from loyaltide.functions.expressions import log1p_nonneg, safe_divide, signed_log1p
 from loyaltide.operators import features, preprocessing as pp, quality
@@ -193,6 +195,11 @@ def e26(spark, sf):
     return df.select("customer_id", features.active_customer(df).alias("actif"))
 
 
+@query("c26_numeric_profile", sql(BASE + f", l AS ({long_sql(NUM)})" + edges_sql(NUM) + BIN_RATES + PROFILE + NUM_MI, "SELECT nmi.variable, info_mutuelle, prof.* EXCLUDE (variable) FROM nmi LEFT JOIN prof USING (variable)", "ecart_classes_pts info_mutuelle:6"))
+def c26n(spark, sf):
+    return rounded(features.feature_profile(base(spark, sf), NUM, min_n=50))
+
+
 @query("c26_feature_profile", sql(BASE, """SELECT v AS variable, 100 * avg(churn) FILTER (WHERE x = 1) AS taux_si_1, 100 * avg(churn) FILTER (WHERE x = 0) AS taux_si_0, 100 * avg(x) AS part_de_1 FROM (
   SELECT 'handset_old' AS v, (eqpdays >= 300)::INT AS x, churn FROM cust UNION ALL SELECT 'in_contract_end', (months IN (69, 70))::INT, churn FROM cust UNION ALL SELECT 'sans_usage', (rev_Mean IS NULL)::INT, churn FROM cust) GROUP BY 1""",
     "taux_si_1 taux_si_0 part_de_1"))

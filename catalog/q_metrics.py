@@ -234,6 +234,28 @@ def g18(spark, sf):
     return rounded(report)
 
 
+@query("g18_test_report_gaps", sql(
+    STORE + auc_sql("scores", "proba_calibree", "partition")
+    + ", rk AS (SELECT partition AS pt, churn, proba_calibree, row_number() OVER (PARTITION BY partition ORDER BY proba_calibree DESC, customer_id) AS rn, count(*) OVER (PARTITION BY partition) AS n, sum(churn) OVER (PARTITION BY partition) AS pos FROM scores)"
+      ", tk AS (SELECT pt, max(n) AS n, avg((proba_calibree - churn) ** 2) AS brier, "
+    + ", ".join(f"avg(churn) FILTER (WHERE rn <= ceil({k / 100!r}::DOUBLE * n)) / (max(pos) / CAST(max(n) AS DOUBLE)) AS lift_{k}" for k in (5, 10, 20))
+    + " FROM rk GROUP BY 1), al AS (SELECT * FROM auc JOIN tk ON pt = partition)",
+    "SELECT partition, n, roc_auc, pr_auc, brier, lift_5, lift_10, lift_20, roc_auc - (SELECT roc_auc FROM al WHERE partition = 'train_oof') AS ecart_auc, brier - (SELECT brier FROM al WHERE partition = 'train_oof') AS ecart_brier FROM al",
+    "roc_auc pr_auc brier lift_5 lift_10 lift_20 ecart_auc ecart_brier"))
+def g18g(spark, sf):
+    df = scores(spark, sf).withColumn("actif", ~F.col("inactif"))
+    return rounded(metrics.test_report(df, "proba_calibree", "actif").select(
+        "partition", "n", "roc_auc", "pr_auc", "brier", "lift_5", "lift_10", "lift_20", "ecart_auc",
+        "ecart_brier"))
+
+
+@query("g18_test_interval")
+def g18i(spark, sf):
+    """AUC of the test part with its bootstrap interval."""
+    df = scores(spark, sf).filter(F.col("partition") == "test")
+    return bootstrap.bootstrap_auc_ci(df, "proba_calibree")
+
+
 # --- Lift bands and tiers -------------------------------------------------------------------
 
 @query("j02_band_lift", sql(

@@ -9,14 +9,16 @@ from catalog.q_metrics import auc_sql
 from catalog.q_segments import seg_auc_sql
 from catalog.registry import query, rounded, sql
 from loyaltide.functions.expressions import SHUFFLE_ROUNDS, shuffle_rounds, shuffled_position
-from loyaltide.operators import features, isotonic, metrics, models
-from loyaltide.operators.explain import grouped
+from loyaltide.operators import describe, features, hypothesis_tests as ht, isotonic, metrics, models
+from loyaltide.operators.explain import global_importance, grouped, rank_confrontation
 from loyaltide.operators.ranking import row_numbers
 from loyaltide.operators.segments_by_rule import segment_rate_scores
 from loyaltide.operators.tree_contributions import (ensemble_paths, expected_value,
                                                     tree_contributions)
+from loyaltide.plans.model_scores import explanation
 from loyaltide.plans.score_table import load_store
 from loyaltide.sources.customer_base import load_customer_base as base
+from loyaltide.staging import stage
 
 COLUMNS = ("months", "eqpdays", "rev_Mean", "mou_Mean", "avg3mou", "avg6mou", "avg3rev", "avg6rev",
            "change_mou", "totmrc_Mean", "ovrrev_Mean", "custcare_Mean", "hnd_price", "actvsubs",
@@ -179,6 +181,18 @@ def oof(spark, sf):
                                  train_auc=False).scores
 
 
+@query("f11_model_ablation")
+def f11m(spark, sf):
+    return models.group_ablation(rows(spark, sf), spec("logreg_simple"), FOLDS)
+
+
+@query("f18_fitted_calibrators")
+def f18m(spark, sf):
+    """Brier score of both fitted calibrators by fold, and which one the rule keeps."""
+    table = stage(models.calibrator_scores(oof(spark, sf)), "calibrators")
+    return table.crossJoin(F.broadcast(models.calibration_choice(table)))      # one row
+
+
 @query("f16_sigmoid_calibration")
 def f16(spark, sf):
     scores = oof(spark, sf)
@@ -248,6 +262,23 @@ def h14_positions(spark, sf):
     return placed.select("customer_id", "position", at.alias("donneur"))
 
 
+@query("h16_model_ranks")
+def h16m(spark, sf):
+    """Ranks of the original columns by mean contribution of a fitted model, by the loss of AUC when
+    they are shuffled, and by information about the target."""
+    df = rows(spark, sf)
+    fitted = models.fit_model(df, spec("logreg"))
+    ready = fitted.prepare.features(df)
+    lines, _ = explanation(fitted, ready, ready)
+    shuffled = models.permutation_importance(df, lambda d: fitted.score(d, "score"), COLUMNS)
+    text = [c for c in COLUMNS if c in ("hnd_webcap", "area")]
+    known = ht.numeric_information(df, [c for c in COLUMNS if c not in text]).unionByName(
+        ht.mutual_information(describe.level_counts(df, text)))
+    return rank_confrontation(
+        ("contribution", global_importance(lines), "shap_abs_moyen"),
+        ("permutation", shuffled, "baisse_auc"), ("information", known, "info_mutuelle"))
+
+
 @query("h14_permutation_importance")
 def h14(spark, sf):
     df = rows(spark, sf)

@@ -110,6 +110,17 @@ def i09(spark, sf):
         .select("customer_id", "segment_id")
 
 
+@query("i09_assign_segments")
+def i09m(spark, sf):
+    """Every row in the cluster of the fitted centres, with the name its profile gives it."""
+    ready = vectors(spark, sf)
+    fitted = seg.fit_kmeans(ready)
+    assigned = fitted.transform(ready).select("customer_id", "segment_id")
+    names = seg.name_clusters(seg.cluster_profiles(base(spark, sf).join(assigned, "customer_id")),
+                              strict=False)
+    return seg.assign_segments(ready, fitted, names).select("customer_id", "segment_id", "segment")
+
+
 def seg_auc_sql(label: str, p: str = "") -> str:
     return f""", {p}cl AS (SELECT CAST({label} AS VARCHAR) AS s, fold AS f, count(*) AS n, sum(churn) AS pos FROM cust2 GROUP BY 1, 2
 ), {p}oo AS (SELECT s, f, coalesce(CAST(sum(pos) OVER (PARTITION BY s) - pos AS DOUBLE) / nullif(sum(n) OVER (PARTITION BY s) - n, 0),

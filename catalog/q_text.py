@@ -217,6 +217,55 @@ def a08(spark, sf):
                    .csv(f"{path}/csv/tier_bands").select("bande", "niveau", "lift"))
 
 
+@query("a08_kpi_bundle", sql(STORE, """SELECT 'n_rows' AS nom, CAST(count(*) AS DOUBLE) AS valeur FROM scores UNION ALL SELECT 'inactive_n_rows', count(*) FILTER (WHERE inactif) FROM scores
+  UNION ALL SELECT 'expected_churners', sum(poids_portefeuille * proba_reelle) FROM scores UNION ALL SELECT 'revenue_at_risk_monthly', sum(poids_portefeuille * revenu_en_jeu) FROM scores
+  UNION ALL SELECT 'n_portfolio_equiv', sum(poids_portefeuille) FROM scores""", "valeur:2"))
+def a08k(spark, sf):
+    """The bundle written, its JSON object read back with a schema, and its lines compared."""
+    path = f"{staging_root(spark)}/a08k-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    table = dashboards.kpis(load_store(spark, sf).scores)
+    tables.write_kpi_bundle(table, path)
+    back = spark.read.schema(table.schema).json(f"{path}/kpis")
+    names = ["n_rows", "inactive_n_rows", "expected_churners", "revenue_at_risk_monthly",
+             "n_portfolio_equiv"]
+    long = back.unpivot([], [F.col(c).cast("double").alias(c) for c in names], "nom", "valeur")
+    lines = spark.read.option("header", True).schema("nom string, ligne double").csv(
+        f"{path}/kpis_lignes")
+    return rounded(long.join(lines, "nom").filter("abs(valeur - ligne) <= 1e-9 * abs(valeur)")
+                   .select("nom", "valeur"), 2)
+
+
+@query("j36_public_lines", sql(STORE, """SELECT customer_id, nature, row_number() OVER (PARTITION BY customer_id, nature ORDER BY rang) AS position, variable,
+  round_even(contribution, 3) AS contribution, CASE WHEN contribution > 0 THEN 'hausse' ELSE 'baisse' END AS sens FROM (
+  SELECT customer_id, 'raison' AS nature, rang_raison AS rang, variable, contribution FROM ranked_f WHERE rang_raison <= 3
+  UNION ALL SELECT customer_id, 'contexte', rang_contexte, variable, contribution FROM ranked_f WHERE rang_contexte <= 2) WHERE variable <> 'income'""", "contribution:3"))
+def j36c(spark, sf):
+    return rounded(ta.public_lines(load_store(spark, sf).factors), 3)
+
+
+@query("j36_public_segments", sql(STORE + """, sg AS (SELECT segment, count(*) AS n_rows, sum(poids_portefeuille) AS w, sum(poids_portefeuille * proba_reelle) AS e, sum(poids_portefeuille * revenu_en_jeu) AS m,
+  sum(poids_portefeuille) FILTER (WHERE niveau = 'High') AS h FROM scores GROUP BY 1)""", """SELECT segment, n_rows, round_even(100 * w / sum(w) OVER (), 1) AS part_pct, round_even(100 * e / w, 2) AS risque_mensuel_pct,
+  round_even(100 * coalesce(h, 0) / w, 1) AS part_high_pct, round_even(m, 0) AS revenu_en_jeu_dollars FROM sg""", "part_pct risque_mensuel_pct part_high_pct revenu_en_jeu_dollars"))
+def j36d(spark, sf):
+    from loyaltide.operators.dashboards import group_rows
+    return rounded(ta.public_segments(group_rows(load_store(spark, sf).scores, ["segment"])))
+
+
+@query("k02_fidelity_with_question", sql(_ANS, """SELECT n.customer_id, n.pos, n.valeur FROM num n WHERE valeur NOT IN (0, 1, 2, 3, 4, 5, 100, 1000) AND NOT EXISTS (
+  SELECT 1 FROM (SELECT * FROM alw UNION ALL SELECT customer_id, d FROM ans WHERE customer_id % 2 = 0 UNION ALL SELECT customer_id, 100 * d FROM ans WHERE customer_id % 2 = 0 AND d <= 1) x
+  WHERE x.customer_id = n.customer_id AND abs(n.valeur - v) <= greatest(0.5 * pow(10.0::DOUBLE, -decimales) + 1e-9, 0.01 * v))""", "valeur"))
+def k02q(spark, sf):
+    """Half of the questions name the code, which the answer may then cite."""
+    scores = load_store(spark, sf).scores.select("customer_id", F.when(
+        F.col("customer_id") % 2 == 0, F.concat(F.lit("Que dire du code "), (
+            F.col("months") * 7).cast("string"), F.lit(" ?"))).alias("question"))
+    df = answers(spark, sf).join(scores, "customer_id")
+    allowed = ta.allowed_values(df, ["customer_id"], ["rev_Mean", "proba_reelle", "totcalls"])
+    allowed = allowed.unionByName(ta.allowed_in_texts(df, ["customer_id"], ["question"])).distinct()
+    out = ta.unsupported_numbers(ta.extract_numbers(df, ["customer_id"]), allowed, ["customer_id"])
+    return rounded(out.select("customer_id", "pos", "valeur"))
+
+
 @query("a08_store_sinks", sql(STORE, """SELECT 'contributions' AS source, variable, count(*) AS n, sum(contribution) AS total FROM contrib GROUP BY 2
   UNION ALL SELECT 'scores', niveau, count(*), sum(proba_reelle) FROM scores GROUP BY 2
   UNION ALL SELECT 'bands', niveau, count(*), sum(lift) FROM tiers GROUP BY 2""", "total"))

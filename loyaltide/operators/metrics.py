@@ -100,6 +100,22 @@ def compute_metrics(df: DataFrame, score: str, ks: Sequence[float] = K_VALUES,
     return areas.join(scalars, list(by)) if by else areas.crossJoin(scalars)  # one row each
 
 
+def test_report(df: DataFrame, score: str, active: str, by: str = "partition",
+                learned: str = "train_oof", target: str = "churn", id_col: str = ID) -> DataFrame:
+    """All metrics per part, the AUC of its active rows, and how far its AUC and Brier score lie from
+    those of the part the models were validated on."""
+    whole = compute_metrics(df, score, target=target, by=[by], id_col=id_col)
+    alive = roc_auc(df.filter(F.col(active)), score, target, [by]).withColumnRenamed(
+        "roc_auc", "auc_actifs")
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    table = whole.join(sizes, by).join(alive, by, "left")
+    reference = table.filter(F.col(by) == learned).select(
+        F.col("roc_auc").alias("_auc"), F.col("brier").alias("_brier"))
+    return (table.crossJoin(F.broadcast(reference))        # one row
+            .withColumns({"ecart_auc": F.col("roc_auc") - F.col("_auc"),
+                          "ecart_brier": F.col("brier") - F.col("_brier")}).drop("_auc", "_brier"))
+
+
 def gain_curve(df: DataFrame, score: str, points: int = 100, target: str = "churn",
                id_col: str = ID) -> DataFrame:
     """Share of positives reached and lift when targeting 1..100 % of the rows."""

@@ -346,14 +346,16 @@ def cross_validate(df: DataFrame, spec: ModelSpec, folds: Sequence[int] = range(
 
 def ablation(df: DataFrame, configs: Mapping[str, ModelSpec], folds: Sequence[int] = range(5)
              ) -> DataFrame:
-    """AUC per fold of each configuration: ``configuration, modele, fold, auc``."""
+    """AUC per fold of each configuration: ``configuration, modele, fold, auc``, from one ranking of
+    the scores of all of them."""
     out = None
     for name, spec in configs.items():
-        rows = cross_validate(df, spec, folds, train_auc=False).per_fold.select(
-            F.lit(name).alias("configuration"), F.lit(spec.kind).alias("modele"), FOLD,
-            F.col("roc_auc").alias("auc"))
+        rows = _fold_scores(df, [spec], folds, False).select(
+            F.lit(name).alias("configuration"), F.lit(spec.kind).alias("modele"), FOLD, TARGET,
+            F.col("s0").alias("score"))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return metrics.roc_auc(out, "score", by=["configuration", "modele", FOLD]).withColumnRenamed(
+        "roc_auc", "auc")
 
 
 def summarize_ablation(table: DataFrame, reference: str) -> DataFrame:
@@ -405,6 +407,28 @@ def calibration_choice(table: DataFrame, preferred: str = "sigmoid") -> DataFram
                        .otherwise(F.col("meilleure")).alias("choix"), "meilleure")
 
 
+def group_ablation(df: DataFrame, spec: ModelSpec, folds: Sequence[int] = range(5)) -> DataFrame:
+    """AUC per fold with all feature groups, without each one, and with none."""
+    configs = {"tous": spec} | {f"sans_{g}": replace(spec, groups=tuple(
+        x for x in spec.groups if x != g)) for g in spec.groups} | {"aucun": replace(spec, groups=())}
+    return ablation(df, configs, folds)
+
+
+def calibrator_scores(oof: DataFrame, score: str = "score",
+                      methods: Sequence[str] = ("sigmoid", "isotonic")) -> DataFrame:
+    """Brier score of each calibrator on each fold, learned on the out-of-fold scores of the other
+    folds: ``methode, fold, brier``."""
+    folds = [r[0] for r in oof.select(FOLD).distinct().orderBy(FOLD).collect()]   # one line per fold
+    out = None
+    for method in methods:
+        for k in folds:
+            fitted = fit_calibrator(oof.filter(F.col(FOLD) != k), method, score)
+            part = fitted.apply(oof.filter(F.col(FOLD) == k), score, "_p").select(
+                F.lit(method).alias("methode"), FOLD, TARGET, "_p")
+            out = part if out is None else out.unionByName(part)
+    return metrics.brier(out, "_p", TARGET, by=["methode", FOLD])
+
+
 def parameter_search(df: DataFrame, spec: ModelSpec, space: Mapping[str, Sequence],
                      n_trials: int = 10, folds: Sequence[int] = range(5), seed: int = 42
                      ) -> DataFrame:

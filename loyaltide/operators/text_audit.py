@@ -170,6 +170,41 @@ def public_view(scores: DataFrame, factors: DataFrame, id_col: str = "customer_i
         F.coalesce("n_contexte", F.lit(0)).alias("n_contexte"))
 
 
+def public_lines(factors: DataFrame, id_col: str = "customer_id") -> DataFrame:
+    """The reasons and context lines of a public customer view, one row per line: ``nature`` (raison
+    or contexte), ``position``, ``facteur``, ``sens``.  Lines naming a sensitive variable are left out,
+    and the rest move up."""
+    kinds = F.array(*[F.when(F.col(rank) <= most, F.struct(
+        F.lit(kind).alias("nature"), F.col(rank).alias("_rang")))
+        for kind, rank, most in (("raison", "rang_raison", 3), ("contexte", "rang_contexte", 2))])
+    shown = (factors.filter(~F.col("variable").isin(*sorted(fv.SENSITIVE_VARIABLES)))
+             .withColumn("_kinds", F.filter(kinds, lambda k: k.isNotNull()))
+             .select(id_col, "variable", "contribution", F.inline("_kinds")))
+    place = F.row_number().over(Window.partitionBy(id_col, "nature").orderBy("_rang"))
+    return shown.select(id_col, "nature", place.alias("position"), "variable",
+                        F.bround("contribution", 3).alias("contribution"),
+                        F.when(F.col("contribution") > 0, "hausse").otherwise("baisse").alias("sens"))
+
+
+def public_segments(segments: DataFrame) -> DataFrame:
+    """Rounded segment view: size, expected and observed rates in percent, money."""
+    return segments.select(
+        "segment", "n_rows", F.bround(100 * F.col("share_of_portfolio"), 1).alias("part_pct"),
+        F.bround(100 * F.col("expected_churn_rate"), 2).alias("risque_mensuel_pct"),
+        F.bround(100 * F.col("share_high"), 1).alias("part_high_pct"),
+        F.bround("revenue_at_risk", 0).alias("revenu_en_jeu_dollars"))
+
+
+def allowed_in_texts(df: DataFrame, id_cols: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """Numbers that texts themselves bring: those of the question and of text results, ``ids...,
+    autorise``; a number of 1 or less may be cited in percent too."""
+    long = df.unpivot([F.col(c) for c in id_cols], [F.col(c) for c in texts], "source", "text")
+    found = extract_numbers(long.filter(F.col("text").isNotNull()), id_cols)
+    value = F.col("valeur")
+    both = F.when(value <= 1, F.array(value, 100 * value)).otherwise(F.array(value))
+    return found.select(*id_cols, F.explode(both).alias("autorise")).distinct()
+
+
 def public_drivers(driver_table: DataFrame, top: int = 8) -> DataFrame:
     """The driver lists without sensitive variables, re-ranked and rounded."""
     order = Window.partitionBy("actionable").orderBy("rang")

@@ -93,6 +93,13 @@ def read_store(spark: SparkSession, path: str, names: Sequence[str] = STORE_TABL
     return found
 
 
+def write_kpi_bundle(kpis: DataFrame, path: str) -> None:
+    """The key figures of a job (one row) as one JSON object, and as long ``nom, valeur`` lines."""
+    kpis.coalesce(1).write.mode("overwrite").json(f"{path}/kpis")
+    long = kpis.unpivot([], [F.col(c).cast("double").alias(c) for c in kpis.columns], "nom", "valeur")
+    long.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/kpis_lignes")
+
+
 def write_reports(tables: Mapping[str, DataFrame], path: str) -> None:
     """Small result tables as CSV with header and as JSON lines."""
     for name, table in tables.items():
