@@ -57,14 +57,17 @@ def draw(labelled: DataFrame, key: str, marks: list[str], most: int, rare: float
     ``rare`` of ``most`` gets that many (all it has, if fewer), so the sample has at most
     ``most * (1 + rare * values)`` rows.
     """
-    order = Window.partitionBy(*marks).orderBy(F.xxhash64(key), key)
     sizes = labelled.groupBy(*marks).agg(F.count(F.lit(1)).alias("_of"))
     sizes = sizes.withColumn("_all", F.sum("_of").over(Window.partitionBy()))   # a row per value
-    ranked = (labelled.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most)
-              .join(F.broadcast(sizes), marks))
     share = F.floor(F.lit(float(most)) * F.col("_of") / F.greatest(F.col("_all"), F.lit(most)))
-    quota = F.greatest(share, F.lit(int(rare * most)))
-    return ranked.filter(F.col("_rank") <= quota).drop("_rank", "_of", "_all")
+    placed = (labelled.join(F.broadcast(sizes), marks)
+              .withColumn("_quota", F.greatest(share, F.lit(int(rare * most))))
+              .withColumn("_u", uniform(F.col(key))))
+    # Twice the quota by hash value, so that what is ranked is bounded too.
+    few = placed.filter(F.col("_u") * F.col("_of") < 2 * F.col("_quota") + 100)
+    rank = F.row_number().over(Window.partitionBy(*marks).orderBy("_u", key))
+    return (few.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_quota"))
+            .drop("_rank", "_of", "_all", "_quota", "_u"))
 
 
 def text_batches(df: DataFrame) -> DataFrame:
