@@ -37,13 +37,10 @@ PHRASE_DAYS_PER_MONTH = 30.4
 OUTLIER_HIGH, OUTLIER_LOW = 0.999, 0.001
 
 # --- Fixed values: display bands -----------------------------------------------------------
-TENURE_BANDS = ["0-5 mois", "6-10 mois", "11-12 mois (fin d'engagement)", "13-24 mois",
-                "25-36 mois", "37 mois et plus"]
 HANDSET_AGE_BANDS = ["moins de 6 mois", "6-9 mois", "10-12 mois", "1-2 ans", "plus de 2 ans",
                      "inconnu"]
 USAGE_BANDS = ["aucun usage (0 min ou non mesuré)", "1-100 min", "101-300 min", "301-600 min",
                "plus de 600 min"]
-TENURE_CUTS = (5, 10, 12, 24, 36)
 HANDSET_CUTS = (182, 299, 365, 730)
 USAGE_CUTS = (100, 300, 600)
 
@@ -65,15 +62,6 @@ DIMENSIONS: dict[str, str] = {
     "usage_band": "usage_band",
     "action": "action",
 }
-DIMENSION_LABELS: dict[str, str] = {
-    "risk_level": "Niveau de risque",
-    "cluster": "Segment comportemental",
-    "area": "Région",
-    "tenure_band": "Ancienneté",
-    "handset_age_band": "Âge du terminal",
-    "usage_band": "Usage mensuel",
-    "action": "Action suggérée",
-}
 
 # --- Fixed values: families, actions, sensitive variables -----------------------------------
 TERMINAL, ENGAGEMENT, USAGE, PLAN = "terminal", "engagement", "usage", "forfait"
@@ -147,16 +135,6 @@ ALREADY_GONE_PATTERNS: dict[str, str] = {
     "change_manquant": "change_mou",
 }
 NEGATIVE_FLAGS = [f"{c}{NEGATIVE_SUFFIX}" for c in NEGATIVE_COLUMNS]
-FEATURE_GROUPS: dict[str, list[str]] = {
-    "cycle_engagement": ["in_contract_end", "handset_old", "eqpdays_per_tenure_day"],
-    "tendance_usage": ["ratio_mou_3m_6m", "ratio_rev_3m_6m"],
-    "qualite_reseau": ["drop_blk_rate", "complete_rate"],
-    "service_client": ["has_custcare", "custcare_per_mou"],
-    "forfait": ["overage_share_rev", "recurring_share_rev"],
-    "compte_terminal": ["active_lines_share", "phones_per_month"],
-    "indicateurs_manquants": list(MISSING_PATTERNS) + NEGATIVE_FLAGS,
-    "deja_parti": list(ALREADY_GONE_PATTERNS),
-}
 DERIVED_TO_SOURCE: dict[str, str] = {
     "in_contract_end": "months",
     "handset_old": "eqpdays",

@@ -31,8 +31,8 @@ def _frequency(column: str, text: str, digits: int) -> Column:
         F.concat(F.lit(f"{text} : "), number(c, digits), F.lit(" par mois")))
 
 
-def _move(column: str, unknown: str, subject: str, unit: str, scale: Column | None = None,
-          zero_is_up: bool = True) -> Column:
+def _move(column: str, unknown: str, subject: str, unit: str, scale: Column | None = None
+          ) -> Column:
     c = F.col(column) if scale is None else scale
     return F.when(c.isNull(), F.lit(unknown)).otherwise(F.concat(
         F.lit(f"{subject} en "), F.when(c < 0, "baisse").otherwise("hausse"), F.lit(" de "),

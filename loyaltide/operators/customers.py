@@ -111,11 +111,11 @@ def customer_factors(scores: DataFrame, contributions: DataFrame, in_window: Col
 
 
 def get_customer(scores: DataFrame, customer_id: int) -> DataFrame:
-    """Sheet of one customer; an unknown id is an error."""
-    row = scores.filter(F.col("customer_id") == customer_id)
-    if row.limit(1).isEmpty():
+    """Sheet of one customer, read in one job; an unknown id is an error."""
+    rows = scores.filter(F.col("customer_id") == customer_id).limit(1).collect()
+    if not rows:
         raise LookupError(f"customer {customer_id} not found")
-    return row.select(
+    return scores.sparkSession.createDataFrame(rows, scores.schema).select(
         "customer_id", "partition", F.col("proba_brute").alias("p_raw"),
         F.col("proba_calibree").alias("p_calibrated"), F.col("proba_reelle").alias("p_real"),
         F.col("niveau").alias("risk_level"), F.col("inactif").alias("inactive"), "segment_id",

@@ -210,9 +210,10 @@ def waterfall(contributions: DataFrame, base: DataFrame, ids: DataFrame, top: in
               id_col: str = ID) -> DataFrame:
     """Steps of the score of the chosen ids: strongest contributions, then the sum of the others.
 
-    ``base`` is ``(id, valeur_base)``; ``ids`` a small table of ids.  Filtering comes first.
+    ``base`` is ``(id, valeur_base)``; ``ids`` any table of ids.  Filtering comes first; Spark picks
+    the join by the size of the ids.
     """
-    rows = contributions.join(F.broadcast(ids.select(id_col).distinct()), id_col, "left_semi")
+    rows = contributions.join(ids.select(id_col), id_col, "left_semi")
     ranked = rows.withColumn("rang", F.row_number().over(_by_strength(id_col)))
     steps = ranked.select(
         id_col, F.least("rang", F.lit(top + 1)).alias("rang"),

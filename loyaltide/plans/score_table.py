@@ -197,14 +197,14 @@ def build_store(base: DataFrame, tuning: Tuning = Tuning(), scorer: Scorer = mod
 
     # Explanations: contributions of every row, ranked factors with sentences.
     features = explained_features(scored, tuning, given.columns)
-    contributions = stage(given.contributions, "contributions")
+    contributions = stage(given.contributions, "contributions", "customer_id")
     measured = [c for c in given.columns if c not in CATEGORIES]
     outliers = stage(explain.outlier_thresholds(features.filter(train), measured), "outliers")
     in_window = features.select("customer_id",
                                 (F.col("in_contract_end") == 1).alias("in_window"))
     factors = explain.factor_table(contributions, in_window)
     factors = stage(explain.with_sentences(factors, features, list(given.columns), outliers),
-                    "factors")
+                    "factors", "customer_id")
     reasons = explain.reasons_wide(factors)
 
     # Assembly.
@@ -212,7 +212,7 @@ def build_store(base: DataFrame, tuning: Tuning = Tuning(), scorer: Scorer = mod
     df = df.withColumn("action", explain.suggest_action(F.col("niveau"),
                                                         F.col("famille_dominante")))
     df = portfolio.with_portfolio_weights(df, fv.REAL_RATE, rate)
-    scores = stage(with_display_bands(df, tuning), "scores")
+    scores = stage(with_display_bands(df, tuning), "scores", "customer_id")
     return ScoreStore(scores, contributions, factors, tiers, thresholds, outliers)
 
 

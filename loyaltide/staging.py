@@ -32,9 +32,15 @@ def staging_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a DataFrame that reads it back."""
+def stage(df: DataFrame, name: str, cluster: str | None = None) -> DataFrame:
+    """Write ``df`` once and return a DataFrame that reads it back.
+
+    ``cluster``: a column by which the table is range-partitioned and sorted, so that a read of one
+    value looks at the few row groups whose bounds hold it.
+    """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if cluster:
+        df = df.repartitionByRange(cluster).sortWithinPartitions(cluster)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
