@@ -1,7 +1,8 @@
 """Timings of the headline queries: prints one JSON line.
 
-``build`` is the whole batch job (customer table, scores, tiers, reasons, store).  The other entries
-are queries over the store, after one warm-up round, as served to a dashboard.
+``build`` is the whole batch job with fitted models (customer table, preparation, six fits, own
+explanations, segments, tiers, reasons, store).  ``stand_in_store`` builds the store with closed-form
+scores that the other entries read: queries as served to a dashboard, after one warm-up round.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ def main() -> None:
 
     from catalog import load_all
     from catalog.registry import QUERIES
-    from loyaltide.plans.score_table import load_store
+    from loyaltide.plans.score_table import build_store, load_store
+    from loyaltide.sources.customer_base import load_customer_base
     load_all()
 
     def run(name: str) -> float:
@@ -47,8 +49,11 @@ def main() -> None:
 
     times: dict[str, float] = {}
     t = time.perf_counter()
-    load_store(spark, sf_dir)
+    build_store(load_customer_base(spark, sf_dir))
     times["build"] = round(time.perf_counter() - t, 3)
+    t = time.perf_counter()
+    load_store(spark, sf_dir)
+    times["stand_in_store"] = round(time.perf_counter() - t, 3)
     for name in HEADLINE:
         first = run(name)
         times[name] = min(first, run(name))
