@@ -416,12 +416,38 @@ def d13(spark, sf):
 _VIF = ["months", "eqpdays", "totrev", "totcalls", "totmrc_Mean", "ovrrev_Mean"]
 
 
-@query("d14_vif_table")
+def inverse_sql(columns: list[str]) -> str:
+    """CTE ``inv`` (i, j, v): the inverse correlation matrix of ``pz``, by one sweep per column."""
+    text = ", w0 AS (" + " UNION ALL ".join(
+        f"SELECT {i} AS i, {j} AS j, corr({a}, {b}) AS v FROM pz"
+        for i, a in enumerate(columns) for j, b in enumerate(columns) if i != j)
+    text += " UNION ALL " + " UNION ALL ".join(f"SELECT {i}, {i}, 1.0::DOUBLE" for i in range(len(columns))) + ")"
+    for k in range(len(columns)):
+        text += (f", w{k + 1} AS (SELECT m.i, m.j, CASE WHEN m.i = {k} AND m.j = {k} THEN -1 / p.v WHEN m.i = {k} OR m.j = {k} THEN m.v / p.v"
+                 f" ELSE m.v - a.v * b.v / p.v END AS v FROM w{k} m JOIN w{k} a ON a.i = m.i AND a.j = {k} JOIN w{k} b ON b.i = {k} AND b.j = m.j JOIN w{k} p ON p.i = {k} AND p.j = {k})")
+    return text + f", inv AS (SELECT i, j, -v AS v FROM w{len(columns)})"
+
+
+_NAMES = "(VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(_VIF)) + ") AS names(i, variable)"
+
+
+@query("d14_vif_table", sql(BASE + prepared_sql(_VIF) + inverse_sql(_VIF), f"SELECT variable, v AS vif FROM inv JOIN {_NAMES} USING (i) WHERE inv.i = inv.j", "vif"))
 def d14(spark, sf):
-    return ht.vif_table(ht.prepare_for_linear(base(spark, sf), _VIF), _VIF)
+    return rounded(ht.vif_table(ht.prepare_for_linear(base(spark, sf), _VIF), _VIF))
+
+
+def dropping_sql(steps: int, threshold: float) -> str:
+    """CTEs ``k0 ...``: the column with the largest inflation of each step, if beyond the threshold;
+    leaving one out turns the inverse into that of the others."""
+    text = ", s0 AS (SELECT * FROM inv)"
+    for t in range(steps):
+        text += (f", k{t} AS (SELECT i AS k, v FROM s{t} WHERE i = j AND v > {threshold!r}::DOUBLE QUALIFY row_number() OVER (ORDER BY v DESC, i) = 1)"
+                 f", s{t + 1} AS (SELECT m.i, m.j, m.v - a.v * b.v / k{t}.v AS v FROM k{t}, s{t} m JOIN s{t} a ON a.i = m.i JOIN s{t} b ON b.j = m.j WHERE a.j = k AND b.i = k AND m.i <> k AND m.j <> k)")
+    return text
 
 
-@query("d15_iterative_vif")
+@query("d15_iterative_vif", sql(BASE + prepared_sql(_VIF) + inverse_sql(_VIF) + dropping_sql(len(_VIF) - 1, 5.0), "SELECT variable, round(vif, 2) AS vif, CAST(etape AS INTEGER) AS etape FROM ("
+    + " UNION ALL ".join(f"SELECT k AS i, v AS vif, {t + 1} AS etape FROM k{t}" for t in range(len(_VIF) - 1)) + f") JOIN {_NAMES} USING (i)", "vif:2"))
 def d15(spark, sf):
     kept, history = ht.iterative_vif(ht.prepare_for_linear(base(spark, sf), _VIF), _VIF, 5.0)
     return history
