@@ -295,10 +295,19 @@ MERGED = CHI + """, rm AS (SELECT variable, CASE WHEN n < 30 AND count(*) OVER (
     100 * CAST(count(*) FILTER (WHERE n * tp / t < 5) + count(*) FILTER (WHERE n * (t - tp) / t < 5) AS DOUBLE) / (2 * count(*)) AS pct FROM rt_ GROUP BY 1)"""
 
 
-@query("d02_chi2_cramers_v", sql(MERGED, "SELECT variable, 'χ²' AS test, chi2 AS statistique, CASE WHEN ddl > 0 THEN sqrt(chi2 / n) END AS effet, CAST(n AS BIGINT) AS n, ddl, "
-    "pct AS pct_cellules_attendu_lt5 FROM rchi", "statistique effet pct_cellules_attendu_lt5"))
+def chi2_p_sql(x: str, dof: str) -> str:
+    """Upper tail of the chi-square law by its finite sum over whole degrees of freedom."""
+    half = f"({x}) / 2"
+    even = f"coalesce(list_sum(list_transform(range(0, CAST({dof} // 2 AS BIGINT)), lambda i: exp(i * ln({half}) - {half} - lgamma(CAST(i + 1 AS DOUBLE))))), 0)"
+    odd = f"coalesce(list_sum(list_transform(range(1, CAST({dof} // 2 AS BIGINT) + 1), lambda i: exp((i - 0.5) * ln({half}) - {half} - lgamma(i + 0.5::DOUBLE)))), 0)"
+    one = erfc_sql(f"sqrt({half})")
+    return f"(CASE WHEN {x} <= 0 THEN 1 WHEN {dof} % 2 = 1 THEN least(1, {odd} + {one}) ELSE least(1, {even}) END)"
+
+
+@query("d02_chi2_cramers_v", sql(MERGED, "SELECT variable, 'χ²' AS test, chi2 AS statistique, " + chi2_p_sql("chi2", "ddl") + " AS p_value, CASE WHEN ddl > 0 THEN sqrt(chi2 / n) END AS effet, CAST(n AS BIGINT) AS n, ddl, "
+    "pct AS pct_cellules_attendu_lt5 FROM rchi", "statistique p_value effet pct_cellules_attendu_lt5"))
 def d02(spark, sf):
-    return rounded(ht.chi2_test(base(spark, sf), CAT).drop("p_value"))
+    return rounded(ht.chi2_test(base(spark, sf), CAT))
 
 
 @query("d02_rare_levels", BASE + """ SELECT variable, niveau, CAST(sum(n) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS pos FROM (
@@ -343,17 +352,18 @@ def d05(spark, sf):
 UNI = (MERGED + f", l AS ({long_sql(NUM)})" + edges_sql(NUM) + BIN_RATES + RHO_Y + MW + PROFILE + NUM_MI.replace(", mt AS (SELECT *, sum", ", nmt AS (SELECT *, sum").replace("FROM mt GROUP", "FROM nmt GROUP") + f"""
 , cmi AS (SELECT variable, {MI} AS info_mutuelle FROM lt GROUP BY 1
 ), cbig AS (SELECT variable, CASE WHEN count(*) < 2 THEN 0 ELSE max(taux) - min(taux) END AS e FROM (SELECT variable, round_even(100 * pos / n, 2) AS taux FROM lc WHERE n >= 50) GROUP BY 1
-), uni AS (SELECT variable, 'numérique' AS type, statistique, effet, n, coalesce(ecart_classes_pts, 0) AS ecart_classes_pts, coalesce(forme_courbe, 'sans objet') AS forme_courbe, info_mutuelle FROM mwt LEFT JOIN prof USING (variable) JOIN nmi USING (variable)
-  UNION ALL SELECT variable, 'catégorielle', chi2, CASE WHEN ddl > 0 THEN sqrt(chi2 / n) END, CAST(n AS BIGINT), coalesce(e, 0), 'sans objet', info_mutuelle FROM rchi LEFT JOIN cbig USING (variable) JOIN cmi USING (variable))""")
+), un0 AS (SELECT variable, 'numérique' AS type, statistique, p_value, effet, n, coalesce(ecart_classes_pts, 0) AS ecart_classes_pts, coalesce(forme_courbe, 'sans objet') AS forme_courbe, info_mutuelle FROM mwt LEFT JOIN prof USING (variable) JOIN nmi USING (variable)
+  UNION ALL SELECT variable, 'catégorielle', chi2, """ + chi2_p_sql("chi2", "ddl") + """, CASE WHEN ddl > 0 THEN sqrt(chi2 / n) END, CAST(n AS BIGINT), coalesce(e, 0), 'sans objet', info_mutuelle FROM rchi LEFT JOIN cbig USING (variable) JOIN cmi USING (variable)
+), un1 AS (SELECT *, row_number() OVER (ORDER BY p_value, variable) AS i, count(*) OVER () AS m FROM un0
+), uni AS (SELECT * EXCLUDE (i, m), least(1.0, max((m - i + 1) * p_value) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)) AS p_ajustee_holm FROM un1)""")
 
 
 @query("d08_univariate_table", sql(UNI, """SELECT *, abs(effet) AS effet_abs, CASE WHEN abs(effet) < 0.1 THEN 'négligeable' WHEN abs(effet) < 0.3 THEN 'faible' WHEN abs(effet) < 0.5 THEN 'moyen' ELSE 'fort' END AS interpretation,
-  abs(effet) < 0.1 AND ecart_classes_pts > 10 AS relation_non_monotone, row_number() OVER (ORDER BY info_mutuelle DESC, variable) AS rang FROM uni""",
-    "statistique:3 effet ecart_classes_pts info_mutuelle:9 effet_abs"))
+  p_ajustee_holm <= 0.05 AS significatif_holm, abs(effet) < 0.1 AND ecart_classes_pts > 10 AS relation_non_monotone, row_number() OVER (ORDER BY info_mutuelle DESC, variable) AS rang FROM uni""",
+    "statistique:3 p_value effet ecart_classes_pts info_mutuelle:9 p_ajustee_holm effet_abs"))
 def d08(spark, sf):
     t = ht.univariate_table(base(spark, sf), NUM, CAT, min_n=50)
-    return rounded(t.drop("test", "mesure_effet", "p_value", "p_ajustee_holm", "significatif_holm"),
-                   statistique=3, info_mutuelle=9)
+    return rounded(t.drop("test", "mesure_effet"), statistique=3, info_mutuelle=9)
 
 
 @query("d06_holm", sql(BASE + f", l AS ({long_sql(NUM)})" + RHO_Y + MW + ", ho AS (SELECT *, row_number() OVER (ORDER BY p_value, variable) AS i, count(*) OVER () AS m FROM mwt)",
@@ -371,11 +381,13 @@ def d07(spark, sf):
 @query("d09_p_value_vs_sample_size", sql(BASE + f""", h AS (SELECT churn, eqpdays, row_number() OVER (ORDER BY {mixed_hash_sql('customer_id', 42)}, customer_id) AS rn FROM cust
 ), s AS (SELECT unnest([200, 500, 1000]) AS taille), x AS (SELECT taille, churn, eqpdays AS value FROM h, s WHERE rn <= taille
 ), r AS (SELECT *, rank() OVER (PARTITION BY taille ORDER BY value) + (count(*) OVER (PARTITION BY taille, value) - 1) / 2 AS r FROM x
-), g AS (SELECT taille, CAST(count(*) AS DOUBLE) AS n, CAST(sum(churn) AS DOUBLE) AS n1, sum(r) FILTER (WHERE churn = 1) AS r1 FROM r GROUP BY 1)""",
-    "SELECT CAST(taille AS INTEGER) AS taille, 2 * (r1 - n1 * (n1 + 1) / 2) / (n1 * (n - n1)) - 1 AS rank_biserial FROM g", "rank_biserial"))
+), g AS (SELECT taille, CAST(count(*) AS DOUBLE) AS n, CAST(sum(churn) AS DOUBLE) AS n1, sum(r) FILTER (WHERE churn = 1) AS r1 FROM r GROUP BY 1
+), gt AS (SELECT taille, sum(t * t * t - t) AS ties FROM (SELECT taille, CAST(count(*) AS DOUBLE) AS t FROM r GROUP BY taille, value) GROUP BY 1
+), gu AS (SELECT taille, n, n1, n - n1 AS n0, r1 - n1 * (n1 + 1) / 2 AS u, ties FROM g JOIN gt USING (taille)
+), gz AS (SELECT *, greatest((abs(u - n1 * n0 / 2) - 0.5) / sqrt(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))), 0) AS z FROM gu)""",
+    "SELECT CAST(taille AS INTEGER) AS taille, least(1.0, " + erfc_sql("z / sqrt(2.0::DOUBLE)") + ") AS p_value, 2 * u / (n1 * n0) - 1 AS rank_biserial FROM gz", "p_value rank_biserial"))
 def d09(spark, sf):
-    return rounded(ht.p_value_vs_sample_size(base(spark, sf), "eqpdays", [200, 500, 1000])
-                   .drop("p_value"))
+    return rounded(ht.p_value_vs_sample_size(base(spark, sf), "eqpdays", [200, 500, 1000]))
 
 
 @query("d10_redundant_pairs", sql(BASE + spearman_sql(_SP), "SELECT var_1, var_2, round_even(rho, 3) AS rho FROM sm WHERE abs(rho) > 0.5", "rho"))
