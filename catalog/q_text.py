@@ -34,16 +34,18 @@ def k01b(spark, sf):
     return docs.join(numbers, "doc_id", "left_anti").select("doc_id")
 
 
-_ANS = STORE + """, ans AS (SELECT customer_id, round_even(rev_Mean, 0) AS a, round_even(100 * proba_reelle, 1) AS b, CAST(totcalls AS DOUBLE) AS c, CAST(months * 7 AS DOUBLE) AS d, rev_Mean, proba_reelle, totcalls FROM scores WHERE NOT inactif
-), num AS (SELECT customer_id, 0 AS pos, a AS valeur, 0 AS decimales FROM ans UNION ALL SELECT customer_id, 1, b, 1 FROM ans UNION ALL SELECT customer_id, 2, c, 0 FROM ans UNION ALL SELECT customer_id, 3, d, 0 FROM ans
+_ANS = STORE + """, ans AS (SELECT customer_id, round_even(rev_Mean, 0) AS a, round_even(100 * proba_reelle, 1) AS b, CAST(totcalls AS DOUBLE) AS c, CAST(months * 7 AS DOUBLE) AS d, rev_Mean, proba_reelle, totcalls, CAST(rev_Mean IS NULL AS INTEGER) AS gap FROM scores
+), num AS (SELECT customer_id, 0 AS pos, a AS valeur, 0 AS decimales FROM ans WHERE a IS NOT NULL UNION ALL SELECT customer_id, 1 - gap, b, 1 FROM ans UNION ALL SELECT customer_id, 2 - gap, c, 0 FROM ans UNION ALL SELECT customer_id, 3 - gap, d, 0 FROM ans
 ), alw AS (SELECT customer_id, rev_Mean AS v FROM ans UNION ALL SELECT customer_id, proba_reelle FROM ans UNION ALL SELECT customer_id, 100 * proba_reelle FROM ans UNION ALL SELECT customer_id, totcalls FROM ans UNION ALL SELECT customer_id, 100 * totcalls FROM ans WHERE totcalls <= 1
    UNION ALL SELECT customer_id, 100 * rev_Mean FROM ans WHERE rev_Mean <= 1)"""
 
 
 def answers(spark, sf):
-    """One sentence per active customer: three faithful numbers and one that has no source."""
-    df = load_store(spark, sf).scores.filter(~F.col("inactif"))
-    text = F.concat(F.lit("Facture "), F.format_string("%.0f", F.bround("rev_Mean", 0)),
+    """One sentence per customer: three faithful numbers (two without a bill) and one that has no
+    source."""
+    df = load_store(spark, sf).scores
+    bill = F.when(F.col("rev_Mean").isNotNull(), F.format_string("%.0f", F.bround("rev_Mean", 0)))
+    text = F.concat(F.lit("Facture "), F.coalesce(bill, F.lit("inconnue")),
                     F.lit(" $, risque "),
                     F.translate(F.format_string("%.1f", F.bround(100 * F.col("proba_reelle"), 1)),
                                 ".", ","),
