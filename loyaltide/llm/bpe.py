@@ -30,7 +30,7 @@ from loyaltide.llm.common import give_back, text_batches
 LATER = re.compile("[\u0500-\u1fff\u2070-\U0010ffff]")   # where new letters may be
 END = 0x10000                  # added to the last character of a word
 CACHED_PAIRS = 100_000
-CACHED_WORDS = 100_000         # encodings a task keeps (about 25 MB); beyond, those of the last batch
+CACHED_WORDS = 250_000         # encodings a task keeps (about 60 MB); beyond, those of the last batch
 
 
 def byte_symbols() -> list[str]:
