@@ -12,11 +12,16 @@ bound of 85 % is lost once in several million pairs.
 * Skip: the other, longer lists are never merged.  Collisions of a pair met in a prefix are counted
   by probing the two signatures.
 
-A list is not multiplied out.  First every node of a list meets only the least node of the list;
-pairs above the match threshold are confirmed on their full sets and linked.  Lists whose nodes are
-all connected by then are done.  The rest forms clusters of nodes, brought together in blocks of
-bounded size; there collisions between different components are counted by coordinate, and pairs
-above the threshold are confirmed on full sets unless they have been connected meanwhile.
+A list is not multiplied out: every node of a list is paired only with the least node of the list,
+and nodes connected by such pairs form a cluster.  Every link lies inside one.  Only numbers move
+until the clusters are known; then their sets are read from the texts.
+
+* Narrow: a cluster of a few blocks' size is brought together once.  Collisions between different
+  components are counted by coordinate, and pairs above the threshold are confirmed on full sets
+  unless they have been connected meanwhile.
+* Wide: in a larger cluster the pairs with the least nodes are confirmed first, and lists whose
+  nodes are all connected by then are done.  The rest forms smaller clusters, which meet as above,
+  in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -38,6 +43,7 @@ MATCHES = 38
 ROWS = 2048                    # elements hashed at a time
 BLOCK_SETS = 1024              # sets brought together
 BLOCK_ELEMENTS = 500_000
+NARROW = 8                     # blocks that one call holds, 32 MB of elements
 PACK_SETS = 512                # sets of small clusters handed to one call
 CACHED_SETS = 100_000          # sets a task remembers to have signed, about 10 MB
 
@@ -118,17 +124,15 @@ def prefixes(signed: DataFrame, matches: int) -> DataFrame:
             .filter(F.col("rank") <= F.col("left") - matches + 1).select("node", "token"))
 
 
-def confirmed(pairs: DataFrame, profiles: DataFrame, matches: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` with enough collisions and, on full sets, enough common elements."""
+def confirmed(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` with enough common elements on full sets."""
     def side(name: str) -> DataFrame:
         return profiles.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"),
-                               F.col("signature").alias(f"signature_{name}"),
                                F.col("elements").alias(f"elements_{name}"))
 
     met = pairs.select("b").distinct()
     both = pairs.join(side("a"), "a").join(side("b").join(met, "b", "left_semi"), "b")
-    return (both.filter(F.size(F.array_intersect("signature_a", "signature_b")) >= matches)
-            .withColumn("common", F.size(F.array_intersect("elements_a", "elements_b")))
+    return (both.withColumn("common", F.size(F.array_intersect("elements_a", "elements_b")))
             .filter(F.expr(f"100 * common >= {percent} * (size_a + size_b - common)"))
             .select("a", "b"))
 
@@ -161,19 +165,21 @@ def open_links(signature: np.ndarray, sets: list[np.ndarray], label: np.ndarray,
     return out
 
 
-def resolve(rows: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Links ``a, b`` within the clusters of ``cluster, node, label, signature, elements, blocks,
-    block``: nodes of two blocks meet once."""
-    packs = max(1, -(-rows.count() // PACK_SETS))
+def resolve(rows: DataFrame, sets: DataFrame, coordinates: int, matches: int,
+            percent: int) -> DataFrame:
+    """Links ``a, b`` within the clusters of ``cluster, node, size, label, blocks, block``, whose
+    sets are ``node, elements``: nodes of two blocks meet once."""
+    count, size = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
+    packs = max(1, -(-count // PACK_SETS), -(-(size or 0) // BLOCK_ELEMENTS))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     placed = (rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("cluster", "node", "label", "signature", "elements", "block",
-                      low.alias("low"), high.alias("high"),
+              .select("cluster", "node", "label", "block", low.alias("low"), high.alias("high"),
                       F.when(F.col("blocks") > 1, F.xxhash64("cluster", low, high))
-                      .otherwise(F.pmod(F.xxhash64("cluster"), F.lit(packs))).alias("pack")))
+                      .otherwise(F.pmod(F.xxhash64("cluster"), F.lit(packs))).alias("pack"))
+              .join(sets, "node"))
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        signer, out = Signer(coordinates), []
         for (_, lo, hi), part in pdf.groupby(["cluster", "low", "high"], sort=False):
             nodes, block = part["node"].to_numpy(), part["block"].to_numpy()
             left = np.flatnonzero(block == lo)
@@ -181,23 +187,56 @@ def resolve(rows: DataFrame, matches: int, percent: int) -> DataFrame:
             if len(nodes) > 1 and len(left) and len(right):
                 sets = [x.view(np.uint64) for x in part["elements"]]
                 out += [(nodes[i], nodes[j]) for i, j in open_links(
-                    np.stack(part["signature"].to_list()), sets, part["label"].to_numpy(), left,
-                    right, matches, percent)]
+                    np.stack([signer.sign(x) for x in sets]), sets, part["label"].to_numpy(),
+                    left, right, matches, percent)]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return placed.groupBy("pack").applyInPandas(check, "a bigint, b bigint")
 
 
-def blocked(clusters: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The profiles of ``node, cluster``, dealt to blocks of bounded sets and elements."""
-    members = clusters.join(profiles, "node")
+def blocked(members: DataFrame) -> DataFrame:
+    """``members`` (``node, cluster, size``, maybe more), dealt to blocks of bounded sets and
+    elements; clusters that one call can hold stay in one."""
     whole = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"),
                                            F.sum("size").alias("all"))
     blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("all") / BLOCK_ELEMENTS))
-    return (members.join(whole.select("cluster", blocks.cast("int").alias("blocks")), "cluster")
+    blocks = F.when(blocks <= NARROW, 1).otherwise(blocks).cast("int")
+    return (members.join(whole.select("cluster", blocks.alias("blocks")), "cluster")
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
 
 
+def sets_of(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """``node, elements``, once each, of ``members`` (``node, doc_id``) and maybe of other nodes
+    with their ids, from ``texts`` (``doc_id, text``)."""
+    wanted = stage(members.select(F.col("doc_id").alias("_id")).distinct(), "minhash-wanted")
+    read = (keep_marked(texts, "doc_id", wanted, "_id", 22)
+            .join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text"))
+    return full_sets(read, n).dropDuplicates(["node"])
+
+
+def wide_links(wide: DataFrame, texts: DataFrame, prefix: DataFrame, pairs: DataFrame, n: int,
+               percent: int, coordinates: int, matches: int) -> DataFrame:
+    """Links ``a, b`` of ``wide`` (``node, doc_id, size``): least nodes of lists first, then what
+    they leave apart, in blocks."""
+    profiles = stage(wide.select("node", "size").join(sets_of(wide, texts, n), "node"),
+                     "minhash-profiles")
+    pairs = pairs.join(wide.select(F.col("node").alias("a")), "a", "left_semi")
+    links = stage(confirmed(pairs, profiles, percent), "minhash-star")
+    label = components(links, "minhash-label").select("node", F.col("root").alias("label"))
+    members = stage(wide.select("node", "size").join(label, "node", "left")
+                    .withColumn("label", F.coalesce("label", "node")), "minhash-members")
+    labelled = stage(prefix.join(members.select("node", "label"), "node"), "minhash-labelled")
+    open_ = (labelled.groupBy("token").agg(F.min("label").alias("one"), F.max("label").alias("two"),
+                                           F.min("node").alias("b"))
+             .filter("one <> two").select("token", "b"))
+    together = (labelled.join(open_, "token").filter("node <> b")
+                .select(F.col("node").alias("a"), "b").distinct())
+    clusters = components(together, "minhash-open").toDF("node", "cluster")
+    rows = stage(blocked(clusters.join(members, "node")), "minhash-blocks")
+    more = resolve(rows, profiles.select("node", "elements"), coordinates, matches, percent)
+    return links.unionByName(stage(more, "minhash-more"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85, coordinates: int = COORDINATES,
                     matches: int = MATCHES, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
@@ -221,35 +260,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85, coordinates:
              .filter("b <> last").select("token", "b"))
     pairs = stage(prefix.join(least, "token").filter("node <> b")
                   .select(F.col("node").alias("a"), "b").distinct(), "minhash-pairs")
-    met = stage(pairs.select(F.col("a").alias("node"))
-                .unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "minhash-met")
-    members = met.join(nodes, "node")
-    wanted = stage(members.select(F.col("doc_id").alias("_id")).distinct(), "minhash-wanted")
-    signed = (keep_marked(signed, "node", met, "node", 22).join(met, "node", "left_semi")
-              .dropDuplicates(["node"]))
+    clusters = components(pairs, "minhash-cluster").toDF("node", "cluster")
+    placed = stage(blocked(clusters.join(nodes, "node")).withColumn("label", F.col("node")),
+                   "minhash-placed")
+    narrow, wide = placed.filter("blocks = 1"), placed.filter("blocks > 1")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts = (keep_marked(texts, "doc_id", wanted, "_id", 22)
-             .join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text"))
-    profiles = stage(members.join(signed, "node").join(
-        full_sets(texts, n).dropDuplicates(["node"]), "node"), "minhash-profiles")
-
-    links = stage(confirmed(pairs, profiles, matches, percent), "minhash-star")
-    label = components(links, "minhash-label").select("node", F.col("root").alias("label"))
-    labelled = stage(prefix.join(met, "node").join(label, "node", "left")
-                     .withColumn("label", F.coalesce("label", "node")), "minhash-labelled")
-    open_ = (labelled.groupBy("token").agg(F.min("label").alias("one"), F.max("label").alias("two"),
-                                           F.min("node").alias("b"))
-             .filter("one <> two").select("token", "b"))
-    together = (labelled.join(open_, "token").filter("node <> b")
-                .select(F.col("node").alias("a"), "b").distinct())
-    clusters = components(together, "minhash-open").toDF("node", "cluster")
-    rows = stage(blocked(clusters, profiles).join(labelled.select("node", "label").distinct(),
-                                                  "node")
-                 .select("cluster", "node", "label", "signature", "elements", "blocks", "block"),
-                 "minhash-blocks")
-    more = stage(resolve(rows, matches, percent), "minhash-more")
+    links = stage(resolve(narrow, sets_of(narrow, texts, n), coordinates, matches, percent),
+                  "minhash-links")
+    if not wide.isEmpty():
+        links = links.unionByName(
+            wide_links(wide, texts, prefix, pairs, n, percent, coordinates, matches))
 
-    linked = components(links.unionByName(more), "minhash-linked")
+    linked = components(links, "minhash-linked")
     smallest = (linked.join(nodes.select("node", "doc_id"), "node")
                 .groupBy("root").agg(F.min("doc_id").alias("component_id")))
     named = linked.join(smallest, "root").select("node", "component_id")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import random
+import re
 
 import numpy as np
 import pytest
@@ -67,6 +70,32 @@ def test_near_copies_chains_and_passages(make, texts, monkeypatch, block):
     assert len({r[2] for r in want}) > 30 and sum(not r[3] for r in want) > 60
 
 
+@pytest.mark.parametrize("block, times", [(1024, 1), (7, 6)])
+def test_full_sets_move_seldom(spark, make, texts, monkeypatch, block, times):
+    """Once to their clusters after those that hold a set twice have met, and none is written;
+    clusters beyond a block write theirs once."""
+    plain, moved, written = minhash_join.stage, [], []
+
+    def noted(df, name):
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            df.explain("formatted")
+        moved.extend(re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[[^]]*\belements", plan.getvalue()))
+        written.extend([name] if "elements" in df.columns else [])
+        return plain(df, name)
+
+    monkeypatch.setattr(minhash_join, "stage", noted)
+    monkeypatch.setattr(minhash_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(minhash_join, "NARROW", 1, raising=False)
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = rows_of(minhash_join.near_duplicates(make([(i, t, "en", "a") for i, t in texts])))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert found == wanted(texts, 5, 85) and 0 < len(moved) <= times
+    assert written == ([] if block > len(texts) else ["minhash-profiles"])
+
+
 def test_a_third_of_all_rows_equal(make, texts):
     rows = texts + [(1000 + i, texts[0][1]) for i in range(len(texts) // 2)]
     got = rows_of(minhash_join.near_duplicates(make([(i, t, "en", "a") for i, t in rows])))
