@@ -9,10 +9,14 @@ all sets share, the first ``d + 1`` lanes of both then have one in common (pigeo
 many elements come first, they say most.  Equality of such lanes joins the sets; sets near the top
 of a band also enter the next one.
 
+Lanes move once, dealt to ranges of (lane, set): a common lane spreads over ranges, whose first and
+last lanes are linked afterwards.
+
 Joined sets form candidate clusters (components of "shares a lane").  Every link lies inside one.
-Their sets are brought together once, in blocks of bounded size, and verified exactly by counting
-common elements.  Equal sets are one node throughout, whatever the number of copies; nodes are
-64-bit hashes of sets, elements 64-bit hashes of n-grams.
+Their texts, which are smaller than their sets, are brought together in blocks of bounded size, cut
+into sets again there and verified exactly by counting common elements.  Equal sets are one node
+throughout, whatever the number of copies; nodes are 64-bit hashes of sets, elements 64-bit hashes
+of n-grams.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +39,7 @@ BLOCK_SETS = 1024              # sets verified together
 BLOCK_ELEMENTS = 500_000
 PACK_SETS = 512                # sets of small clusters handed to one call
 COLUMNS = 2048                 # elements counted at a time
+RANGE_ROWS = 200_000           # sorted lanes looked at together
 CACHED_WORDS = 50_000          # about 6 MB
 CACHED_SETS = 100_000          # sets a task remembers to have told, about 10 MB
 
@@ -110,7 +116,7 @@ def node_of(elements: np.ndarray) -> int | None:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, node, keys``: keys once per set and task."""
+    """``doc_id, n_shingles, node, row, keys``: a hash of id and text, keys once per set and task."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,26 +136,68 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
                     told.add(node)
                     keys.append(lanes(s, percent))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes,
-                                "node": pd.array(nodes, "Int64"), "keys": keys})
+                                "node": pd.array(nodes, "Int64"), "row": batch["row"],
+                                "keys": keys})
         del shingler, told
         give_back()
 
-    return (text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInPandas(run, f"doc_id {id_type}, n_shingles bigint, node bigint, "
+    return (text_batches(with_row(docs, id_col, text_col))
+            .mapInPandas(run, f"doc_id {id_type}, n_shingles bigint, node bigint, row bigint, "
                               "keys array<bigint>"))
 
 
-def sets_of(docs: DataFrame, n: int, id_type: str) -> DataFrame:
-    """``doc_id, node, elements`` (unsigned 64-bit numbers, sorted) of ``doc_id, text``."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(n)
-        for batch in batches:
-            sets = [shingler.set_of(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"],
-                                "node": pd.array([node_of(s) for s in sets], "Int64"),
-                                "elements": [s.tobytes() for s in sets]})
+def with_row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text, row``: ``row`` is a 64-bit hash of both."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                       F.xxhash64(id_col, text_col).alias("row"))
 
-    return docs.mapInPandas(run, f"doc_id {id_type}, node bigint, elements binary")
+
+def shared(keyed: DataFrame) -> DataFrame:
+    """Links ``a, b`` that connect all nodes of each key of ``key, node``, from one shuffle.
+
+    Rows are sorted in ranges of (key, node), so that the rows of a common key lie in many of them.  A
+    range links the nodes of a key to the first one it has; the first and last key of every range
+    (two rows each) say which keys go on in another.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(a: np.ndarray, b: np.ndarray, key: list[int] | None = None) -> pa.RecordBatch:
+            keys = pa.nulls(len(a), pa.int64()) if key is None else pa.array(key, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                                               keys], ["a", "b", "key"])
+
+        def whole() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            held, size = [], 0
+            for batch in batches:
+                if batch.num_rows:
+                    held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                    size += batch.num_rows
+                if size >= RANGE_ROWS:
+                    yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                    held, size = [], 0
+            if held:
+                yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+        last = None                                           # key, and first node it has here
+        for key, node in whole():
+            new = np.r_[last is None or key[0] != last[0], key[1:] != key[:-1]]
+            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            first = np.where(at < 0, last[1] if last else 0, node[at])
+            if last is None:
+                yield rows(first[:1], first[:1], [int(key[0])])
+            last = int(key[-1]), int(first[-1])
+            links = np.unique(np.stack([node, first])[:, node != first], axis=1)
+            yield rows(*links)
+        if last:
+            yield rows(np.array([last[1]]), np.array([last[1]]), [last[0]])
+
+    ranges = keyed.select("key", "node").repartitionByRange("key", "node").sortWithinPartitions(
+        "key", "node")
+    found = stage(ranges.mapInArrow(run, "a bigint, b bigint, key bigint").distinct(),
+                  "jaccard-shared")
+    ends = found.filter("key IS NOT NULL").select("key", "a")             # two rows per range
+    on = ends.groupBy("key").agg(F.min("a").alias("b"))
+    return (found.filter("key IS NULL").select("a", "b")
+            .unionByName(ends.join(on, "key").filter("a <> b").select("a", "b").distinct()))
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
@@ -189,28 +237,33 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
     return out
 
 
-def verify(candidates: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` that span the linked sets of ``cluster, node, elements, blocks, block``."""
-    packs = max(1, -(-candidates.count() // PACK_SETS))
+def verify(placed: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links ``a, b`` that span the linked sets of ``cluster, node, row, size, blocks, block``; the
+    texts of their rows are in ``row, text``."""
+    count, size = placed.agg(F.count(F.lit(1)), F.sum("size")).first()
+    packs = max(1, -(-count // PACK_SETS), -(-(size or 0) // BLOCK_ELEMENTS))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    placed = (candidates.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("cluster", "node", "elements", "block", low.alias("low"), high.alias("high"),
-                      F.when(F.col("blocks") > 1, F.xxhash64("cluster", low, high))
-                      .otherwise(F.pmod(F.xxhash64("cluster"), F.lit(packs))).alias("pack")))
+    # One row of those that repeat: the join has put them together.
+    read = (keep_marked(texts, "row", placed, "row", 24).join(placed, "row")
+            .dropDuplicates(["row"]))
+    met = (read.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+           .select("cluster", "node", "text", "block", low.alias("low"), high.alias("high"),
+                   F.when(F.col("blocks") > 1, F.xxhash64("cluster", low, high))
+                   .otherwise(F.pmod(F.xxhash64("cluster"), F.lit(packs))).alias("pack")))
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        shingler, out = Shingler(n), []
         for (_, lo, hi), part in pdf.groupby(["cluster", "low", "high"], sort=False):
             nodes = part["node"].to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in part["elements"]]
             block = part["block"].to_numpy()
             left = np.flatnonzero(block == lo)
             right = left if lo == hi else np.flatnonzero(block == hi)
             if len(nodes) > 1 and len(left) and len(right):
+                sets = [shingler.set_of(t) for t in part["text"]]
                 out += [(nodes[i], nodes[j]) for i, j in linked(sets, left, right, percent)]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return placed.groupBy("pack").applyInPandas(check, "a bigint, b bigint")
+    return met.groupBy("pack").applyInPandas(check, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
@@ -223,36 +276,27 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     each; a component's id is its smallest id.  Empty tables give an empty result; other columns
     are not read.  Nothing is capped: exact for every pair of different texts.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
     base = stage(sketches(docs, id_col, text_col, n, percent), "jaccard-sketches")
-    keyed = base.select(F.explode("keys").alias("key"), "node")
-    joint = stage(keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-                  .filter("first <> last").select("key", "first"), "jaccard-joint")
-    near = (keep_marked(keyed, "key", joint, "key", 24).join(joint, "key")
-            .filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-            .distinct())
+    near = shared(base.select(F.explode("keys").alias("key"), "node"))
     clusters = components(near, "jaccard-near").toDF("node", "cluster")
     nodes = (base.filter(F.col("node").isNotNull()).groupBy("node")
-             .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size")))
+             .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"),
+                  F.min("row").alias("row")))
     members = stage(clusters.join(nodes, "node"), "jaccard-members")
     whole = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"),
                                            F.sum("size").alias("elements"))
     blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("elements") / BLOCK_ELEMENTS))
-    placed = (members.join(whole.select("cluster", blocks.cast("int").alias("blocks")), "cluster")
-              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    wanted = keep_marked(texts, "doc_id", members, "doc_id", 22)
-    asked = members.select(F.col("doc_id").alias("_id")).distinct()
-    wanted = wanted.join(asked, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    sets = sets_of(wanted, n, id_type).dropDuplicates(["node"]).select("node", "elements")
-    candidates = stage(placed.join(sets, "node")
-                       .select("cluster", "node", "elements", "blocks", "block"), "jaccard-sets")
-    links = stage(verify(candidates, percent), "jaccard-links")
+    placed = stage(members.join(whole.select("cluster", blocks.cast("int").alias("blocks")), "cluster")
+                   .select("cluster", "node", "row", "size", "blocks",
+                           F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")),
+                   "jaccard-placed")
+    texts = with_row(docs, id_col, text_col).select("row", "text")
+    links = stage(verify(placed, texts, n, percent), "jaccard-links")
     linked_nodes = components(links, "jaccard-linked")
     smallest = (linked_nodes.join(members.select("node", "doc_id"), "node")
                 .groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    named = linked_nodes.join(smallest, "root").select("node", "component_id")
-    alone = nodes.join(named, "node", "left").select(
+    by_node = linked_nodes.join(smallest, "root").select("node", "component_id")
+    alone = nodes.join(by_node, "node", "left").select(
         F.col("node").alias("_node"),
         F.coalesce("component_id", F.col("doc_id")).alias("component_id"))
     return (base.join(alone, base["node"] == alone["_node"], "left")
@@ -281,8 +325,9 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
         stays.filter(F.col(keep).isNull()), F.col(has) == F.col(filled))
     out = None
     for part in (named, nameless):
-        # The join has put equal ids together: numbering them moves no row again.
-        same = Window.partitionBy(key, F.col(content)).orderBy(F.lit(0))
+        # The join has put equal ids and marks together (equal texts have equal marks): numbering
+        # them moves no row again.
+        same = Window.partitionBy(key, F.col(has), F.col(content)).orderBy(F.lit(0))
         part = (part.withColumn(content, F.xxhash64(text))
                 .withColumn(copy, F.row_number().over(same))
                 .filter((F.col(copy) == 1) | ~F.col(has))
