@@ -107,27 +107,39 @@ def model_scores(base: DataFrame, spec: models.ModelSpec, method: str = "sigmoid
     whole = max(totals) + 1
     left_out = {k: (k,) for k in sorted(totals)} | {whole: ()}
     prepared = models.prepared_folds(train, spec, F.col(FOLD), left_out)
-    raw, parts = {}, None
-    for k, cells in left_out.items():
-        of = prepared[k]
+    n = sum(n for n, _ in totals.values())
+
+    def score(k: int) -> tuple[DataFrame, DataFrame]:
+        """Raw scores and contributions of the rows the model without fold ``k`` never saw."""
+        of, cells = prepared[k], left_out[k]
         fitted, = of.fit(k, [spec])
         asked = (of.rows.filter(F.col(FOLD) == k) if cells
                  else stage(of.prepare[k].features(rest), "model-rest"))
         lines, at_mean = explanation(fitted, of.train_rows(k), asked)
-        raw[k if cells else None] = stage(fitted.score(asked, "proba_brute", True).withColumns({
-            FOLD: F.lit(k if cells else -1), "valeur_base": F.lit(at_mean)}).drop("_cell"),
-            "model-raw")
-        lines = stage(lines, "model-contributions")
+        rows = fitted.score(asked, "proba_brute", True).withColumns({
+            FOLD: F.lit(k if cells else -1), "valeur_base": F.lit(at_mean)}).drop("_cell")
+        return stage(rows, "model-raw"), stage(lines, "model-contributions")
+
+    found = models.side_by_side([lambda k=k: score(k) for k in left_out], n)
+    raw, parts = {}, None
+    for (k, cells), (rows, lines) in zip(left_out.items(), found, strict=True):
+        raw[k if cells else None] = rows
         parts = lines if parts is None else parts.unionByName(lines)
-    scores = None
-    for k, rows in raw.items():
+
+    def calibrator(k: int | None) -> models.Calibrator:
+        """Learned on the out-of-fold scores of the other folds."""
         others = [x for j, x in raw.items() if j is not None and j != k]
         oof = others[0]
         for x in others[1:]:
             oof = oof.unionByName(x)
+        return models.fit_calibrator(oof, method, "proba_brute")
+
+    calibrators = models.side_by_side([lambda k=k: calibrator(k) for k in raw], n)
+    scores = None
+    for (k, rows), fitted in zip(raw.items(), calibrators, strict=True):
         counted = [t for j, t in totals.items() if j != k]
         rate = sum(pos for _, pos in counted) / sum(n for n, _ in counted)
-        part = models.fit_calibrator(oof, method, "proba_brute").apply(rows).withColumns({
+        part = fitted.apply(rows, "proba_brute").withColumns({
             "proba_reelle": models.adjust_prior("proba_calibree", real_rate, rate),
             "taux_appris": F.lit(rate)}).drop(TARGET)
         scores = part if scores is None else scores.unionByName(part)
