@@ -5,6 +5,10 @@ coalition contributes 1 or 0 (does the row follow the path?), a feature outside
 of training rows that follow it.  The Shapley value of a product game only needs the elementary
 coefficients of a small polynomial.  Leaves whose paths hold equally many features are one array, so
 a batch of rows meets all of them in a few array operations.
+
+Of a leaf with m features a row only matters by which of them follow the path: 2^m answers, worked
+out once.  A row finds the bits of all leaves in one line of bits per feature, chosen by where its
+value lies among the cuts of the model, and the contributions by those bits.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from loyaltide.staging import staging_root
 
 CELLS = 2_000_000              # rows x leaves x features looked at together
+NEAR = 250_000                 # the same of answers looked up, so that they stay in the cache
+ANSWERS = 4_000_000            # answers of the leaves with equally many features; above, none are kept
 
 Path = tuple[float, list[tuple[int, float, float, float]]]
 
@@ -84,27 +90,85 @@ def leaf_arrays(paths: Sequence[Path]) -> list[tuple[np.ndarray, ...]]:
         for i in range(4))) for m, of in sorted(by_size.items()) if m]
 
 
-def contributions(x: np.ndarray, leaves: Sequence[tuple[np.ndarray, ...]]) -> np.ndarray:
+def gains(value: np.ndarray, share: np.ndarray, follows: np.ndarray) -> Iterator[np.ndarray]:
+    """Per feature of the paths, what it adds to each leaf (columns) of each row of ``follows``
+    (rows, leaves, features)."""
+    m = share.shape[1]
+    weights = np.array([math.factorial(k) * math.factorial(m - 1 - k) for k in range(m)]
+                       ) / math.factorial(m)
+    for i in range(m):
+        poly = np.zeros((*follows.shape[:2], m))
+        poly[:, :, 0] = 1.0
+        for j in range(m):
+            if j != i:
+                shifted = poly[:, :, :-1] * follows[:, :, j, None]
+                poly *= share[:, j, None]
+                poly[:, :, 1:] += shifted
+        yield value * (follows[:, :, i] - share[:, i]) * (poly @ weights)
+
+
+class Answers:
+    """The contributions of leaves with equally many features, by which of them follow the path."""
+
+    def __init__(self, value: np.ndarray, feature: np.ndarray, low: np.ndarray, high: np.ndarray,
+                 share: np.ndarray):
+        leaves, m = feature.shape
+        self.size = 2 ** m
+        self.bits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        kind = np.min_scalar_type(self.size - 1)
+        for f in np.unique(feature).tolist():
+            leaf, slot = np.nonzero(feature == f)
+            a, b = low[leaf, slot], high[leaf, slot]
+            cuts = np.unique(np.r_[a, b])
+            cuts = cuts[np.isfinite(cuts)]
+            at = np.arange(len(cuts) + 1)[:, None]           # cuts below the value
+            line = np.zeros((len(cuts) + 2, leaves), kind)   # the last one: no number
+            inside = (at > np.searchsorted(cuts, a) - np.isinf(a)) & (at <= np.searchsorted(cuts, b))
+            line[:-1, leaf] = inside * (1 << slot)
+            self.bits[f] = cuts, line
+        leaf, slot = np.divmod(np.argsort(feature, axis=None, kind="stable"), m)
+        used = feature[leaf, slot]
+        self.starts = np.flatnonzero(np.r_[True, used[1:] != used[:-1]])
+        self.features, self.leaf = used[self.starts], leaf
+        self.place = np.arange(len(leaf)) * self.size
+        follows = (np.arange(self.size)[:, None, None] >> np.arange(m) & 1).astype(np.float64)
+        table = np.empty((m, leaves, self.size))
+        for i, gain in enumerate(gains(value, share, np.broadcast_to(
+                follows, (self.size, leaves, m)))):
+            table[i] = gain.T
+        self.table = table[slot, leaf].ravel()
+
+    def add_to(self, phi: np.ndarray, x: np.ndarray) -> None:
+        step = max(1, NEAR // len(self.leaf))
+        for at in range(0, len(x), step):
+            rows, found = x[at:at + step], None
+            for f, (cuts, line) in self.bits.items():
+                own = rows[:, f]
+                code = np.where(np.isnan(own), len(cuts) + 1, np.searchsorted(cuts, own))
+                found = line[code] if found is None else found + line[code]
+            gain = self.table[found[:, self.leaf] + self.place]
+            phi[at:at + step, self.features] += np.add.reduceat(gain, self.starts, axis=1)
+
+
+def answers(leaves: Sequence[tuple[np.ndarray, ...]]) -> list[Answers | tuple[np.ndarray, ...]]:
+    """The leaves, with their answers where these are few enough to keep."""
+    return [Answers(*of) if of[1].size * 2 ** of[1].shape[1] <= ANSWERS else of for of in leaves]
+
+
+def contributions(x: np.ndarray, leaves: Sequence[Answers | tuple[np.ndarray, ...]]) -> np.ndarray:
     """Contribution of each feature (columns of ``x``) to the log-odds of each row."""
     phi = np.zeros(x.shape)
-    for value, feature, low, high, share in leaves:
+    for of in leaves:
+        if isinstance(of, Answers):
+            of.add_to(phi, x)
+            continue
+        value, feature, low, high, share = of
         m = feature.shape[1]
-        weights = np.array([math.factorial(k) * math.factorial(m - 1 - k) for k in range(m)]
-                           ) / math.factorial(m)
         step = max(1, CELLS // (len(value) * m * m))
         for at in range(0, len(x), step):
-            rows = x[at:at + step]
-            inside = rows[:, feature]
+            inside = x[at:at + step][:, feature]
             follows = ((inside > low) & (inside <= high)).astype(np.float64)
-            for i in range(m):
-                poly = np.zeros((len(rows), len(value), m))
-                poly[:, :, 0] = 1.0
-                for j in range(m):
-                    if j != i:
-                        shifted = poly[:, :, :-1] * follows[:, :, j, None]
-                        poly *= share[:, j, None]
-                        poly[:, :, 1:] += shifted
-                gain = value * (follows[:, :, i] - share[:, i]) * (poly @ weights)
+            for i, gain in enumerate(gains(value, share, follows)):
                 to = np.zeros((len(value), x.shape[1]))
                 to[np.arange(len(value)), feature[:, i]] = 1.0
                 phi[at:at + step] += gain @ to
@@ -126,8 +190,9 @@ def tree_contributions(vectors: DataFrame, paths: Sequence[Path], names: Sequenc
         group[np.arange(len(by)), by] = 1.0
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = answers(leaves)
         for batch in batches:
-            phi = contributions(np.stack(batch["x"].to_numpy()), leaves)
+            phi = contributions(np.stack(batch["x"].to_numpy()), known)
             phi = phi if by is None else phi @ group
             yield pd.DataFrame({id_col: batch[id_col], "contributions": list(phi)})
 
